@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import bpe, token_counts, token_files, tokens
+from boxwright.llm import bpe, decontaminate, pii, quality, secrets, simhash, token_counts, token_files, tokens
 from boxwright.session import scratch_path
 
 #: The public tokenizer that queries use; a name or a path.
@@ -23,22 +23,46 @@ def spec(name: str = TOKENIZER) -> str:
     return tokens.tokenizer_json(public_tokenizers.path(name))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), spec())
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, spec(), end_id=2)
     return token_files.read_digests(spark, path)
 
 
+#: Stands for a secret that a real run gets from its own store.
+PII_KEY = "example key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, count="n_values").select("doc_id", "n_values", "text")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.by_limit(token_counts.histogram(table(spark, sf_dir, "documents"), spec()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op5_token_files, op9_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_decontaminate, op5_token_files, op6_pii, op8_secrets, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
