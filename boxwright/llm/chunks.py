@@ -46,12 +46,13 @@ def code_documents(
     split: Callable[[], Callable[[str], list[str]]],
     name: str,
     chunk_chars: int,
-    extra: Callable[[list, list[np.ndarray], list[str]], Iterator[tuple[int, bytes]]] | None = None,
+    extra: Callable[[list, list[np.ndarray], list], Iterator[tuple[int, bytes]]] | None = None,
 ) -> DataFrame:
     """Table of chunks, written to the shared folder: rows of CODED.
 
-    ``split()`` gives the function that cuts a text. ``extra`` may add blobs
-    with a part number, made from a chunk's ids, codes and dictionary. Chunk
+    ``split()`` gives the function that cuts a text. Instead of the words,
+    ``extra`` may send blobs with a part number, made from a chunk's ids, codes
+    (which it may change) and dictionary. Chunk
     names are drawn at random; as the table is committed once, a lost executor
     can't change them for later readers.
     """
@@ -64,14 +65,15 @@ def code_documents(
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk, words = uuid.uuid4().hex, list(code)
+            blobs = list(extra(ids, coded, words)) if extra else []
             for i in range(0, len(ids), 2000):
                 some = coded[i : i + 2000]
                 yield _rows(chunk, DOC, ids[i : i + 2000], [i // 2000] * len(some), [pack(c) for c in some])
-            for i in range(0, len(words), 50_000):
+            for i in range(0, 0 if extra else len(words), 50_000):
                 yield _rows(chunk, WORDS, [None], [i], [None], [words[i : i + 50_000]])
-            if extra:
-                for part, blob in extra(ids, coded, words):
-                    yield _rows(chunk, EXTRA, [None], [part], [blob])
+            for i in range(0, len(blobs), 16):
+                some = blobs[i : i + 16]
+                yield _rows(chunk, EXTRA, [None] * len(some), [part for part, _ in some], [blob for _, blob in some])
 
         size = 0
         for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import bpe, decontaminate, pii, quality, secrets, simhash, token_counts, token_files, tokens
+from boxwright.llm import bpe, decontaminate, language_model, pii, quality, secrets, simhash, token_counts, token_files, tokens
 from boxwright.session import scratch_path
 
 #: The public tokenizer that queries use; a name or a path.
@@ -53,6 +53,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, count="n_values").select("doc_id", "n_values", "text")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_decontaminate, op5_token_files, op6_pii, op8_secrets, op9_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_decontaminate, op5_token_files, op6_pii, op7_language_model, op8_secrets, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

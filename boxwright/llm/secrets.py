@@ -148,7 +148,8 @@ def _joined(spans: Column, rules: list[Rule]) -> Column:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     base = {r.kind: k for k, r in enumerate(RULES) if r.base}
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{kind}") for kind, k in base.items()]
+    counts = [F.size(F.array_remove("spans.rank", k)).cast("long") for k in base.values()]
+    counts = [(F.size("spans").cast("long") - n).alias(f"n_{kind}") for kind, n in zip(base, counts, strict=True)]
     found = find(docs.select("doc_id", "text")).select("doc_id", "spans")
     base_spans = F.filter("spans", lambda s: s["rank"] < len(base))
     return found.select("doc_id", *counts, F.sha2(_joined(base_spans, RULES), 256).alias("base_sha256"), _joined(F.col("spans"), RULES).alias("spans"))
