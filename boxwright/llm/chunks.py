@@ -2,9 +2,10 @@
 
 A word-level join that shuffles each occurrence moves more bytes than the
 corpus has. Here every task codes its documents chunk by chunk (some megabytes
-of text each): a chunk's distinct words are sent out once, and its documents
-travel as small integers that point into them. What comes back for the words
-meets the coded documents chunk by chunk, so no step holds more than a chunk.
+of text each): a chunk's distinct words are asked about once, shard by shard,
+and its documents travel as small integers that point into them. The answers
+meet the coded documents chunk by chunk, so no step holds more than a chunk or
+a shard.
 """
 
 from __future__ import annotations
@@ -13,67 +14,70 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boxwright.session import cut
+from boxwright.session import drop_path, scratch_path
 
-DOC, WORDS, EXTRA = 0, 1, 2
-CODED = "chunk string, kind tinyint, doc_id bigint, part int, payload binary, words array<string>"
-SCHEMA = pa.schema([("chunk", pa.string()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("part", pa.int32()), ("payload", pa.binary()), ("words", pa.list_(pa.string()))])
+DOC, OWN, ASK = 0, 1, 2
+CODED = "chunk string, kind tinyint, part int, doc_ids array<bigint>, payload binary"
+SCHEMA = pa.schema([("chunk", pa.string()), ("kind", pa.int8()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
+DOCS_IN_ROW = 2000
 
 
-def pack(codes: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+def blob(*arrays: tuple[np.ndarray, int], raw: bytes = b"") -> bytes:
+    """Arrays of unsigned integers, so many bytes of each kept, byte plane by byte plane; then raw bytes. Compressed."""
+    planes = [np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for a, w in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(a) for a, _ in arrays], "<u8").tobytes() + b"".join(planes) + raw)
 
 
-def unpack(payload: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4")
+def unblob(data: bytes, *widths: int) -> tuple[list[np.ndarray], bytes]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    at, out = 8 * len(widths), []
+    for n, w in zip(np.frombuffer(data, "<u8", len(widths)).tolist(), widths, strict=True):
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :w] = np.frombuffer(data, np.uint8, n * w, at).reshape(w, n).T
+        out.append(a.reshape(-1).view("<u8"))
+        at += n * w
+    return out, data[at:]
 
 
-def _rows(chunk: str, kind: int, doc_ids: list, parts: list, payloads: list, words: list | None = None) -> pa.RecordBatch:
+def rows(chunk: str, kind: int, parts: list[int], ids: list, payloads: list[bytes]) -> pa.RecordBatch:
+    """Rows of CODED."""
     n = len(payloads)
-    cols = [pa.array([chunk] * n), pa.array([kind] * n, pa.int8()), pa.array(doc_ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(payloads, pa.binary()), pa.array(words or [None] * n, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(cols, schema=SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * n), pa.array([kind] * n, pa.int8()), pa.array(parts, pa.int32()), pa.array(ids, SCHEMA.field("doc_ids").type), pa.array(payloads, pa.binary())], schema=SCHEMA)
 
 
-def code_documents(
-    docs: DataFrame,
-    split: Callable[[], Callable[[str], list[str]]],
-    name: str,
-    chunk_chars: int,
-    extra: Callable[[list, list[np.ndarray], list], Iterator[tuple[int, bytes]]] | None = None,
-) -> DataFrame:
+def code_documents(docs: DataFrame, split: Callable[[], Callable[[str], list]], ask: Callable[[list, list[np.ndarray], list], Iterator[tuple[int, bytes]]], name: str, chunk_chars: int) -> Coded:
     """Table of chunks, written to the shared folder: rows of CODED.
 
-    ``split()`` gives the function that cuts a text. Instead of the words,
-    ``extra`` may send blobs with a part number, made from a chunk's ids, codes
-    (which it may change) and dictionary. Chunk
+    ``split()`` gives the function that cuts a text. ``ask`` makes blobs for
+    shards from a chunk's ids, codes (which it may change) and words. Chunk
     names are drawn at random; as the table is committed once, a lost executor
     can't change them for later readers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_text = split()
-        code: dict[str, int] = {}
+        code: dict = {}
         ids: list = []
         coded: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            chunk, words = uuid.uuid4().hex, list(code)
-            blobs = list(extra(ids, coded, words)) if extra else []
-            for i in range(0, len(ids), 2000):
-                some = coded[i : i + 2000]
-                yield _rows(chunk, DOC, ids[i : i + 2000], [i // 2000] * len(some), [pack(c) for c in some])
-            for i in range(0, 0 if extra else len(words), 50_000):
-                yield _rows(chunk, WORDS, [None], [i], [None], [words[i : i + 50_000]])
+            chunk = uuid.uuid4().hex
+            blobs = list(ask(ids, coded, list(code)))
+            for i in range(0, len(ids), DOCS_IN_ROW):
+                some = coded[i : i + DOCS_IN_ROW]
+                yield rows(chunk, DOC, [i // DOCS_IN_ROW], [ids[i : i + DOCS_IN_ROW]], [blob((np.array([len(c) for c in some]), 4), (np.concatenate(some), 4))])
             for i in range(0, len(blobs), 16):
                 some = blobs[i : i + 16]
-                yield _rows(chunk, EXTRA, [None] * len(some), [part for part, _ in some], [blob for _, blob in some])
+                for kind in (OWN, ASK):
+                    of_kind = [(part, x) for part, x in some if (part >= 0) == (kind == ASK)]
+                    if of_kind:
+                        yield rows(chunk, kind, [part for part, _ in of_kind], [None] * len(of_kind), [x for _, x in of_kind])
 
         size = 0
         for batch in batches:
@@ -92,4 +96,41 @@ def code_documents(
         if ids:
             yield from flush()
 
-    return cut(docs.select("doc_id", "text").mapInArrow(run, CODED), name)
+    spark = docs.sparkSession
+    path = scratch_path(spark, name)
+    docs.select("doc_id", "text").mapInArrow(run, CODED).write.partitionBy("kind").option("compression", "none").parquet(path)
+    return Coded(spark, path)
+
+
+class Coded:
+    """The written table of chunks: documents, what a chunk keeps for itself (parts below 0), and what it asks."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _kind(self, kind: int, *columns: str) -> DataFrame:
+        return self.spark.read.schema(CODED).parquet(self.path).filter(F.col("kind") == kind).select(*columns)
+
+    def documents(self) -> DataFrame:
+        return self._kind(DOC, "chunk", "part", "doc_ids", "payload")
+
+    def own(self) -> DataFrame:
+        return self._kind(OWN, "chunk", "part", "payload")
+
+    def asked(self) -> DataFrame:
+        return self._kind(ASK, "chunk", "part", "payload")
+
+    def drop_asked(self) -> None:
+        """Once the answers are written, nothing reads the questions again."""
+        drop_path(self.spark, f"{self.path}/kind={ASK}")
+
+
+def documents_of(table: pd.DataFrame) -> tuple[list[int | None], list[np.ndarray]]:
+    """Ids and codes of a chunk's documents."""
+    ids: list[int | None] = []
+    codes: list[np.ndarray] = []
+    for of, payload in zip(table["doc_ids"], table["payload"], strict=True):
+        (lens, flat), _ = unblob(payload, 4, 4)
+        ids += [None if x is None or x != x else int(x) for x in of]
+        codes += np.split(flat, np.cumsum(lens.astype(np.int64))[:-1]) if len(lens) else []
+    return ids, codes

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import bpe, decontaminate, language_model, pii, quality, secrets, simhash, token_counts, token_files, tokens
+from boxwright.llm import bpe, decontaminate, language_model, pii, quality, secrets, simhash, suffix_dedup, token_counts, token_files, tokens
 from boxwright.session import scratch_path
 
 #: The public tokenizer that queries use; a name or a path.
@@ -65,8 +65,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.by_limit(token_counts.histogram(table(spark, sf_dir, "documents"), spec()))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_decontaminate, op5_token_files, op6_pii, op7_language_model, op8_secrets, op9_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_decontaminate, op5_token_files, op6_pii, op7_language_model, op8_secrets, op9_token_counts, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
