@@ -1,10 +1,13 @@
 """BPE encoding and decoding by a distinct-word table.
 
 Words are the stretches of a text between borders that no pre-token crosses.
-Chunks of documents send their distinct words out once; partitioned by word,
-each distinct word is encoded once in the whole corpus; the ids go back to the
-positions of the words in their chunk, and each document's ids are joined
-from them. Decoding looks every id up in the id-to-piece table, which the
+Chunks of documents send their distinct words out once, to the shard that owns
+each; there every distinct word of the corpus is encoded once; the ids go back
+to the positions of the words in their chunk, and each document's ids are
+joined from them. The table is read twice, for its words and for the coded
+documents, which costs less disk than keeping both; chunks are named by the
+hash of their rows, and a table that reads otherwise the second time is an error. The table is read twice, for the words and for the coded
+documents, which costs less than keeping either; it must be a stored one. Decoding looks every id up in the id-to-piece table, which the
 vocabulary bounds (50,257 rows), and joins the pieces.
 
 Null and empty texts have no ids. Null ids and repeated rows stay as they are,
@@ -15,13 +18,13 @@ library. Extra columns are not carried.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from boxwright.llm import chunks
 from boxwright.llm.tokens import Encoder, encoder, pieces_by_id
@@ -29,65 +32,121 @@ from boxwright.llm.tokens import Encoder, encoder, pieces_by_id
 CHUNK_CHARS = 24_000_000
 
 
-def splitter(spec: str) -> Callable[[], Callable[[str], list[str]]]:
-    return lambda: encoder(spec).stretches
+def _in_order(words: Iterable[str], n_shards: int) -> tuple[list[bytes], list[int]]:
+    """A chunk's words by shard and spelling, and where each shard ends. Their codes are their places."""
+    shards: list[list[bytes]] = [[] for _ in range(n_shards)]
+    for w in words:
+        raw = w.encode()
+        shards[zlib.crc32(raw) % n_shards].append(raw)
+    for some in shards:
+        some.sort()
+    return [w for some in shards for w in some], np.cumsum([len(some) for some in shards]).tolist()
 
 
-def _encode_words(spec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(word, chunk, pos), all rows of a word in one run -> a row for each chunk of a batch, with packed ids."""
+def _chunk_pass(spec: str, n_shards: int, chunk_chars: int, asking: bool):
+    """Documents -> chunks, either what they ask of the shards or their coded documents.
+
+    A chunk's name is the hash of its rows: both passes must see the same chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(spec)
-        last, last_ids = None, b""
+        split = encoder(spec).stretches
+        code: dict[str, int] = {}
+        ids: list = []
+        coded: list[np.ndarray] = []
+        name = hashlib.blake2b(digest_size=12)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words, ends = _in_order(code, n_shards)
+            if asking:
+                for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+                    some = words[a:b]
+                    yield chunks.rows(name.hexdigest(), chunks.ASK, [k], [None], [chunks.blob((np.array([len(w) for w in some], np.int64), 3), raw=b"".join(some))])
+                return
+            place = {w: i for i, w in enumerate(words)}
+            rank = np.fromiter((place[w.encode()] for w in code), np.uint32, len(code))
+            for i in range(0, len(ids), chunks.DOCS_IN_ROW):
+                some = coded[i : i + chunks.DOCS_IN_ROW]
+                yield chunks.rows(name.hexdigest(), chunks.DOC, [i // chunks.DOCS_IN_ROW], [ids[i : i + chunks.DOCS_IN_ROW]], [chunks.blob((np.array([len(c) for c in some]), 4), (rank[np.concatenate(some)], 4))])
+
+        size = 0
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            new = list(dict.fromkeys(words))
-            known = dict(zip(new, enc.encode_once([w for w in new if w != last]) if last not in new else [last_ids, *enc.encode_once(new[1:])], strict=True))
-            last, last_ids = new[-1], known[new[-1]]
-            out: dict[str, tuple[list[int], list[bytes]]] = {}
-            for w, chunk, pos in zip(words, batch.column("chunk").to_pylist(), batch.column("pos").to_pylist(), strict=True):
-                at, ids = out.setdefault(chunk, ([], []))
-                at.append(pos)
-                ids.append(known[w])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(out)),
-                    pa.array([np.array(at, "<u4").tobytes() for at, _ in out.values()], pa.binary()),
-                    pa.array([np.array([len(x) // 4 for x in ids], "<u2").tobytes() for _, ids in out.values()], pa.binary()),
-                    pa.array([np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes() for _, ids in out.values()], pa.binary()),
-                ],
-                names=["chunk", "at", "lens", "ids"],
-            )
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                parts = split(text) if text else []
+                name.update(f"{doc_id} {len(parts)} ".encode() + (text or "").encode())
+                n = len(code)
+                for p in set(parts).difference(code):
+                    code[p] = n
+                    n += 1
+                ids.append(doc_id)
+                if not asking:
+                    coded.append(np.fromiter(map(code.__getitem__, parts), np.uint32, len(parts)))
+                size += len(text or "")
+                if size >= chunk_chars:
+                    yield from flush()
+                    code, ids, coded, size, name = {}, [], [], 0, hashlib.blake2b(digest_size=12)
+        if ids:
+            yield from flush()
+
+    return run
+
+
+def _cut_up(lens: np.ndarray, data: bytes) -> list[bytes]:
+    ends = np.cumsum(lens.astype(np.int64)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _answer(spec: str):
+    """A shard: each of its distinct words is encoded once, and every chunk that asked gets its ids."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        of_chunk = []
+        for payload in rows["payload"]:
+            (lens,), data = chunks.unblob(payload, 3)
+            of_chunk.append(_cut_up(lens, data))
+        words = list(dict.fromkeys(w for some in of_chunk for w in some))
+        enc, ids = Encoder(spec), {}
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            ids.update(zip(some, enc.encode_once([w.decode() for w in some]), strict=True))
+        out = []
+        for some in of_chunk:
+            got = [ids[w] for w in some]
+            flat = np.frombuffer(b"".join(got), "<u4")
+            out.append(chunks.blob((np.array([len(x) // 4 for x in got], np.int64), 3), (flat, 4)))
+        return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "payload": out})
 
     return run
 
 
 def encode(docs: DataFrame, spec: str, finish: Callable[[list, list[list[bytes]], list[bytes]], pd.DataFrame], schema: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Encode whole texts; ``finish(doc_ids, ids_of_words, pieces)`` makes the output rows of a chunk.
+    """Encode whole texts of a stored table; ``finish(doc_ids, ids_of_words, pieces)`` makes the output rows of some documents.
 
     ``ids_of_words`` has, for each document, the ids of its words in order, each
     as little-endian unsigned 32-bit integers. Rows of ``schema``.
     """
-    coded = chunks.code_documents(docs, splitter(spec), "bpe-chunks", chunk_chars)
-    words = coded.filter(F.col("kind") == chunks.WORDS).select("chunk", "part", F.posexplode("words").alias("i", "word")).select("word", "chunk", (F.col("part") + F.col("i")).alias("pos"))
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(spec), "chunk string, at binary, lens binary, ids binary")
-    pieces = docs.sparkSession.sparkContext.broadcast([p for _, p in pieces_by_id(spec)])
-
-    def join(doc_rows: pd.DataFrame, id_rows: pd.DataFrame) -> pd.DataFrame:
-        n = sum(len(x) // 4 for x in id_rows["at"])
-        of: list[bytes] = [b""] * n
-        for at, lens, blob in zip(id_rows["at"], id_rows["lens"], id_rows["ids"], strict=True):
-            ends = np.cumsum(np.frombuffer(lens, "<u2").astype(np.int64)) * 4
-            wide = np.frombuffer(blob, "<u2").astype("<u4").tobytes()
-            begin = 0
-            for k, end in zip(np.frombuffer(at, "<u4").tolist(), ends.tolist(), strict=True):
-                of[k] = wide[begin:end]
-                begin = end
-        take = of.__getitem__
-        return finish(doc_rows["doc_id"].tolist(), [list(map(take, chunks.unpack(p).tolist())) for p in doc_rows["payload"]], pieces.value)
-
-    doc_rows = coded.filter(F.col("kind") == chunks.DOC).select("chunk", "doc_id", "payload")
-    return doc_rows.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInPandas(join, schema)
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select("doc_id", "text")
+    asked = texts.mapInArrow(_chunk_pass(spec, n, chunk_chars, True), chunks.CODED).select("chunk", "part", "payload")
+    coded = texts.mapInArrow(_chunk_pass(spec, n, chunk_chars, False), chunks.CODED).select("chunk", "part", "doc_ids", "payload")
+    answers = asked.groupBy("part").applyInPandas(_answer(spec), "chunk string, part int, payload binary")
+    pieces = spark.sparkContext.broadcast([p for _, p in pieces_by_id(spec)])
+
+    def join(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or found.empty:
+            raise RuntimeError("documents were read in another order the second time; store them first")
+        of: list[bytes] = []
+        for payload in found.sort_values("part")["payload"]:
+            (lens, flat), _ = chunks.unblob(payload, 3, 4)
+            of += _cut_up(lens * 4, flat.astype("<u4").tobytes())
+        ids, codes = chunks.documents_of(rows)
+        out = []
+        for i in range(0, len(ids), 500):
+            out.append(finish(ids[i : i + 500], [list(map(of.__getitem__, c.tolist())) for c in codes[i : i + 500]], pieces.value))
+        return pd.concat(out)
+
+    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(join, schema)
 
 
 def decoded(ids: bytes, pieces: list[bytes]) -> bytes:
