@@ -58,8 +58,8 @@ def by_limit(hist: DataFrame) -> DataFrame:
     rows = dealt.withColumn("d", F.sum("n_docs").over(upto)).withColumn("t", F.sum("tokens").over(upto))
     rows = rows.join(F.broadcast(before), "part").crossJoin(F.broadcast(total))
     rows = rows.withColumn("docs_up_to", F.col("d") + F.col("docs_before")).withColumn("docs_longer", F.col("all_docs") - F.col("docs_up_to"))
-    cut = F.col("t") + F.col("tokens_before") + F.col("docs_longer") * F.col("n_tokens")
-    return rows.select("n_tokens", "n_docs", "docs_up_to", "docs_longer", "tokens_total", cut.alias("tokens_truncated"), (F.col("docs_up_to") / F.col("all_docs")).alias("share_up_to"))
+    truncated = F.col("t") + F.col("tokens_before") + F.col("docs_longer") * F.col("n_tokens")
+    return rows.select("n_tokens", "n_docs", "docs_up_to", "docs_longer", "tokens_total", truncated.alias("tokens_truncated"), (F.col("docs_up_to") / F.col("all_docs")).alias("share_up_to"))
 
 
 def answer(limits: DataFrame, table: DataFrame) -> DataFrame:
