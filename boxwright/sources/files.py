@@ -54,16 +54,13 @@ def yolo_boxes(spark: SparkSession, root: str, names: DataFrame, limit: int | No
     """annotation_path, rel_stem, line, class_id, label, cx, cy, w, h, confidence of label files.
 
     Any line that can't be read, or a class without a name, is an error before
-    anything else is made. Empty files have one row without a box.
+    anything else is made. Files of blank lines have one row without a box; Spark
+    lists no files of zero bytes.
     """
     where = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True).select(where.alias("annotation_path"), "value")
     rows = rows.filter(~boxes.path_name(F.col("annotation_path")).isin("names.txt", "classes.txt", "notes.txt"))
     base = "/" + root.removeprefix("file:").strip("/")
-    # An empty file has no row of text, so the listing stands first.
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("annotation_path"), "length").filter("length = 0")
-    listed = listed.filter(~boxes.path_name(F.col("annotation_path")).isin("names.txt", "classes.txt", "notes.txt"))
-    rows = rows.unionByName(listed.select("annotation_path", F.lit("").alias("value")))
     if limit is not None:
         rows = rows.orderBy("annotation_path").limit(limit)
     lines = rows.select("annotation_path", F.posexplode_outer(F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("line", "text"))

@@ -114,7 +114,7 @@ def test_linking_gaps(spark):
 def test_import_yolo_and_errors(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_text("0 0.5 0.5 0.2 0.2\n\n1 0.5 0.5 0.2 0.4 0.75\n1 0.1 0.1 0.3 0.1 0.2 0.5\n")
-    (tmp_path / "a" / "y.txt").write_text("")
+    (tmp_path / "a" / "y.txt").write_text("\n")
     (tmp_path / "names.txt").write_text("crab\nsponge\n")
     names = files.names_file(spark, f"{tmp_path}/names.txt")
     got = files.yolo_boxes(spark, str(tmp_path), names).orderBy("rel_stem", "line").collect()
