@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -29,19 +30,24 @@ def check_lengths(df: DataFrame, column: str) -> None:
         raise ValueError(f"{column} has vectors of {got[0]} to {got[1]} numbers")
 
 
-def _rows(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()).astype(np.float64) if len(series) else np.zeros((0, 1))
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of a list column without nulls, straight from its buffer."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1 if len(vectors) else 1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1])), pa.int32()), pa.array(x.ravel()))
 
 
 def unit(column: str, centre: list[float]) -> Column:
     """Vectors less a centre, at unit length; a zero vector stays one."""
     c = np.array(centre)
 
-    @F.pandas_udf("array<double>")
-    def run(v: pd.Series) -> pd.Series:
-        x = _rows(v) - c
+    @F.arrow_udf("array<double>")
+    def run(v: pa.Array) -> pa.Array:
+        x = _matrix(v) - c
         n = np.linalg.norm(x, axis=1, keepdims=True)
-        return pd.Series(list(x / np.where(n == 0, 1, n)))
+        return _lists(x / np.where(n == 0, 1, n))
 
     return run(column)
 
@@ -49,9 +55,9 @@ def unit(column: str, centre: list[float]) -> Column:
 def dot(a: str, b: str) -> Column:
     """Inner product of two vector columns."""
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(np.einsum("ij,ij->i", _rows(x), _rows(y)) if len(x) else [])
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(np.einsum("ij,ij->i", _matrix(x), _matrix(y)))
 
     return run(a, b)
 
@@ -72,11 +78,11 @@ def similar(df: DataFrame, roi_index: int, label: str | None = None, mode: str =
     r = np.array(ref[0], np.float64) - c
     r = r / (np.linalg.norm(r) or 1.0)
 
-    @F.pandas_udf("double")
-    def score(v: pd.Series) -> pd.Series:
-        x = _rows(v) - c
+    @F.arrow_udf("double")
+    def score(v: pa.Array) -> pa.Array:
+        x = _matrix(v) - c
         n = np.linalg.norm(x, axis=1)
-        return pd.Series(x @ r / np.where(n == 0, 1, n))
+        return pa.array(x @ r / np.where(n == 0, 1, n))
 
     return pool.select("roi_index", score(column).alias("score")).orderBy(F.desc("score"), "roi_index")
 
