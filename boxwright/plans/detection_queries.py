@@ -738,6 +738,18 @@ _LINKED_UNITS = (
 ORACLES["fixture_typicality"] = _with("linked_boxes", "SELECT roi_index, round(list_cosine_similarity(u, c), 4) AS typicality FROM unit JOIN centroid USING (camera, slot)", *_LINKED_UNITS)
 
 
+ORACLES["fixture_split"] = _with(
+    "linked_boxes",
+    """SELECT l.camera, l.roi_index, CASE WHEN l.label = m.label OR list_cosine_similarity(a.c, b.c) >= 0.9 THEN CAST(l.slot AS VARCHAR) WHEN g.n >= 20 THEN CAST(l.slot AS VARCHAR) || '/' || l.label END AS track
+ FROM lab l JOIN main_label m USING (camera, slot) JOIN groups g ON g.camera = l.camera AND g.slot = l.slot AND g.label = l.label JOIN look a ON a.camera = l.camera AND a.slot = l.slot AND a.label = l.label JOIN look b ON b.camera = l.camera AND b.slot = l.slot AND b.label = m.label""",
+    *_LINKED_UNITS,
+    "lab AS (SELECT camera, slot, roi_index, label FROM linked_boxes WHERE slot < 9)",
+    "groups AS (SELECT camera, slot, label, count(*) AS n FROM lab GROUP BY 1, 2, 3)",
+    "main_label AS (SELECT camera, slot, label FROM groups QUALIFY row_number() OVER (PARTITION BY camera, slot ORDER BY n DESC, label) = 1)",
+    "look AS (SELECT camera, slot, label, list(a ORDER BY k) AS c FROM (SELECT u.camera, u.slot, l.label, k, avg(u.u[k]) AS a FROM unit u JOIN lab l USING (roi_index), range(1, 65) t(k) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)",
+)
+
+
 @query()
 def fixture_split(spark, sf):
     rows, units = _given_vectors(spark, sf)

@@ -166,6 +166,22 @@ def test_splits_are_exclusive_and_pins_are_tested(spark):
     assert "train: train.txt" in text and "val:" not in text and "'it''s'" in text
 
 
+def test_id_gallery_and_label_files(spark):
+    rows = df(spark, [(1, "/d/a.png", 1.5, 2.5, 10.0, 8.0, 0.25, "a,b", None, 1), (2, "/d/a.png", 0.0, 0.0, 4.0, 4.0, 1.0, "c", "<c>", 1)], "id int, image_path string, x_min float, y_min float, x_max float, y_max float, confidence float, label string, new_label string, verified int")
+    sizes, names = df(spark, [("/d/a.png", 20, 10)], "image_path string, width int, height int"), naming.stem_map(rows)
+    r = naming.id_files(naming.id_rows(rows), sizes, names, "me", "2020-01-01T00:00:00Z", "m").first()
+    lines = r["content"].splitlines()
+    assert r["path"] == "a.id" and "# image_width: 20" in lines and "# count: 2" in lines
+    assert lines[-2:] == ['0,"a,b",0.2500,6,5,0.0,0.0,0.0,2,2,10,2,10,8,2,8', "1,<c>,1.0000,2,2,0.0,0.0,0.0,0,0,4,0,4,4,0,4"]
+    beside = naming.id_files(naming.id_rows(rows), sizes.limit(0), None, "me", "t", "m").first()
+    assert beside["path"] == "/d/a.id" and "# image_width: unknown" in beside["content"]
+    pages = naming.gallery_pages(naming.gallery_rows(rows, 1)).collect()
+    assert [p["path"] for p in pages] == ["page_0.html"] and "&lt;c&gt;" in pages[0]["content"] and "next" not in pages[0]["content"]
+    classes = naming.class_table(rows.select(labels.export_label().alias("label")))
+    text = naming.yolo_files(naming.yolo_rows(rows, sizes, classes), names).first()
+    assert text["path"] == "a.txt" and text["content"] == "1 0.287500 0.525000 0.425000 0.550000\n0 0.100000 0.200000 0.200000 0.400000\n"
+
+
 def test_store_swaps_versions(spark):
     store = Store(spark, scratch_path(spark, "store"))
     with pytest.raises(FileNotFoundError):
