@@ -34,12 +34,13 @@ class EliasFano:
         values = values.astype(np.uint64)
         self.n = len(values)
         self.low_bits = max(0, min(56, (universe // max(1, self.n)).bit_length() - 1))
-        low = values & np.uint64((1 << self.low_bits) - 1)
         width = self.low_bits
-        bits = np.zeros((self.n, width), np.uint8) if width else np.zeros((0, 0), np.uint8)
-        for k in range(width):
-            bits[:, k] = (low >> np.uint64(k)).astype(np.uint8) & 1
-        self.low = mapped(np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8)]))
+        packed = [np.zeros(0, np.uint8)]
+        for i in range(0, self.n, 1 << 15):  # a multiple of 8, so that blocks end at a byte
+            some = np.ascontiguousarray(values[i : i + (1 << 15)])
+            bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=width) if width else np.zeros((0, 0), np.uint8)
+            packed.append(np.packbits(bits.ravel(), bitorder="little"))
+        self.low = mapped(np.concatenate([*packed, np.zeros(8, np.uint8)]))
         high = (values >> np.uint64(width)).astype(np.int64)
         self.highs = (universe >> width) + 1
         size = -(-(self.n + self.highs + 1) // 64) * 64
@@ -75,8 +76,8 @@ class EliasFano:
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each x: index of the first element not below it, and whether it equals x.
 
-        The high part leads to its run of elements by two selects; the low parts
-        decide within the run.
+        The high part leads to its run of elements by two selects; within the run
+        the low parts are searched by halves.
         """
         h = (x >> np.uint64(self.low_bits)).astype(np.int64)
         inside = h < self.highs
@@ -84,16 +85,19 @@ class EliasFano:
         i = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) - (h - 1), 0)
         end = self._select0(h) - h
         want = x & np.uint64((1 << self.low_bits) - 1)
-        i = np.where(inside, i, self.n)
-        open_ = np.flatnonzero(inside & (i < end))
+        begin, end = np.where(inside, i, self.n), np.where(inside, end, self.n)
+        top = end.copy()
+        open_ = np.flatnonzero(begin < end)
+        while len(open_):  # halves the runs that are still open
+            middle = (begin[open_] + end[open_]) >> 1
+            less = self._low(middle) < want[open_]
+            begin[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
+            open_ = open_[begin[open_] < end[open_]]
         found = np.zeros(len(x), bool)
-        while len(open_):
-            got = self._low(i[open_])
-            found[open_[got == want[open_]]] = True
-            open_ = open_[got < want[open_]]
-            i[open_] += 1
-            open_ = open_[i[open_] < end[open_]]
-        return i, found
+        some = np.flatnonzero(begin < top)
+        found[some] = self._low(begin[some]) == want[some]
+        return begin, found
 
 
 #: Counts up to here have a code of their own; above, codes grow by about 5 %.
@@ -118,20 +122,20 @@ def dequantised() -> np.ndarray:
 class Trie:
     """Contexts and their followers.
 
-    Level 1 has the contexts (64-bit hashes) and, as a monotone sequence, where
-    each one's followers begin. Level 2 has the followers (40-bit hashes) of all
+    Level 1 has the contexts (40-bit hashes) and, as a monotone sequence, where
+    each one's followers begin. Level 2 has the followers (32-bit hashes) of all
     contexts in one sequence, each counted from its context's place on, which
     makes it monotone; with each goes a byte for its discounted probability.
     """
 
-    FOLLOWER_BITS = 40
+    CONTEXT_BITS, FOLLOWER_BITS = 40, 32
 
     def __init__(self, context: np.ndarray, follower: np.ndarray, count: np.ndarray):
         """Parallel arrays, sorted by context and follower, each pair once."""
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
         contexts = context[first]
-        self.contexts = EliasFano(contexts, 1 << 64)
-        self.pointers = mapped(np.concatenate([first, [len(context)]]).astype(np.int64))
+        self.contexts = EliasFano(contexts, 1 << self.CONTEXT_BITS)
+        self.pointers = mapped(np.concatenate([first, [len(context)]]).astype(np.int32))
         place = np.cumsum(np.isin(np.arange(len(context)), first)) - 1 if len(context) else np.zeros(0, np.int64)
         self.followers = EliasFano(place.astype(np.uint64) << np.uint64(self.FOLLOWER_BITS) | follower, max(1, len(contexts)) << self.FOLLOWER_BITS)
         self.codes = mapped(quantised(count))

@@ -11,8 +11,8 @@ bigrams once, with its training counts, to the shards that own them. A shard
 adds up all chunks, builds its trie and answers every chunk that asked: so the
 model is never in one place, and what travels is a chunk's distinct n-grams,
 not the tokens. A context's followers are spread over FAN shards, so that a
-very common context fills none. Words are told apart by 64-bit hashes, a
-context's followers by 40 bits of theirs.
+very common context fills none. Words are counted by 64-bit hashes; tries hold
+40 bits of a context's and 32 of a follower's, counted for each context apart.
 
 Null and empty texts are one end. A null id counts as an empty text's hash
 (training). Repeated rows count each time. Extra columns are not carried.
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +33,11 @@ from boxwright.llm import chunks
 from boxwright.llm.elias_fano import Trie, dequantised
 from boxwright.session import cut
 
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 16_000_000
 DISCOUNT = 0.75
-FAN = 4
+FAN = 2
+#: Shards a shuffle partition; a shard is what one task holds at a time.
+SHARDS = 3
 FOLDS, HELD_OUT = 7, 2
 START, END = 0, 1  # codes in every chunk; words follow
 
@@ -49,50 +50,47 @@ def _bigrams(coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """All tokens of some texts with their ends, the bigrams they end, and where each text begins."""
     lens = np.array([len(c) + 1 for c in coded], np.int64)
     ends = np.cumsum(lens)
-    tokens = np.full(int(ends[-1]) if len(ends) else 0, END, np.uint64)
+    tokens = np.full(int(ends[-1]) if len(ends) else 0, END, np.uint32)
     inner = np.ones(len(tokens), bool)
     inner[ends - 1] = False
     tokens[inner] = np.concatenate(coded) if coded else []
-    context = np.concatenate([[START], tokens[:-1]]).astype(np.uint64)
-    context[ends - lens] = START
-    return tokens, context << np.uint64(32) | tokens, ends - lens
+    keys = np.empty(len(tokens), np.uint64)
+    keys[1:] = tokens[:-1]
+    keys[ends - lens] = START
+    keys <<= np.uint64(32)
+    keys |= tokens
+    return tokens, keys, ends - lens
 
 
-def _shards(pairs: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    c, w = hashes[(pairs >> np.uint64(32)).astype(np.int64)], hashes[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-    return ((c % np.uint64(1_000_003) * np.uint64(FAN) + (w & np.uint64(FAN - 1))) % np.uint64(n)).astype(np.uint16)
+def _layout(pairs: np.ndarray, hashes: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each shard: a chunk's words, its contexts with how many followers they have there, and its bigrams.
 
-
-def _follower(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - Trie.FOLLOWER_BITS)
-
-
-def _planes(a: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    A context goes to all FAN shards that its followers can be in, those where
+    the chunk has none of them included, as its followers are counted in each.
+    """
+    context, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    base = hashes % np.uint64(1_000_003) * np.uint64(FAN)
+    pair_shard = ((base[context] + (hashes[word] & np.uint64(FAN - 1))) % np.uint64(n)).astype(np.uint16)
+    distinct = np.unique(context)
+    both = np.concatenate([((base[distinct] + np.uint64(j)) % np.uint64(n)).astype(np.uint16) for j in range(FAN)])
+    by = lambda shard: (np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=n))]).tolist())
+    (words, w), (some, p), (contexts, c) = by((hashes % np.uint64(n)).astype(np.uint16)), by(pair_shard), by(both)
+    for k in range(n):
+        mine = np.unique(distinct[contexts[c[k] : c[k + 1]] % len(distinct)]) if len(distinct) else distinct
+        of = some[p[k] : p[k + 1]]
+        yield words[w[k] : w[k + 1]], mine, np.bincount(np.searchsorted(mine, context[of]), minlength=len(mine)), of
 
 
-def _from_planes(data: bytes, n: int, width: int, at: int) -> tuple[np.ndarray, int]:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
-    return out.reshape(-1).view("<u8"), at + n * width
+def _context(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - Trie.CONTEXT_BITS)
 
 
-def _blob(*arrays: tuple[np.ndarray, int]) -> bytes:
-    sizes = np.array([len(a) for a, _ in arrays], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(_planes(a, w) for a, w in arrays))
-
-
-def _unblob(blob: bytes, *widths: int) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    sizes, at, out = np.frombuffer(data, "<u8", len(widths)).tolist(), 8 * len(widths), []
-    for n, w in zip(sizes, widths, strict=True):
-        a, at = _from_planes(data, n, w, at)
-        out.append(a)
-    return out
+def _follower(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - Trie.FOLLOWER_BITS)
 
 
 #: Bytes kept of: word hash, training count; context hash, followers of it; follower, training count.
-ASKED = (8, 4, 8, 4, 5, 4)
+ASKED = (8, 4, 5, 4, 4, 4)
 #: Of an answer: training count of each word; followers in total of each context; code of each bigram.
 ANSWERED = (6, 5, 1)
 
@@ -108,30 +106,23 @@ def _ask(n_shards: int):
         for i, c in enumerate(coded):
             coded[i] = rank[c]
         hashes = np.concatenate([np.array([START, END], np.uint64), own[order]])
-        yield -1, _blob((hashes, 8))
+        yield -1, chunks.blob((hashes, 8))
         tokens, keys, begins = _bigrams(coded)
         train = np.repeat(np.array([not held_out(i) for i in ids], np.uint32), np.diff(np.append(begins, len(tokens))))
-        n_word = np.bincount(tokens.astype(np.int64), weights=train, minlength=len(hashes)).astype(np.uint64)
+        n_word = np.bincount(tokens, weights=train, minlength=len(hashes)).astype(np.uint64)
         pairs, at = np.unique(keys, return_inverse=True)
+        del keys
         n_pair = np.bincount(at, weights=train, minlength=len(pairs)).astype(np.uint64)
-        pair_shard, word_shard = _shards(pairs, hashes, n_shards), (hashes % np.uint64(n_shards)).astype(np.uint16)
-        by_pair, by_word = np.argsort(pair_shard, kind="stable"), np.argsort(word_shard, kind="stable")
-        pair_ends = np.cumsum(np.bincount(pair_shard, minlength=n_shards))
-        word_ends = np.cumsum(np.bincount(word_shard, minlength=n_shards))
-        for k in range(n_shards):
-            w = by_word[word_ends[k - 1] if k else 0 : word_ends[k]]
-            p = by_pair[pair_ends[k - 1] if k else 0 : pair_ends[k]]
-            context = (pairs[p] >> np.uint64(32)).astype(np.int64)
-            distinct, followers = np.unique(context, return_counts=True)
+        for k, (w, mine, followers, p) in enumerate(_layout(pairs, hashes, n_shards)):
             follower = _follower(hashes[(pairs[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-            yield k, _blob((hashes[w], 8), (n_word[w], 4), (hashes[distinct], 8), (followers, 4), (follower, 5), (n_pair[p], 4))
+            yield k, chunks.blob((hashes[w], 8), (n_word[w], 4), (_context(hashes[mine]), 5), (followers, 4), (follower, 4), (n_pair[p], 4))
 
     return run
 
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """A shard: its model from all chunks, then what each chunk asked for. First row: its tokens and distinct words."""
-    asked = [_unblob(b, *ASKED) for b in rows["payload"]]
+    asked = [chunks.unblob(b, *ASKED)[0] for b in rows["payload"]]
     words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     n_word = np.bincount(at, weights=np.concatenate([a[1] for a in asked]).astype(np.float64), minlength=len(words)).astype(np.uint64)
     context = np.concatenate([np.repeat(a[2], a[3].astype(np.int64)) for a in asked])
@@ -147,7 +138,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         mine = n_word[at[begin : begin + len(a[0])]]
         begin += len(a[0])
         totals, codes = trie.find(a[2], np.repeat(np.arange(len(a[2])), a[3].astype(np.int64)), a[4])
-        out.append(_blob((mine, 6), (totals, 5), (codes, 1)))
+        out.append(chunks.blob((mine, 6), (totals, 5), (codes, 1)))
     part = rows["part"].iloc[0]
     total = pd.DataFrame({"chunk": [None], "part": [part], "payload": [None], "tokens": [int(n_word.sum())], "words": [int((n_word > 0).sum())]})
     return pd.concat([total, pd.DataFrame({"chunk": rows["chunk"], "part": part, "payload": out, "tokens": 0, "words": 0})])
@@ -157,23 +148,17 @@ def _score(n_shards: int, tokens_total: int, words_total: int):
     counts = dequantised()
 
     def run(doc_rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        (hashes,) = _unblob(answers["payload"][answers["part"] == -1].iloc[0], 8)
-        found = {p: _unblob(b, *ANSWERED) for p, b in zip(answers["part"], answers["payload"], strict=True) if p >= 0}
-        coded = [chunks.unpack(p) for p in doc_rows["payload"]]
+        (hashes,), _ = chunks.unblob(answers["payload"][answers["part"] == -1].iloc[0], 8)
+        found = {p: chunks.unblob(b, *ANSWERED)[0] for p, b in zip(answers["part"], answers["payload"], strict=True) if p >= 0}
+        ids, coded = chunks.documents_of(doc_rows)
         tokens, keys, begins = _bigrams(coded)
         pairs, at = np.unique(keys, return_inverse=True)
-        pair_shard, word_shard = _shards(pairs, hashes, n_shards), (hashes % np.uint64(n_shards)).astype(np.uint16)
-        by_pair, by_word = np.argsort(pair_shard, kind="stable"), np.argsort(word_shard, kind="stable")
-        n_word = np.zeros(len(hashes))
-        n_word[by_word] = np.concatenate([found[k][0] for k in range(n_shards)])
-        code = np.zeros(len(pairs), np.int64)
-        code[by_pair] = np.concatenate([found[k][2] for k in range(n_shards)])
+        del keys
+        n_word, followers, code = np.zeros(len(hashes)), np.zeros(len(hashes)), np.zeros(len(pairs), np.int64)
+        for k, (w, mine, _, p) in enumerate(_layout(pairs, hashes, n_shards)):
+            n_word[w], code[p] = found[k][0], found[k][2]
+            followers[mine] += found[k][1]
         context = (pairs >> np.uint64(32)).astype(np.int64)
-        followers, begin = np.zeros(len(hashes)), 0
-        for k in range(n_shards):
-            distinct = np.unique(context[by_pair[begin : begin + len(found[k][2])]])
-            followers[distinct] += found[k][1]
-            begin += len(found[k][2])
         plain = np.log10((n_word + 1) / (tokens_total + words_total + 1))
         n_context = n_word.copy()
         n_context[START] = n_word[END]
@@ -181,9 +166,7 @@ def _score(n_shards: int, tokens_total: int, words_total: int):
         n = np.maximum(n_context[context], 1)
         smooth = np.maximum(counts[code] - DISCOUNT, 0) / n + DISCOUNT * followers[context] / n * 10 ** plain[word]
         pair_score = np.where((n_context[context] > 0) & (followers[context] > 0), np.log10(np.maximum(smooth, 1e-300)), plain[word])
-        ids = doc_rows["doc_id"].tolist()
-        ids = [None if i is None or i != i else int(i) for i in ids]
-        t = tokens.astype(np.int64)
+        t = tokens
         sums = lambda x: np.add.reduceat(x, begins) if len(begins) else x
         return pd.DataFrame(
             {
@@ -209,11 +192,10 @@ def _words() -> object:
 
 def scores(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, n_shards: int | None = None) -> DataFrame:
     """Train on all but the held-out fold and score every document; rows of SCORES."""
-    n = n_shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = chunks.code_documents(docs, _words, "lm-chunks", chunk_chars, _ask(n))
-    asked = coded.filter((F.col("kind") == chunks.EXTRA) & (F.col("part") >= 0)).select("chunk", "part", "payload")
-    answers = cut(asked.groupBy("part").applyInPandas(_answer, "chunk string, part int, payload binary, tokens bigint, words bigint"), "lm-answers")
+    n = n_shards or SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coded = chunks.code_documents(docs, _words, _ask(n), "lm-chunks", chunk_chars)
+    answers = cut(coded.asked().groupBy("part").applyInPandas(_answer, "chunk string, part int, payload binary, tokens bigint, words bigint"), "lm-answers")
     totals = answers.filter("chunk is null").agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
-    sent = coded.filter((F.col("kind") == chunks.EXTRA) & (F.col("part") < 0)).select("chunk", "part", "payload").union(answers.filter("chunk is not null").select("chunk", "part", "payload"))
-    doc_rows = coded.filter(F.col("kind") == chunks.DOC).select("chunk", "doc_id", "payload")
-    return doc_rows.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInPandas(_score(n, totals["n"] or 0, totals["v"] or 0), SCORES)
+    coded.drop_asked()
+    sent = coded.own().union(answers.filter("chunk is not null").select("chunk", "part", "payload"))
+    return coded.documents().groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInPandas(_score(n, totals["n"] or 0, totals["v"] or 0), SCORES)
