@@ -134,10 +134,11 @@ def _sets(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | Non
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = SET_WORDS) -> DataFrame:
-    """``docs`` with ``found``: words, merged hit spans (in words) and items of each text."""
+    """``docs`` with ``__found``: words, merged hit spans (in words) and items of each text."""
     spark = docs.sparkSession
-    out = docs.withColumn("found", F.lit(None).cast(FOUND))
-    at = out.columns.index("found")
+    names, at_text = docs.columns, docs.columns.index("text")
+    out = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("found", F.lit(None).cast(FOUND))
+    at = len(names)
     schema, first = out.schema, True
     for items in _sets(benchmark, most):
         grams = spark.sparkContext.broadcast(Grams(items, window))
@@ -146,7 +147,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most:
             for whole in batches:
                 for i in range(0, whole.num_rows, 1000):
                     b = whole.slice(i, 1000)
-                    words = [words_of(t) for t in b.column("text").to_pylist()]
+                    words = [words_of(t) for t in b.column(at_text).to_pylist()]
                     new = []
                     for w, before, (spans, names) in zip(words, b.column(at).to_pylist(), grams.value.find(words), strict=True):
                         if before:
@@ -159,14 +160,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most:
         if not first:
             out = cut(out, "hits")
         out, first = out.mapInArrow(run, schema), False
-    return out
+    return out.toDF(*names, "__found")
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     f = find_hits(docs.select("doc_id", "text"), benchmark)
-    hit = F.aggregate(F.arrays_zip("found.begins", "found.ends"), F.lit(0).cast("long"), lambda n, s: n + s["ends"] - s["begins"])
-    return f.select("doc_id", F.col("found.n_words").alias("n_words"), hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    hit = F.aggregate(F.arrays_zip("__found.begins", "__found.ends"), F.lit(0).cast("long"), lambda n, s: n + s["ends"] - s["begins"])
+    return f.select("doc_id", F.col("__found.n_words").alias("n_words"), hit.alias("n_hit"), F.size("__found.items").cast("long").alias("n_items"), F.sha2(F.array_join("__found.items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -185,17 +186,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.5,
     All columns stay; where ``n_chars`` is one, it follows the text.
     """
     f = find_hits(docs, benchmark, window)
-    hit = F.aggregate(F.arrays_zip("found.begins", "found.ends"), F.lit(0), lambda n, s: n + s["ends"] - s["begins"])
+    hit = F.aggregate(F.arrays_zip("__found.begins", "__found.ends"), F.lit(0), lambda n, s: n + s["ends"] - s["begins"])
 
     @F.pandas_udf("string")
     def cut_spans(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or not len(a) else without_words(t, list(zip(a, b, strict=True))) for t, a, b in zip(text, begins, ends, strict=True)], dtype=object)
 
-    kept = f.withColumn("_hit", hit).filter(F.col("_hit") <= F.col("found.n_words") * most_hit)
-    kept = kept.withColumn("text", F.when(F.col("_hit") > 0, cut_spans("text", "found.begins", "found.ends")).otherwise(F.col("text")))
+    kept = f.withColumn("__hit", hit).filter(F.col("__hit") <= F.col("__found.n_words") * most_hit)
+    kept = kept.withColumn("text", F.when(F.col("__hit") > 0, cut_spans("text", "__found.begins", "__found.ends")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_hit") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+        kept = kept.withColumn("n_chars", F.when(F.col("__hit") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def items_digest(items: list[str]) -> str:

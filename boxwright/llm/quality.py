@@ -102,14 +102,15 @@ def removed_words(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
 
 def judged(docs: DataFrame, columns: list[str], min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """``columns`` of each document and the struct __q: its measures, base_failed, n_removed_words and kept."""
-    rows = docs.select(*columns, F.col("source").alias("__host"), F.xxhash64("text").alias("__key"), measures(F.col("text")).alias("__m"))
+    named = [F.col(f"`{c}`") for c in columns]
+    rows = docs.select(*named, F.col("source").alias("__host"), F.xxhash64("text").alias("__key"), measures(F.col("text")).alias("__m"))
     lost = removed_words(docs, min_docs, max_share)
     rows = rows.join(lost, F.col("__host").eqNullSafe(F.col("__h")) & (F.col("__key") == F.col("__k")), "left")
     n, removed = F.col("__m.n_words"), F.coalesce("__removed", F.lit(0))
     failed = (n < MIN_WORDS) | (100 * F.col("__m.n_repeat_words") > 20 * n)
     depleted = (removed > 0) & ((n - removed < MIN_WORDS) | (n - removed < n * MIN_LEFT))
     q = F.struct("__m.*", failed.alias("base_failed"), removed.alias("n_removed_words"), (~failed & ~depleted).alias("kept"))
-    return rows.select(*columns, q.alias("__q"))
+    return rows.select(*named, q.alias("__q"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -119,4 +120,4 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that pass, with all their columns and their whole text."""
-    return judged(docs, docs.columns).filter("__q.kept").select(*docs.columns)
+    return judged(docs, docs.columns).filter("__q.kept").select(*(F.col(f"`{c}`") for c in docs.columns))

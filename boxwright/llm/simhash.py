@@ -188,4 +188,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("__text_key", F.xxhash64("text"))
     kept = rows.join(chosen.distinct(), rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")))
     first = Window.partitionBy("__id", "__key").orderBy("__key")
-    return kept.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*docs.columns)
+    return kept.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -97,7 +97,7 @@ def test_decontamination(spark, docs, rows, empty):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     expected = sorted(brute.contamination([(r[0], r[1]) for r in rows], items), key=repr)
     assert as_set(decontaminate.digests(docs, bench)) == expected
-    in_sets = decontaminate.find_hits(docs, bench, most=20).select("doc_id", "found.n_words", F.size("found.items").alias("n"))
+    in_sets = decontaminate.find_hits(docs, bench, most=20).select("doc_id", "__found.n_words", F.size("__found.items").alias("n"))
     assert as_set(in_sets) == sorted(((e[0], e[1], e[3]) for e in expected), key=repr)
     assert decontaminate.digests(empty, bench).count() == 0
     assert decontaminate.digests(docs, bench.limit(0)).filter("contaminated").count() == 0
@@ -193,6 +193,15 @@ def test_language_model_predicts_held_out_text(spark):
     assert r["s"] > r["b"]
 
 
+def test_filters_leave_odd_and_clashing_columns_alone(spark):
+    extra = ["found", "host", "key", "a.b", "_hit", "fp", "component", "n", "line"]
+    df = spark.createDataFrame([(i, f"{words(random.Random(i), 30)}", "s", *extra) for i in range(4)], ", ".join(["doc_id bigint", "text string", "source string", *(f"`{c}` string" for c in extra)]))
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
+    for f in (quality.keep_good, simhash.keep_one, lambda d: decontaminate.decontaminate(d, bench), lambda d: pii.pseudonymise(d, "k")):
+        out = f(df)
+        assert out.columns == df.columns and as_set(out) == as_set(df)
+
+
 def test_elias_fano_finds_successors():
     r = np.random.default_rng(0)
     for n, u in ((0, 10), (1, 1), (50, 60), (1000, 1 << 40), (3000, 3000)):
