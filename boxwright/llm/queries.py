@@ -73,5 +73,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_decontaminate, op5_token_files, op6_pii, op7_language_model, op8_secrets, op9_token_counts, op10_suffix_dedup)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".replace("{}", _LOWER)
+_PLAIN = r"'[^\x20\x09-\x0D]+'"
+
+DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+grams AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM sized)),
+sizes AS (SELECT DISTINCT n FROM grams),
+windows AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, w.n, k, item FROM windows w JOIN grams USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM hits) GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_PLAIN}) AS w FROM documents),
+grams AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, w[k:k + 4]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)),
+repeats AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS place FROM grams WHERE c > 1) GROUP BY 1),
+lines AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, {_PLAIN})) AS words, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm
+ FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_PLAIN})),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
+hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY 1),
+frequent AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT text) AS texts FROM lines GROUP BY 1, 2) JOIN hosts USING (source) WHERE texts > {quality.MIN_DOCS} AND texts > docs * {quality.MAX_SHARE}),
+gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS n FROM lines JOIN frequent USING (source, norm) GROUP BY 1),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+ coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+ NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < {quality.MIN_WORDS} OR n_words - n_removed_words < n_words * {quality.MIN_LEFT})) AS kept FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The operators that SQL can express; tests hold the others against brute force."""
+    return {"op2_quality": QUALITY_SQL, "op4_decontaminate": DECONTAMINATE_SQL}
