@@ -15,7 +15,6 @@ nothing. Repeated rows, null ids and extra columns stay as they are.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -197,7 +196,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.5,
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("__hit") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
