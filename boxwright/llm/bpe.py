@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from boxwright.llm import chunks
-from boxwright.llm.tokens import Encoder, encoder, pieces_by_id
+from boxwright.llm.tokens import encoder, pieces_by_id
 
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 12_000_000
 
 
 def _in_order(words: Iterable[str], n_shards: int) -> tuple[list[bytes], list[int]]:
@@ -105,7 +105,7 @@ def _answer(spec: str):
             (lens,), data = chunks.unblob(payload, 3)
             of_chunk.append(_cut_up(lens, data))
         words = list(dict.fromkeys(w for some in of_chunk for w in some))
-        enc, ids = Encoder(spec), {}
+        enc, ids = encoder(spec), {}
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
             ids.update(zip(some, enc.encode_once([w.decode() for w in some]), strict=True))

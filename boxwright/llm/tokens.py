@@ -11,6 +11,9 @@ import json
 import os
 import re
 from array import array
+from functools import cached_property
+from itertools import compress
+from operator import not_
 
 # Fixed values of the public byte-level BPE files: the split pattern, the one
 # added token and its id.
@@ -50,16 +53,23 @@ class Encoder:
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        # For pre-tokens given one by one: no second regular expression, no
-        # offsets to trim, and no cache, since each is encoded only once.
-        own = json.loads(spec) | {"post_processor": None, "truncation": None, "padding": None}
-        own["pre_tokenizer"] = own["pre_tokenizer"] | {"use_regex": False}
-        self.one = Tokenizer.from_str(json.dumps(own))
-        self.one.model._resize_cache(0)
+        self.spec = spec
         self.most = most
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    @cached_property
+    def one(self):
+        """For pre-tokens given one by one: no second regular expression, no
+        offsets to trim, and no cache, since each is encoded only once."""
+        from tokenizers import Tokenizer
+
+        own = json.loads(self.spec) | {"post_processor": None, "truncation": None, "padding": None}
+        own["pre_tokenizer"] = own["pre_tokenizer"] | {"use_regex": False}
+        tok = Tokenizer.from_str(json.dumps(own))
+        tok.model._resize_cache(0)
+        return tok
+
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text, in order; joined they are the text."""
         if not _NOT_PLAIN.search(text) and END_OF_TEXT not in text:
@@ -111,7 +121,7 @@ class Encoder:
             self.words.clear()
         find, known = self.pieces.get, self.words.__getitem__
         out: list[bytes] = []
-        open_: list[tuple[int, list[str]]] = []
+        open_: list[tuple[int, list[str], list, list[int]]] = []
         whole: list[tuple[int, list[str]]] = []
         new: set[str] = set()
         for i, text in enumerate(texts):
@@ -124,17 +134,20 @@ class Encoder:
                 continue
             parts = _at_spaces(text)
             got = list(map(find, parts))
-            if None in got:
-                new.update(p for p, x in zip(parts, got, strict=True) if x is None)
-                open_.append((i, parts))
+            missing = list(compress(range(len(parts)), map(not_, got)))  # ids are never empty
+            if missing:
+                new.update(map(parts.__getitem__, missing))
+                open_.append((i, parts, got, missing))
                 out.append(b"")
             else:
                 out.append(b"".join(got))
         split = {p: _PLAIN_SPLIT.findall(p) for p in new}
         self._learn(set().union(*split.values(), *(w for _, w in whole)))
         self.pieces.update((p, b"".join(map(known, w))) for p, w in split.items())
-        for i, parts in open_:
-            out[i] = b"".join(map(find, parts))
+        for i, parts, got, missing in open_:
+            for k in missing:
+                got[k] = self.pieces[parts[k]]
+            out[i] = b"".join(got)
         for i, words in whole:
             out[i] = b"".join(map(known, words))
         return out
