@@ -28,10 +28,10 @@ SCHEMA = pa.schema([("chunk", pa.string()), ("kind", pa.int8()), ("part", pa.int
 DOCS_IN_ROW = 2000
 
 
-def blob(*arrays: tuple[np.ndarray, int], raw: bytes = b"") -> bytes:
+def blob(*arrays: tuple[np.ndarray, int], raw: bytes = b"", level: int = 3) -> bytes:
     """Arrays of unsigned integers, so many bytes of each kept, byte plane by byte plane; then raw bytes. Compressed."""
     planes = [np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for a, w in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(a) for a, _ in arrays], "<u8").tobytes() + b"".join(planes) + raw)
+    return zstandard.ZstdCompressor(level=level).compress(np.array([len(a) for a, _ in arrays], "<u8").tobytes() + b"".join(planes) + raw)
 
 
 def unblob(data: bytes, *widths: int) -> tuple[list[np.ndarray], bytes]:

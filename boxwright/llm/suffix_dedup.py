@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from boxwright.llm import chunks
 from boxwright.llm.suffix_array import suffix_array
-from boxwright.session import scratch_path
+from boxwright.session import cut, scratch_path
 
 LENGTH, K = 50, 25
 SIDE = LENGTH - K  # bytes of a string besides its anchor
@@ -133,7 +133,7 @@ def _chunk_rows(n_shards: int, chunk_bytes: int):
         def flush() -> Iterator[pa.RecordBatch]:
             chunk, lens = uuid.uuid4().hex, np.array([len(t) for t in texts], np.int64)
             joined = b"".join(texts)
-            yield chunks.rows(chunk, chunks.DOC, [0], [ids], [chunks.blob((lens, 5), raw=joined)])
+            yield chunks.rows(chunk, chunks.DOC, [0], [ids], [chunks.blob((lens, 5), raw=joined, level=9)])
             ends = np.cumsum(lens)
             at, h = anchors(np.frombuffer(joined, np.uint8), ends)
             h, shared = _shared_in_chunk(h, _doc_of(ends, at))
@@ -226,6 +226,16 @@ def _surroundings(n_shards: int):
     return run
 
 
+def _agreement(rows: np.ndarray) -> np.ndarray:
+    """For rows of bytes, the most leading bytes that each shares with another one: with a neighbour in order."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
+    placed = rows[order]
+    same = np.concatenate([[0], np.cumprod(placed[1:] == placed[:-1], axis=1, dtype=np.int8).sum(1, dtype=np.int64), [0]])
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.maximum(same[:-1], same[1:])
+    return out
+
+
 def least_ids(wide: np.ndarray, least: np.ndarray) -> np.ndarray:
     """[n, SIDE + 1] for distinct surroundings of anchors: the least id that has each of their strings of LENGTH.
 
@@ -237,26 +247,34 @@ def least_ids(wide: np.ndarray, least: np.ndarray) -> np.ndarray:
     _, group, size = np.unique(centre, return_inverse=True, return_counts=True)
     several = np.flatnonzero(size[group] > 1)
     several = several[np.argsort(group[several], kind="stable")]
+    # A string that two rows share lies in the stretch around the anchor that a
+    # row shares with others of its group; what is outside, or a shorter
+    # stretch, needs no sorting.
+    head = group[several].astype(">u4").view(np.uint8).reshape(-1, 4)
+    sides = [np.concatenate([head, side], axis=1) for side in (wide[several, :SIDE][:, ::-1], wide[several, SIDE + K : LENGTH + SIDE])]
+    left, right = (np.clip(_agreement(side) - 4, 0, wide[several, k].astype(np.int64)) for side, k in zip(sides, (-2, -1), strict=True))
+    far = left + right >= SIDE
+    several, left, right = several[far], left[far], right[far]
     while len(several):
         # Whole groups up to TEXT_SYMBOLS; a larger group is one text.
         stop = min(len(several), TEXT_SYMBOLS // (2 * SIDE + 2))
         while stop < len(several) and group[several[stop]] == group[several[stop - 1]]:
             stop += 1
         rows, several = several[:stop], several[stop:]
-        own = wide[rows]
-        left, right = own[:, -2].astype(np.int64), own[:, -1].astype(np.int64)
+        own, lefts, rights = wide[rows], left[:stop], right[:stop]
+        left, right = left[stop:], right[stop:]
         # Symbols: 0 ends a row, bytes are 1 to 256, anchors follow.
         text = np.zeros((len(rows), 2 * SIDE + 2), np.int64)
         text[:, :SIDE] = own[:, :SIDE].astype(np.int64) + 1
         text[:, SIDE] = 257 + group[rows]
         text[:, SIDE + 1 : -1] = own[:, SIDE + K : LENGTH + SIDE].astype(np.int64) + 1
         column = np.arange(text.shape[1])
-        used = (column >= SIDE - left[:, None]) & ((column <= SIDE + right[:, None]) | (column == text.shape[1] - 1))
+        used = (column >= SIDE - lefts[:, None]) & ((column <= SIDE + rights[:, None]) | (column == text.shape[1] - 1))
         place = np.flatnonzero(used.ravel())
         flat = text.ravel()[place]
         order = place[np.array(suffix_array(flat.tolist()), np.int64)]
         row, start = order // text.shape[1], order % text.shape[1]
-        whole = (start <= SIDE) & (start <= right[row])
+        whole = (start <= SIDE) & (start <= rights[row])
         row, start = row[whole], start[whole]
         strings = text.ravel()[(row * text.shape[1] + start)[:, None] + np.arange(SIDE + 1)]
         first = np.concatenate([[True], (strings[1:] != strings[:-1]).any(1)]) if len(row) else np.zeros(0, bool)
@@ -293,23 +311,29 @@ def _removed(doc_rows: pd.DataFrame, found: pd.DataFrame) -> tuple[list, np.ndar
     (steps, which), _ = chunks.unblob(own, 5, 4)
     at, which = np.cumsum(steps.astype(np.int64)), which.astype(np.int64)
     answers = found[found["part"] >= 0].sort_values("part")["payload"]
-    below = np.concatenate([np.zeros((0, SIDE + 1), np.int64), *(chunks.unblob(x, 8)[0][0].view(np.int64).reshape(-1, SIDE + 1) for x in answers)])
-    gone = np.zeros(len(joined) + 1, np.int32)
+    # Strings that cover a byte: at most LENGTH starts, each by few anchors.
+    gone = np.zeros(len(joined) + 1, np.int16)
     if len(at):
         doc = _doc_of(ends, at)
         number = np.array([NULL_ID if i is None else i for i in ids], np.int64)[doc]
-        least = np.full(len(below), NULL_ID, np.int64)
-        np.minimum.at(least, which, number)
         begins = np.concatenate([[0], ends[:-1]])
-        for i in range(0, len(at), 1 << 17):
-            s = slice(i, i + (1 << 17))
-            start = at[s, None] - SIDE + np.arange(SIDE + 1)
-            inside = (start >= begins[doc[s]][:, None]) & (start + LENGTH <= ends[doc[s]][:, None])
-            earlier = inside & (least[which[s]][:, None] - below[which[s]] < number[s][:, None])
-            begin = start[earlier]
-            np.add.at(gone, begin, 1)
-            np.add.at(gone, begin + LENGTH, -1)
-    return ids, ends, joined, np.cumsum(gone[:-1]) > 0
+        least = np.full(int(which.max()) + 1, NULL_ID, np.int64)
+        np.minimum.at(least, which, number)
+        order, base = np.argsort(which, kind="stable"), 0
+        placed = which[order]
+        for payload in answers:
+            below = chunks.unblob(payload, 8)[0][0].view(np.int64).reshape(-1, SIDE + 1)
+            a, b = np.searchsorted(placed, [base, base + len(below)])
+            for i in range(a, b, 1 << 14):
+                s = order[i : min(b, i + (1 << 14))]
+                start = at[s, None] - SIDE + np.arange(SIDE + 1)
+                inside = (start >= begins[doc[s]][:, None]) & (start + LENGTH <= ends[doc[s]][:, None])
+                begin = start[inside & (least[which[s]][:, None] - below[which[s] - base] < number[s][:, None])]
+                np.add.at(gone, begin, 1)
+                np.add.at(gone, begin + LENGTH, -1)
+            base += len(below)
+    np.cumsum(gone, out=gone)
+    return ids, ends, joined, gone[:-1] > 0
 
 
 def _digest(doc_rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -345,7 +369,8 @@ def _run(docs: DataFrame, finish, schema: str, chunk_bytes: int) -> DataFrame:
     placed.write.partitionBy("kind").option("compression", "none").parquet(path)
     first.drop_asked()
     second = chunks.Coded(spark, path)
-    resolved = second.asked().groupBy("part").applyInPandas(_resolve, "chunk string, part int, payload binary")
+    resolved = cut(second.asked().groupBy("part").applyInPandas(_resolve, "chunk string, part int, payload binary"), "repeat-least")
+    second.drop_asked()
     found = second.own().union(resolved)
     return first.documents().groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(finish, schema)
 
