@@ -5,9 +5,10 @@ Chunks of documents send their distinct words out once, to the shard that owns
 each; there every distinct word of the corpus is encoded once; the ids go back
 to the positions of the words in their chunk, and each document's ids are
 joined from them. The table is read twice, for its words and for the coded
-documents, which costs less disk than keeping both; chunks are named by the
-hash of their rows, and a table that reads otherwise the second time is an error. The table is read twice, for the words and for the coded
-documents, which costs less than keeping either; it must be a stored one. Decoding looks every id up in the id-to-piece table, which the
+documents, which costs less disk than keeping both, so it must be a stored one.
+A chunk is named by its partition, its place there and the hash of its rows: equal
+rows in two chunks stay apart, and a table that reads otherwise the second time
+is an error. Decoding looks every id up in the id-to-piece table, which the
 vocabulary bounds (50,257 rows), and joins the pieces.
 
 Null and empty texts have no ids. Null ids and repeated rows stay as they are,
@@ -24,6 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from boxwright.llm import chunks
@@ -46,7 +48,7 @@ def _in_order(words: Iterable[str], n_shards: int) -> tuple[list[bytes], list[in
 def _chunk_pass(spec: str, n_shards: int, chunk_chars: int, asking: bool):
     """Documents -> chunks, either what they ask of the shards or their coded documents.
 
-    A chunk's name is the hash of its rows: both passes must see the same chunks.
+    A chunk's name is its partition, its number there and the hash of its rows: both passes must see the same chunks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,20 +56,21 @@ def _chunk_pass(spec: str, n_shards: int, chunk_chars: int, asking: bool):
         code: dict[str, int] = {}
         ids: list = []
         coded: list[np.ndarray] = []
-        name = hashlib.blake2b(digest_size=12)
+        partition, n_chunk, name = TaskContext.get().partitionId(), 0, hashlib.blake2b(digest_size=12)
 
         def flush() -> Iterator[pa.RecordBatch]:
+            chunk = f"{partition}-{n_chunk}-{name.hexdigest()}"
             words, ends = _in_order(code, n_shards)
             if asking:
                 for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
                     some = words[a:b]
-                    yield chunks.rows(name.hexdigest(), chunks.ASK, [k], [None], [chunks.blob((np.array([len(w) for w in some], np.int64), 3), raw=b"".join(some))])
+                    yield chunks.rows(chunk, chunks.ASK, [k], [None], [chunks.blob((np.array([len(w) for w in some], np.int64), 3), raw=b"".join(some))])
                 return
             place = {w: i for i, w in enumerate(words)}
             rank = np.fromiter((place[w.encode()] for w in code), np.uint32, len(code))
             for i in range(0, len(ids), chunks.DOCS_IN_ROW):
                 some = coded[i : i + chunks.DOCS_IN_ROW]
-                yield chunks.rows(name.hexdigest(), chunks.DOC, [i // chunks.DOCS_IN_ROW], [ids[i : i + chunks.DOCS_IN_ROW]], [chunks.blob((np.array([len(c) for c in some]), 4), (rank[np.concatenate(some)], 4))])
+                yield chunks.rows(chunk, chunks.DOC, [i // chunks.DOCS_IN_ROW], [ids[i : i + chunks.DOCS_IN_ROW]], [chunks.blob((np.array([len(c) for c in some]), 4), (rank[np.concatenate(some)], 4))])
 
         size = 0
         for batch in batches:
@@ -84,7 +87,7 @@ def _chunk_pass(spec: str, n_shards: int, chunk_chars: int, asking: bool):
                 size += len(text or "")
                 if size >= chunk_chars:
                     yield from flush()
-                    code, ids, coded, size, name = {}, [], [], 0, hashlib.blake2b(digest_size=12)
+                    code, ids, coded, size, n_chunk, name = {}, [], [], 0, n_chunk + 1, hashlib.blake2b(digest_size=12)
         if ids:
             yield from flush()
 
@@ -136,6 +139,8 @@ def encode(docs: DataFrame, spec: str, finish: Callable[[list, list[list[bytes]]
     def join(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or found.empty:
             raise RuntimeError("documents were read in another order the second time; store them first")
+        if sorted(found["part"]) != list(range(n)) or rows["part"].duplicated().any():
+            raise RuntimeError("a chunk has a part twice or lacks one")
         of: list[bytes] = []
         for payload in found.sort_values("part")["payload"]:
             (lens, flat), _ = chunks.unblob(payload, 3, 4)

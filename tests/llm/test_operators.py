@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,18 @@ def test_bpe_equals_the_library(docs, rows, spec, empty):
     assert as_set(again) == sorted(((r[0], r[1] or "") for r in rows), key=repr)
 
 
+def test_bpe_keeps_equal_chunks_apart(spark, spec):
+    from tokenizers import Tokenizer
+
+    tok, text = Tokenizer.from_str(spec), "Equal rows, in two partitions or one after the other: each has its own right ids."
+    one = spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1)
+    ids = tok.encode(text, add_special_tokens=False).ids
+    assert [r["ids"] for r in bpe.token_ids(one.union(one), spec).collect()] == [ids] * 2
+    finish = lambda doc_ids, of_words, pieces: pd.DataFrame({"ids": [np.frombuffer(b"".join(w), "<i4") for w in of_words]})
+    row_by_row = bpe.encode(spark.createDataFrame([(1, text)] * 3, "doc_id bigint, text string").coalesce(1), spec, finish, "ids array<int>", chunk_chars=10)
+    assert [r["ids"] for r in row_by_row.collect()] == [ids] * 3
+
+
 def test_token_files(spark, docs, rows, spec, empty):
     from tokenizers import Tokenizer
 
