@@ -100,20 +100,23 @@ class EliasFano:
         return begin, found
 
 
-#: Counts up to here have a code of their own; above, codes grow by about 5 %.
-EXACT, GROWTH, NONE = 128, 1.05, 255
+#: Counts up to here have a code of their own; above, codes grow by about 5 %. Codes go past
+#: every 64-bit count; the one code that stands for none is left out of them.
+EXACT, GROWTH, NONE, CODES = 128, 1.05, 255, 1024
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
-    """One byte for each count from 1 on."""
+    """A 16-bit code for each count from 1 on. Only counts over 62,000 need the upper byte."""
     c = np.maximum(counts.astype(np.float64), 1)
     over = EXACT - 1 + np.rint(np.log(np.maximum(c / EXACT, 1)) / np.log(GROWTH))
-    return np.where(c <= EXACT, c - 1, np.minimum(over, NONE - 1)).astype(np.uint8)
+    code = np.where(c <= EXACT, c - 1, over)
+    return (code + (code >= NONE)).astype(np.uint16)
 
 
 def dequantised() -> np.ndarray:
     """Count for each code; none is 0."""
-    code = np.arange(256, dtype=np.float64)
+    code = np.arange(CODES, dtype=np.float64)
+    code -= code > NONE
     out = np.where(code < EXACT, code + 1, EXACT * GROWTH ** (code - EXACT + 1))
     out[NONE] = 0
     return out
@@ -125,7 +128,7 @@ class Trie:
     Level 1 has the contexts (40-bit hashes) and, as a monotone sequence, where
     each one's followers begin. Level 2 has the followers (32-bit hashes) of all
     contexts in one sequence, each counted from its context's place on, which
-    makes it monotone; with each goes a byte for its discounted probability.
+    makes it monotone; with each goes a code for its count.
     """
 
     CONTEXT_BITS, FOLLOWER_BITS = 40, 32
@@ -143,11 +146,11 @@ class Trie:
     def find(self, context: np.ndarray, of: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Followers in total of each context; the code of each follower, ``of`` being its context's index."""
         if not self.contexts.n:
-            return np.zeros(len(context), np.int64), np.full(len(of), NONE, np.uint8)
+            return np.zeros(len(context), np.int64), np.full(len(of), NONE, np.uint16)
         i, known = self.contexts.successor(context)
         i = np.where(known, i, 0)
         total = np.where(known, self.pointers[i + 1] - self.pointers[i], 0)
-        codes = np.full(len(of), NONE, np.uint8)
+        codes = np.full(len(of), NONE, np.uint16)
         ask = np.flatnonzero(known[of])
         at, found = self.followers.successor(i[of[ask]].astype(np.uint64) << np.uint64(self.FOLLOWER_BITS) | follower[ask])
         codes[ask[found]] = self.codes[at[found]]

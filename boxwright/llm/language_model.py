@@ -92,7 +92,7 @@ def _follower(hashes: np.ndarray) -> np.ndarray:
 #: Bytes kept of: word hash, training count; context hash, followers of it; follower, training count.
 ASKED = (8, 4, 5, 4, 4, 4)
 #: Of an answer: training count of each word; followers in total of each context; code of each bigram.
-ANSWERED = (6, 5, 1)
+ANSWERED = (6, 5, 2)
 
 
 def _ask(n_shards: int):
@@ -138,7 +138,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         mine = n_word[at[begin : begin + len(a[0])]]
         begin += len(a[0])
         totals, codes = trie.find(a[2], np.repeat(np.arange(len(a[2])), a[3].astype(np.int64)), a[4])
-        out.append(chunks.blob((mine, 6), (totals, 5), (codes, 1)))
+        out.append(chunks.blob((mine, 6), (totals, 5), (codes, 2)))
     part = rows["part"].iloc[0]
     total = pd.DataFrame({"chunk": [None], "part": [part], "payload": [None], "tokens": [int(n_word.sum())], "words": [int((n_word > 0).sum())]})
     return pd.concat([total, pd.DataFrame({"chunk": rows["chunk"], "part": part, "payload": out, "tokens": 0, "words": 0})])

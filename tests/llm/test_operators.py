@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from boxwright.llm import bpe, decontaminate, elias_fano, language_model, pii, quality, queries, secrets, simhash, suffix_array, suffix_dedup, token_counts, token_files
+from boxwright.llm import bpe, chunks, decontaminate, elias_fano, language_model, pii, quality, queries, secrets, simhash, suffix_array, suffix_dedup, token_counts, token_files
 from boxwright.session import scratch_path
 from tests.llm import brute
 
@@ -200,6 +200,22 @@ def test_language_model(docs, rows, empty):
     assert language_model.scores(empty).count() == 0
 
 
+def test_language_model_counts_have_no_ceiling():
+    counts = np.array([1, 2, 128, 129, 5000, 62_842, 70_000, 20_000_000, 30_000_000_000, (1 << 63) + 1], np.uint64)
+    back = elias_fano.dequantised()[elias_fano.quantised(counts)]
+    assert (np.abs(back / counts.astype(np.float64) - 1) < 0.026).all() and (back[:3] == [1, 2, 128]).all()
+    codes = elias_fano.quantised(np.unique(np.geomspace(1, 1e19, 20_000).astype(np.uint64)))
+    assert (np.diff(codes.astype(int)) >= 0).all() and elias_fano.NONE not in codes
+    # A shard that two chunks ask about one context with two followers, 20 million of one in all.
+    asked = chunks.blob((np.array([5, 6]), 8), (np.array([12_000_000, 10_000_000]), 4), (np.array([9]), 5), (np.array([3]), 4), (np.array([1, 2, 4]), 4), (np.array([10_000_000, 1, 0]), 4))
+    answers = language_model._answer(pd.DataFrame({"chunk": ["a", "b"], "part": [0, 0], "payload": [asked, asked]}))
+    for payload in answers["payload"][1:]:
+        (words_, followers, code), _ = chunks.unblob(payload, *language_model.ANSWERED)
+        n = elias_fano.dequantised()[code]
+        assert words_.tolist() == [24_000_000, 20_000_000] and followers.tolist() == [2]
+        assert abs(n[0] / 20_000_000 - 1) < 0.026 and n[1:].tolist() == [2, 0]
+
+
 def test_language_model_predicts_held_out_text(spark):
     docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
     r = language_model.scores(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
