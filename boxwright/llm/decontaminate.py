@@ -7,10 +7,12 @@ the benchmark's vocabulary ends every run, so only runs inside it are hashed.
 Hits are verified word by word, then spans of the text are marked.
 
 A benchmark within the bound takes one pass without a shuffle. A larger one is
-cut into sets by item, and documents pass once by each, written in between.
+cut into sets by row, and documents pass once by each, written in between.
 
 Null and empty texts have no words and no hits. Items without words match
-nothing. Repeated rows, null ids and extra columns stay as they are.
+nothing. Rows with a null item_id match like others: together they are one item
+without a name, which counts and marks spans but isn't in the joined list of
+items. Repeated rows, null ids and extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -45,9 +47,9 @@ def words_of(text: str | None) -> list[bytes]:
 class Grams:
     """Windows of some benchmark items, found in runs of word numbers."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.number: dict[bytes, int] = {}
-        self.items: list[str] = []
+        self.items: list[str | None] = []
         of: dict[int, dict[tuple[int, ...], set[int]]] = {}
         for item, text in items:
             words = words_of(text)
@@ -73,7 +75,7 @@ class Grams:
             out ^= out >> np.uint64(29)
         return out
 
-    def find(self, docs: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    def find(self, docs: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str | None]]]:
         """For each document: hit spans of words (begin, end), merged, and the items that occur."""
         get = self.number.get
         lens = np.array([len(d) for d in docs], np.int64)
@@ -82,7 +84,7 @@ class Grams:
         for d, at in zip(docs, begins.tolist(), strict=True):
             ids[at : at + len(d)] = np.fromiter((get(w, 0) for w in d), np.uint64, len(d))
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+        found: dict[int, tuple[list[tuple[int, int]], set[str | None]]] = {}
         for n, (hashes, owners, rows) in self.sizes.items():
             if len(ids) < n:
                 continue
@@ -122,14 +124,14 @@ FOUND = T.StructType(
 )
 
 
-def _sets(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in sets of at most ``most`` words, or one item if it alone has more; read set by set."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text is not null and item is not null")
+def _sets(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """Rows in sets of about ``most`` words, or one row if it alone has more; read set by set."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text is not null")
     words = F.size(F.split("text", " ")).cast("long")  # at least a rough count; a set's size needn't be exact
     total = rows.agg(F.sum(F.greatest(words, F.octet_length("text") / 4))).first()[0] or 0
     n = int(total // most) + 1
     for k in range(n):
-        yield [(r["item"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).toLocalIterator()]
+        yield [(r["item"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = SET_WORDS) -> DataFrame:
@@ -151,7 +153,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most:
                     for w, before, (spans, names) in zip(words, b.column(at).to_pylist(), grams.value.find(words), strict=True):
                         if before:
                             spans, names = merged(spans + list(zip(before["begins"], before["ends"], strict=True))), names | set(before["items"])
-                        new.append({"n_words": len(w), "begins": [a for a, _ in spans], "ends": [e for _, e in spans], "items": sorted(names)})
+                        new.append({"n_words": len(w), "begins": [a for a, _ in spans], "ends": [e for _, e in spans], "items": sorted(names, key=lambda x: (x is None, x or ""))})
                     cols = list(b.columns)
                     cols[at] = pa.array(new, b.schema.field(at).type)
                     yield pa.RecordBatch.from_arrays(cols, schema=b.schema)

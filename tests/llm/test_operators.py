@@ -111,6 +111,25 @@ def test_decontaminate_removes_the_passage_and_keeps_the_rest(spark):
     assert got == {1: "Before it, ! And after it all the rest stays as it was, word by word, here.", 3: "clean text"}
 
 
+def test_benchmark_rows_with_a_null_id_match_as_the_sql_has_it(spark):
+    import duckdb
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(12)) for k in "abc")
+    texts, items = [(1, f"x {a} y"), (2, f"{b} and {a}"), (3, f"{c} z"), (4, "clean"), (None, None)], [(None, a), (7, b), (None, b), (None, c), (None, None)]
+    docs, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    con = duckdb.connect()
+    for name, key, table in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", table)
+    expected = sorted((tuple(r) for r in con.execute(queries.DECONTAMINATE_SQL).fetchall()), key=repr)
+    assert as_set(decontaminate.digests(docs, bench)) == expected
+    assert [r[2] for r in expected if r[0] in (1, 2, 3)] == [12, 24, 12]
+    in_sets = decontaminate.find_hits(docs, bench, most=5).select("doc_id", F.size("__found.items").cast("long").alias("n"), F.array_join("__found.items", ",").alias("items"))
+    assert sorted((r["doc_id"], r["n"], r["items"]) for r in in_sets.filter("doc_id < 4").collect()) == [(1, 1, ""), (2, 2, "7"), (3, 1, "")]
+    kept = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, most_hit=0.9).collect()}
+    assert kept == {1: "x  y", 4: "clean", None: None}
+
+
 def test_bpe_equals_the_library(docs, rows, spec, empty):
     from tokenizers import Tokenizer
 
