@@ -11,6 +11,14 @@ The permutation is a Feistel network over mixed radices: in each round the
 places of one parity are shifted by a keyed hash of those of the other.
 
 DataFrame functions only, row by row: no shuffle, any number of documents.
+Cards are searched in whole runs of digits, as an expiry, a CVV or another number
+may stand beside one: each stretch of 13 to 19 digits between separators, longest
+and leftmost first, is permuted if its check digit is right then. No step changes
+whether its own stretch passes, so the same steps in reverse order restore the
+run. Where stretches that pass overlap (about one in ten does by chance), a card
+is permuted more than once, and may then be no valid card or have another
+pseudonym than elsewhere.
+
 Null texts stay null. Texts without such values, null ids, repeated rows and
 extra columns stay as they are. What fails its check stays too.
 """
@@ -32,8 +40,12 @@ ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9.-])(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, DATE, ADDRESS, SOCIAL, IBAN, PHONE, CARD))
+CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: Digits and separators that cards are searched in, between the other values.
+RUN = r"(?<![0-9A-Za-z])[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z])"
+ANY = "|".join((EMAIL, DATE, ADDRESS, SOCIAL, IBAN, PHONE))
+#: Characters of the shortest and longest card.
+CARD_CHARS = (13, 37)
 
 
 def _permuted(values: Column, radices: Column, key: Column, tweak: str, back: bool = False) -> Column:
@@ -127,6 +139,41 @@ def _card(m: Column, key: Column, back: bool) -> Column:
     return F.when(_luhn(_digits(m)) == 0, let(body, check)).otherwise(m)
 
 
+def _cards(run: Column, key: Column, back: bool) -> Column:
+    """Struct (text, n) of a run of digits and separators: its cards permuted, and how many."""
+
+    def of(cs: Column) -> Column:
+        digit = lambda i: F.coalesce(F.get(cs, i).rlike("[0-9]"), F.lit(False))
+        starts = F.filter(F.sequence(F.lit(0), F.size(cs) - 1), lambda i: digit(i) & ((i == 0) | ~digit(i - 1)))
+        lens = F.sequence(F.lit(CARD_CHARS[0]), F.lit(CARD_CHARS[1]))
+        fits = lambda i, n: (i + n <= F.size(cs)) & ~digit(i + n) & F.array_join(F.slice(cs, i + 1, n), "").rlike(f"^{CARD}$")
+        n_digits = lambda i, n: F.size(F.filter(F.slice(cs, i + 1, n), lambda c: c.rlike("[0-9]")))
+        at = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(lens, lambda n: fits(i, n)), lambda n: F.struct((-n_digits(i, n)).alias("less"), i.alias("i"), n.alias("n")))))
+        order = F.sort_array(at, asc=not back)
+
+        def step(a: Column, c: Column) -> Column:
+            t, old = a["text"], a["text"].substr(c["i"] + 1, c["n"])
+            put = lambda new: F.struct(F.concat(t.substr(F.lit(1), c["i"]), new, t.substr(c["i"] + c["n"] + 1, F.length(t))).alias("text"), (a["n"] + F.when(new != old, 1).otherwise(0)).alias("n"))
+            return F.when(_luhn(_digits(old)) == 0, let(_card(old, key, back), put)).otherwise(a)
+
+        return F.aggregate(order, F.struct(run.alias("text"), F.lit(0).alias("n")), step)
+
+    return let(_chars(run), of)
+
+
+def _with_cards(part: Column, key: Column, back: bool) -> Column:
+    """Struct (text, n) of text between other values."""
+
+    def join(found: Column) -> Column:
+        put = lambda new: F.struct(
+            F.array_join(F.transform(F.split(part, RUN, -1), lambda p, i: F.concat(p, F.coalesce(F.get(new, i)["text"], F.lit("")))), "").alias("text"),
+            F.aggregate(new, F.lit(0), lambda n, x: n + x["n"]).alias("n"),
+        )
+        return let(F.transform(found, lambda r: _cards(r, key, back)), put)
+
+    return F.when(part.rlike(RUN), let(F.regexp_extract_all(part, F.lit(RUN), F.lit(0)), join)).otherwise(F.struct(part.alias("text"), F.lit(0).alias("n")))
+
+
 def _iban(m: Column, key: Column, back: bool) -> Column:
     """The account part is permuted, the country stays, the check digits follow."""
     country = F.substring(m, 1, 2)
@@ -152,7 +199,7 @@ def pseudonym(m: Column, key: Column, back: bool = False) -> Column:
         .when(whole(SOCIAL), _permuted_text(m, key, "social", back))
         .when(m.rlike("^[A-Z]{2}"), _iban(m, key, back))
         .when(whole(PHONE), _phone(m, key, back))
-        .otherwise(_card(m, key, back))
+        .otherwise(m)
     )
 
 
@@ -161,13 +208,13 @@ def replaced(text: Column, key: Column, back: bool = False) -> Column:
 
     def join(parts: Column) -> Column:
         def with_found(found: Column) -> Column:
-            new = F.transform(found, lambda m: pseudonym(m, key, back))
-            put = lambda n: F.struct(F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(n, i), F.lit("")))), "").alias("text"), F.size(F.filter(F.arrays_zip(n.alias("n"), found.alias("m")), lambda x: x["n"] != x["m"])).cast("long").alias("n"))
-            return let(new, put)
+            changed = lambda n: F.size(F.filter(F.arrays_zip(n.alias("n"), found.alias("m")), lambda x: x["n"] != x["m"]))
+            put = lambda n, p: F.struct(F.array_join(F.transform(p, lambda x, i: F.concat(x["text"], F.coalesce(F.get(n, i), F.lit("")))), "").alias("text"), F.aggregate(p, changed(n), lambda k, x: k + x["n"]).cast("long").alias("n"))
+            return let(F.transform(found, lambda m: pseudonym(m, key, back)), lambda n: let(F.transform(parts, lambda p: _with_cards(p, key, back)), lambda p: put(n, p)))
 
         return let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), with_found)
 
-    some = text.rlike("[0-9@]") & text.rlike(ANY)
+    some = text.rlike("[0-9@]") & (text.rlike(ANY) | text.rlike(RUN))
     return F.when(some, let(F.split(text, ANY, -1), join)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
 
 

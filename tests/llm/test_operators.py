@@ -206,6 +206,20 @@ def test_pii_keeps_formats_links_and_can_be_undone(spark):
     assert pii.pseudonymise(df, "other").filter("doc_id = 1").first()["text"] != got[1][0]
 
 
+def test_pii_finds_cards_beside_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/27", "4111111111111111 123", "item 7 4111111111111111", f"order 123456 {card} 2027 999", f"{card} 5500 0000 0000 0004", f"{card} 2027-01-02", f"{card} 212-555-0199", "no card: 1234 5678 9012 3456"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = pii.pseudonymise(df, "k", count="n_values").cache()
+    got = {r["doc_id"]: (r["text"], r["n_values"]) for r in out.collect()}
+    for i, text in enumerate(texts[:-1]):
+        new, n = got[i]
+        assert n >= 1 and len(new) == len(text)
+        assert not any(c in new for c in (card, card.replace(" ", ""), "5500 0000 0000 0004", "2027-01-02", "212-555-0199"))
+    assert got[7] == (texts[7], 0)
+    assert as_set(pii.pseudonymise(out.drop("n_values"), "k", back=True)) == as_set(df)
+
+
 def test_language_model(docs, rows, empty):
     expected = {e[0]: e for e in brute.language_model([(r[0], r[1]) for r in rows])}
     got = language_model.scores(docs, chunk_chars=3000, n_shards=5).collect()
