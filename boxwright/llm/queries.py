@@ -97,8 +97,9 @@ repeats AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnes
 lines AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, {_PLAIN})) AS words, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm
  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_PLAIN})),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY 1),
-frequent AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT text) AS texts FROM lines GROUP BY 1, 2) JOIN hosts USING (source) WHERE texts > {quality.MIN_DOCS} AND texts > docs * {quality.MAX_SHARE}),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS host_docs FROM d GROUP BY 1),
+frequent AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS docs FROM lines GROUP BY 1, 2) JOIN hosts USING (source)
+ WHERE docs > {quality.MIN_DOCS} AND (docs > host_docs * {quality.MAX_SHARE} OR docs > {quality.MAX_DOCS})),
 gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS n FROM lines JOIN frequent USING (source, norm) GROUP BY 1),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
  coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN gone USING (doc_id))

@@ -60,20 +60,23 @@ def quality(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit), failed
 
 
-def removed_lines(rows, min_docs, max_share):
-    """kept by index for (source, text): the line frequency rule alone."""
+def removed_lines(rows, min_docs, max_share, max_docs):
+    """(kept, text without frequent lines, words removed) by index for (doc_id, source, text): the line frequency rule alone."""
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", x.lower())).strip()
-    hosts = collections.Counter(s for s, _ in rows)
-    having = collections.defaultdict(set)
-    for s, t in rows:
+    hosts, having = collections.defaultdict(set), collections.defaultdict(set)
+    for d, s, t in rows:
+        hosts[s].add((d, t))
         for x in (t or "").split("\n"):
             if SPACE_WORD.search(x):
-                having[s, norm(x)].add(t)
+                having[s, norm(x)].add((d, t))
+    frequent = {k for k, docs in having.items() if len(docs) > min_docs and (len(docs) > max_share * len(hosts[k[0]]) or len(docs) > max_docs)}
     out = []
-    for s, t in rows:
-        n = len(SPACE_WORD.findall(t or ""))
-        gone = sum(len(SPACE_WORD.findall(x)) for x in (t or "").split("\n") if SPACE_WORD.search(x) and min_docs < len(having[s, norm(x)]) and len(having[s, norm(x)]) > max_share * hosts[s])
-        out.append(not (gone and (n - gone < 10 or n - gone < 0.3 * n)))
+    for _, s, t in rows:
+        lines = (t or "").split("\n")
+        gone = [x for x in lines if SPACE_WORD.search(x) and (s, norm(x)) in frequent]
+        n, lost = len(SPACE_WORD.findall(t or "")), sum(len(SPACE_WORD.findall(x)) for x in gone)
+        left = "\n".join(x for x in lines if not SPACE_WORD.search(x) or (s, norm(x)) not in frequent) if gone else t
+        out.append((not (gone and (n - lost < 10 or n - lost < 0.3 * n)), left, lost))
     return out
 
 

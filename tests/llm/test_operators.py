@@ -81,16 +81,52 @@ def test_quality_measures(docs, rows, empty):
     assert quality.digests(empty).count() == 0
 
 
-def test_frequent_lines_and_depleted_documents(spark):
-    r = random.Random(2)
+def line_cases(r):
     line = "this line stands in very many documents of the host 7"
-    data = [("h", f"{line}\n{words(r, 30)}") for _ in range(30)] + [("h", f"{line}\n{line}\nonly three words")] * 3 + [("h", words(r, 40)) for _ in range(10)] + [("k", f"{line}\nonly three words here now")] + [(None, line)]
-    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(data)], "doc_id bigint, text string, source string")
-    got = [r["kept"] for r in quality.judged(df, ["doc_id"], 5, 0.1).select("doc_id", "__q.kept").orderBy("doc_id").collect()]
-    base = [not brute.quality(t)[-1] for _, t in data]
-    assert got == [a and b for a, b in zip(base, brute.removed_lines(data, 5, 0.1), strict=True)]
-    assert got[:30] == [True] * 30 and not any(got[30:33])
-    assert quality.keep_good(df).columns == df.columns
+    data = [("h", f"{line}\n{words(r, 30)}") for _ in range(30)] + [("h", f"{line}\n\n{line}\nonly three words")] * 3 + [("h", words(r, 40)) for _ in range(10)] + [("k", f"{line}\nonly three words here now")] + [(None, line)]
+    data += [(None, f"  THIS\tline stands in very  many documents of the host {i}\n{words(r, 30)}\n \nÄnd \x0b more") for i in range(8)]
+    return [(i, s, t) for i, (s, t) in enumerate(data)] + [(None, "h", f"{line}\n{words(r, 20)}"), (None, None, None), (99, "h", "")]
+
+
+@pytest.mark.parametrize("limits", [(5, 0.1, 1000), (20, 0.9, 31), (0, 0.0, 5), (100, 0.1, 1000)])
+def test_frequent_lines_go_and_depleted_documents(spark, limits):
+    data = line_cases(random.Random(2))
+    data += [data[0], data[3], data[44]]  # rows that stand twice
+    rows = [(d, t, s, len(t or ""), "x") for d, s, t in data]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int, line string").repartition(3)
+    lines = brute.removed_lines(data, *limits)
+    good = [ok and not brute.quality(t)[-1] for (_, _, t), (ok, _, _) in zip(data, lines, strict=True)]
+    got = quality.judged(df, *limits).select("doc_id", "n_removed_words", "kept")
+    assert as_set(got) == sorted(((d, n, g) for (d, _, _), (_, _, n), g in zip(data, lines, good, strict=True)), key=repr)
+    kept = quality.keep_good(df, *limits)
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    assert as_set(kept) == sorted(((d, left, s, len(left), "x") for (d, s, _), (_, left, _), g in zip(data, lines, good, strict=True) if g), key=repr)
+    if limits[0] == 5:
+        assert good[:30] == [True] * 30 and not any(good[30:33]) and not any("very many" in r["text"] for r in kept.filter("source = 'h'").collect())
+
+
+def test_copies_count_as_documents(spark):
+    r, banner = random.Random(8), "our banner of the site"
+    copy = f"{banner}\n{words(r, 3)}\n" + words(r, 12)
+    data = [(i, "h", copy) for i in range(60)] + [(100 + i, "h", words(r, 40)) for i in range(40)]
+    df = spark.createDataFrame([(d, t, s) for d, s, t in data], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: (r["n_removed_words"], r["kept"]) for r in quality.judged(df).collect()}
+    assert all(got[i] == (20, False) for i in range(60)) and all(got[i] == (0, True) for i in range(100, 140))
+    assert quality.keep_good(df.limit(0)).count() == 0 and quality.judged(df.limit(0)).count() == 0
+
+
+def test_quality_sql(spark, tmp_path):
+    import duckdb
+
+    data = [(d, t, s) for d, s, t in line_cases(random.Random(4)) if d is not None and s is not None]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", data)
+    found = con.execute(queries.QUALITY_SQL).df().sort_values("doc_id").reset_index(drop=True)
+    got = quality.digests(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert found["n_removed_words"].sum() > 0
+    pd.testing.assert_frame_equal(got[sorted(got)], found[sorted(found)], check_dtype=False)
 
 
 def test_decontamination(spark, docs, rows, empty):

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from boxwright.llm import queries
+from boxwright.llm import quality, queries
 from boxwright.session import cut
 from tests.llm import brute
 
@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 def test_stages_against_brute_force(spark):
     docs = queries.table(spark, SF, "documents")
     columns, rows = docs.columns, [tuple(r) for r in docs.collect()]
-    good = [r for r, ok in zip(rows, brute.removed_lines([(r[3], r[1]) for r in rows], 20, 0.1), strict=True) if ok and not brute.quality(r[1])[-1]]
+    lines = brute.removed_lines([(r[0], r[3], r[1]) for r in rows], quality.MIN_DOCS, quality.MAX_SHARE, quality.MAX_DOCS)
+    good = [(r[0], left) for r, (ok, left, _) in zip(rows, lines, strict=True) if ok and not brute.quality(r[1])[-1]]
     one = {c for _, _, c in brute.components([(r[0], r[1]) for r in good])}
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
@@ -19,7 +20,7 @@ def test_stages_against_brute_force(spark):
             assert docs.columns == columns
         ids = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
         if k == 0:
-            assert ids == sorted(r[0] for r in good)
+            assert sorted(tuple(r) for r in docs.select("doc_id", "text").collect()) == sorted(good)
         if k == 1:
             assert ids == sorted(one)
             texts = [tuple(r) for r in docs.select("doc_id", "text").collect()]
