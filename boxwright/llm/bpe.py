@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from boxwright.llm import chunks
+from boxwright.llm.memory import give_back
 from boxwright.llm.tokens import encoder, pieces_by_id
 
 CHUNK_CHARS = 12_000_000
@@ -90,6 +91,8 @@ def _chunk_pass(spec: str, n_shards: int, chunk_chars: int, asking: bool):
                     code, ids, coded, size, n_chunk, name = {}, [], [], 0, n_chunk + 1, hashlib.blake2b(digest_size=12)
         if ids:
             yield from flush()
+        code, ids, coded = {}, [], []
+        give_back()
 
     return run
 
@@ -117,6 +120,8 @@ def _answer(spec: str):
             got = [ids[w] for w in some]
             flat = np.frombuffer(b"".join(got), "<u4")
             out.append(chunks.blob((np.array([len(x) // 4 for x in got], np.int64), 3), (flat, 4)))
+        del words, ids, of_chunk, got, flat
+        give_back()
         return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "payload": out})
 
     return run
@@ -149,6 +154,8 @@ def encode(docs: DataFrame, spec: str, finish: Callable[[list, list[list[bytes]]
         out = []
         for i in range(0, len(ids), 500):
             out.append(finish(ids[i : i + 500], [list(map(of.__getitem__, c.tolist())) for c in codes[i : i + 500]], pieces.value))
+        del of, ids, codes
+        give_back()
         return pd.concat(out)
 
     return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(join, schema)

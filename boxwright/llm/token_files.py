@@ -7,8 +7,9 @@ dictionary (ids repeat; the vocabulary bounds it). Row groups and pages are of
 set sizes and pages carry an index, so that a reader of lengths never touches
 ids, and a reader of some documents touches only their pages.
 
-Null texts are empty, null ids come first, repeated ids stay side by side,
-other columns are not written.
+Null texts are empty. Null ids come first, rows of one id stand side by side in
+the order of their texts' hashes (equal rows in any), other columns are not
+written. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxwright.llm.memory import give_back
 from boxwright.llm.prefix import offsets
-from boxwright.llm.tokens import encoder
+from boxwright.llm.tokens import encoder, slices
 
 ROW = "part int, doc_id bigint, local_start bigint, n_tokens bigint, tokens array<int>"
 #: Bytes of a row group and of a page.
 GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
+#: Rows of a page at most.
+PAGE_ROWS = 1000
 
 
-def write_tokens(docs: DataFrame, path: str, spec: str, end_id: int, group_bytes: int = GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
+def write_tokens(docs: DataFrame, path: str, spec: str, end_id: int, group_bytes: int = GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
     """Encode whole texts and write them to ``path`` in ascending order of doc_id.
 
     The texts are dealt out by ranges of doc_id before they are encoded: the
@@ -39,24 +43,27 @@ def write_tokens(docs: DataFrame, path: str, spec: str, end_id: int, group_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(spec), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
-                ids = enc.encode(some.column("text").to_pylist())
-                n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
+            for some in slices(batch, "text"):
+                ids, lens = enc.encode(some.column("text"))
+                n = lens + 1
                 ends = np.cumsum(n)
-                flat = pa.array(np.frombuffer(end.join([*ids, b""]), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat)
+                flat = np.full(int(ends[-1]), end_id, np.int32)
+                inner = np.ones(len(flat), bool)
+                inner[ends - 1] = False
+                flat[inner] = ids
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), some.column("doc_id"), pa.array(start + ends - n), pa.array(n), lists], names=["part", "doc_id", "local_start", "n_tokens", "tokens"])
                 start += int(ends[-1])
+        give_back()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", "_tie"]
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("_tie")
     options = {
         "compression": "zstd",
         "parquet.block.size": group_bytes,
         "parquet.page.size": page_bytes,
-        "parquet.page.row.count.limit": 1000,
+        "parquet.page.row.count.limit": page_rows,
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": "false",
         "parquet.enable.dictionary#tokens.list.element": "true",
@@ -73,6 +80,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ROW).parquet(path)
 
 
+def tokens_of(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """doc_id, n_tokens, tokens of some documents: row groups and pages without one of the ids are not read."""
+    return read_tokens(spark, path).filter(F.col("doc_id").isin(ids)).select("doc_id", "n_tokens", "tokens")
+
+
 def starts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens; reads no ids. Offsets have one row a part, so they are sent to each task."""
     rows = read_tokens(spark, path).select("part", "doc_id", "local_start", "n_tokens")

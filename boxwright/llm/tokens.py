@@ -10,10 +10,12 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
+from collections.abc import Iterable, Iterator
 from functools import cached_property
-from itertools import compress
-from operator import not_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Fixed values of the public byte-level BPE files: the split pattern, the one
 # added token and its id.
@@ -42,11 +44,12 @@ def _at_spaces(text: str) -> list[str]:
 class Encoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Truncation and padding are switched off. Caches are bounded: they start
-    afresh when they exceed ``most`` entries.
+    Truncation and padding are switched off. Known strings are kept in two
+    generations of at most ``most`` entries: the older one goes when the younger
+    one is full, and what is met again moves to the younger one.
     """
 
-    def __init__(self, spec: str, most: int = 700_000):
+    def __init__(self, spec: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -55,8 +58,8 @@ class Encoder:
         self.tok.no_padding()
         self.spec = spec
         self.most = most
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @cached_property
     def one(self):
@@ -82,15 +85,63 @@ class Encoder:
                 out += [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Bytes of each id."""
+        pieces = pieces_by_id(self.spec)
+        out = np.zeros(pieces[-1][0] + 1, np.int64)
+        out[[i for i, _ in pieces]] = [len(p) for _, p in pieces]
+        return out
+
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens, each as little-endian unsigned 32-bit integers."""
-        return [array("I", e.ids).tobytes() for e in self.one.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of pre-tokens, each as little-endian unsigned 32-bit integers.
 
-    def _learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.words))
+        The library gets them as pre-split texts; as the bytes of the ids are
+        those of the words, their sizes tell which ids are whose.
+        """
+        if not words:
+            return []
+        groups = self.one.encode_batch_fast([words[i : i + 1000] for i in range(0, len(words), 1000)], is_pretokenized=True, add_special_tokens=False)
+        flat = np.concatenate([np.array(g.ids, "<u4") for g in groups])
+        ends = np.searchsorted(np.cumsum(self.sizes[flat]), np.cumsum([len(w.encode()) for w in words])) + 1
+        raw, cuts = flat.tobytes(), (ends << 2).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _recalled(self, words: Iterable[str]) -> set[str]:
+        """Words that neither generation knows; those of the older one are made young."""
+        new = set(words).difference(self.young)
+        again = {w for w in new if w in self.old}
+        self.young.update((w, self.old[w]) for w in again)
+        return new - again
+
+    def _learn(self, words: Iterable[str]) -> None:
+        new = list(self._recalled(words))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            self.words.update(zip(some, self.encode_words(some), strict=True))
+            self.young.update(zip(some, self.encode_words(some), strict=True))
+
+    def of_stretches(self, stretches: list[str]) -> list[bytes]:
+        """Ids of distinct stretches; those not known are split, and their pre-tokens encoded."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        got = list(map(self.young.get, stretches))
+        missing = [i for i, ids in enumerate(got) if ids is None]
+        if not missing:
+            return got
+        new = []
+        for i, ids in zip(missing, map(self.old.get, [stretches[i] for i in missing]), strict=True):
+            if ids is None:
+                new.append(stretches[i])
+            else:
+                self.young[stretches[i]] = ids
+        # A space and letters are one pre-token.
+        several = {x: _PLAIN_SPLIT.findall(x) for x in new if not x[1:].isalpha()}
+        self._learn({w for words in several.values() for w in words}.union(x for x in new if x not in several))
+        find = self.young.__getitem__
+        self.young.update((x, b"".join(map(find, words))) for x, words in several.items() if len(words) > 1)
+        for i in missing:
+            got[i] = find(stretches[i])
+        return got
 
     @staticmethod
     def _odd(text: str) -> bool:
@@ -108,49 +159,56 @@ class Encoder:
         of = dict(zip(words, self.encode_words(words), strict=True)).__getitem__
         return [b"".join(map(of, w)) for w in split]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null is empty.
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each text has; null is empty.
 
         Most texts are cut at their spaces, each going to what follows it. Where no
         white space stands on both sides of a space, such a cut is always a border
-        of pre-tokens; the stretches repeat and have a cache of their own.
+        of pre-tokens. Arrow cuts and numbers the stretches; Python sees each
+        different one once.
         """
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        if len(self.words) > self.most:
-            self.words.clear()
-        find, known = self.pieces.get, self.words.__getitem__
-        out: list[bytes] = []
-        open_: list[tuple[int, list[str], list, list[int]]] = []
-        whole: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
-        for i, text in enumerate(texts):
-            if not text:
-                out.append(b"")
-                continue
-            if self._odd(text):
-                whole.append((i, self.split(text)))
-                out.append(b"")
+        odd = np.array([bool(t) and self._odd(t) for t in texts.to_pylist()], bool)
+        plain = pc.fill_null(texts.filter(pa.array(~odd)) if odd.any() else texts, "")
+        parts = pc.split_pattern(plain, " ")
+        values, ends = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+        begins = ends[:-1]
+        coded, heads = values.dictionary_encode(), values.take(pa.array(begins)).dictionary_encode()
+        # What comes first in a text has no space before it; if it is empty, the text begins with a space.
+        keys = [f" {x}" for x in coded.dictionary.to_pylist()]
+        which = coded.indices.to_numpy().copy()
+        which[begins] = heads.indices.to_numpy() + len(keys)
+        firsts = [_PLAIN_SPLIT.findall(x) for x in heads.dictionary.to_pylist()]
+        of = self.of_stretches(keys)
+        self._learn({w for words in firsts for w in words})
+        of += [b"".join(map(self.young.__getitem__, words)) for words in firsts]
+        sizes = np.fromiter(map(len, of), np.int64, len(of)) >> 2
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(of), "<i4")))
+        flat = table.take(pa.array(which)).flatten().to_numpy()
+        lens = np.add.reduceat(sizes[which], begins) if len(begins) else np.zeros(0, np.int64)
+        return (flat, lens) if not odd.any() else self._with_odd(texts, odd, flat, lens)
+
+    def _with_odd(self, texts: pa.StringArray, odd: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain texts with those of odd ones between them."""
+        plain = iter(np.split(flat, np.cumsum(lens)[:-1]) if len(lens) else [])
+        out = []
+        for text, is_odd in zip(texts.to_pylist(), odd.tolist(), strict=True):
+            if not is_odd:
+                out.append(next(plain))
                 continue
-            parts = _at_spaces(text)
-            got = list(map(find, parts))
-            missing = list(compress(range(len(parts)), map(not_, got)))  # ids are never empty
-            if missing:
-                new.update(map(parts.__getitem__, missing))
-                open_.append((i, parts, got, missing))
-                out.append(b"")
-            else:
-                out.append(b"".join(got))
-        split = {p: _PLAIN_SPLIT.findall(p) for p in new}
-        self._learn(set().union(*split.values(), *(w for _, w in whole)))
-        self.pieces.update((p, b"".join(map(known, w))) for p, w in split.items())
-        for i, parts, got, missing in open_:
-            for k in missing:
-                got[k] = self.pieces[parts[k]]
-            out[i] = b"".join(got)
-        for i, words in whole:
-            out[i] = b"".join(map(known, words))
-        return out
+            words = self.split(text)
+            self._learn(words)
+            out.append(np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<i4"))
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces whose texts have about ``most`` bytes; a longer text is a piece of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 _ENCODERS: dict[int, Encoder] = {}

@@ -208,7 +208,65 @@ def test_token_files(spark, docs, rows, spec, empty):
     assert token_files.read_digests(spark, path).count() == 0
 
 
-def test_token_counts(docs, rows, spec):
+def test_token_files_with_null_and_equal_ids(spark, docs, rows, spec):
+    found = []
+    for df in (docs, docs.repartition(5)):
+        path = scratch_path(spark, "tokens")
+        token_files.write_tokens(df, path, spec, 2)
+        found.append(sorted((tuple(r) for r in token_files.read_digests(spark, path).collect()), key=lambda r: r[1]))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    assert [r[0] for r in found[0]] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert all(b[1] == a[1] + a[2] for a, b in zip(found[0], found[0][1:], strict=False))
+
+
+def test_token_files_are_read_in_part(spark, spec, tmp_path):
+    import pyarrow.parquet as pq
+
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, words(r, 200)) for i in range(2000)], "doc_id bigint, text string").coalesce(1)
+    path, before = f"file://{tmp_path}/tokens", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_files.write_tokens(df, path, spec, 2, group_bytes=1 << 17, page_bytes=1 << 14, page_rows=50)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    meta = pq.ParquetFile(next((tmp_path / "tokens").glob("*.parquet"))).metadata
+    columns = {meta.row_group(0).column(i).path_in_schema: meta.row_group(0).column(i) for i in range(5)}
+    ids = next(c for name, c in columns.items() if name.startswith("tokens"))
+    assert meta.num_row_groups > 2
+    assert "RLE_DICTIONARY" in ids.encodings and all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "local_start", "n_tokens"))
+    assert all(c.has_offset_index and c.has_column_index for name, c in columns.items() if not name.startswith("tokens"))
+
+    def scanned(frame):
+        scan = frame._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        frame.collect()
+        return scan.metrics().apply("numOutputRows").value(), scan.toString()
+
+    few = token_files.tokens_of(spark, path, [7, 1500])
+    n, plan = scanned(few)
+    assert n <= 200 and "PushedFilters: [In(doc_id" in plan and sorted(r["doc_id"] for r in few.collect()) == [7, 1500]
+    n, plan = scanned(token_files.read_tokens(spark, path).select("doc_id", "n_tokens"))
+    assert n == 2000 and "tokens:array" not in plan.split("ReadSchema")[1]
+
+
+def test_encoder_forgets_and_learns_again(spec, rows):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from boxwright.llm import tokens
+
+    enc, tok = tokens.Encoder(spec, most=20), Tokenizer.from_str(spec)
+    texts = [r[1] for r in rows] + ["a  b", " x", "x ", "a \n b", "a\tb c", "x,y z,z. \"q\" it's", "<|endoftext|> a", "\n\nA", " ü  "]
+    for _ in range(2):
+        for i in range(0, len(texts), 7):
+            some = texts[i : i + 7]
+            flat, lens = enc.encode(pa.array(some, pa.string()))
+            assert [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] == [tok.encode(t or "", add_special_tokens=False).ids for t in some]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    assert [t for b in tokens.slices(batch, "text", 100) for t in b.column("text").to_pylist()] == texts
+
+
+def test_token_counts(docs, rows, spec, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(spec)
@@ -217,6 +275,7 @@ def test_token_counts(docs, rows, spec):
     for r in table.collect():
         n = r["n_tokens"]
         assert (r["n_docs"], r["docs_up_to"], r["docs_longer"], r["tokens_total"], r["tokens_truncated"]) == (lens.count(n), sum(x <= n for x in lens), sum(x > n for x in lens), sum(lens), sum(min(x, n) for x in lens))
+    assert token_counts.by_limit(token_counts.histogram(empty, spec)).count() == 0
     assert token_counts.quantile(table, 0.5) == sorted(lens)[(len(lens) + 1) // 2 - 1]
     limits = docs.sparkSession.createDataFrame([(k,) for k in (0, 1, 7, 50, 100_000)], "limit bigint")
     assert {(r["limit"], r["tokens_truncated"]) for r in token_counts.answer(limits, table).collect()} == {(k, sum(min(x, k) for x in lens)) for k in (0, 1, 7, 50, 100_000)}
