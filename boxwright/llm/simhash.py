@@ -175,17 +175,18 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component stays: of its least id, and of those the one whose text has the least hash.
+    """One row of each component stays: of its least id (null last), and of those the one whose text has the least hash.
 
-    Of rows that agree in both, one stays. All columns stay. Documents meet the
-    chosen keys in one join; its order also serves the last choice.
+    Of rows that agree in id and text, one stays, whichever Spark meets first. All
+    columns stay. Documents meet the chosen keys in one join, by the hash of id and
+    text; its order also serves the last choice. An empty table stays empty.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("__key"), "text")
     prints = cut(fingerprints(keyed, "__key"), "fingerprints")
     named = _named(prints).select("fp", "component")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
-    chosen = prints.join(named, "fp").groupBy("component").agg(F.min(rank).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.__key").alias("__key"))
-    rows = docs.withColumn("__text_key", F.xxhash64("text"))
-    kept = rows.join(chosen.distinct(), rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")))
-    first = Window.partitionBy("__id", "__key").orderBy("__key")
+    chosen = prints.join(named, "fp").groupBy("component").agg(F.min(rank).alias("x")).select(F.xxhash64("x.doc_id", "x.__key").alias("__chosen"))
+    rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.xxhash64("text")))
+    kept = rows.join(cut(chosen.distinct(), "chosen"), F.col("__row") == F.col("__chosen"))
+    first = Window.partitionBy("__chosen").orderBy("__chosen")
     return kept.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
