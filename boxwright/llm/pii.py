@@ -19,20 +19,31 @@ run. Where stretches that pass overlap (about one in ten does by chance), a card
 is permuted more than once, and may then be no valid card or have another
 pseudonym than elsewhere.
 
-Null texts stay null. Texts without such values, null ids, repeated rows and
-extra columns stay as they are. What fails its check stays too.
+Dates are permuted among those that are written alike: ISO; day first; month
+first where only that is a date; and, with slashes, fields of one digit stay so.
+29 February goes to another leap year. Years from FIRST_YEAR on are the domain of 400
+years; other dates stay. Octets with leading zeros are no address. Social and
+telephone numbers have no check digit: whatever has their form is taken.
+
+The key comes to the executors as the result of a subquery, so plans and event
+logs don't show it. Null texts stay null. Texts without such values, empty ones,
+null ids, repeated rows and extra columns stay as they are, but for ``n_chars``,
+which is counted anew where a text changed (addresses change their length). What
+fails its check stays too. An empty table stays empty.
 """
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm.native import let
 
 ROUNDS = 10
-#: A 400-year cycle of the calendar from here on is the domain of dates; its days are 189 x 773.
-FIRST_DAY, DAY_RADICES = "1800-01-01", (189, 773)
+#: A cycle of the calendar from here on is the domain of dates.
+FIRST_YEAR, YEARS = 1800, 400
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/]|-[0-9])"
@@ -48,15 +59,16 @@ ANY = "|".join((EMAIL, DATE, ADDRESS, SOCIAL, IBAN, PHONE))
 CARD_CHARS = (13, 37)
 
 
-def _permuted(values: Column, radices: Column, key: Column, tweak: str, back: bool = False) -> Column:
+def _permuted(values: Column, radices: Column, key: Column, tweak: str | Column, back: bool = False) -> Column:
     """An array of numbers below their radices, permuted."""
+    tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
     rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
 
     def one(v: Column, r: Column) -> Column:
         other = F.array_join(F.filter(v, lambda x, j: j % 2 != r % 2).cast("array<string>"), ",")
 
         def shifted(o: Column) -> Column:
-            shift = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit(tweak), r.cast("string"), i.cast("string"), o), 256), 1, 12), 16, 10).cast("bigint")
+            shift = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", key, tweak, r.cast("string"), i.cast("string"), o), 256), 1, 12), 16, 10).cast("bigint")
             moved = lambda x, i: F.pmod(x - shift(i) if back else x + shift(i), F.get(radices, i))
             return F.transform(v, lambda x, i: F.when(i % 2 == r % 2, moved(x, i)).otherwise(x))
 
@@ -112,24 +124,73 @@ def _email(m: Column, key: Column, back: bool) -> Column:
     return F.concat(_permuted_text(F.regexp_extract(m, r"^(.*)\.[^.]*$", 1), key, "email", back), F.regexp_extract(m, r"(\.[^.]*)$", 1))
 
 
+_LEAP = [y for y in range(FIRST_YEAR, FIRST_YEAR + YEARS) if calendar.isleap(y)]
+_DAYS = [(month, day) for month in range(1, 13) for day in range(1, calendar.monthrange(FIRST_YEAR + 1, month)[1] + 1)]
+
+
+def _numbers(values: list[int]) -> Column:
+    """A constant array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+#: Ways to write a date: order, widths of the two short fields, and the months and days that can be written so.
+#: Month first only counts where day first is no date.
+_FORMS = [("ymd", 2, 2, _DAYS)]
+_FORMS += [("dmy", w1, w2, [(m, d) for m, d in _DAYS if (w1 == 2 or d < 10) and (w2 == 2 or m < 10)]) for w1 in (2, 1) for w2 in (2, 1)]
+_FORMS += [("mdy", w1, 2, [(m, d) for m, d in _DAYS if d > 12 and (w1 == 2 or m < 10)]) for w1 in (2, 1)]
+
+
 def _date(m: Column, key: Column, back: bool) -> Column:
-    """ISO, day/month/year, or month/day/year where only that is a date; the order stays."""
-    d = lambda n: F.lpad(F.regexp_extract(m, r"^([0-9]+)/([0-9]+)/([0-9]+)$", n), 4 if n == 3 else 2, "0")
-    iso = m.try_cast("date")
-    dmy, mdy = F.concat_ws("-", d(3), d(2), d(1)).try_cast("date"), F.concat_ws("-", d(3), d(1), d(2)).try_cast("date")
-    form = F.when(m.contains("-"), "yyyy-MM-dd").when(dmy.isNotNull(), "dd/MM/yyyy").otherwise("MM/dd/yyyy")
-    n = F.date_diff(F.coalesce(F.when(m.contains("-"), iso), dmy, mdy), F.lit(FIRST_DAY).cast("date"))
-    a, b = DAY_RADICES
-    new = lambda v: F.date_add(F.lit(FIRST_DAY).cast("date"), (F.get(v, F.lit(0)) * b + F.get(v, F.lit(1))).cast("int"))
-    text = lambda x: F.when(form == "yyyy-MM-dd", F.date_format(x, "yyyy-MM-dd")).when(form == "dd/MM/yyyy", F.date_format(x, "dd/MM/yyyy")).otherwise(F.date_format(x, "MM/dd/yyyy"))
-    moved = let(n, lambda i: let(_permuted(F.array(F.floor(i / b).cast("bigint"), (i % b).cast("bigint")), F.array(F.lit(a), F.lit(b)).cast("array<bigint>"), key, "date", back), lambda v: text(new(v))))
-    return F.when((n >= 0) & (n < a * b), moved).otherwise(m)
+    """A date permuted among those that are written alike: order and widths of the fields stay."""
+    tables = F.array(*(_numbers([100 * month + day for month, day in days]) for *_, days in _FORMS))
+    tweaks = F.array(*(F.lit(f"date {order} {w1} {w2}") for order, w1, w2, _ in _FORMS))
+    fields = F.transform(F.split(m, "[-/]"), lambda x: F.struct(x.cast("int").alias("n"), F.length(x).alias("w")))
+
+    def read(p: Column) -> Column:
+        """Struct (form, y, m, d); form is null where none fits."""
+        n, w = (lambda i: F.get(p, F.lit(i))["n"]), (lambda i: F.get(p, F.lit(i))["w"])
+        of = {"ymd": (n(0), n(1), n(2)), "dmy": (n(2), n(1), n(0)), "mdy": (n(2), n(0), n(1))}
+        form = F.when(F.lit(False), F.lit(None).cast("int"))
+        for k, (order, w1, w2, _) in enumerate(_FORMS):
+            widths = m.contains("-") if order == "ymd" else ~m.contains("-") & (w(0) == w1) & (w(1) == w2)
+            form = form.when(widths & _real_date(*of[order]), F.lit(k))
+        part = lambda i: F.when(m.contains("-"), of["ymd"][i]).when(_real_date(*of["dmy"]), of["dmy"][i]).otherwise(of["mdy"][i])
+        return F.struct(form.alias("form"), part(0).alias("y"), part(1).alias("m"), part(2).alias("d"))
+
+    def moved(x: Column) -> Column:
+        """Struct (y, md): the new year, and month and day as one number."""
+        coded, tweak = F.get(tables, x["form"]), F.get(tweaks, x["form"])
+        leap = _permuted(F.array((F.array_position(_numbers(_LEAP), x["y"]) - 1).cast("bigint")), F.array(F.lit(len(_LEAP)).cast("bigint")), key, F.concat(tweak, F.lit(" leap")), back)
+        index = F.array((x["y"] - FIRST_YEAR).cast("bigint"), (F.array_position(coded, 100 * x["m"] + x["d"]) - 1).cast("bigint"))
+        other = _permuted(index, F.array(F.lit(YEARS), F.size(coded)).cast("array<bigint>"), key, tweak, back)
+        of_leap = let(leap, lambda v: F.struct(F.get(_numbers(_LEAP), F.get(v, F.lit(0)).cast("int")).alias("y"), F.lit(229).alias("md")))
+        of_other = let(other, lambda v: F.struct((F.get(v, F.lit(0)) + FIRST_YEAR).cast("int").alias("y"), F.get(coded, F.get(v, F.lit(1)).cast("int")).alias("md")))
+        return F.when((x["m"] == 2) & (x["d"] == 29), of_leap).otherwise(of_other)
+
+    def written(form: Column, new: Column) -> Column:
+        year, month, day = new["y"].cast("string"), F.floor(new["md"] / 100).cast("string"), (new["md"] % 100).cast("string")
+        field = lambda x, w: F.lpad(x, 2, "0") if w == 2 else x
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for k, (order, w1, w2, _) in enumerate(_FORMS):
+            shown = {"ymd": (year, field(month, 2), field(day, 2)), "dmy": (field(day, w1), field(month, w2), year), "mdy": (field(month, w1), field(day, w2), year)}[order]
+            out = out.when(form == k, F.concat_ws("-" if order == "ymd" else "/", *shown))
+        return out
+
+    fits = lambda x: x["form"].isNotNull() & x["y"].between(FIRST_YEAR, FIRST_YEAR + YEARS - 1)
+    return let(let(fields, read), lambda x: F.when(fits(x), let(moved(x), lambda new: written(x["form"], new))).otherwise(m))
+
+
+def _real_date(year: Column, month: Column, day: Column) -> Column:
+    """Whether these numbers are a date of the calendar."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return month.between(1, 12) & (day >= 1) & (day <= last)
 
 
 def _address(m: Column, key: Column, back: bool) -> Column:
     octets = F.split(m, r"\.").cast("array<bigint>")
     moved = lambda o: F.array_join(_permuted(o, F.array_repeat(F.lit(256).cast("bigint"), F.lit(4)), key, "address", back).cast("array<string>"), ".")
-    return let(octets, lambda o: F.when(F.exists(o, lambda x: x > 255), m).otherwise(moved(o)))
+    return let(octets, lambda o: F.when(F.exists(o, lambda x: x > 255) | m.rlike(r"(?:^|\.)0[0-9]"), m).otherwise(moved(o)))
 
 
 def _card(m: Column, key: Column, back: bool) -> Column:
@@ -219,8 +280,13 @@ def replaced(text: Column, key: Column, back: bool = False) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, back: bool = False, count: str | None = None) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``; all columns stay. ``count`` names a column for the number of values."""
-    rows = docs.withColumn("__p", replaced(F.col("text"), F.lit(key), back))
-    rows = rows.withColumn("text", F.col("__p.text"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    """``docs`` with pseudonyms in ``text``; all columns stay, with ``n_chars`` counted anew where a text changed.
+
+    ``count`` names a column for the number of values.
+    """
+    secret = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    rows = docs.withColumn("__key", secret).withColumn("__p", replaced(F.col("text"), F.col("__key"), back))
+    changed = F.col("__p.n") > 0
+    n_chars = lambda c: F.when(changed, F.length("__p.text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    cols = [F.col("__p.text").alias(c) if c == "text" else n_chars(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*cols, *([F.col("__p.n").alias(count)] if count else []))

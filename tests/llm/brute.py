@@ -1,5 +1,6 @@
 """The operators' contracts in plain Python, one text after the other."""
 
+import calendar
 import collections
 import hashlib
 import math
@@ -153,3 +154,47 @@ def repeats(rows):
         spans = len(bytes(gone).replace(b"\0", b" ").split())
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return out
+
+
+def moved_date(text, key, back=False):
+    """The pseudonym of a written date, in plain Python: two fields below their radices, ten rounds of keyed shifts."""
+    days = [(m, d) for m in range(1, 13) for d in range(1, calendar.monthrange(1801, m)[1] + 1)]
+    leap = [y for y in range(1800, 2200) if calendar.isleap(y)]
+    real = lambda y, m, d: 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1] if y else False
+
+    def permuted(values, radices, tweak):
+        v = list(values)
+        for r in range(9, -1, -1) if back else range(10):
+            other = ",".join(str(x) for j, x in enumerate(v) if j % 2 != r % 2)
+            for i in range(len(v)):
+                if i % 2 == r % 2:
+                    shift = int(hashlib.sha256("|".join((key, tweak, str(r), str(i), other)).encode()).hexdigest()[:12], 16)
+                    v[i] = (v[i] - shift if back else v[i] + shift) % radices[i]
+        return v
+
+    if "-" in text:
+        order, (y, m, d), widths = "ymd", map(int, text.split("-")), (2, 2)
+        if not real(y, m, d):
+            return text
+        allowed = days
+    else:
+        a, b, c = text.split("/")
+        y, widths = int(c), (len(a), len(b))
+        if real(y, int(b), int(a)):
+            order, m, d = "dmy", int(b), int(a)
+            allowed = [(p, q) for p, q in days if (widths[0] == 2 or q < 10) and (widths[1] == 2 or p < 10)]
+        elif real(y, int(a), int(b)):
+            order, m, d = "mdy", int(a), int(b)
+            allowed = [(p, q) for p, q in days if q > 12 and (widths[0] == 2 or p < 10)]
+        else:
+            return text
+    if not 1800 <= y < 2200:
+        return text
+    tweak = f"date {order} {widths[0]} {widths[1]}"
+    if (m, d) == (2, 29):
+        y = leap[permuted([leap.index(y)], [97], f"{tweak} leap")[0]]
+    else:
+        i, j = permuted([y - 1800, allowed.index((m, d))], [400, len(allowed)], tweak)
+        y, (m, d) = 1800 + i, allowed[j]
+    x = {"ymd": (y, m, d), "dmy": (d, m, y), "mdy": (m, d, y)}[order]
+    return f"{y}-{m:02}-{d:02}" if order == "ymd" else f"{x[0]:0{widths[0]}}/{x[1]:0{widths[1]}}/{y}"

@@ -301,6 +301,51 @@ def test_pii_keeps_formats_links_and_can_be_undone(spark):
     assert pii.pseudonymise(df, "other").filter("doc_id = 1").first()["text"] != got[1][0]
 
 
+def test_dates_are_permuted_within_their_form(spark):
+    import calendar
+
+    texts = []
+    for y in range(1800, 2200, 29):
+        for m in range(1, 13):
+            for d in range(1, calendar.monthrange(y, m)[1] + 1):
+                texts += [f"{y}-{m:02}-{d:02}", f"{d:02}/{m:02}/{y}", f"{d}/{m}/{y}", f"{d:02}/{m}/{y}", f"{d}/{m:02}/{y}"]
+                texts += [f"{m:02}/{d:02}/{y}", f"{m}/{d:02}/{y}"] if d > 12 else []
+    texts += ["2001-02-29", "31/04/1999", "13/13/2000", "1799-12-31", "2200-01-01", "29/02/2000", "29/2/1996", "02/29/2000", "2/29/2096", "00/01/2000"]
+    texts = sorted(set(texts))
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars int").repartition(8)
+    out = pii.pseudonymise(df, "k").cache()
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert len(set(got.values())) == len(texts)  # unlike dates stay unlike
+    assert all(len(got[i]) == len(t) for i, t in enumerate(texts))
+    some = random.Random(1).sample(range(len(texts)), 3000) + [i for i, t in enumerate(texts) if "29" in t[:6]][:500]
+    assert all(got[i] == brute.moved_date(texts[i], "k") for i in some)
+    assert as_set(pii.pseudonymise(out, "k", back=True)) == as_set(df)
+
+
+@pytest.mark.parametrize("form", ["dmy 1 1", "mdy 1 2"])
+def test_a_whole_form_of_dates_maps_onto_itself(form):
+    """The plain version, which the other test holds the operator against, over all 400 years."""
+    import calendar
+
+    days = [(y, m, d) for y in range(1800, 2200) for m in range(1, 10) for d in range(1, calendar.monthrange(y, m)[1] + 1)]
+    texts = [f"{d}/{m}/{y}" for y, m, d in days if d < 10] if form == "dmy 1 1" else [f"{m}/{d}/{y}" for y, m, d in days if d > 12]
+    new = [brute.moved_date(t, "k") for t in texts]
+    assert set(new) == set(texts) and [brute.moved_date(t, "k", back=True) for t in new[:2000]] == texts[:2000]
+
+
+def test_pii_of_odd_rows(spark):
+    long = "\n".join(f"line {i}: mail user{i}@host.example.org, 10.2.3.{i % 256}" for i in range(2000))
+    rows = [(1, long, len(long), "x"), (1, long, len(long), "x"), (None, "at 010.1.1.1 and 9.8.7.6", 24, None), (2, None, None, None), (3, "", 0, "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, key string")
+    out = pii.pseudonymise(df, "a secret key")
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
+    assert as_set(pii.pseudonymise(out, "a secret key", back=True)) == as_set(df)
+    assert "010.1.1.1" in out.filter("doc_id is null").first()["text"]
+    assert "a secret key" not in out._jdf.queryExecution().toString()
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
 def test_pii_finds_cards_beside_other_digits(spark):
     card = "4111 1111 1111 1111"
     texts = [f"{card} 12/27", "4111111111111111 123", "item 7 4111111111111111", f"order 123456 {card} 2027 999", f"{card} 5500 0000 0000 0004", f"{card} 2027-01-02", f"{card} 212-555-0199", "no card: 1234 5678 9012 3456"]
