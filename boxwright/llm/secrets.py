@@ -15,8 +15,8 @@ meet the texts in a join that Spark broadcasts if their table is small and
 otherwise shuffles.
 
 Null and empty texts have no spans. Repeated rows, null ids and extra columns
-stay as they are. Offsets are code points, ends exclusive. In a text with k
-matches of a rule, placing them takes k searches in it.
+stay as they are. An empty table gives no rows. Offsets are code points, ends
+exclusive. A text is read a few times a rule, however many matches it has.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ from boxwright.llm.native import let
 from boxwright.session import cut
 
 
+SPANS = "array<struct<start:int,rank:int,end:int>>"
+
+
 @dataclass(frozen=True)
 class Rule:
     """``least`` characters are needed in ``group`` of a match, or the match is dropped."""
@@ -57,13 +60,30 @@ RULES = [
 ]
 
 
+#: Characters of a class that is written out, and alternatives of a query.
+SMALL, MOST = 8, 256
+
+
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """Alternatives, each a set of lower-case trigrams that all occur in its matches; None if one has none.
 
-    Literals that must stand next to each other form runs; a class, a repeat or
-    an optional part ends a run. A branch multiplies the alternatives.
+    Literals that must stand next to each other form runs, and a class of up to SMALL
+    characters stands for each of them; a larger class, the rest of a repeat or an
+    optional part ends a run. Branches and small classes multiply the alternatives;
+    past MOST, a class ends its run instead, which asks for less and stays right.
     """
 
+    def small(items) -> list[str] | None:
+        chars: set[str] = set()
+        for op, arg in items:
+            if op is sre.LITERAL:
+                chars.add(chr(arg).lower())
+            elif op is sre.RANGE and arg[1] - arg[0] < SMALL:
+                chars |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
+            else:
+                return None
+        return sorted(chars) if len(chars) <= SMALL else None
+
     def walk(parsed, before: list[list[str]]) -> list[list[str]]:
         """``before``: alternatives as runs, of which the last is still open."""
         out = before
@@ -74,8 +94,14 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
                 out = walk(arg[-1], out)
             elif op is sre.BRANCH:
                 out = [x for branch in arg[1] for x in walk(branch, out)]
+            elif op is sre.IN and (chars := small(arg)) and len(out) * len(chars) <= MOST:
+                out = [[*runs[:-1], runs[-1] + c] for runs in out for c in chars]
             elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] > 0:
-                out = [[*runs, ""] for runs in walk(arg[2], [[*runs, ""] for runs in out])]
+                times = min(arg[0], 3)
+                for _ in range(times):
+                    out = walk(arg[2], out)
+                if arg[1] != times:
+                    out = [[*runs, ""] for runs in out]
             else:
                 out = [[*runs, ""] for runs in out]
         return out
@@ -101,43 +127,44 @@ def candidates(postings: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """(start, rank, end) of a rule's leftmost non-overlapping matches that pass its length."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    size = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda x: F.length(x))
+    """(start, rank, end) of a rule's leftmost non-overlapping matches that pass its length.
 
-    def place(ms: Column) -> Column:
-        # No rule looks around, so the first occurrence of the matched text after the last match is the match.
-        def step(acc: Column, m: Column) -> Column:
-            at = F.position(m, text, acc["next"])
-            return let(at, lambda p: F.struct((p + F.length(m)).alias("next"), F.concat(acc["at"], F.array(p)).alias("at")))
+    The matches and what lies between them make up the text, so their lengths tell the places.
+    """
+    # No rule looks around, so a match alone falls into groups as it does in its text.
+    size = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) if rule.group else F.length(m)
 
-        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
-        return F.aggregate(ms, start, step, lambda acc: acc["at"])
+    def spans(ms: Column, gaps: Column) -> Column:
+        sized = F.transform(ms, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("own"), (size(m) >= rule.least).alias("keep")))
 
-    def spans(ms: Column) -> Column:
-        rows = F.zip_with(place(ms), ms, lambda p, m: F.struct((p - 1).alias("start"), F.lit(rank).alias("rank"), (p - 1 + F.length(m)).alias("end")))
-        kept = let(size, lambda n: F.filter(rows, lambda x, i: F.get(n, i) >= rule.least))
-        return F.when(F.size(ms) > 0, kept).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>"))
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["next"] + x["gap"]
+            span = F.when(x["keep"], F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["own"]).alias("end")))).otherwise(none)
+            return F.struct((start + x["own"]).alias("next"), F.concat(acc["at"], span).alias("at"))
 
-    return let(found, spans)
+        return F.aggregate(sized, F.struct(F.lit(0).alias("next"), none.alias("at")), step, lambda acc: acc["at"])
+
+    none = F.array().cast(SPANS)
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    return let(found, lambda ms: F.when(F.size(ms) > 0, let(F.split(text, rule.pattern, -1), lambda gaps: spans(ms, gaps))).otherwise(none))
 
 
 def find(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, rank of the rule, end), sorted."""
+    """``docs`` with ``spans``: array of (start, rank of the rule, end), sorted. A column of that name gives way."""
     rules = rules or RULES
     asked = {r.kind: trigram_query(r.pattern) for r in rules}
     trigrams = sorted({t for q in asked.values() for alt in q or [] for t in alt})
     may = cut(candidates(index(docs, trigrams), rules), "candidates").withColumnRenamed("text_key", "__key").withColumnRenamed("rules", "__rules")
     rows = docs.withColumn("__text_key", F.xxhash64("text"))
     rows = rows.join(may, F.col("__text_key") == F.col("__key"), "left")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    none = F.array().cast(SPANS)
 
     def gated(r: Rule, rank: int) -> Column:
         spans = _spans(F.col("text"), r, rank)
         return spans if asked[r.kind] is None else F.when(F.array_contains("__rules", r.kind), spans)
 
     found = F.sort_array(F.concat(*(F.coalesce(gated(r, k), none) for k, r in enumerate(rules))))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.when(F.col("text").isNull(), none).otherwise(found).alias("spans"))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c != "spans"), F.when(F.col("text").isNull(), none).otherwise(found).alias("spans"))
 
 
 def _joined(spans: Column, rules: list[Rule]) -> Column:

@@ -198,3 +198,13 @@ def moved_date(text, key, back=False):
         y, (m, d) = 1800 + i, allowed[j]
     x = {"ymd": (y, m, d), "dmy": (d, m, y), "mdy": (m, d, y)}[order]
     return f"{y}-{m:02}-{d:02}" if order == "ymd" else f"{x[0]:0{widths[0]}}/{x[1]:0{widths[1]}}/{y}"
+
+
+def all_spans(text, rules):
+    """Spans of every rule as (start, rank, end), by Python's own regular expressions."""
+    out = []
+    for rank, rule in enumerate(rules):
+        for m in re.finditer(rule.pattern, text or "", re.ASCII):
+            if len(m[rule.group]) >= rule.least:
+                out.append((m.start(), rank, m.end()))
+    return sorted(out)

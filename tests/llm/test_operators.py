@@ -409,7 +409,9 @@ def test_elias_fano_finds_successors():
     for n, u in ((0, 10), (1, 1), (50, 60), (1000, 1 << 40), (3000, 3000)):
         v = np.sort(r.integers(0, u, n)).astype(np.uint64)
         x = np.concatenate([v, r.integers(0, u, 500).astype(np.uint64)])
-        at, found = elias_fano.EliasFano(v, u).successor(x)
+        sequence = elias_fano.EliasFano(v, u)
+        assert (sequence.get(np.arange(n)) == v).all()
+        at, found = sequence.successor(x)
         assert (at == np.searchsorted(v, x)).all() and (found == np.isin(x, v)).all()
 
 
@@ -426,6 +428,34 @@ def test_secret_rules_add_spans(spark):
     assert secrets.trigram_query("AKIA[A-Z]+") == [frozenset({"aki", "kia"})] and secrets.trigram_query("[0-9a-f]{32,}") is None
 
 
+def test_every_kind_of_secret_against_brute_force(spark):
+    r = random.Random(12)
+    few = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    b62 = "abcdefgzAZQ0189"
+    forms = [
+        lambda: f"gh{r.choice('pousrx')}_{few(b62, r.randint(34, 40))}", lambda: f"xox{r.choice('abprsz')}-{few(b62 + '-', r.randint(8, 14))}", lambda: f"AIza{few(b62 + '_-', r.randint(33, 37))}",
+        lambda: f"{r.choice('srp')}k_live_{few(b62, r.randint(14, 20))}", lambda: f"-----BEGIN {r.choice(['', 'RSA ', 'ec '])}PRIVATE KEY-----", lambda: f"eyJ{few(b62, 10)}.{few(b62, 10)}.{few(b62, r.randint(8, 12))}",
+        lambda: f"AKIA{few('ABZ09', r.randint(10, 18))}", lambda: few("0123456789abcdef", r.randint(30, 40)), lambda: f"{r.choice(['PassWord', 'api_key', 'token'])}{r.choice(['=', ': ', ' := '])}{few(b62, r.randint(6, 12))}", lambda: words(r, 3), lambda: "ünï \U0001f600",
+    ]
+    texts = ["".join(r.choice(forms)() + r.choice([" ", "", "\n", ".", '"']) for _ in range(r.randint(0, 9))) for _ in range(400)]
+    texts += ["token=abcdefgh1 " * 3000, None, ""]
+    df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id bigint, text string, spans string")
+    out = secrets.find(df)
+    assert out.columns == ["doc_id", "text", "spans"]
+    got = {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in out.collect()}
+    assert got == {i: brute.all_spans(t, secrets.RULES) for i, t in enumerate(texts)}
+    assert {k for spans in got.values() for _, k, _ in spans} == set(range(len(secrets.RULES)))
+
+
+def test_trigram_queries():
+    q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
+    assert {k for k, x in q.items() if x is None} == {"hex"}
+    assert sorted(map(sorted, q["github"])) == [[f"gh{c}", f"h{c}_"] for c in "oprsu"]
+    assert sorted(map(sorted, q["stripe"]))[0][-1] == "ve_" and len(q["stripe"]) == 2
+    assert secrets.trigram_query("(ab){2}c") == [frozenset({"aba", "bab", "abc"})]
+    assert secrets.trigram_query("x(ab)+c") == [frozenset({"xab"})] and secrets.trigram_query("ab?cd") is None
+
+
 def test_suffix_array():
     r = random.Random(3)
     for _ in range(1500):
