@@ -50,21 +50,31 @@ class EliasFano:
         ones = _COUNT[self.high].reshape(-1, 8).sum(1)
         zeros = np.concatenate([[0], np.cumsum(64 - ones)])
         self.zeros_before = mapped(zeros.astype(np.int64))
+        self.ones_before = mapped(np.concatenate([[0], np.cumsum(ones)]).astype(np.int64))
 
     @property
     def nbytes(self) -> int:
-        return self.low.nbytes + self.high.nbytes + self.zeros_before.nbytes
-
-    def _select0(self, r: np.ndarray) -> np.ndarray:
-        """Place of the r-th zero of the high bits."""
-        word = np.searchsorted(self.zeros_before, r, "right") - 1
-        left = r - self.zeros_before[word]
-        flipped = ~self.high.reshape(-1, 8)[word]
-        upto = np.cumsum(_COUNT[flipped], axis=1)
+        return self.low.nbytes + self.high.nbytes + self.zeros_before.nbytes + self.ones_before.nbytes
+
+    def _select(self, r: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
+        """Place of the r-th one of the high bits, or of their r-th zero if ``flip`` is 255."""
+        word = np.searchsorted(before, r, "right") - 1
+        left = r - before[word]
+        bits = self.high.reshape(-1, 8)[word] ^ np.uint8(flip)
+        upto = np.cumsum(_COUNT[bits], axis=1)
         byte = (upto <= left[:, None]).sum(1)
         rows = np.arange(len(r))
         left -= np.where(byte > 0, upto[rows, byte - 1], 0)
-        return word * 64 + byte * 8 + _SELECT[flipped[rows, byte], left]
+        return word * 64 + byte * 8 + _SELECT[bits[rows, byte], left]
+
+    def _select0(self, r: np.ndarray) -> np.ndarray:
+        return self._select(r, self.zeros_before, 255)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The elements at these places."""
+        i = np.asarray(i, np.int64)
+        high = (self._select(i, self.ones_before, 0) - i).astype(np.uint64)
+        return high << np.uint64(self.low_bits) | self._low(i)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -125,8 +135,8 @@ def dequantised() -> np.ndarray:
 class Trie:
     """Contexts and their followers.
 
-    Level 1 has the contexts (40-bit hashes) and, as a monotone sequence, where
-    each one's followers begin. Level 2 has the followers (32-bit hashes) of all
+    Level 1 has the contexts (40-bit hashes) and where each one's followers begin,
+    both Elias-Fano sequences. Level 2 has the followers (32-bit hashes) of all
     contexts in one sequence, each counted from its context's place on, which
     makes it monotone; with each goes a code for its count.
     """
@@ -138,7 +148,7 @@ class Trie:
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
         contexts = context[first]
         self.contexts = EliasFano(contexts, 1 << self.CONTEXT_BITS)
-        self.pointers = mapped(np.concatenate([first, [len(context)]]).astype(np.int32))
+        self.pointers = EliasFano(np.concatenate([first, [len(context)]]), len(context) + 1)
         place = np.cumsum(np.isin(np.arange(len(context)), first)) - 1 if len(context) else np.zeros(0, np.int64)
         self.followers = EliasFano(place.astype(np.uint64) << np.uint64(self.FOLLOWER_BITS) | follower, max(1, len(contexts)) << self.FOLLOWER_BITS)
         self.codes = mapped(quantised(count))
@@ -149,7 +159,7 @@ class Trie:
             return np.zeros(len(context), np.int64), np.full(len(of), NONE, np.uint16)
         i, known = self.contexts.successor(context)
         i = np.where(known, i, 0)
-        total = np.where(known, self.pointers[i + 1] - self.pointers[i], 0)
+        total = np.where(known, (self.pointers.get(i + 1) - self.pointers.get(i)).astype(np.int64), 0)
         codes = np.full(len(of), NONE, np.uint16)
         ask = np.flatnonzero(known[of])
         at, found = self.followers.successor(i[of[ask]].astype(np.uint64) << np.uint64(self.FOLLOWER_BITS) | follower[ask])

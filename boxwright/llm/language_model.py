@@ -70,11 +70,11 @@ def _layout(pairs: np.ndarray, hashes: np.ndarray, n: int) -> Iterator[tuple[np.
     """
     context, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
     base = hashes % np.uint64(1_000_003) * np.uint64(FAN)
-    pair_shard = ((base[context] + (hashes[word] & np.uint64(FAN - 1))) % np.uint64(n)).astype(np.uint16)
+    pair_shard = ((base[context] + (hashes[word] & np.uint64(FAN - 1))) % np.uint64(n)).astype(np.uint32)
     distinct = np.unique(context)
-    both = np.concatenate([((base[distinct] + np.uint64(j)) % np.uint64(n)).astype(np.uint16) for j in range(FAN)])
+    both = np.concatenate([((base[distinct] + np.uint64(j)) % np.uint64(n)).astype(np.uint32) for j in range(FAN)])
     by = lambda shard: (np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=n))]).tolist())
-    (words, w), (some, p), (contexts, c) = by((hashes % np.uint64(n)).astype(np.uint16)), by(pair_shard), by(both)
+    (words, w), (some, p), (contexts, c) = by((hashes % np.uint64(n)).astype(np.uint32)), by(pair_shard), by(both)
     for k in range(n):
         mine = np.unique(distinct[contexts[c[k] : c[k + 1]] % len(distinct)]) if len(distinct) else distinct
         of = some[p[k] : p[k + 1]]

@@ -108,7 +108,7 @@ def _doc_of(ends: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _by_shard(h: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
     """Order of distinct sorted hashes by shard, and where each shard ends."""
-    shard = (h % np.uint64(n)).astype(np.uint16)
+    shard = (h % np.uint64(n)).astype(np.uint32)
     return np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=n)).tolist()
 
 
@@ -212,7 +212,7 @@ def _surroundings(n_shards: int):
         wide[:, -2], wide[:, -1] = left, right
         number = np.array([NULL_ID if i is None else i for i in ids], np.int64)[doc] if len(at) else np.zeros(0, np.int64)
         # One row for equal surroundings, in order of shard and bytes.
-        keyed = np.concatenate([(h % np.uint64(n_shards)).astype(">u2").view(np.uint8).reshape(-1, 2), wide[:, SIDE : SIDE + K], wide], axis=1)
+        keyed = np.concatenate([(h % np.uint64(n_shards)).astype(">u4").view(np.uint8).reshape(-1, 4), wide[:, SIDE : SIDE + K], wide], axis=1)
         _, first, which = np.unique(np.ascontiguousarray(keyed).view(f"V{keyed.shape[1]}").ravel(), return_index=True, return_inverse=True)
         least = np.full(len(first), NULL_ID, np.int64)
         np.minimum.at(least, which, number)
