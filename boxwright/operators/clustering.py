@@ -19,55 +19,53 @@ from boxwright.functions import labels
 from boxwright.operators.vectors import mean_vector, unit
 from boxwright.session import cut
 
-BLOCK = 2048
-#: Rows up to which every pair of blocks is compared; above it rows meet in random-projection buckets.
-EXACT_ROWS = 50_000
-
-
-def _top(pdf: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
-    for row in pdf.itertuples():
-        a, b = np.array(row.ids_a), np.array(row.ids_b)
-        x, y = (np.frombuffer(v, np.float64).reshape(len(i), -1) for v, i in ((row.block_a, a), (row.block_b, b)))
-        d = np.clip(2 - 2 * x @ y.T, 0, None)
-        d[a[:, None] == b[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), best.shape[1])
-        out = pd.DataFrame({"a": a[rows], "b": b[best.ravel()], "d": np.sqrt(d[rows, best.ravel()])})
-        yield out[np.isfinite(out["d"])]
-
-
-def neighbours(units: DataFrame, k: int, seed: int = 0, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """a, b, d: the k nearest (Euclidean distance of unit vectors) of each row (roi_index, u)."""
-    n = units.count()
-    if n <= exact_rows:
-        keys = F.lit(0)
-        blocks = units.withColumn("_key", F.array(keys))
-    else:
-        tables, bits = 8, max(1, int(np.ceil(np.log2(n / BLOCK))))
-        dim = units.select(F.size("u")).first()[0]
-        planes = np.random.default_rng(seed).normal(size=(tables, dim, bits))
-
-        @F.pandas_udf("array<bigint>")
-        def buckets(u: pd.Series) -> pd.Series:
-            x = np.stack(u.to_numpy())
-            return pd.Series(list(np.stack([((x @ p > 0) << np.arange(bits)).sum(1) + (t << bits) for t, p in enumerate(planes)], axis=1)))
-
-        blocks = units.withColumn("_key", buckets("u"))
-    placed = blocks.withColumn("key", F.explode("_key")).withColumn("block", F.pmod(F.xxhash64("roi_index"), F.lit(max(1, -(-n // BLOCK)))))
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("roi_index")
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "block": [pdf["block"].iloc[0]], "ids": [pdf["roi_index"].tolist()], "data": [np.stack(pdf["u"].to_numpy()).astype(np.float64).tobytes()]})
-
-    parts = cut(placed.groupBy("key", "block").applyInPandas(packed, "key bigint, block bigint, ids array<bigint>, data binary"), "blocks")
-    a = parts.select("key", F.col("ids").alias("ids_a"), F.col("data").alias("block_a"))
-    b = parts.select("key", F.col("ids").alias("ids_b"), F.col("data").alias("block_b"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield from _top(pdf, k)
-
-    met = a.join(b, "key").mapInPandas(run, "a bigint, b bigint, d double").distinct()
+#: Rows that are compared with others at a time, and rows of a side that one task holds.
+BLOCK, SIDE_ROWS = 1024, 50_000
+
+
+def _nearest(ids_a: np.ndarray, x: np.ndarray, ids_b: np.ndarray, y: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of x: ids, and the k nearest of y with their distances (infinite where there are fewer), by distance and id."""
+    order = np.argsort(ids_b, kind="stable")
+    ids_b, y = ids_b[order], y[order]
+    for i in range(0, len(x), BLOCK):
+        a = ids_a[i : i + BLOCK]
+        best, who = np.full((len(a), k), np.inf), np.full((len(a), k), -1, np.int64)
+        for j in range(0, len(y), BLOCK):
+            b = ids_b[j : j + BLOCK]
+            d = np.clip(2 - 2 * x[i : i + BLOCK] @ y[j : j + BLOCK].T, 0, None)
+            d[a[:, None] == b[None, :]] = np.inf
+            d = np.concatenate([best, d], axis=1)
+            at = np.argsort(d, axis=1, kind="stable")[:, :k]  # earlier ids win ties
+            best = np.take_along_axis(d, at, 1)
+            who = np.take_along_axis(np.concatenate([who, np.broadcast_to(b, (len(a), len(b)))], axis=1), at, 1)
+        yield a, who, np.sqrt(best)
+
+
+def neighbours(units: DataFrame, k: int, side_rows: int = SIDE_ROWS) -> DataFrame:
+    """a, b, d: the k nearest (Euclidean distance of unit vectors) of each row (roi_index, u).
+
+    Exact at every size: rows fall into parts of about ``side_rows``, each pair of parts
+    is a task of its own, and the best of all parts are put together. The work
+    grows with the square of the rows, as in any exact search; ``limit`` of
+    ``clusters`` bounds it.
+    """
+    parts = max(-(-units.count() // side_rows), int(np.ceil(np.sqrt(units.sparkSession.sparkContext.defaultParallelism))))
+    rows = units.withColumn("part", F.pmod(F.xxhash64("roi_index"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    a = rows.select(F.col("part").alias("pa"), F.col("other").alias("pb"), "roi_index", "u")
+    b = rows.select(F.col("other").alias("pa"), F.col("part").alias("pb"), "roi_index", "u")
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((3, 0))]
+        if len(x) and len(y):
+            ids = [f["roi_index"].to_numpy(np.int64) for f in (x, y)]
+            data = [np.stack(f["u"].to_numpy()).astype(np.float64) for f in (x, y)]
+            for of, who, d in _nearest(ids[0], data[0], ids[1], data[1], k):
+                some = np.isfinite(d)
+                out.append(np.stack([np.repeat(of, some.sum(1)), who[some], d[some]]))
+        found = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": found[0].astype(np.int64), "b": found[1].astype(np.int64), "d": found[2]})
+
+    met = a.groupBy("pa", "pb").cogroup(b.groupBy("pa", "pb")).applyInPandas(run, "a bigint, b bigint, d double")
     nth = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     return met.withColumn("_r", nth).filter(F.col("_r") <= k).drop("_r")
 
@@ -92,7 +90,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         part = cut(connected_components(forest.select("a", "b"), "forest-parts"), "parts")
 
 
-def clusters(df: DataFrame, column: str = "embedding", n_neighbors: int = 40, min_samples: int = 5, base_min_cluster_size: int = 2, noise_level: float = 0.2, approx_n_clusters: int = 18, seed: int = 0, limit: int | None = None) -> DataFrame | None:
+def clusters(df: DataFrame, column: str = "embedding", n_neighbors: int = 40, min_samples: int = 5, base_min_cluster_size: int = 2, noise_level: float = 0.2, approx_n_clusters: int = 18, limit: int | None = None) -> DataFrame | None:
     """roi_index, cluster: ids from 0 by descending size (then least roi), -1 for noise; None if there are too few rows."""
     rows = df.filter(F.col(column).isNotNull()).select("roi_index", column)
     if limit is not None:
@@ -101,7 +99,7 @@ def clusters(df: DataFrame, column: str = "embedding", n_neighbors: int = 40, mi
     if n < max(10, n_neighbors + 1):
         return None
     units = cut(rows.select("roi_index", unit(column, mean_vector(rows, column).first()["mean"]).alias("u")), "units")
-    near = cut(neighbours(units, n_neighbors, seed), "neighbours")
+    near = cut(neighbours(units, n_neighbors), "neighbours")
     nth = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     core = near.withColumn("_r", nth).filter(F.col("_r") == min(min_samples, n_neighbors)).select(F.col("a").alias("node"), F.col("d").alias("core"))
     top = core.agg(F.percentile("core", F.lit(1 - noise_level)).alias("q")).first()["q"]

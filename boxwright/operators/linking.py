@@ -11,9 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boxwright.functions import boxes, labels
+from boxwright.operators.mutations import dense_ids
 from boxwright.operators.vectors import dot, mean_vector, unit
 from boxwright.session import cut
 
@@ -25,12 +25,13 @@ CELL = 256
 def frame_ranks(df: DataFrame, camera: str | None = None) -> DataFrame:
     """camera, image_path, frame: dense rank by video and frame number (nulls first), then image.
 
-    Ranks are of distinct frames, not boxes.
+    Ranks are of distinct frames, not boxes, and dealt out by range.
     """
     cam = F.col(camera) if camera else F.lit("camera")
     frames = df.select(cam.alias("camera"), "video_path", "frame_number", "image_path").distinct()
-    order = Window.partitionBy("camera").orderBy(F.col("video_path").asc_nulls_first(), F.col("frame_number").asc_nulls_first(), "image_path")
-    return frames.withColumn("frame", F.dense_rank().over(order))
+    placed = dense_ids(frames, ["camera", "video_path", "frame_number", "image_path"], name="_nth")
+    first = placed.groupBy("camera").agg(F.min("_nth").alias("_first"))
+    return placed.join(first, "camera").withColumn("frame", (F.col("_nth") - F.col("_first") + 1).cast("int")).drop("_nth", "_first")
 
 
 def _link_frames(pdf: pd.DataFrame, iou_min: float, alpha: float, retire: int) -> pd.DataFrame:
@@ -127,38 +128,41 @@ def same_spot_pairs(medians: DataFrame, overlap: float = SAME_SPOT, cell: int =
     return near.select("camera", "a", "b", "n_a", "n_b").distinct()
 
 
+def _number(track: str) -> tuple:
+    """Order of tracks: by number, those that were split off after all others."""
+    head, _, rest = track.partition("/")
+    return bool(rest), (int(head), "") if head.isdigit() else (0, head), rest
+
+
 def _merge(pairs: pd.DataFrame, frames: pd.DataFrame, min_frames: int, together: float) -> pd.DataFrame:
-    """Greedy union, most alike first: big tracks with each other, then small ones with the best big group."""
-    sets = {t: set(f) for t, f in zip(frames["track"], frames["frames"], strict=True)}
-    root = {t: t for t in sets}
-
-    def top(t: str) -> str:
-        while root[t] != t:
-            t = root[t]
-        return t
-
-    pairs = pairs.sort_values(["cosine", "a", "b"], ascending=[False, True, True], kind="stable")
-    big = {t for t, n in [*zip(pairs["a"], pairs["n_a"], strict=True), *zip(pairs["b"], pairs["n_b"], strict=True)] if n >= min_frames}
-    small: dict[str, list[str]] = {}
-    for a, b in zip(pairs["a"], pairs["b"], strict=True):
-        if a in big and b in big:
-            x, y = top(a), top(b)
-            if x != y and len(sets[x] & sets[y]) <= together * min(len(sets[x]), len(sets[y])):
-                keep, drop = (x, y) if len(sets[x]) >= len(sets[y]) else (y, x)
-                root[drop] = keep
-                sets[keep] |= sets[drop]
-        elif (a in big) != (b in big):
-            small.setdefault(b if a in big else a, []).append(a if a in big else b)
-    for s in sorted(small):
-        for b in small[s]:
-            g = top(b)
-            if len(sets[s] & sets[g]) <= together * len(sets[s]):
-                root[s] = g
-                sets[g] |= sets[s]
-                break
+    """Groups of tracks, most alike first: big ones with each other, then each small one with the best big group."""
+    seen = {t: set(f) for t, f in zip(frames["track"], frames["frames"], strict=True)}
+    home, crew = {t: t for t in seen}, {t: [t] for t in seen}
+
+    def absorb(host: str, guest: str) -> None:
+        for t in crew[guest]:
+            home[t] = host
+        crew[host] += crew.pop(guest)
+        seen[host] |= seen.pop(guest)
+
+    rows = []
+    for a, b, n_a, n_b, cosine in pairs[["a", "b", "n_a", "n_b", "cosine"]].itertuples(index=False):
+        (a, n_a), (b, n_b) = sorted(((a, n_a), (b, n_b)), key=lambda x: _number(x[0]))
+        rows.append((-cosine, _number(a), _number(b), a, b, n_a >= min_frames, n_b >= min_frames))
+    choices: dict[str, list[str]] = {}
+    for *_, a, b, a_big, b_big in sorted(rows):
+        if a_big != b_big:
+            choices.setdefault(b if a_big else a, []).append(a if a_big else b)
+        elif a_big and home[a] != home[b]:
+            host, guest = sorted((home[a], home[b]), key=lambda t: -len(seen[t]))
+            if len(seen[host] & seen[guest]) <= together * len(seen[guest]):
+                absorb(host, guest)
+    for piece in sorted(choices, key=_number):
+        fits = (home[t] for t in choices[piece] if len(seen[piece] & seen[home[t]]) <= together * len(seen[piece]))
+        if host := next(fits, None):
+            absorb(host, piece)
     cam = frames["camera"].iloc[0] if len(frames) else None
-    moved = [(cam, t, top(t)) for t in root if top(t) != t]
-    return pd.DataFrame(moved, columns=["camera", "track", "into"])
+    return pd.DataFrame([(cam, t, host) for t, host in home.items() if t != host], columns=["camera", "track", "into"])
 
 
 def merge_fragments(rows: DataFrame, units: DataFrame, similarity: float = MERGE, min_frames: int = MIN_FRAMES, together: float = TOGETHER) -> DataFrame:
@@ -176,9 +180,9 @@ def merge_fragments(rows: DataFrame, units: DataFrame, similarity: float = MERGE
 
 
 def kept(rows: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
-    """roi_index, fixture, and the row: tracks of enough boxes, numbered from 0 by camera and track."""
+    """roi_index, fixture, and the row: tracks of enough boxes, numbered from 0 by camera and first box."""
     sized = rows.filter("track is not null").groupBy("camera", "track").agg(F.count("*").alias("_n"), F.min("roi_index").alias("_first")).filter(F.col("_n") >= min_frames)
-    numbered = sized.withColumn("fixture", F.row_number().over(Window.orderBy("camera", "_first")) - 1).drop("_n", "_first")
+    numbered = dense_ids(sized, ["camera", "_first"], name="fixture").drop("_n", "_first")
     return rows.join(numbered, ["camera", "track"])
 
 
@@ -188,29 +192,53 @@ def fixture_info(rows: DataFrame) -> DataFrame:
     return rows.groupBy("fixture").agg(F.max_by("roi_index", F.struct(key, -F.col("roi_index"))).alias("rep_roi_index"), F.count("*").alias("n"), F.min_by("image_path", F.struct("frame", "roi_index")).alias("first_image"), F.max_by("image_path", F.struct("frame", "roi_index")).alias("last_image"))
 
 
+def _in_frames(df: DataFrame, camera: str | None) -> DataFrame:
+    """Narrow rows of all boxes with camera and frame; a frame is a video, a number and an image, each null or not."""
+    key = ["video_path", "frame_number", "image_path"]
+    frames = frame_ranks(df, camera).select(F.col("camera").alias("_camera"), "frame", *(F.col(c).alias(f"_{c}") for c in key))
+    rows = df.select((F.col(camera) if camera else F.lit("camera")).alias("camera"), *key, "roi_index", "confidence", F.coalesce(labels.review_label(), F.lit("")).alias("lab"), *boxes.SIDES)
+    met = F.col("camera").eqNullSafe(F.col("_camera"))
+    for c in key:
+        met &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(frames, met).select("camera", "frame", "roi_index", "image_path", "confidence", "lab", *boxes.SIDES)
+
+
 def fixtures(df: DataFrame, camera: str | None = None, column: str = "embedding", min_frames: int = MIN_FRAMES) -> dict[str, DataFrame]:
-    """The whole run: ``fixtures``, ``fixture_info`` and the boxes with their track through each stage."""
-    frames = frame_ranks(df, camera)
-    on = ["image_path"]
-    cam = F.col(camera) if camera else F.lit("camera")
-    rows = df.withColumn("camera", cam).join(frames.select("camera", "frame", *on).distinct(), ["camera", *on])
-    narrow = rows.select("camera", "frame", "roi_index", "image_path", "confidence", F.coalesce(labels.review_label(), F.lit("")).alias("lab"), *boxes.SIDES)
-    tracks = link(narrow).select("camera", "roi_index", F.col("track").cast("string").alias("track"))
+    """The whole run: ``fixtures``, ``fixture_info``, the boxes that are kept (``rows``) and ``coverage``."""
+    narrow = cut(_in_frames(df, camera), "frames")
+    linked = cut(link(narrow).select("camera", "roi_index", F.col("track").cast("string").alias("track")), "linked")
     units = unit_vectors(df, column)
+    none = F.lit(0).cast("bigint")
+    counts = [narrow.agg(F.count("*").alias("boxes"))]
     if units is not None:
-        typical = typicality(tracks, units)
-        tracks = tracks.join(typical, "roi_index", "left").withColumn("track", F.when(~(F.coalesce(F.col("typicality"), F.lit(1.0)) < MIN_TYPICAL), F.col("track"))).drop("typicality")
-        tracks = split_labels(tracks.filter("track is not null"), narrow.select("roi_index", "lab"), units, SPLIT, min_frames).filter("track is not null")
-        into = merge_fragments(narrow.join(tracks, ["camera", "roi_index"]), units, MERGE, min_frames)
-        tracks = tracks.join(into, ["camera", "track"], "left").select("camera", "roi_index", F.coalesce("into", "track").alias("track"))
-        tracks = tracks.join(typicality(tracks, units), "roi_index", "left")
+        units = cut(units, "units")
+        typical = linked.join(typicality(linked, units), "roi_index", "left")
+        stray = F.coalesce(F.col("typicality"), F.lit(1.0)) < MIN_TYPICAL
+        like = cut(typical.filter(~stray).drop("typicality"), "like")
+        parts = cut(split_labels(like, narrow.select("roi_index", "lab"), units, SPLIT, min_frames), "parts")
+        tracks = parts.filter("track is not null")
+        placed = narrow.join(tracks, ["camera", "roi_index"])
+        into = cut(merge_fragments(placed, units, MERGE, min_frames), "into")
+        joined = tracks.join(into, ["camera", "track"], "left")
+        moved = joined.filter("into is not null").groupBy("camera", "track").agg(F.count("*").alias("n"))
+        tracks = joined.select("camera", "roi_index", F.coalesce("into", "track").alias("track"))
+        tracks = cut(tracks.join(typicality(tracks, units), "roi_index", "left"), "tracks")
+        big = F.col("n") >= min_frames
+        counts += [typical.agg(F.count_if(stray).alias("intruders")), parts.agg(F.count_distinct(F.when(F.col("track").contains("/"), F.struct("camera", "track"))).alias("split"), F.count_if(F.col("track").isNull()).alias("split_left"))]
+        counts += [moved.agg(F.count_if(big).alias("merged"), F.coalesce(F.sum(F.when(~big, F.col("n"))), none).alias("attached"))]
     else:
-        tracks = tracks.withColumn("typicality", F.lit(None).cast("double"))
+        tracks = linked.withColumn("typicality", F.lit(None).cast("double"))
+        counts += [narrow.agg(*(F.coalesce(F.max(none), none).alias(c) for c in ("intruders", "split", "split_left", "merged", "attached")))]
     found = kept(narrow.join(tracks, ["camera", "roi_index"]), min_frames)
-    return {"fixtures": found.select("roi_index", "fixture", "typicality"), "fixture_info": fixture_info(found), "rows": found}
-
-
-def coverage(df: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
-    """Fixtures, boxes kept and their share of all."""
-    kept_ = found["fixtures"].agg(F.count_distinct("fixture").alias("fixtures"), F.count("*").alias("kept"))
-    return kept_.crossJoin(F.broadcast(df.agg(F.count("*").alias("boxes")))).withColumn("percent", F.round(100.0 * F.col("kept") / F.col("boxes"), 1))
+    counts.append(found.agg(F.count_distinct("fixture").alias("fixtures"), F.count("*").alias("kept")))
+    out = {"fixtures": found.select("roi_index", "fixture", "typicality"), "fixture_info": fixture_info(found), "rows": found}
+    return out | {"coverage": coverage(counts)}
+
+
+def coverage(counts: list[DataFrame]) -> DataFrame:
+    """One row: fixtures, boxes kept and their share of all; boxes unlike their fixture; groups split off and boxes
+    of smaller ones left; tracks merged; boxes of small pieces attached. Each table in ``counts`` has one row."""
+    row = counts[0].withColumn("_one", F.lit(1))
+    for c in counts[1:]:
+        row = row.join(c.withColumn("_one", F.lit(1)), "_one")
+    return row.select("fixtures", "kept", "boxes", F.round(100.0 * F.col("kept") / F.nullif("boxes", F.lit(0)), 1).alias("percent"), "intruders", "split", "split_left", "merged", "attached")

@@ -57,11 +57,17 @@ def insert_roi(df: DataFrame, rows: DataFrame) -> DataFrame:
     return append(df, new, ["image_path", "label", *boxes.SIDES])
 
 
-def append(df: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows appended with consecutive ids after the highest, in the given order; missing columns are null."""
+def next_rows(df: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows as ``df`` has them, with consecutive ids after its highest, in the given order; missing columns are null."""
     start = df.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).alias("n")).first()["n"]
     numbered = dense_ids(rows, order, start).withColumn("roi_index", F.col("id"))
-    return df.unionByName(numbered.select(*(F.col(c).cast(df.schema[c].dataType) for c in numbered.columns if c in df.columns)), allowMissingColumns=True)
+    have = set(numbered.columns)
+    return numbered.select(*((F.col(c) if c in have else F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in df.columns))
+
+
+def append(df: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` and the new rows of ``next_rows``."""
+    return df.unionByName(next_rows(df, rows, order))
 
 
 def dense_ids(rows: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:

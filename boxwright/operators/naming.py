@@ -21,14 +21,16 @@ def stem_map(images: DataFrame) -> DataFrame:
     return named
 
 
-def check_unique(named: DataFrame) -> None:
+def check_unique(named: DataFrame) -> DataFrame:
+    """The same names, or an error if two images would be written under one."""
     clash = named.groupBy("dest").count().filter("count > 1").limit(3).collect()
     if clash:
         raise ValueError("names are not unique: " + ", ".join(r["dest"] for r in clash))
+    return named
 
 
 def manifest(images: DataFrame) -> DataFrame:
-    return stem_map(images).select(F.col("image_path").alias("source_path"), F.concat("dest", boxes.suffix(boxes.path_name(F.col("image_path")))).alias("dest_filename")).orderBy("source_path")
+    return check_unique(stem_map(images)).select(F.col("image_path").alias("source_path"), F.concat("dest", boxes.suffix(boxes.path_name(F.col("image_path")))).alias("dest_filename")).orderBy("source_path")
 
 
 def class_table(rows: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
@@ -95,7 +97,7 @@ def yolo_files(rows: DataFrame, names: DataFrame) -> DataFrame:
     """path, content: one label file an image."""
     line = yolo_line()
     per = rows.groupBy("image_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    return per.join(names, "image_path").select(F.concat("dest", F.lit(".txt")).alias("path"), F.concat("text", F.lit("\n")).alias("content"))
+    return per.join(check_unique(names), "image_path").select(F.concat("dest", F.lit(".txt")).alias("path"), F.concat("text", F.lit("\n")).alias("content"))
 
 
 def pinned_images(images: DataFrame, pins: DataFrame) -> DataFrame:
@@ -109,8 +111,9 @@ def pinned_images(images: DataFrame, pins: DataFrame) -> DataFrame:
 def splits(images: DataFrame, train: int, val: int, test: int, seed: int, pins: DataFrame | None = None) -> DataFrame:
     """image_path, dest, split: max(pinned, int(N t%)) test, int(N v%) validation, the rest training.
 
-    The order is by a seeded hash of the name; the cut-off hashes are found by a
-    bounded top-k over hashes, so no task ranks all images. Pinned ones are test.
+    The order is by a seeded hash of the name. Where it is cut is found by counts of
+    hash prefixes, and only images of one prefix are put in order, so nothing
+    ranks all images. Pinned ones are test.
     """
     if min(train, val, test) < 0 or train + val + test != 100 or any(int(x) != x for x in (train, val, test)):
         raise ValueError("ratios are three whole numbers that sum to 100")
@@ -125,7 +128,17 @@ def splits(images: DataFrame, train: int, val: int, test: int, seed: int, pins:
     free = marked.filter(~F.col("_pin")).select("_h", "dest")
 
     def bound(k: int) -> tuple | None:
-        return None if k <= 0 else free.orderBy("_h", "dest").offset(min(k, n - pinned) - 1).limit(1).first()
+        """The k-th image: by two counts of 65,536 prefixes at most, then among those that share 32 bits."""
+        if k <= 0 or n == pinned:
+            return None
+        left, some = min(k, n - pinned), free
+        for bits in (48, 32):
+            for prefix, size in sorted((r["p"], r["count"]) for r in some.groupBy(F.shiftright("_h", bits).alias("p")).count().collect()):
+                if left <= size:
+                    some = some.filter(F.shiftright("_h", bits) == prefix)
+                    break
+                left -= size
+        return some.orderBy("_h", "dest").offset(left - 1).limit(1).first()
 
     key = F.struct("_h", "dest")
     below = lambda b: F.lit(False) if b is None else key <= F.struct(F.lit(b["_h"]).cast("bigint").alias("_h"), F.lit(b["dest"]).alias("dest"))
@@ -169,7 +182,7 @@ def voc_files(objects: DataFrame, names: DataFrame) -> DataFrame:
     head = F.concat(tag("folder", xml_text(boxes.path_parent(path))), tag("filename", xml_text(boxes.path_name(path))), tag("path", xml_text(path)))
     size = F.concat(F.lit("<size>"), tag("width", F.col("width")), tag("height", F.col("height")), F.lit("<depth>3</depth></size>"))
     text = F.concat(F.lit("<annotation>"), head, size, "objects", F.lit("</annotation>\n"))
-    return per.join(names, "image_path").select(F.concat("dest", F.lit(".xml")).alias("path"), text.alias("content"))
+    return per.join(check_unique(names), "image_path").select(F.concat("dest", F.lit(".xml")).alias("path"), text.alias("content"))
 
 
 ID_COLUMNS = "index,label,confidence,center_x,center_y,lon,lat,depth,tl_x,tl_y,tr_x,tr_y,br_x,br_y,bl_x,bl_y"
@@ -227,22 +240,27 @@ def gallery_pages(crops: DataFrame, title: str = "Gallery") -> DataFrame:
 
 
 def write_files(files: DataFrame, root: str) -> tuple[int, int]:
-    """One file a row of (path, content), written by the executors under a folder they share; (written, failed)."""
+    """One file a row of (path, content), written by the executors; (written, failed).
 
-    def put(batches):
-        import os
+    ``root`` is a folder that they share, on any file system that Arrow knows (a
+    local or mounted path, file:, hdfs:, s3:, gs:, abfs:); another is an error.
+    A file appears under its name when it is whole.
+    """
 
+    def put(batches):
         import pandas as pd
+        from pyarrow import fs
 
+        system, base = fs.FileSystem.from_uri(root)
         for pdf in batches:
             done = 0
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                full = f"{base.rstrip('/')}/{path.lstrip('/')}"
                 try:
-                    full = os.path.join(root, path.lstrip("/"))
-                    os.makedirs(os.path.dirname(full), exist_ok=True)
-                    with open(full + ".part", "w", encoding="utf-8") as f:
-                        f.write(content)
-                    os.replace(full + ".part", full)
+                    system.create_dir(full.rpartition("/")[0], recursive=True)
+                    with system.open_output_stream(full + ".part") as f:
+                        f.write(content if isinstance(content, bytes) else content.encode())
+                    system.move(full + ".part", full)
                     done += 1
                 except OSError:
                     pass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +19,25 @@ def images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def crops(pictures: DataFrame, rows: DataFrame) -> DataFrame:
-    """roi_index, width, height, channels, data of each box cut from its image; boxes outside have no bytes."""
-
-    @F.pandas_udf("struct<w:int,h:int,data:binary>")
-    def run(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
-        out = []
-        for d, w, h, c, a, b, e, f in zip(data, width, height, channels, x0, y0, x1, y1, strict=True):
-            a, e, b, f = max(0, int(a)), min(int(w), int(e)), max(0, int(b)), min(int(h), int(f))
-            part = np.frombuffer(d, np.uint8).reshape(h, w, c)[b : max(b, f), a : max(a, e)]
-            out.append((part.shape[1], part.shape[0], part.tobytes()))
-        return pd.DataFrame(out, columns=["w", "h", "data"])
-
-    met = rows.select("roi_index", "image_path", *boxes.SIDES).join(pictures, "image_path")
-    return met.select("roi_index", "channels", run("data", "width", "height", "channels", *boxes.SIDES).alias("c")).select("roi_index", F.col("c.w").alias("width"), F.col("c.h").alias("height"), "channels", F.col("c.data").alias("data"))
+    """roi_index, width, height, channels, data of each box cut from its image; boxes outside have no bytes.
+
+    The boxes of an image travel together, and the image once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for image, w, h, c, found in zip(pdf["data"], pdf["width"], pdf["height"], pdf["channels"], pdf["found"], strict=True):
+                px = np.frombuffer(image, np.uint8).reshape(h, w, c)
+                for box in found:
+                    a, b, e, f = max(0, int(box["x_min"])), max(0, int(box["y_min"])), min(int(w), int(box["x_max"])), min(int(h), int(box["y_max"]))
+                    part = px[b : max(b, f), a : max(a, e)]
+                    out.append((box["roi_index"], part.shape[1], part.shape[0], c, part.tobytes()))
+            yield pd.DataFrame(out, columns=["roi_index", "width", "height", "channels", "data"])
+
+    found = rows.groupBy("image_path").agg(F.collect_list(F.struct("roi_index", *(F.col(s).cast("double").alias(s) for s in boxes.SIDES))).alias("found"))
+    kind = rows.schema["roi_index"].dataType.simpleString()
+    return found.join(pictures, "image_path").select("found", "width", "height", "channels", "data").mapInPandas(run, f"roi_index {kind}, width int, height int, channels int, data binary")
 
 
 def sharpness_of(data: bytes, width: int, height: int, channels: int) -> float:

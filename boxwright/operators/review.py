@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.functions import boxes, labels
+from boxwright.session import cut
+
+#: Rows up to which a page comes from a top-k.
+FRONT = 10_000
 
 
 def count_rows(df: DataFrame, **filters) -> DataFrame:
@@ -82,13 +86,29 @@ def next_id(df: DataFrame) -> DataFrame:
 def page(df: DataFrame, sorts: list[tuple[str, bool | None]], offset: int, size: int, **filters) -> DataFrame:
     """``size`` rows from ``offset`` on, with their rank.
 
-    Only ids and sort keys are sorted, by a bounded top-k; the page's rows are
-    then fetched by id. The page goes to each task, being of the size asked for.
+    Only ids and sort keys are sorted. Pages near the front come from a bounded
+    top-k; for later ones the keys are dealt out by range, and only the parts that
+    the page lies in are put in order. The page's rows are then fetched by id; the
+    page goes to each task, being of the size asked for.
     """
     kept = df.filter(labels.review_filter(**filters))
     order = labels.sort_columns(sorts)
-    top = kept.orderBy(*order).limit(offset + size).select("id", *(c for c in ("new_label", "label", "image_name", "sharpness", "confidence", *boxes.SIDES) if c in df.columns))
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter(F.col("rank") > offset).select("id", "rank")
+    keys = kept.select("id", *(c for c in ("new_label", "label", "image_name", "sharpness", "confidence", *boxes.SIDES) if c in df.columns))
+    first = 0
+    if offset + size <= FRONT:
+        top = keys.orderBy(*order).limit(offset + size)
+    else:
+        dealt = cut(keys.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "pages")
+        parts, before = [], 0
+        for part, n in sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect()):
+            if before < offset + size and before + n > offset:
+                parts.append((part, before))
+            before += n
+        first = parts[0][1] if parts else 0
+        offset -= first
+        top = dealt.filter(F.col("_part").isin([p for p, _ in parts])).drop("_part").orderBy(*order).limit(offset + size)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter(F.col("rank") > offset)
+    ranked = ranked.select("id", (F.col("rank") + first).alias("rank"))
     return df.join(F.broadcast(ranked), "id").orderBy("rank")
 
 

@@ -34,7 +34,7 @@ def run(store: Store, detections: DataFrame | None, scorer: Callable[[pd.DataFra
                 store.write(predictions=mutations.write_clusters(table, clustering.named_clusters(table, found)))
         else:
             table = store.read("predictions")
-            names = naming.stem_map(table)
+            names = naming.check_unique(naming.stem_map(table))
             out["voc"] = naming.voc_files(naming.voc_objects(table, sizes), names)
             out["html"] = naming.gallery_pages(naming.gallery_rows(table))
     return out

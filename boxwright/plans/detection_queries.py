@@ -531,7 +531,8 @@ def size_mismatch(spark, sf):
 
 def _folder(spark, content: DataFrame) -> str:
     """The files of (path, content) in a new folder that all tasks share."""
-    root = scratch_path(spark, "files").removeprefix("file://").removeprefix("file:")
+    root = scratch_path(spark, "files")
+    root = root if "://" in root else "file://" + root.removeprefix("file:")
     naming.write_files(content, root)
     return root
 
@@ -582,27 +583,24 @@ def _pictures(spark, sf):
     import struct
     import zlib
 
-    root = scratch_path(spark, "pictures").removeprefix("file://").removeprefix("file:")
     rows = pred(spark, sf).select("id", "roi_index", _sequence().alias("seq"))
 
     def draw(batches):
-        import os
-
         import numpy as np
+        import pandas as pd
 
         for pdf in batches:
-            os.makedirs(root, exist_ok=True)
+            out = []
             for seq in pdf["seq"]:
                 px = ((np.add.outer(np.arange(48) * 7, np.arange(64) * 5) + int(seq)) % 251).astype(np.uint8)
                 part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
                 data = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 64, 48, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(b"".join(b"\0" + r.tobytes() for r in px))) + part(b"IEND", b"")
-                with open(f"{root}/{seq}.png", "wb") as f:
-                    f.write(data)
-            yield pdf[["seq"]]
+                out.append((f"{seq}.png", data))
+            yield pd.DataFrame(out, columns=["path", "content"])
 
-    rows.select("seq").distinct().mapInPandas(draw, "seq string").count()
+    root = _folder(spark, rows.select("seq").distinct().mapInPandas(draw, "path string, content binary"))
     i = F.col("id")
-    found = rows.select("roi_index", F.concat(F.lit(root + "/"), "seq", F.lit(".png")).alias("image_path"), (i % 50).alias("x_min"), (i % 40).alias("y_min"), (i % 50 + 3 + i % 20).alias("x_max"), (i % 40 + 2 + i % 11).alias("y_max"))
+    found = rows.select("roi_index", F.concat(F.lit(root.removeprefix("file://") + "/"), "seq", F.lit(".png")).alias("image_path"), (i % 50).alias("x_min"), (i % 40).alias("y_min"), (i % 50 + 3 + i % 20).alias("x_max"), (i % 40 + 2 + i % 11).alias("y_max"))
     return root, found
 
 
@@ -622,18 +620,30 @@ def sharpness(spark, sf):
     return pixels.sharpness(pixels.crops(pixels.images(spark, root), rows))
 
 
+def _scorer64(pdf):
+    return [[float(i * (k + 1) % 7) for k in range(64)] for i in pdf["id"]]
+
+
 @query()
 def run_curation(spark, sf):
-    """Ingest, vectors and export of the whole table through a store."""
+    """Ingest, vectors, clusters and exports of all embedded boxes through a store, in two runs."""
     from boxwright.plans import chain
     from boxwright.store import Store
 
+    i = F.col("roi_index")
+    rows = _embedded(spark, sf).withColumns({"id": i, "image_path": F.format_string("/survey/dive_%d/img_%06d.png", (i % 3), F.expr("roi_index div 8")), "embedding": F.when(i % 9 != 4, F.col("embedding")), "verified": F.lit(1), "confidence": F.lit(0.5).cast("float")})
+    corners = dict(zip(boxes.SIDES, (i % 50, i % 40, i % 50 + 20, i % 40 + 10), strict=True))
+    rows = schema.ensure_columns(rows.drop("cluster").withColumns({s: c.cast("float") for s, c in corners.items()}))
+    sizes = rows.select("image_path", F.lit(1920).alias("width"), F.lit(1080).alias("height")).distinct()
     store = Store(spark, scratch_path(spark, "chain"))
-    chain.run(store, pred(spark, sf), _scorer, [], view(spark, sf, "image_sizes"), last="embed")
-    return store.read("predictions").agg(F.count("*").alias("n"), F.count("embedding").alias("n_vectors"))
+    chain.run(store, rows, _scorer64, [], sizes, last="embed")
+    out = chain.run(store, None, _scorer64, [], sizes, first="cluster", last="export")
+    table = store.read("predictions").agg(F.count("*").alias("n"), F.count("embedding").alias("n_vectors"), F.count("evoc_clust").alias("n_clustered"), F.count_if(F.col("new_label").isNotNull()).alias("n_named"))
+    return table.withColumn("n_pages", out["html"].agg(F.count("*").alias("n")).scalar())
+
 
+ORACLES["run_curation"] = "SELECT count(*) AS n, count(*) AS n_vectors, count(*) AS n_clustered, count(*) AS n_named, CAST((count(DISTINCT (vec_id % 3, vec_id // 8)) + 249) // 250 AS BIGINT) AS n_pages FROM embeddings"
 
-ORACLES["run_curation"] = oracle("SELECT count(*) AS n, count(*) AS n_vectors FROM predictions")
 
 
 # Vectors
@@ -760,7 +770,32 @@ def fixture_split(spark, sf):
 def fixture_merge(spark, sf):
     rows, units = _given_vectors(spark, sf)
     pieces = rows.withColumn("track", F.concat_ws("/", "track", F.floor(F.col("frame") / 100).cast("string")))
-    return linking.merge_fragments(pieces, units)
+    into = linking.merge_fragments(pieces, units)
+    placed = pieces.select("camera", "slot", "track").distinct().join(into, ["camera", "track"], "left")
+    return placed.groupBy("camera", "slot").agg(F.count("*").alias("pieces"), F.count_distinct(F.coalesce("into", "track")).alias("fixtures"))
+
+
+# Pieces of one slot stand in one spot in different frames and look alike; no two slots share a spot.
+ORACLES["fixture_merge"] = oracle("SELECT camera, CAST(slot AS INT) AS slot, count(DISTINCT floor(frame / 100.0)) AS pieces, CAST(1 AS BIGINT) AS fixtures FROM linked_boxes WHERE slot < 9 GROUP BY 1, 2")
+
+
+def _survey(spark, sf):
+    """The linked boxes as a detection table of their own, frames without a video among them."""
+    rows = view(spark, sf, "linked_boxes").join(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"), "vec_id")
+    video = F.when(F.col("camera") == "cam_0", F.lit("/survey/cam_0.mp4"))
+    image = F.concat_ws("/", F.lit("/survey"), "camera", F.lpad(F.col("frame").cast("string"), 7, "0"))
+    return rows.withColumns({"image_path": image, "video_path": video, "frame_number": F.when(video.isNotNull(), F.col("frame")), "new_label": F.lit(None).cast("string")})
+
+
+@query()
+def fixtures_run(spark, sf):
+    found = linking.fixtures(_survey(spark, sf), "camera")
+    return found["fixture_info"]
+
+
+@query()
+def fixture_coverage(spark, sf):
+    return linking.fixtures(_survey(spark, sf), "camera")["coverage"]
 
 
 _MAJORITY = f"""SELECT fixture, lab AS label, k, n, n_unverified, k_unverified FROM (SELECT fixture, coalesce({REVIEW}, '') AS lab, count(*) AS k, count(*) FILTER (WHERE {OPEN}) AS k_unverified, CAST(sum(count(*)) OVER (PARTITION BY fixture) AS BIGINT) AS n, CAST(sum(count(*) FILTER (WHERE {OPEN})) OVER (PARTITION BY fixture) AS BIGINT) AS n_unverified,

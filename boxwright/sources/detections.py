@@ -69,7 +69,8 @@ def representatives(observations: DataFrame, mode: str = "best-conf-third", thir
 
 
 def track_rows(observations: DataFrame, mode: str = "best-conf-third", preset: str = "curate", least: int | None = None) -> DataFrame:
-    """One row a track, with the majority class and the track's length."""
+    """One row a track, with the majority class and the track's length; observations below the preset's confidence don't count."""
+    observations = observations.filter(F.col("confidence").cast("double") >= PRESETS[preset][1])
     best = representatives(observations, mode).drop("class_id").join(track_majority(observations), ["video_path", "track_id"])
     return long_tracks(best, preset, least)
 

@@ -64,7 +64,7 @@ def yolo_boxes(spark: SparkSession, root: str, names: DataFrame, limit: int | No
     if limit is not None:
         rows = rows.orderBy("annotation_path").limit(limit)
     lines = rows.select("annotation_path", F.posexplode_outer(F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("line", "text"))
-    v = F.transform(F.slice(F.split("text", r"\s+"), 2, 10_000), lambda x: x.try_cast("double"))
+    v = F.transform(F.expr(r"slice(split(text, '\\s+'), 2, greatest(size(split(text, '\\s+')) - 1, 0))"), lambda x: x.try_cast("double"))
     parts = lines.select("annotation_path", "line", "text", F.get(F.split("text", r"\s+"), F.lit(0)).try_cast("int").alias("class_id"), v.alias("v"))
     n = F.size("v")
     polygon = (n >= 6) & (n % 2 == 0)

@@ -1,46 +1,81 @@
-"""Versioned tables: Parquet folders and a pointer to the current one."""
+"""Versioned tables: Parquet folders and numbered pointers to the current ones."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 class Store:
-    """``<root>/<table>/v=<n>`` with ``CURRENT`` written last, so readers see whole versions only."""
+    """``<root>/<table>/v=<n>``, and ``<root>/CURRENT-<k>`` that name the folders of each table.
+
+    A pointer is written under another name and renamed when it is whole; the
+    highest number counts. So a writer that dies at any point leaves the last
+    whole state, and readers never see a part of one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
+    def _path(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[int]:
+        p, fs = self._path(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removeprefix("CURRENT-")) for n in names if n.startswith("CURRENT-") and n.removeprefix("CURRENT-").isdigit())
+
+    def _folders(self) -> tuple[int, dict[str, list[str]]]:
+        """Number of the current pointer, and the folders of each table."""
+        numbers = self._pointers()
+        if not numbers:
+            return -1, {}
+        text = self.spark.read.text(f"{self.root}/CURRENT-{numbers[-1]}", wholetext=True).first()["value"]
+        return numbers[-1], json.loads(text)
+
+    def _point(self, after: int, folders: dict[str, list[str]]) -> None:
+        part, fs = self._path(f"{self.root}/.CURRENT-{after + 1}.part")
+        out = fs.create(part, True)
+        out.write(json.dumps(folders, sort_keys=True).encode())
+        out.close()
+        new, _ = self._path(f"{self.root}/CURRENT-{after + 1}")
+        if not fs.rename(part, new):
+            raise RuntimeError(f"another writer made {new} first")
+        for old in self._pointers()[:-2]:
+            fs.delete(self._path(f"{self.root}/CURRENT-{old}")[0], False)
+
     def versions(self) -> dict[str, int]:
-        pointer = f"{self.root}/CURRENT"
-        p, fs = self._fs(pointer)
-        if not fs.exists(p):
-            return {}
-        return {r["value"].split("=")[0]: int(r["value"].split("=")[1]) for r in self.spark.read.text(pointer).collect()}
+        """The last whole version of each table."""
+        return {t: max(int(f.split("=")[1]) for f in of if f.startswith("v=")) for t, of in self._folders()[1].items()}
 
     def exists(self, table: str) -> bool:
-        return table in self.versions()
+        return table in self._folders()[1]
 
     def read(self, table: str) -> DataFrame:
-        version = self.versions().get(table)
-        if version is None:
+        folders = self._folders()[1].get(table)
+        if folders is None:
             raise FileNotFoundError(f"no table {table} in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{table}/v={version}")
+        return self.spark.read.parquet(*(f"{self.root}/{table}/{f}" for f in folders))
 
     def write(self, **tables: DataFrame) -> None:
         """Write new versions of some tables and make them current in one step."""
-        now = self.versions()
+        last, folders = self._folders()
         for name, df in tables.items():
-            now[name] = now.get(name, -1) + 1
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={now[name]}")
-        p, fs = self._fs(f"{self.root}/CURRENT")
-        part, _ = self._fs(f"{self.root}/CURRENT.part")
-        out = fs.create(part, True)
-        out.write("".join(f"{k}={v}\n" for k, v in sorted(now.items())).encode())
-        out.close()
-        fs.delete(p, False)
-        fs.rename(part, p)
+            n = max((int(f.split("=")[1]) for f in folders.get(name, []) if f.startswith("v=")), default=-1) + 1
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={n}")
+            folders[name] = [f"v={n}"]
+        self._point(last, folders)
+
+    def append(self, table: str, rows: DataFrame, batch: str) -> None:
+        """Add rows to a table as a folder of their own. A batch that is there already is left alone."""
+        last, folders = self._folders()
+        name = f"{folders[table][0].replace('=', '-')}-batch={batch}"
+        if name in folders[table]:
+            return
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{name}")
+        self._point(last, folders | {table: [*folders[table], name]})
+
+    def has_batch(self, table: str, batch: str) -> bool:
+        return any(f.endswith(f"-batch={batch}") for f in self._folders()[1].get(table, []))

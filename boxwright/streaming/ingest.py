@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.operators.mutations import append, skip_existing
+from boxwright.operators.mutations import next_rows, skip_existing
 from boxwright.store import Store
 
 
-def incremental(spark: SparkSession, source: str, schema: str, store: Store, checkpoint: str, order: list[str], table: str = "predictions", files_per_batch: int = 1) -> None:
+def incremental(spark: SparkSession, source: str, schema: str, store: Store, checkpoint: str, order: list[str], table: str = "predictions", files_per_batch: int = 1, known_images: bool = False) -> None:
     """Take up what is new under ``source`` and stop.
 
-    Each batch drops images that the table has already, numbers its rows on
-    from the highest id, and becomes current as a whole; a batch that is run
-    again after a failure finds its images present and adds nothing.
+    Each batch numbers its rows on from the highest id and is appended as files of
+    its own; what the table has is not written again. The checkpoint takes each
+    file once, and a batch that is run again after a failure is found by its name.
+    Rows of one image may lie in several files. ``known_images`` drops rows of images
+    that the table had when the run began, for files delivered a second time.
     """
+    before = store.read(table).select("image_path").distinct() if known_images else None
 
-    def take(batch: DataFrame, _: int) -> None:
-        have = store.read(table)
-        store.write(**{table: append(have, skip_existing(batch, have), order)})
+    def take(batch: DataFrame, number: int) -> None:
+        if store.has_batch(table, str(number)):
+            return
+        rows = batch if before is None else skip_existing(batch, before)
+        store.append(table, next_rows(store.read(table), rows, order), str(number))
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -182,6 +182,183 @@ def test_id_gallery_and_label_files(spark):
     assert text["path"] == "a.txt" and text["content"] == "1 0.287500 0.525000 0.425000 0.550000\n0 0.100000 0.200000 0.200000 0.400000\n"
 
 
+def test_store_survives_a_crash_and_appends(spark, monkeypatch):
+    root = scratch_path(spark, "store")
+    store = Store(spark, root)
+    store.write(t=spark.range(3))
+    for step in ("create", "rename"):
+        with monkeypatch.context() as m:
+            whole = Store._path
+
+            def broken(self, path, whole=whole, step=step):
+                p, fs = whole(self, path)
+
+                class Failing:
+                    def __getattr__(self, name):
+                        if name == step:
+                            raise OSError("gone")
+                        return getattr(fs, name)
+
+                return p, Failing()
+
+            m.setattr(Store, "_path", broken)
+            with pytest.raises(OSError):
+                store.write(t=spark.range(50))
+        assert Store(spark, root).read("t").count() == 3
+    store.append("t", spark.range(3, 5), "0")
+    store.append("t", spark.range(900, 910), "0")  # there already
+    store.append("t", spark.range(5, 6), "1")
+    assert sorted(r["id"] for r in store.read("t").collect()) == list(range(6)) and store.has_batch("t", "1") and not store.has_batch("t", "2")
+    store.write(t=store.read("t").filter("id > 3"))
+    store.append("t", spark.range(77, 78), "0")
+    assert sorted(r["id"] for r in store.read("t").collect()) == [4, 5, 77]
+
+
+def test_stream_keeps_all_rows_of_an_image_in_two_files(spark):
+    from boxwright.streaming.ingest import incremental
+
+    root, cols = scratch_path(spark, "stream"), "id int, roi_index int, image_path string, label string"
+    store = Store(spark, f"{root}/store")
+    store.write(predictions=df(spark, [(4, 4, "/old.png", "x")], cols))
+    for k, label in enumerate("ab"):
+        df(spark, [(None, None, "/one.png", f"{label}{i}") for i in range(3)], cols).coalesce(1).write.parquet(f"{root}/in/{k}")
+    df(spark, [(None, None, "/old.png", "again")], cols).coalesce(1).write.parquet(f"{root}/in/2")
+    for _ in range(2):
+        incremental(spark, f"{root}/in/*", cols, store, f"{root}/checkpoint", ["image_path", "label"], known_images=True)
+    got = store.read("predictions").collect()
+    assert sorted((r["image_path"], r["label"]) for r in got) == [("/old.png", "x")] + [("/one.png", f"{a}{i}") for a in "ab" for i in range(3)]
+    assert sorted(r["id"] for r in got) == list(range(4, 11)) and all(r["id"] == r["roi_index"] for r in got)
+
+
+def test_scratch_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from boxwright import session
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: Cluster.conf)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Cluster)
+
+
+def test_late_pages_and_splits_need_no_top_k_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(review, "FRONT", 10)
+    t = df(spark, [(i, f"/i{i % 7}.png", (i * 37) % 101 / 100, None if i % 5 else "x", "b", 0) for i in range(1000)], "id int, image_path string, confidence double, new_label string, label string, verified int")
+    whole = [r["id"] for r in t.orderBy(*labels.sort_columns([("confidence", True)])).collect()]
+    for offset in (0, 7, 500, 985, 1000):
+        got = review.page(t, [("confidence", True)], offset, 25).collect()
+        assert [r["id"] for r in got] == whole[offset : offset + 25] and [r["rank"] for r in got] == list(range(offset + 1, min(1000, offset + 25) + 1))
+    images = df(spark, [(f"/s/{i}.png", f"{i}") for i in range(500)], "image_path string, dest string")
+    asked = []
+    monkeypatch.setattr(type(images), "limit", lambda self, n, f=type(images).limit: asked.append(n) or f(self, n))
+    got = naming.splits(images, 70, 20, 10, 3)
+    order = [r["dest"] for r in images.orderBy(F.xxhash64("dest", F.lit(3)), "dest").collect()]
+    assert {r["split"]: r["n"] for r in got.groupBy("split").agg(F.count("*").alias("n")).collect()} == {"test": 50, "val": 100, "train": 350}
+    assert {r["dest"] for r in got.filter("split = 'test'").collect()} == set(order[:50]) and set(asked) == {1}
+
+
+def test_polygons_of_any_length(spark, tmp_path):
+    points = " ".join(f"0.{1 + i % 3} 0.2" for i in range(6000))
+    (tmp_path / "a.txt").write_text(f"0 {points} 0.9 0.8\n")
+    r = files.yolo_boxes(spark, str(tmp_path), df(spark, [(0, "x")], "idx int, name string")).first()
+    assert abs(r["w"] - 0.8) < 1e-9 and abs(r["h"] - 0.6) < 1e-9
+
+
+def test_names_that_clash_are_an_error(spark):
+    same = df(spark, [("/a/b/x.png",), ("/c/b/x.jpg",)], "image_path string")
+    with pytest.raises(ValueError, match="b_x"):
+        naming.manifest(same)
+
+
+def test_write_files_counts_failures(spark, tmp_path):
+    files_ = df(spark, [("a/b.txt", "one"), ("c.txt", "two"), ("a/b.txt/d.txt", "a file stands there")], "path string, content string").coalesce(1)
+    assert naming.write_files(files_.orderBy("path"), f"file://{tmp_path}") == (2, 1)
+    assert (tmp_path / "a/b.txt").read_text() == "one" and not list(tmp_path.rglob("*.part"))
+
+
+def test_exact_neighbours_in_parts(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    v = r.normal(size=(300, 5))
+    v[200:220] = v[:20]  # ties
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = clustering.neighbours(df(spark, [(i, x.tolist()) for i, x in enumerate(v)], "roi_index int, u array<double>"), 4, side_rows=70).collect()
+    d = np.sqrt(np.clip(2 - 2 * v @ v.T, 0, None))
+    np.fill_diagonal(d, np.inf)
+    expected = {(i, round(x, 6)) for i in range(300) for x in np.sort(d[i])[:4]}
+    assert len(got) == 1200 and {(x["a"], round(x["d"], 6)) for x in got} == expected
+
+
+def test_crops_and_sharpness_known_answers(spark):
+    import numpy as np
+
+    px = np.arange(6 * 8, dtype=np.uint8).reshape(6, 8)
+    pictures = df(spark, [("/p.png", 8, 6, 1, bytearray(px.tobytes()))], "image_path string, width int, height int, channels int, data binary")
+    rows = df(spark, [(1, "/p.png", 2.0, 1.0, 5.0, 4.0), (2, "/p.png", -3.0, -3.0, 2.9, 1.5), (3, "/p.png", 20.0, 20.0, 30.0, 30.0)], "roi_index int, image_path string, x_min float, y_min float, x_max float, y_max float")
+    got = {r["roi_index"]: r for r in pixels.crops(pictures, rows).collect()}
+    assert bytes(got[1]["data"]) == px[1:4, 2:5].tobytes() and (got[1]["width"], got[1]["height"]) == (3, 3)
+    assert bytes(got[2]["data"]) == px[0:1, 0:2].tobytes() and bytes(got[3]["data"]) == b""
+    spot = np.zeros((5, 5), np.uint8)
+    spot[2, 2] = 10
+    # The Laplacian is -40 at the spot, 10 at its four neighbours, 0 elsewhere.
+    assert abs(pixels.sharpness_of(spot.tobytes(), 5, 5, 1) - (1600 + 4 * 100) / 25) < 1e-9
+
+
+def _pairs(*rows):
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=["camera", "a", "b", "n_a", "n_b", "cosine"])
+
+
+def test_merge_takes_the_most_alike_first_and_small_pieces_by_number():
+    import pandas as pd
+
+    seen = {"2": range(0, 50), "10": range(50, 90), "3": range(40, 60), "11": range(200, 205), "4": range(205, 208), "1/b": range(300, 400)}
+    frames = pd.DataFrame([("c", t, list(f)) for t, f in seen.items()], columns=["camera", "track", "frames"])
+    pairs = _pairs(("c", "10", "2", 40, 50, 0.95), ("c", "2", "3", 50, 20, 0.99), ("c", "10", "3", 40, 20, 0.97), ("c", "11", "2", 5, 50, 0.91), ("c", "11", "10", 5, 40, 0.93), ("c", "2", "4", 50, 3, 0.92), ("c", "11", "4", 5, 3, 0.99), ("c", "1/b", "10", 100, 40, 0.9))
+    got = {r.track: r.into for r in linking._merge(pairs, frames, 20, 0.05).itertuples()}
+    # 2 and 3 share ten frames, as do 10 and 3; 2 and 10 join, then all go to the larger 1/b; pieces join what 10 and 2 are part of.
+    assert got == {"2": "1/b", "10": "1/b", "11": "1/b", "4": "1/b"}
+
+
+def test_fixtures_from_end_to_end(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    looks = np.eye(8)
+    rows, want = [], {}
+    for frame in range(60):
+        for slot in range(4):
+            if slot == 3 and 20 <= frame < 58:  # away for longer than it is remembered: two tracks, the second a short piece
+                continue
+            i = len(rows)
+            stray = slot == 0 and frame == 30  # something else on the spot
+            look = looks[7] if stray else looks[slot] + r.normal(0, 0.01, 8)
+            x = 100 * slot + frame % 2
+            rows.append((i, f"/s/{frame}.png", None if frame % 2 else "/v.mp4", frame if frame % 2 == 0 else None, float(x), 10.0, float(x + 60), 60.0, 0.5, "a" if slot < 3 else "b", None, look.tolist()))
+            want[i] = None if stray else slot
+    t = df(spark, rows, "roi_index int, image_path string, video_path string, frame_number int, x_min float, y_min float, x_max float, y_max float, confidence float, label string, new_label string, embedding array<float>")
+    ranks = linking.frame_ranks(t)
+    assert ranks.count() == 60 and sorted(x["frame"] for x in ranks.collect()) == list(range(1, 61))
+    found = linking.fixtures(t, min_frames=15)
+    groups = {}
+    for x in found["fixtures"].collect():
+        groups.setdefault(x["fixture"], set()).add(x["roi_index"])
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i, s in want.items() if s == k) for k in range(4))
+    got = found["coverage"].first().asDict()
+    n = len(rows)
+    assert got["boxes"] == n and got["kept"] == n - 1 and got["fixtures"] == 4 and got["intruders"] == 1 and got["split"] == 0 and got["percent"] == round(100 * (n - 1) / n, 1)
+    info = {x["fixture"]: x for x in found["fixture_info"].collect()}
+    assert all(info[f]["n"] == len(ids) for f, ids in groups.items())
+
+
+def test_track_rows_by_preset(spark):
+    obs = df(spark, [("/v.mp4", t, f, 1.0, 1.0, 5.0, 5.0, 0.1 * f, f % 2, 1.0) for t, n in ((1, 3), (2, 10)) for f in range(n)], "video_path string, track_id int, frame_number int, x_min double, y_min double, x_max double, y_max double, confidence double, class_id int, sharpness double")
+    got = {r["track_id"]: r for r in detections.track_rows(obs, "best-conf", least=4).collect()}
+    assert set(got) == {2} and got[2]["frame_number"] == 9 and got[2]["class_id"] == 1 and got[2]["track_length"] == 9
+
+
 def test_store_swaps_versions(spark):
     store = Store(spark, scratch_path(spark, "store"))
     with pytest.raises(FileNotFoundError):
