@@ -10,7 +10,7 @@ of its words are left is rejected; the others go on without the lines.
 A document is told apart by its id and text: copies under ids of their own count
 each, a row that stands twice counts once. Texts are read once for the measures and hashes,
 which are kept as narrow rows; all counts and joins are on those. Texts meet
-only the verdicts, in a join that Spark broadcasts where they are few.
+only the verdicts, which a count of them lets go to each task, or else in a shuffle join.
 
 DataFrame functions only. Counts are combined before each shuffle, frequent
 lines meet the line rows in a join that Spark can split by size, and no line's
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm.native import let
+from boxwright.llm.verdicts import few
 from boxwright.session import cut
 
 MIN_DOCS = 10
@@ -161,7 +162,7 @@ def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_
     gone = lost(rows.filter("not base_failed"), frequent_lines(rows, min_docs, max_share, max_docs))
     failed = rows.filter("base_failed").select("key").distinct()
     verdicts = failed.select("key", F.lit(True).alias("out"), F.lit(None).cast("array<int>").alias("places")).union(gone.select("key", "depleted", "places"))
-    verdicts = cut(verdicts, "verdicts").select(F.col("key").alias("__key"), F.col("out").alias("__out"), F.col("places").alias("__places"))
+    verdicts = few(cut(verdicts, "verdicts")).select(F.col("key").alias("__key"), F.col("out").alias("__out"), F.col("places").alias("__places"))
     kept = docs.withColumn("__of", key(docs)).join(verdicts, F.col("__of") == F.col("__key"), "left").filter(~F.coalesce("__out", F.lit(False)))
     changed = F.col("__places").isNotNull()
     text = F.when(changed, _without(F.col("text"), F.col("__places"))).otherwise(F.col("text"))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.components import connected_components
+from boxwright.llm.verdicts import few
 from boxwright.session import cut
 
 SHINGLE = 3
@@ -178,15 +179,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component stays: of its least id (null last), and of those the one whose text has the least hash.
 
     Of rows that agree in id and text, one stays, whichever Spark meets first. All
-    columns stay. Documents meet the chosen keys in one join, by the hash of id and
-    text; its order also serves the last choice. An empty table stays empty.
+    columns stay. Documents meet narrow verdicts, by the hash of id and text, on
+    those that go or stand several times; only the latter are put side by side, in
+    two steps, so that very many equal rows are no single task. An empty table stays empty.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("__key"), "text")
     prints = cut(fingerprints(keyed, "__key"), "fingerprints")
     named = _named(prints).select("fp", "component")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
-    chosen = prints.join(named, "fp").groupBy("component").agg(F.min(rank).alias("x")).select(F.xxhash64("x.doc_id", "x.__key").alias("__chosen"))
-    rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.xxhash64("text")))
-    kept = rows.join(cut(chosen.distinct(), "chosen"), F.col("__row") == F.col("__chosen"))
-    first = Window.partitionBy("__chosen").orderBy("__chosen")
-    return kept.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    chosen = prints.join(named, "fp").groupBy("component").agg(F.min(rank).alias("x")).select(F.xxhash64("x.doc_id", "x.__key").alias("__of"), F.lit(True).alias("__stays")).distinct()
+    rows_of = prints.groupBy(F.xxhash64("doc_id", "__key").alias("__of")).agg(F.count("*").alias("__n"))
+    verdicts = rows_of.join(chosen, "__of", "left").select("__of", "__n", F.coalesce("__stays", F.lit(False)).alias("__stays")).filter("not __stays or __n > 1")
+    verdicts = cut(verdicts, "verdicts")
+    met = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.xxhash64("text"))).join(few(verdicts), F.col("__row") == F.col("__of"), "left").filter(F.coalesce("__stays", F.lit(True)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if verdicts.filter("__stays and __n > 1").limit(1).count() == 0:
+        return met.select(*columns)
+    several = met.filter("__n > 1").withColumn("__salt", F.monotonically_increasing_id() % 64)
+    for by in (("__row", "__salt"), ("__row",)):
+        first = F.row_number().over(Window.partitionBy(*by).orderBy("__row"))
+        several = several.withColumn("__nth", first).filter("__nth = 1").drop("__nth")
+    return met.filter("__n is null or __n = 1").select(*columns).unionAll(several.select(*columns))

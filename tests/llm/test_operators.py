@@ -74,6 +74,21 @@ def test_keep_one_keeps_one_row_of_each_component(docs, rows):
     assert kept.filter("doc_id = 3").count() == 1
 
 
+def test_filters_do_not_hang_on_the_way_they_join(docs, rows, monkeypatch, spark):
+    from boxwright.llm import verdicts
+
+    wide = docs.union(docs).union(docs.filter("doc_id is null"))
+    here = [quality.keep_good(wide, 2, 0.01, 5), simhash.keep_one(wide)]
+    expected = [as_set(x) for x in here]
+    monkeypatch.setattr(verdicts.few, "__defaults__", (0,))
+    assert [as_set(quality.keep_good(wide, 2, 0.01, 5)), as_set(simhash.keep_one(wide))] == expected
+    groups = {c for _, _, c in brute.components([(r[0], r[1]) for r in rows])}
+    assert len(expected[1]) == len(groups) and len(expected[0]) > 0
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "long text " * 300_000), (2, "long text " * 300_000), (3, "a b c")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(long).select("doc_id").collect()) == [1, 3]
+
+
 def test_quality_measures(docs, rows, empty):
     got = {(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.digests(docs).collect()}
     assert got == {(r[0], *brute.quality(r[1])) for r in rows}
