@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from boxwright.llm import chunks
-from boxwright.llm.memory import give_back
+from boxwright.llm.memory import give_back, small_batches
 from boxwright.llm.tokens import encoder, pieces_by_id
 
 CHUNK_CHARS = 12_000_000
@@ -134,6 +134,7 @@ def encode(docs: DataFrame, spec: str, finish: Callable[[list, list[list[bytes]]
     as little-endian unsigned 32-bit integers. Rows of ``schema``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", "text")
     asked = texts.mapInArrow(_chunk_pass(spec, n, chunk_chars, True), chunks.CODED).select("chunk", "part", "payload")

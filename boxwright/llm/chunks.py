@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxwright.llm.memory import small_batches
 from boxwright.session import drop_path, scratch_path
 
 DOC, OWN, ASK = 0, 1, 2
@@ -97,6 +98,7 @@ def code_documents(docs: DataFrame, split: Callable[[], Callable[[str], list]],
             yield from flush()
 
     spark = docs.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     docs.select("doc_id", "text").mapInArrow(run, CODED).write.partitionBy("kind").option("compression", "none").parquet(path)
     return Coded(spark, path)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boxwright.llm.memory import give_back, small_batches
 from boxwright.session import cut
 
 WINDOW = 10
@@ -137,6 +138,7 @@ def _sets(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, st
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = SET_WORDS) -> DataFrame:
     """``docs`` with ``__found``: words, merged hit spans (in words) and items of each text."""
     spark = docs.sparkSession
+    small_batches(spark)
     names, at_text = docs.columns, docs.columns.index("text")
     out = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("found", F.lit(None).cast(FOUND))
     at = len(names)
@@ -157,6 +159,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most:
                     cols = list(b.columns)
                     cols[at] = pa.array(new, b.schema.field(at).type)
                     yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+            give_back()
 
         if not first:
             out = cut(out, "hits")

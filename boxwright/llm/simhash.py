@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.components import connected_components
+from boxwright.llm.memory import give_back, small_batches
 from boxwright.llm.verdicts import few
 from boxwright.session import cut
 
@@ -64,7 +65,9 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in more), pa.array(fp)], names=["doc_id", *more, "fp"])
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", *more, "text").mapInArrow(run, "".join(f"`{c}` bigint, " for c in ("doc_id", *more)) + "fp bigint")
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm import chunks
+from boxwright.llm.memory import small_batches
 from boxwright.llm.suffix_array import suffix_array
 from boxwright.session import cut, scratch_path
 
@@ -359,6 +360,7 @@ def _kept_text(doc_rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
 
 def _run(docs: DataFrame, finish, schema: str, chunk_bytes: int) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     n = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "repeat-chunks")
     docs.select("doc_id", "text").mapInArrow(_chunk_rows(n, chunk_bytes), chunks.CODED).write.partitionBy("kind").option("compression", "none").parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxwright.llm.memory import give_back
+from boxwright.llm.memory import give_back, small_batches
 from boxwright.llm.prefix import offsets
 from boxwright.llm.tokens import encoder, slices
 from boxwright.session import cut
@@ -34,6 +34,7 @@ def lengths(docs: DataFrame, spec: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(enc.encode(some.column("text"))[1])], names=["n_tokens"])
         give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "n_tokens bigint")
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm.memory import give_back
+from boxwright.llm.memory import give_back, small_batches
 from boxwright.llm.prefix import offsets
 from boxwright.llm.tokens import encoder, slices
 
@@ -57,6 +57,7 @@ def write_tokens(docs: DataFrame, path: str, spec: str, end_id: int, group_bytes
                 start += int(ends[-1])
         give_back()
 
+    small_batches(docs.sparkSession)
     order = ["doc_id", "_tie"]
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("_tie")
     options = {
