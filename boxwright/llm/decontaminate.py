@@ -197,7 +197,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.5,
         return pd.Series([t if t is None or not len(a) else without_words(t, list(zip(a, b, strict=True))) for t, a, b in zip(text, begins, ends, strict=True)], dtype=object)
 
     kept = f.withColumn("__hit", hit).filter(F.col("__hit") <= F.col("__found.n_words") * most_hit)
-    kept = kept.withColumn("text", F.when(F.col("__hit") > 0, cut_spans("text", "__found.begins", "__found.ends")).otherwise(F.col("text")))
+    kept = kept.withColumn("text", F.when(F.col("__hit") > 0, cut_spans(F.when(F.col("__hit") > 0, F.col("text")), "__found.begins", "__found.ends")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("__hit") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
