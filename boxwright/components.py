@@ -34,10 +34,10 @@ def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[low[out]]), pa.array(nodes[out])], names=["a", "b"])
 
 
-def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
+def connected_components(links: DataFrame, name: str = "components", stars: bool = False) -> DataFrame:
     """(node, component) for every node that has a link; component is its least node.
 
-    ``links`` has long columns a, b. Rounds of large and small stars: each node
+    ``links`` has long columns a, b; ``stars`` says that ``local_stars`` made them. Rounds of large and small stars: each node
     passes its neighbours to the least node it sees, until only stars are left.
     Both steps aggregate a minimum, which is combined before the shuffle, so a
     node with very many neighbours costs no single task. Each round is written
@@ -52,7 +52,8 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
         stats = out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return out, path, tuple(stats)
 
-    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").mapInArrow(local_stars, "a bigint, b bigint").distinct()
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
+    edges = (edges if stars else edges.mapInArrow(local_stars, "a bigint, b bigint")).distinct()
     edges, path, before = write(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
