@@ -189,13 +189,13 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
     return encode(docs, spec, finish, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def token_ids(docs: DataFrame, spec: str) -> DataFrame:
+def token_ids(docs: DataFrame, spec: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id and its ids as ``array<int>``."""
 
     def finish(doc_ids: list, of_words: list[list[bytes]], pieces: list[bytes]) -> pd.DataFrame:
         return pd.DataFrame({"doc_id": _ids(doc_ids), "ids": [np.frombuffer(b"".join(w), "<i4") for w in of_words]})
 
-    return encode(docs, spec, finish, "doc_id bigint, ids array<int>")
+    return encode(docs, spec, finish, "doc_id bigint, ids array<int>", chunk_chars)
 
 
 def decode(rows: DataFrame, spec: str) -> DataFrame:

@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,18 +134,24 @@ def _sets(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, st
         yield [(r["item"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = SET_WORDS) -> DataFrame:
-    """``docs`` with ``__found``: words, merged hit spans (in words) and items of each text."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = SET_WORDS, cut_text: bool = False) -> DataFrame:
+    """``docs`` with ``__found``: words, merged hit spans (in words) and items of each text.
+
+    ``cut_text`` takes the spans out of the texts, in the same pass that finds the last of them.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     names, at_text = docs.columns, docs.columns.index("text")
     out = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("found", F.lit(None).cast(FOUND))
     at = len(names)
     schema, first = out.schema, True
-    for items in _sets(benchmark, most):
+    sets = _sets(benchmark, most)
+    items = next(sets, None)
+    while items is not None:
+        following = next(sets, None)
         grams = spark.sparkContext.broadcast(Grams(items, window))
 
-        def run(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], grams=grams, cutting=cut_text and following is None) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for i in range(0, whole.num_rows, 1000):
                     b = whole.slice(i, 1000)
@@ -158,12 +163,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most:
                         new.append({"n_words": len(w), "begins": [a for a, _ in spans], "ends": [e for _, e in spans], "items": sorted(names, key=lambda x: (x is None, x or ""))})
                     cols = list(b.columns)
                     cols[at] = pa.array(new, b.schema.field(at).type)
+                    if cutting and any(x["begins"] for x in new):
+                        texts = [without_words(t, list(zip(x["begins"], x["ends"], strict=True))) if x["begins"] else t for t, x in zip(b.column(at_text).to_pylist(), new, strict=True)]
+                        cols[at_text] = pa.array(texts, b.schema.field(at_text).type)
                     yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
             give_back()
 
         if not first:
             out = cut(out, "hits")
-        out, first = out.mapInArrow(run, schema), False
+        out, first, items = out.mapInArrow(run, schema), False, following
     return out.toDF(*names, "__found")
 
 
@@ -189,15 +197,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.5,
 
     All columns stay; where ``n_chars`` is one, it follows the text.
     """
-    f = find_hits(docs, benchmark, window)
+    f = find_hits(docs, benchmark, window, cut_text=True)
     hit = F.aggregate(F.arrays_zip("__found.begins", "__found.ends"), F.lit(0), lambda n, s: n + s["ends"] - s["begins"])
-
-    @F.pandas_udf("string")
-    def cut_spans(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not len(a) else without_words(t, list(zip(a, b, strict=True))) for t, a, b in zip(text, begins, ends, strict=True)], dtype=object)
-
     kept = f.withColumn("__hit", hit).filter(F.col("__hit") <= F.col("__found.n_words") * most_hit)
-    kept = kept.withColumn("text", F.when(F.col("__hit") > 0, cut_spans(F.when(F.col("__hit") > 0, F.col("text")), "__found.begins", "__found.ends")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("__hit") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxwright.components import connected_components
+from boxwright.components import connected_components, local_stars
 from boxwright.llm.memory import give_back, small_batches
 from boxwright.llm.verdicts import few
 from boxwright.session import cut
@@ -153,13 +153,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(points: DataFrame) -> DataFrame:
     """(a, b): links that connect what is within the threshold; ``points`` has distinct fp."""
     placed = points.select("fp").mapInArrow(_to_anchors, "anchor bigint, fp bigint")
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_links, "a bigint, b bigint")
+    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: local_stars(_links(batches)), "a bigint, b bigint")
 
 
 def _named(prints: DataFrame) -> DataFrame:
     """fp, component (its least fingerprint), component_id (its least doc_id), one row a distinct fp."""
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    of = connected_components(links(points), "simhash")
+    of = connected_components(links(points), "simhash", stars=True)
     placed = points.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     placed = cut(placed, "components")
     least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
