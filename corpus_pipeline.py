@@ -14,6 +14,10 @@ from boxwright.llm import bpe, decontaminate, pii, quality, queries, simhash
 from boxwright.session import cut
 
 
+#: Executors also hold what the stages before have left, so chunks are smaller than the operator's own; words then travel more often.
+CHUNK_CHARS = 5_000_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality.keep_good(docs)
@@ -36,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of the whole text."""
-    rows = bpe.token_ids(docs, queries.spec())
+    rows = bpe.token_ids(docs, queries.spec(), CHUNK_CHARS)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
