@@ -13,8 +13,13 @@ hash, which the string alone decides, so equal strings have equal anchors.
 3. The chunk marks each string that starts in a document with a smaller id,
    and with it its bytes.
 An anchor whose surroundings are all the same needs no suffix array: its
-strings are all equal. No step holds more than a chunk or a shard; copies of
-surroundings are one row a chunk, so a passage in very many documents is few.
+strings are all equal. Copies of surroundings are one row a chunk.
+An anchor at more than HOT places could have as many different surroundings (the
+border of a passage that very many documents share). Its strings go to the shards
+in pairs of neighbours: the 49 bytes of both are the anchor there, with one byte
+on each side. They spread over all shards by those 49 bytes, and a group of them
+has at most 257 x 257 rows, as many as there are two bytes or borders. So no
+group, and no text of a suffix array, grows with the input.
 
 Null and empty texts have no bytes. Rows with a null id count as after all
 others, and rows with equal ids don't remove each other's bytes. Extra columns
@@ -40,6 +45,9 @@ from boxwright.session import cut, scratch_path
 
 LENGTH, K = 50, 25
 SIDE = LENGTH - K  # bytes of a string besides its anchor
+NEAR = 1  # the same for the strings of an anchor with very many places
+#: Places of an anchor up to which its surroundings stay together.
+HOT = 5_000
 CHUNK_BYTES = 16_000_000
 SEGMENT = 1 << 20
 NULL_ID = 1 << 62
@@ -113,17 +121,18 @@ def _by_shard(h: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
     return np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=n)).tolist()
 
 
-def _shared_in_chunk(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, and whether two documents of the chunk have each."""
+def _shared_in_chunk(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, whether two documents of the chunk have each, and at how many places."""
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
     first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
     other = np.concatenate([[False], (h[1:] == h[:-1]) & (doc[1:] != doc[:-1])]) if len(h) else first
     starts = np.flatnonzero(first)
-    return h[starts], (np.add.reduceat(other.astype(np.int64), starts) > 0) if len(starts) else np.zeros(0, bool)
+    shared = (np.add.reduceat(other.astype(np.int64), starts) > 0) if len(starts) else np.zeros(0, bool)
+    return h[starts], shared, np.diff(np.append(starts, len(h)))
 
 
-def _chunk_rows(n_shards: int, chunk_bytes: int):
+def _chunk_rows(n_shards: int, chunk_bytes: int, hot: int):
     """Documents -> chunks: their bytes, and the hashes of their anchors for the shards."""
     import uuid
 
@@ -137,11 +146,12 @@ def _chunk_rows(n_shards: int, chunk_bytes: int):
             yield chunks.rows(chunk, chunks.DOC, [0], [ids], [chunks.blob((lens, 5), raw=joined, level=9)])
             ends = np.cumsum(lens)
             at, h = anchors(np.frombuffer(joined, np.uint8), ends)
-            h, shared = _shared_in_chunk(h, _doc_of(ends, at))
+            h, shared, places = _shared_in_chunk(h, _doc_of(ends, at))
+            seen = (2 * np.minimum(places, hot + 1) + shared).astype(np.uint64)
             order, stops = _by_shard(h, n_shards)
             for k, (a, b) in enumerate(zip([0, *stops], stops, strict=False)):
                 some = order[a:b]
-                yield chunks.rows(chunk, chunks.ASK, [k], [None], [chunks.blob((np.diff(h[some] >> np.uint64(32), prepend=np.uint64(0)), 4), raw=np.packbits(shared[some]).tobytes())])
+                yield chunks.rows(chunk, chunks.ASK, [k], [None], [chunks.blob((np.diff(h[some] >> np.uint64(32), prepend=np.uint64(0)), 4), (seen[some], 4))])
 
         size = 0
         for batch in batches:
@@ -158,21 +168,28 @@ def _chunk_rows(n_shards: int, chunk_bytes: int):
     return run
 
 
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """A shard: for each chunk, which of its hashes occur in two documents or more."""
-    keys, flags = [], []
-    for payload in rows["payload"]:
-        (steps,), raw = chunks.unblob(payload, 4)
-        keys.append(np.cumsum(steps).astype(np.uint32))
-        flags.append(np.unpackbits(np.frombuffer(raw, np.uint8), count=len(steps)).astype(bool))
-    of, at, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    some = count > 1
-    some[at[np.concatenate(flags)]] = True
-    hit, out, begin = some[at], [], 0
-    for k in keys:
-        out.append(zstandard.ZstdCompressor().compress(np.packbits(hit[begin : begin + len(k)]).tobytes()))
-        begin += len(k)
-    return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "payload": out})
+def _shared(hot: int):
+    """A shard: for each chunk, which of its hashes occur in two documents or more, and which at over ``hot`` places."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, seen = [], []
+        for payload in rows["payload"]:
+            (steps, marks), _ = chunks.unblob(payload, 4, 4)
+            keys.append(np.cumsum(steps).astype(np.uint32))
+            seen.append(marks.astype(np.int64))
+        marks = np.concatenate(seen)
+        of, at, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        some = count > 1
+        some[at[marks % 2 == 1]] = True
+        many = some & (np.bincount(at, weights=marks // 2, minlength=len(of)) > hot)
+        out, begin = [], 0
+        for k in keys:
+            own = at[begin : begin + len(k)]
+            out.append(zstandard.ZstdCompressor().compress(np.packbits(np.concatenate([some[own], many[own]])).tobytes()))
+            begin += len(k)
+        return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "payload": out})
+
+    return run
 
 
 def _documents(rows: pd.DataFrame) -> tuple[list, np.ndarray, bytes]:
@@ -182,8 +199,48 @@ def _documents(rows: pd.DataFrame) -> tuple[list, np.ndarray, bytes]:
     return ids, np.cumsum(lens.astype(np.int64)), joined
 
 
-#: A row for the shards: SIDE bytes, K bytes, SIDE bytes, and how many of the first and last there are.
-WIDE = LENGTH + SIDE + 2
+def _width(side: int) -> int:
+    """Bytes of a row for the shards: those before, of, and after its anchor, and how many of the first and last there are."""
+    return LENGTH + side + 2
+
+
+def _around(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
+    """Rows of the bytes around anchors at some places of documents (their borders), with ``side`` bytes on either hand."""
+    k = LENGTH - side
+    left, right = np.minimum(at - begins, side), np.minimum(ends - at - k, side)
+    padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)])
+    wide = np.empty((len(at), _width(side)), np.uint8)
+    for i in range(0, len(at), 1 << 15):
+        wide[i : i + (1 << 15), :-2] = padded[at[i : i + (1 << 15), None] + np.arange(LENGTH + side)]
+    column = np.arange(LENGTH + side)
+    wide[:, :-2][(column < side - left[:, None]) | (column >= side + k + right[:, None])] = 0
+    wide[:, -2], wide[:, -1] = left, right
+    return wide
+
+
+def _in_pairs(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For anchors with very many places: where the 49 bytes of each two neighbouring strings begin, and their hashes."""
+    places = np.unique(at[:, None] - SIDE + NEAR + (NEAR + 1) * np.arange((SIDE + 1) // (NEAR + 1)))
+    places = places[(places >= 0) & (places + LENGTH - NEAR <= len(data))]
+    doc = _doc_of(ends, places)
+    begin = np.concatenate([[0], ends[:-1]])[doc] if len(ends) else places
+    # Bytes of one document, and room for one string at least.
+    places = places[(places + LENGTH - NEAR <= ends[doc]) & ((places > begin) | (places + LENGTH <= ends[doc]))]
+    h = np.zeros(len(places), np.uint64)
+    for j in range(LENGTH - NEAR):
+        h = (h ^ data[places + j].astype(np.uint64)) * np.uint64(_B)
+        h ^= h >> np.uint64(29)
+    return places, h
+
+
+def _for_shards(wide: np.ndarray, h: np.ndarray, number: np.ndarray, side: int, n_shards: int) -> tuple[np.ndarray, list[tuple[np.ndarray, bytes]]]:
+    """The number of each row among the distinct ones, in order of shard and bytes; and each shard's rows with their least ids."""
+    keyed = np.concatenate([(h % np.uint64(n_shards)).astype(">u4").view(np.uint8).reshape(-1, 4), wide[:, side:LENGTH], wide], axis=1)
+    _, first, which = np.unique(np.ascontiguousarray(keyed).view(f"V{keyed.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    least = np.full(len(first), NULL_ID, np.int64)
+    np.minimum.at(least, which, number)
+    stops = np.cumsum(np.bincount((h[first] % np.uint64(n_shards)).astype(np.int64), minlength=n_shards)).tolist()
+    return which, [(least[a:b].view(np.uint64), np.ascontiguousarray(wide[first[a:b]]).tobytes()) for a, b in zip([0, *stops], stops, strict=False)]
 
 
 def _surroundings(n_shards: int):
@@ -192,36 +249,25 @@ def _surroundings(n_shards: int):
     def run(doc_rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         ids, ends, joined = _documents(doc_rows)
         data = np.frombuffer(joined, np.uint8)
+        numbers, begins = np.array([NULL_ID if i is None else i for i in ids], np.int64), np.concatenate([[0], ends[:-1]])
         at, h = anchors(data, ends)
         distinct = np.unique(h)
         order, stops = _by_shard(distinct, n_shards)
-        hit = np.zeros(len(distinct), bool)
+        hit, many = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
         found = dict(zip(answers["part"], answers["payload"], strict=True))
         for k, (a, b) in enumerate(zip([0, *stops], stops, strict=False)):
-            hit[order[a:b]] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(found[k]), np.uint8), count=b - a).astype(bool)
-        keep = hit[np.searchsorted(distinct, h)]
-        at, h = at[keep], h[keep]
-        doc = _doc_of(ends, at)
-        begins = np.concatenate([[0], ends[:-1]])
-        left, right = np.minimum(at - begins[doc], SIDE), np.minimum(ends[doc] - at - K, SIDE)
-        padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
-        wide = np.empty((len(at), WIDE), np.uint8)
-        for i in range(0, len(at), 1 << 15):
-            wide[i : i + (1 << 15), :-2] = padded[at[i : i + (1 << 15), None] + np.arange(LENGTH + SIDE)]
-        column = np.arange(LENGTH + SIDE)
-        wide[:, :-2][(column < SIDE - left[:, None]) | (column >= SIDE + K + right[:, None])] = 0
-        wide[:, -2], wide[:, -1] = left, right
-        number = np.array([NULL_ID if i is None else i for i in ids], np.int64)[doc] if len(at) else np.zeros(0, np.int64)
-        # One row for equal surroundings, in order of shard and bytes.
-        keyed = np.concatenate([(h % np.uint64(n_shards)).astype(">u4").view(np.uint8).reshape(-1, 4), wide[:, SIDE : SIDE + K], wide], axis=1)
-        _, first, which = np.unique(np.ascontiguousarray(keyed).view(f"V{keyed.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        least = np.full(len(first), NULL_ID, np.int64)
-        np.minimum.at(least, which, number)
-        shard = (h[first] % np.uint64(n_shards)).astype(np.int64)
-        out = [(-1, chunks.blob((np.diff(at, prepend=0).astype(np.uint64), 5), (which.astype(np.uint64), 4)))]
-        stops = np.cumsum(np.bincount(shard, minlength=n_shards)).tolist()
-        for k, (a, b) in enumerate(zip([0, *stops], stops, strict=False)):
-            out.append((k, chunks.blob((least[a:b].view(np.uint64), 8), raw=np.ascontiguousarray(wide[first[a:b]]).tobytes())))
+            bits = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(found[k]), np.uint8), count=2 * (b - a)).astype(bool)
+            hit[order[a:b]], many[order[a:b]] = bits[: b - a], bits[b - a :]
+        place = np.searchsorted(distinct, h)
+        several, alone = many[place], hit[place] & ~many[place]
+        own, sent = [], []
+        for (at, h), side in (((at[alone], h[alone]), SIDE), (_in_pairs(data, ends, at[several]), NEAR)):  # noqa: B020
+            doc = _doc_of(ends, at)
+            which, shards = _for_shards(_around(data, begins[doc], ends[doc], at, side), h, numbers[doc], side, n_shards)
+            own += [(np.diff(at, prepend=0).astype(np.uint64), 5), (which.astype(np.uint64), 4)]
+            sent.append(shards)
+        out = [(-1, chunks.blob(*own))]
+        out += [(k, chunks.blob((a, 8), (b, 8), raw=x + y)) for k, ((a, x), (b, y)) in enumerate(zip(*sent, strict=True))]
         return pd.DataFrame({"chunk": doc_rows["chunk"].iloc[0], "kind": [chunks.OWN if p < 0 else chunks.ASK for p, _ in out], "part": [p for p, _ in out], "payload": [x for _, x in out]})
 
     return run
@@ -237,14 +283,14 @@ def _agreement(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_ids(wide: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """[n, SIDE + 1] for distinct surroundings of anchors: the least id that has each of their strings of LENGTH.
+def least_ids(wide: np.ndarray, least: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """[n, side + 1] for distinct surroundings of anchors: the least id that has each of their strings of LENGTH.
 
     Strings are numbered by where they start; those that a document's border
     cuts off keep their row's own id.
     """
-    out = np.repeat(least[:, None], SIDE + 1, axis=1)
-    centre = np.ascontiguousarray(wide[:, SIDE : SIDE + K]).view(f"V{K}").ravel()
+    out = np.repeat(least[:, None], side + 1, axis=1)
+    centre = np.ascontiguousarray(wide[:, side:LENGTH]).view(f"V{LENGTH - side}").ravel()
     _, group, size = np.unique(centre, return_inverse=True, return_counts=True)
     several = np.flatnonzero(size[group] > 1)
     several = several[np.argsort(group[several], kind="stable")]
@@ -252,32 +298,32 @@ def least_ids(wide: np.ndarray, least: np.ndarray) -> np.ndarray:
     # row shares with others of its group; what is outside, or a shorter
     # stretch, needs no sorting.
     head = group[several].astype(">u4").view(np.uint8).reshape(-1, 4)
-    sides = [np.concatenate([head, side], axis=1) for side in (wide[several, :SIDE][:, ::-1], wide[several, SIDE + K : LENGTH + SIDE])]
-    left, right = (np.clip(_agreement(side) - 4, 0, wide[several, k].astype(np.int64)) for side, k in zip(sides, (-2, -1), strict=True))
-    far = left + right >= SIDE
+    sides = [np.concatenate([head, x], axis=1) for x in (wide[several, :side][:, ::-1], wide[several, LENGTH : LENGTH + side])]
+    left, right = (np.clip(_agreement(x) - 4, 0, wide[several, k].astype(np.int64)) for x, k in zip(sides, (-2, -1), strict=True))
+    far = left + right >= side
     several, left, right = several[far], left[far], right[far]
     while len(several):
-        # Whole groups up to TEXT_SYMBOLS; a larger group is one text.
-        stop = min(len(several), TEXT_SYMBOLS // (2 * SIDE + 2))
+        # Whole groups up to TEXT_SYMBOLS; a larger group is one text, of HOT or 257 x 257 rows at most.
+        stop = min(len(several), TEXT_SYMBOLS // (2 * side + 2))
         while stop < len(several) and group[several[stop]] == group[several[stop - 1]]:
             stop += 1
         rows, several = several[:stop], several[stop:]
         own, lefts, rights = wide[rows], left[:stop], right[:stop]
         left, right = left[stop:], right[stop:]
         # Symbols: 0 ends a row, bytes are 1 to 256, anchors follow.
-        text = np.zeros((len(rows), 2 * SIDE + 2), np.int64)
-        text[:, :SIDE] = own[:, :SIDE].astype(np.int64) + 1
-        text[:, SIDE] = 257 + group[rows]
-        text[:, SIDE + 1 : -1] = own[:, SIDE + K : LENGTH + SIDE].astype(np.int64) + 1
+        text = np.zeros((len(rows), 2 * side + 2), np.int64)
+        text[:, :side] = own[:, :side].astype(np.int64) + 1
+        text[:, side] = 257 + group[rows]
+        text[:, side + 1 : -1] = own[:, LENGTH : LENGTH + side].astype(np.int64) + 1
         column = np.arange(text.shape[1])
-        used = (column >= SIDE - lefts[:, None]) & ((column <= SIDE + rights[:, None]) | (column == text.shape[1] - 1))
+        used = (column >= side - lefts[:, None]) & ((column <= side + rights[:, None]) | (column == text.shape[1] - 1))
         place = np.flatnonzero(used.ravel())
         flat = text.ravel()[place]
         order = place[np.array(suffix_array(flat.tolist()), np.int64)]
         row, start = order // text.shape[1], order % text.shape[1]
-        whole = (start <= SIDE) & (start <= rights[row])
+        whole = (start <= side) & (start <= rights[row])
         row, start = row[whole], start[whole]
-        strings = text.ravel()[(row * text.shape[1] + start)[:, None] + np.arange(SIDE + 1)]
+        strings = text.ravel()[(row * text.shape[1] + start)[:, None] + np.arange(side + 1)]
         first = np.concatenate([[True], (strings[1:] != strings[:-1]).any(1)]) if len(row) else np.zeros(0, bool)
         starts = np.flatnonzero(first)
         low = np.minimum.reduceat(least[rows[row]], starts) if len(starts) else least[:0]
@@ -287,47 +333,48 @@ def least_ids(wide: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
     """A shard: for each chunk's surroundings, how far below its own least id the least of each string is."""
-    own, wides = [], []
-    for payload in rows["payload"]:
-        (least,), raw = chunks.unblob(payload, 8)
-        own.append(least.view(np.int64))
-        wides.append(np.frombuffer(raw, np.uint8).reshape(-1, WIDE))
-    wide, mine = np.concatenate(wides), np.concatenate(own)
-    _, first, which = np.unique(np.ascontiguousarray(wide).view(f"V{WIDE}").ravel(), return_index=True, return_inverse=True)
-    least = np.full(len(first), NULL_ID, np.int64)
-    np.minimum.at(least, which, mine)
-    found = least_ids(wide[first], least)
-    out, begin = [], 0
-    for ids in own:
-        below = ids[:, None] - found[which[begin : begin + len(ids)]]
-        begin += len(ids)
-        out.append(chunks.blob((below.ravel().astype(np.uint64), 8)))
-    return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "payload": out})
+    sent = [chunks.unblob(payload, 8, 8) for payload in rows["payload"]]
+    answers = []
+    for i, side in enumerate((SIDE, NEAR)):
+        own, width, skip = [ids[i].view(np.int64) for ids, _ in sent], _width(side), _width(SIDE)
+        wides = [np.frombuffer(raw, np.uint8, len(mine) * width, i * skip * len(ids[0])).reshape(-1, width) for (ids, raw), mine in zip(sent, own, strict=True)]
+        wide, mine = np.concatenate(wides), np.concatenate(own)
+        _, first, which = np.unique(np.ascontiguousarray(wide).view(f"V{width}").ravel(), return_index=True, return_inverse=True)
+        least = np.full(len(first), NULL_ID, np.int64)
+        np.minimum.at(least, which, mine)
+        found, begin, below = least_ids(wide[first], least, side), 0, []
+        for ids in own:
+            below.append((ids[:, None] - found[which[begin : begin + len(ids)]]).ravel().astype(np.uint64))
+            begin += len(ids)
+        answers.append(below)
+    return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "payload": [chunks.blob((a, 8), (b, 8)) for a, b in zip(*answers, strict=True)]})
 
 
 def _removed(doc_rows: pd.DataFrame, found: pd.DataFrame) -> tuple[list, np.ndarray, bytes, np.ndarray]:
     """Ids, ends, joined bytes and which of them are removed."""
     ids, ends, joined = _documents(doc_rows)
     own = found[found["part"] < 0]["payload"].iloc[0]
-    (steps, which), _ = chunks.unblob(own, 5, 4)
-    at, which = np.cumsum(steps.astype(np.int64)), which.astype(np.int64)
-    answers = found[found["part"] >= 0].sort_values("part")["payload"]
+    places, _ = chunks.unblob(own, 5, 4, 5, 4)
+    answers = [chunks.unblob(payload, 8, 8)[0] for payload in found[found["part"] >= 0].sort_values("part")["payload"]]
+    numbers, begins = np.array([NULL_ID if i is None else i for i in ids], np.int64), np.concatenate([[0], ends[:-1]])
     # Strings that cover a byte: at most LENGTH starts, each by few anchors.
     gone = np.zeros(len(joined) + 1, np.int16)
-    if len(at):
+    for i, side in enumerate((SIDE, NEAR)):
+        at, which = np.cumsum(places[2 * i].astype(np.int64)), places[2 * i + 1].astype(np.int64)
+        if not len(at):
+            continue
         doc = _doc_of(ends, at)
-        number = np.array([NULL_ID if i is None else i for i in ids], np.int64)[doc]
-        begins = np.concatenate([[0], ends[:-1]])
+        number = numbers[doc]
         least = np.full(int(which.max()) + 1, NULL_ID, np.int64)
         np.minimum.at(least, which, number)
         order, base = np.argsort(which, kind="stable"), 0
         placed = which[order]
-        for payload in answers:
-            below = chunks.unblob(payload, 8)[0][0].view(np.int64).reshape(-1, SIDE + 1)
+        for answer in answers:
+            below = answer[i].view(np.int64).reshape(-1, side + 1)
             a, b = np.searchsorted(placed, [base, base + len(below)])
-            for i in range(a, b, 1 << 14):
-                s = order[i : min(b, i + (1 << 14))]
-                start = at[s, None] - SIDE + np.arange(SIDE + 1)
+            for j in range(a, b, 1 << 14):
+                s = order[j : min(b, j + (1 << 14))]
+                start = at[s, None] - side + np.arange(side + 1)
                 inside = (start >= begins[doc[s]][:, None]) & (start + LENGTH <= ends[doc[s]][:, None])
                 begin = start[inside & (least[which[s]][:, None] - below[which[s] - base] < number[s][:, None])]
                 np.add.at(gone, begin, 1)
@@ -358,14 +405,14 @@ def _kept_text(doc_rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "text": texts})
 
 
-def _run(docs: DataFrame, finish, schema: str, chunk_bytes: int) -> DataFrame:
+def _run(docs: DataFrame, finish, schema: str, chunk_bytes: int, hot: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     n = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "repeat-chunks")
-    docs.select("doc_id", "text").mapInArrow(_chunk_rows(n, chunk_bytes), chunks.CODED).write.partitionBy("kind").option("compression", "none").parquet(path)
+    docs.select("doc_id", "text").mapInArrow(_chunk_rows(n, chunk_bytes, hot), chunks.CODED).write.partitionBy("kind").option("compression", "none").parquet(path)
     first = chunks.Coded(spark, path)
-    answers = first.asked().groupBy("part").applyInPandas(_shared, "chunk string, part int, payload binary")
+    answers = first.asked().groupBy("part").applyInPandas(_shared(hot), "chunk string, part int, payload binary")
     path = scratch_path(spark, "repeat-places")
     placed = first.documents().groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_surroundings(n), "chunk string, kind tinyint, part int, payload binary")
     placed.write.partitionBy("kind").option("compression", "none").parquet(path)
@@ -377,11 +424,11 @@ def _run(docs: DataFrame, finish, schema: str, chunk_bytes: int) -> DataFrame:
     return first.documents().groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(finish, schema)
 
 
-def digests(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def digests(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return _run(docs, _digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", chunk_bytes)
+    return _run(docs, _digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", chunk_bytes, hot)
 
 
-def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id and the text that is left; bytes of characters cut in two go as well."""
-    return _run(docs, _kept_text, "doc_id bigint, text string", chunk_bytes).select("doc_id", F.col("text"))
+    return _run(docs, _kept_text, "doc_id bigint, text string", chunk_bytes, hot).select("doc_id", F.col("text"))

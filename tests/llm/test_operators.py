@@ -490,3 +490,15 @@ def test_suffix_dedup_over_borders(spark):
     data = [(i, "".join(r.choice(p)[r.randrange(20) : r.randrange(60, 150)] for _ in range(r.randrange(4)))) for i in range(60)] + [(70, "ab" * 200), (71, "ba" * 90), (72, "é" * 40 + p[0])]
     df = spark.createDataFrame(data, "doc_id bigint, text string")
     assert as_set(suffix_dedup.digests(df, chunk_bytes=900)) == sorted(brute.repeats(data), key=repr)
+
+
+def test_suffix_dedup_of_anchors_at_very_many_places(spark, docs, rows):
+    """The same results where an anchor's strings go to the shards in pairs."""
+    expected = sorted(brute.repeats([(r[0], r[1]) for r in rows]), key=repr)
+    for hot in (0, 3):
+        assert as_set(suffix_dedup.digests(docs, chunk_bytes=4000, hot=hot)) == expected
+    passage = "a passage that every document has, whatever stands around it. " * 2
+    data = [(i, f"{chr(97 + i * 7 % 26) * (i % 5)}{i * i}{passage}{i % 9}{chr(97 + i % 26) * 60}") for i in range(120)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)
+    for hot in (0, 20):
+        assert as_set(suffix_dedup.digests(df, chunk_bytes=2000, hot=hot)) == sorted(brute.repeats(data), key=repr)
