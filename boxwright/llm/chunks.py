@@ -123,8 +123,13 @@ class Coded:
         return self._kind(ASK, "chunk", "part", "payload")
 
     def drop_asked(self) -> None:
-        """Once the answers are written, nothing reads the questions again."""
+        """Once the answers are written, nothing reads the questions again, nor the shuffle files between them.
+
+        Spark removes those when the driver's JVM collects what refers to them, by
+        default every half hour; by then a chain of steps has piled up all of its own.
+        """
         drop_path(self.spark, f"{self.path}/kind={ASK}")
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def documents_of(table: pd.DataFrame) -> tuple[list[int | None], list[np.ndarray]]:
