@@ -267,7 +267,7 @@ def _surroundings(n_shards: int):
             own += [(np.diff(at, prepend=0).astype(np.uint64), 5), (which.astype(np.uint64), 4)]
             sent.append(shards)
         out = [(-1, chunks.blob(*own))]
-        out += [(k, chunks.blob((a, 8), (b, 8), raw=x + y)) for k, ((a, x), (b, y)) in enumerate(zip(*sent, strict=True))]
+        out += [(k, chunks.blob((a, 8), (b, 8), raw=x + y, level=9)) for k, ((a, x), (b, y)) in enumerate(zip(*sent, strict=True))]
         return pd.DataFrame({"chunk": doc_rows["chunk"].iloc[0], "kind": [chunks.OWN if p < 0 else chunks.ASK for p, _ in out], "part": [p for p, _ in out], "payload": [x for _, x in out]})
 
     return run
