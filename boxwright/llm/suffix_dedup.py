@@ -14,9 +14,9 @@ hash, which the string alone decides, so equal strings have equal anchors.
    and with it its bytes.
 An anchor whose surroundings are all the same needs no suffix array: its
 strings are all equal. Copies of surroundings are one row a chunk.
-An anchor at more than HOT places could have as many different surroundings (the
-border of a passage that very many documents share). Its strings go to the shards
-in pairs of neighbours: the 49 bytes of both are the anchor there, with one byte
+An anchor may have very many different surroundings (at the border of a passage that
+very many documents share). If the chunks together count more than HOT of them, its
+strings go to the shards in pairs of neighbours: the 49 bytes of both are the anchor there, with one byte
 on each side. They spread over all shards by those 49 bytes, and a group of them
 has at most 257 x 257 rows, as many as there are two bytes or borders. So no
 group, and no text of a suffix array, grows with the input.
@@ -46,8 +46,10 @@ from boxwright.session import cut, scratch_path
 LENGTH, K = 50, 25
 SIDE = LENGTH - K  # bytes of a string besides its anchor
 NEAR = 1  # the same for the strings of an anchor with very many places
-#: Places of an anchor up to which its surroundings stay together.
+#: Different surroundings of an anchor, summed over the chunks, up to which they stay together.
 HOT = 5_000
+#: Places of an anchor in a chunk up to which each counts as a surrounding of its own.
+FEW = 8
 CHUNK_BYTES = 16_000_000
 SEGMENT = 1 << 20
 NULL_ID = 1 << 62
@@ -132,6 +134,24 @@ def _shared_in_chunk(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[starts], shared, np.diff(np.append(starts, len(h)))
 
 
+def _different(data: np.ndarray, ends: np.ndarray, at: np.ndarray, h: np.ndarray, distinct: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many different surroundings each distinct hash has in the chunk; where its places are FEW, they count."""
+    of = np.searchsorted(distinct, h)
+    some = np.flatnonzero(places[of] > FEW)
+    begins, prints = np.concatenate([[0], ends[:-1]]), np.zeros(len(some), np.uint64)
+    for i in range(0, len(some), 1 << 18):
+        own = at[some[i : i + (1 << 18)]]
+        doc = _doc_of(ends, own)
+        wide = _around(data, begins[doc], ends[doc], own, SIDE)
+        for j in range(0, len(wide), 1 << 14):
+            prints[i + j : i + j + (1 << 14)] = wide[j : j + (1 << 14)].astype(np.uint64) @ _UP[: wide.shape[1]]
+    order = np.lexsort((prints, of[some]))
+    key, prints = of[some][order], prints[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (prints[1:] != prints[:-1])
+    return np.where(places > FEW, np.bincount(key[new], minlength=len(places)), places)
+
+
 def _chunk_rows(n_shards: int, chunk_bytes: int, hot: int):
     """Documents -> chunks: their bytes, and the hashes of their anchors for the shards."""
     import uuid
@@ -145,9 +165,11 @@ def _chunk_rows(n_shards: int, chunk_bytes: int, hot: int):
             joined = b"".join(texts)
             yield chunks.rows(chunk, chunks.DOC, [0], [ids], [chunks.blob((lens, 5), raw=joined, level=9)])
             ends = np.cumsum(lens)
-            at, h = anchors(np.frombuffer(joined, np.uint8), ends)
-            h, shared, places = _shared_in_chunk(h, _doc_of(ends, at))
-            seen = (2 * np.minimum(places, hot + 1) + shared).astype(np.uint64)
+            data = np.frombuffer(joined, np.uint8)
+            at, placed = anchors(data, ends)
+            h, shared, places = _shared_in_chunk(placed, _doc_of(ends, at))
+            different = _different(data, ends, at, placed, h, places)
+            seen = (2 * np.minimum(different, hot + 1) + shared).astype(np.uint64)
             order, stops = _by_shard(h, n_shards)
             for k, (a, b) in enumerate(zip([0, *stops], stops, strict=False)):
                 some = order[a:b]
@@ -169,7 +191,7 @@ def _chunk_rows(n_shards: int, chunk_bytes: int, hot: int):
 
 
 def _shared(hot: int):
-    """A shard: for each chunk, which of its hashes occur in two documents or more, and which at over ``hot`` places."""
+    """A shard: for each chunk, which of its hashes occur in two documents or more, and which have over ``hot`` surroundings."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys, seen = [], []
@@ -219,7 +241,7 @@ def _around(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarr
 
 
 def _in_pairs(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For anchors with very many places: where the 49 bytes of each two neighbouring strings begin, and their hashes."""
+    """For anchors with very many surroundings: where the 49 bytes of each two neighbouring strings begin, and their hashes."""
     places = np.unique(at[:, None] - SIDE + NEAR + (NEAR + 1) * np.arange((SIDE + 1) // (NEAR + 1)))
     places = places[(places >= 0) & (places + LENGTH - NEAR <= len(data))]
     doc = _doc_of(ends, places)

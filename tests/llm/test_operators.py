@@ -502,3 +502,22 @@ def test_suffix_dedup_of_anchors_at_very_many_places(spark, docs, rows):
     df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)
     for hot in (0, 20):
         assert as_set(suffix_dedup.digests(df, chunk_bytes=2000, hot=hot)) == sorted(brute.repeats(data), key=repr)
+
+
+def test_suffix_dedup_counts_different_surroundings():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 200).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 40).astype(np.uint8).tobytes() + passage + rng.integers(97, 123, 40).astype(np.uint8).tobytes() for _ in range(30)] + [passage] * 20
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    at, h = suffix_dedup.anchors(data, ends)
+    distinct, _, places = suffix_dedup._shared_in_chunk(h, np.searchsorted(ends, at, "right"))
+    side, seen = suffix_dedup.SIDE, {}
+    for a, x in zip(at.tolist(), h.tolist(), strict=True):
+        doc = int(np.searchsorted(ends, a, "right"))
+        begin = int(ends[doc]) - len(texts[doc])
+        seen.setdefault(x, []).append((texts[doc][max(0, a - begin - side) : a - begin], texts[doc][a - begin : a - begin + 50]))
+    expected = [len(set(seen[x])) if len(seen[x]) > suffix_dedup.FEW else len(seen[x]) for x in distinct.tolist()]
+    assert suffix_dedup._different(data, ends, at, h, distinct, places).tolist() == expected
+    assert max(places) == 50 and min(expected[i] for i in np.flatnonzero(places == 50)) == 1
+    none = np.zeros(0, np.int64)
+    assert suffix_dedup._different(data[:0], none, none, h[:0], h[:0], none).tolist() == []
