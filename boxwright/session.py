@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, as the session names it.
@@ -28,6 +32,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go when the write that made them ends, not at some later garbage collection.
+
+    For tables that are written once and read from there: nothing reads the
+    shuffle again. Files lost while the write runs are made anew as ever.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -37,7 +56,8 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from boxwright import schema
 from boxwright.functions import boxes, labels
 from boxwright.operators import clustering, linking, mutations, naming, pixels, review, vectors
 from boxwright.plans import detection_queries
-from boxwright.session import scratch_path
+from boxwright.session import SHUFFLE_CLEANUP, cut, scratch_path
 from boxwright.sources import detections, files
 from boxwright.store import Store
 
@@ -399,3 +399,15 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_cut_drops_shuffle_files(spark):
+    def shuffles():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+    numbers = spark.range(5000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    before, setting = shuffles(), spark.conf.get(SHUFFLE_CLEANUP)
+    table = cut(numbers, "shuffled")
+    assert not shuffles() - before and spark.conf.get(SHUFFLE_CLEANUP) == setting
+    assert table.agg(F.sum("n")).first()[0] == 5000 and numbers.count() == 100  # the frame itself can be run again
