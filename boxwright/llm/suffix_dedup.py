@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from boxwright.llm import chunks
 from boxwright.llm.memory import small_batches
 from boxwright.llm.suffix_array import suffix_array
-from boxwright.session import cut, scratch_path
+from boxwright.session import cut, scratch_path, shuffles_dropped
 
 LENGTH, K = 50, 25
 SIDE = LENGTH - K  # bytes of a string besides its anchor
@@ -437,7 +437,8 @@ def _run(docs: DataFrame, finish, schema: str, chunk_bytes: int, hot: int) -> Da
     answers = first.asked().groupBy("part").applyInPandas(_shared(hot), "chunk string, part int, payload binary")
     path = scratch_path(spark, "repeat-places")
     placed = first.documents().groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_surroundings(n), "chunk string, kind tinyint, part int, payload binary")
-    placed.write.partitionBy("kind").option("compression", "none").parquet(path)
+    with shuffles_dropped(spark):
+        placed.write.partitionBy("kind").option("compression", "none").parquet(path)
     first.drop_asked()
     second = chunks.Coded(spark, path)
     resolved = cut(second.asked().groupBy("part").applyInPandas(_resolve, "chunk string, part int, payload binary"), "repeat-least")
