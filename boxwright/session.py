@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +47,8 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
-def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder; the table as read back, and its path for ``drop_path``.
 
     Everything downstream starts from the committed files, so a lost executor
     re-reads them instead of recomputing, and rows that depend on the task
@@ -58,7 +58,29 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = scratch_path(spark, name)
     with shuffles_dropped(spark):
         df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``written`` for a table that is part of a result."""
+    return written(df, name, **options)[0]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Within, a ``cut`` whose tables go at the end."""
+    paths: list[str] = []
+
+    def own(df: DataFrame, name: str, **options: str) -> DataFrame:
+        out, path = written(df, name, **options)
+        paths.append(path)
+        return out
+
+    try:
+        yield own
+    finally:
+        for path in paths:
+            drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
