@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boxwright.llm import bpe, decontaminate, language_model, pii, quality, secrets, simhash, suffix_dedup, token_counts, token_files, tokens
+from boxwright.llm import bpe, centroids, decontaminate, language_model, pii, prefix_trie, quality, secrets, simhash, suffix_dedup, token_counts, token_files, tokens, url_filter
 from boxwright.session import scratch_path
 
 #: The public tokenizer that queries use; a name or a path.
@@ -69,8 +70,30 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+#: Hosts and paths with their verdicts; the longest that fits counts.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+#: Pages under an address that a feed links are copies of it: their hosts and paths are listed.
+FEED = r"\?([^#]*&)?utm_source="
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.host_and_path(F.col("url"))
+    feeds = pages.filter(F.col("url").rlike(FEED)).select(host.alias("host"), path.alias("path")).filter("host <> '' and path <> ''")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judged(pages, rules, feeds).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_decontaminate, op5_token_files, op6_pii, op7_language_model, op8_secrets, op9_token_counts, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_decontaminate, op5_token_files, op6_pii, op7_language_model, op8_secrets, op9_token_counts, op10_suffix_dedup, op11_prefix_trie, op12_url_filter, op13_centroids)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

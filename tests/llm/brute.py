@@ -208,3 +208,65 @@ def all_spans(text, rules):
             if len(m[rule.group]) >= rule.least:
                 out.append((m.start(), rank, m.end()))
     return sorted(out)
+
+
+def trie(rows):
+    """Nodes of the rebuilt conversations, for (conv_id, turn, role, text)."""
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            same = hashlib.sha256(f"{len(role.encode())}:{role}:{text}".encode()).hexdigest()[:32]
+            own[c].append(((turn is not None, turn or 0, same), role, text))
+    turns = {c: [x[1:] for x in sorted(t)] for c, t in own.items()}
+    rebuilt = {}
+    for c, mine in turns.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        rebuilt[c] = tuple(turns.get(c - int(math.fmod(c, 5)), [])[:h] + mine[h:])
+    members, children = collections.defaultdict(list), collections.defaultdict(set)
+    for c, t in sorted(rebuilt.items()):
+        for d in range(len(t) + 1):
+            members[t[:d]].append(c)
+            if d:
+                children[t[: d - 1]].add(t[:d])
+    out = []
+
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] = sum(leaves[x] for x in children[node]) or 1
+        saved[node] = sum(saved[x] for x in children[node]) + (len(members[node]) - 1) * (len(node[-1][1].encode()) if node else 0)
+    for node, of in members.items():
+        ends = ",".join(str(c) for c in of if rebuilt[c] == node)
+        out.append((of[0], len(node), members[node[:-1]][0] if node else None, len(of), len(children[node]), leaves[node], saved[node], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def url_verdict(url, rules, listed, default="allow"):
+    """host, path, rule, verdict of an address; rules: (host, path, verdict), listed: (host, path)."""
+    _, found, rest = (url or "").partition("://")
+    host = re.match("[^/?#]*", rest)[0] if found else ""
+    path = re.match("[^?#]*", rest[len(host) :])[0] if found else ""
+    host = lower(host)
+    fits = lambda h, p: (host == h or host.endswith("." + h)) and path.startswith(p)
+    best = max(((len(h + p), len(h), h + p, v) for h, p, v in rules if fits(h, p)), default=None)
+    if best:
+        return host, path, best[2], best[3]
+    return host, path, None, "block" if any(fits(h, p) for h, p in listed) else default
+
+
+def kmeans(rows, k=8, rounds=10, dims=64):
+    """vec_id, cluster, distance of kept vectors, and the final centroids, in plain integers."""
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(1024 * x) for x in v]))
+    of = lambda i: hashlib.sha256(f"3:{'' if i is None else i}".encode()).hexdigest()
+    centres = [v for _, v in sorted(kept, key=lambda x: (of(x[0]), x[1]))[:k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centres))
+    for _ in range(rounds):
+        groups = collections.defaultdict(list)
+        for _, v in kept:
+            groups[near(v)[1]].append(v)
+        for j, g in groups.items():
+            centres[j] = [sum(x) // len(g) for x in zip(*g, strict=True)]
+    return [(i, near(v)[1], near(v)[0]) for i, v in kept], centres
