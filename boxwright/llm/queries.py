@@ -130,6 +130,47 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < {quality.MIN_WORDS} OR n_words - n_removed_words < n_words * {quality.MIN_LEFT})) AS kept FROM m"""
 
 
+TRIE_SQL = """
+WITH t AS (SELECT conv_id, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS same, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'same': same, 'size': size} ORDER BY turn NULLS FIRST, same) AS t FROM t GROUP BY 1),
+hashed AS (SELECT conv_id, t, xor(list_reduce(list_prepend(4294967295, [ascii(x) for x in string_split(CAST(conv_id AS VARCHAR), '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 9 AS h FROM own),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.t[1:c.h], []), c.t[c.h + 1:]) AS t FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+begins AS (SELECT conv_id, d, len(t) = d AS ends, md5(array_to_string([x.same for x in t[1:d]], ',')) AS node, md5(array_to_string([x.same for x in t[1:d - 1]], ',')) AS parent, t[d].size AS size FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, node, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, coalesce(any_value(size), 0) AS size, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM begins GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+sized AS (SELECT n.*, coalesce(k.n, 0) AS children FROM nodes n LEFT JOIN kids k USING (d, node)),
+under AS (SELECT a.d, a.node, sum(CAST(s.children = 0 AS INT)) AS leaves, sum((s.n - 1) * s.size) AS saved FROM sized s JOIN begins a ON a.conv_id = s.conv_id AND a.d <= s.d GROUP BY 1, 2)
+SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, s.n AS n_convs, s.children AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(s.ends) AS ends_sha256
+FROM sized s JOIN under u USING (d, node) LEFT JOIN nodes p ON s.d > 0 AND p.d = s.d - 1 AND p.node = s.parent"""
+
+_ADDRESS = "regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
+
+URL_SQL = f"""
+WITH p AS (SELECT page_id, url, translate({_ADDRESS.format(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {_ADDRESS.format(2)} AS path FROM pages),
+rules AS (SELECT * FROM (VALUES {', '.join(map(str, URL_RULES))}) r(h, b, v)),
+fits AS (SELECT page_id, h || b AS rule, v FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || b) DESC, length(h) DESC) = 1),
+feeds AS (SELECT DISTINCT host AS h, path AS b FROM p WHERE regexp_matches(url, '{FEED}') AND host <> '' AND path <> ''),
+under AS (SELECT DISTINCT page_id FROM p JOIN feeds ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b))
+SELECT p.page_id, host, path, rule, coalesce(v, CASE WHEN u.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM p LEFT JOIN fits USING (page_id) LEFT JOIN under u ON u.page_id = p.page_id"""
+
+
+def _kmeans_sql() -> str:
+    """Rounds as one table after the other."""
+    near = "SELECT vec_id, v, j, d FROM (SELECT vec_id, v, j, list_sum([(v[i] - c[i]) * (v[i] - c[i]) for i in range(1, 65)]) AS d FROM kept, {c}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1"
+    mean = "SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY k) AS m FROM (SELECT j, k, sum(v[k]) AS s, count(*) AS n FROM {a}, range(1, 65) t(k) GROUP BY j, k) GROUP BY j"
+    parts = [
+        "kept AS MATERIALIZED (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, v AS c FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept ORDER BY h LIMIT 8))",
+    ]
+    for r in range(centroids.ROUNDS):
+        parts.append(f"a{r} AS MATERIALIZED ({near.format(c=f'c{r}')})")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT j, coalesce(CAST(m AS BIGINT[]), c) AS c FROM c{r} LEFT JOIN ({mean.format(a=f'a{r}')}) USING (j))")
+    last = f"c{centroids.ROUNDS}"
+    return "WITH " + ",\n".join(parts) + f""",
+a AS ({near.format(c=last)})
+SELECT vec_id, CAST(j AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN {last} USING (j)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The operators that SQL can express; tests hold the others against brute force."""
-    return {"op2_quality": QUALITY_SQL, "op4_decontaminate": DECONTAMINATE_SQL}
+    return {"op2_quality": QUALITY_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op11_prefix_trie": TRIE_SQL, "op12_url_filter": URL_SQL, "op13_centroids": _kmeans_sql()}
