@@ -1,17 +1,21 @@
 """A fixed camera's boxes linked into individuals.
 
-Linking itself follows the frames of one camera and so takes one task a
-camera, on six narrow columns. All that follows - typicality, splitting,
-merging, numbering - works on tables of boxes and tracks.
+Linking follows the frames of one camera, but only boxes that can ever meet need
+one task: a box can be matched only with a track whose last box lies over its own
+zone, so the boxes of a camera fall apart into components of touching zones, and
+each component is linked on its own, with the same result. All that follows -
+typicality, splitting, merging by components of candidate pairs, numbering -
+works on tables of boxes and tracks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from boxwright.components import FEW_LINKS, connected_components
 from boxwright.functions import boxes, labels
 from boxwright.operators.mutations import dense_ids
 from boxwright.operators.vectors import dot, mean_vector, unit
@@ -20,66 +24,139 @@ from boxwright.session import cut
 IOU, ALPHA, RETIRE, MIN_FRAMES = 0.5, 0.3, 24, 20
 MIN_TYPICAL, SPLIT, MERGE, SAME_SPOT, TOGETHER = 0.5, 0.9, 0.9, 0.6, 0.05
 CELL = 256
+#: Pixels of a cell of the zones, and cells that a zone has along a side at most (else cells are larger).
+ZONE_CELL, ZONE_CELLS = 16, 64
+#: Candidates in a frame up to which plain numbers are quicker than arrays.
+FEW = 24
 
 
 def frame_ranks(df: DataFrame, camera: str | None = None) -> DataFrame:
     """camera, image_path, frame: dense rank by video and frame number (nulls first), then image.
 
-    Ranks are of distinct frames, not boxes, and dealt out by range.
+    Ranks are of distinct frames, not boxes, and dealt out by range. A null camera is one of its own.
     """
     cam = F.col(camera) if camera else F.lit("camera")
     frames = df.select(cam.alias("camera"), "video_path", "frame_number", "image_path").distinct()
     placed = dense_ids(frames, ["camera", "video_path", "frame_number", "image_path"], name="_nth")
-    first = placed.groupBy("camera").agg(F.min("_nth").alias("_first"))
-    return placed.join(first, "camera").withColumn("frame", (F.col("_nth") - F.col("_first") + 1).cast("int")).drop("_nth", "_first")
+    first = placed.groupBy(F.col("camera").alias("_camera")).agg(F.min("_nth").alias("_first"))
+    ranked = placed.join(first, F.col("camera").eqNullSafe(F.col("_camera")))
+    return ranked.withColumn("frame", (F.col("_nth") - F.col("_first") + 1).cast("int")).drop("_nth", "_first", "_camera")
+
+
+def _iou(b: list[float], r: list[float]) -> float:
+    inter = max(min(b[2], r[2]) - max(b[0], r[0]), 0.0) * max(min(b[3], r[3]) - max(b[1], r[1]), 0.0)
+    return inter / max((b[2] - b[0]) * (b[3] - b[1]) + (r[2] - r[0]) * (r[3] - r[1]) - inter, 1e-9)
+
+
+def _scores(b: np.ndarray, r: np.ndarray, least: float) -> list[tuple[float, int, int]]:
+    """(-IoU, box, reference) of pairs that are alike enough, in order of boxes and references; arrays."""
+    w = np.minimum(b[:, None, 2:], r[None, :, 2:]) - np.maximum(b[:, None, :2], r[None, :, :2])
+    inter = np.clip(w, 0, None).prod(2)
+    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    score = inter / np.maximum(size(b)[:, None] + size(r)[None, :] - inter, 1e-9)
+    pairs = np.argwhere(score >= least)
+    return list(zip((-score[pairs[:, 0], pairs[:, 1]]).tolist(), *pairs.T.tolist(), strict=True))
 
 
 def _link_frames(pdf: pd.DataFrame, iou_min: float, alpha: float, retire: int) -> pd.DataFrame:
+    """Tracks of one group of boxes. A track's number is the frame and the roi_index of its first box,
+    so that tracks stand in the order in which they began, whatever else was linked beside them."""
     pdf = pdf.sort_values(["frame", "roi_index"], kind="stable")
-    box, frame = pdf[list(boxes.SIDES)].to_numpy(np.float64), pdf["frame"].to_numpy()
-    track = np.full(len(pdf), -1, np.int64)
-    refs: list[np.ndarray] = []  # moving reference box of each track
+    box, frame, roi = pdf[list(boxes.SIDES)].to_numpy(np.float64), pdf["frame"].to_numpy(np.int64), pdf["roi_index"].to_numpy(np.int64)
+    plain, number = box.tolist(), ((frame << 32) | roi).tolist()
+    track = [-1] * len(pdf)
+    refs: list[list[float]] = []  # moving reference box of each track
     seen: list[list[int]] = []  # first and last frame
+    names: list[int] = []
     live: list[int] = []
-    edges = np.flatnonzero(np.diff(frame)) + 1
-    for rows in np.split(np.arange(len(pdf)), edges) if len(pdf) else []:
-        now = int(frame[rows[0]])
+    starts = [0, *(np.flatnonzero(np.diff(frame)) + 1).tolist(), len(pdf)]
+    for first, last in zip(starts[:-1], starts[1:], strict=True) if len(pdf) else []:
+        now = int(frame[first])
         live = [t for t in live if now - seen[t][1] <= max(retire, 2 * (seen[t][1] - seen[t][0]))]
         if live:
-            b, r = box[rows], np.stack([refs[t] for t in live])
-            w = np.minimum(b[:, None, 2:], r[None, :, 2:]) - np.maximum(b[:, None, :2], r[None, :, :2])
-            inter = np.clip(w, 0, None).prod(2)
-            size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-            score = inter / np.maximum(size(b)[:, None] + size(r)[None, :] - inter, 1e-9)
-            pairs = np.argwhere(score >= iou_min)
-            free = set(range(len(live)))
-            for i, j in pairs[np.argsort(-score[pairs[:, 0], pairs[:, 1]], kind="stable")].tolist():
-                if track[rows[i]] < 0 and j in free:
-                    free.discard(j)
+            if len(live) * (last - first) <= FEW:
+                pairs = [(-x, i, j) for i in range(last - first) for j, t in enumerate(live) if (x := _iou(plain[first + i], refs[t])) >= iou_min]
+            else:
+                pairs = _scores(box[first:last], np.array([refs[t] for t in live]), iou_min)
+            taken: set[int] = set()
+            for _, i, j in sorted(pairs, key=lambda p: p[0]):
+                if track[first + i] < 0 and j not in taken:
+                    taken.add(j)
                     t = live[j]
-                    track[rows[i]] = t
-                    refs[t] = (1 - alpha) * refs[t] + alpha * b[i]
+                    track[first + i] = t
+                    refs[t] = [(1 - alpha) * r + alpha * b for r, b in zip(refs[t], plain[first + i], strict=True)]
                     seen[t][1] = now
-        for i in rows[track[rows] < 0].tolist():
-            track[i] = len(refs)
-            live.append(len(refs))
-            refs.append(box[i])
-            seen.append([now, now])
-    return pd.DataFrame({"camera": pdf["camera"], "roi_index": pdf["roi_index"], "track": track})
-
-
-def link(rows: DataFrame, iou_min: float = IOU, alpha: float = ALPHA, retire: int = RETIRE) -> DataFrame:
-    """camera, roi_index, track for rows (camera, frame, roi_index, corners)."""
+        for i in range(first, last):
+            if track[i] < 0:
+                track[i] = len(refs)
+                live.append(len(refs))
+                refs.append(plain[i])
+                seen.append([now, now])
+                names.append(number[i])
+    return pd.DataFrame({"camera": pdf["camera"], "roi_index": pdf["roi_index"], "track": np.array(names, np.int64)[track] if len(pdf) else np.zeros(0, np.int64)})
+
+
+def _reach(iou_min: float) -> tuple[Column, Column, Column]:
+    """How far a box's zone goes from its middle, to the sides and up and down; and whether it has an area."""
+    reach = (1 - iou_min) / iou_min
+    wide, high = ((F.col(hi) - F.col(lo)) * reach / 2 + 1e-6 for lo, hi in (("x_min", "x_max"), ("y_min", "y_max")))
+    total = F.col("x_max") + F.col("x_min") + F.col("y_max") + F.col("y_min")
+    return wide, high, F.coalesce((F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min")) & ~F.isnan(total), F.lit(False))
+
+
+def zones(rows: DataFrame, iou_min: float = IOU, widest: float | None = None) -> DataFrame:
+    """camera, roi_index, zone of boxes: boxes that linking can ever bring together have one zone.
+
+    A match at IoU t moves either end of a side by (1 - t) / t of it at most, both ends together; a track's
+    reference lies between its last box and the reference that this box matched. So the centres of a matched
+    box and of its track's last box are apart by half the sum of their sides at most, scaled by (1 - t) / t:
+    boxes of that size about the centres touch, and with them the cells they lie in. Different rectangles of
+    cells, not boxes, are spread over cells and joined into components; sharing a cell, or a hash, joins more
+    than must be, never less. Boxes without an area match nothing and have zones of their own. ``widest``: the
+    farthest that a zone goes, where the caller knows it.
+    """
+    wide, high, has_area = _reach(iou_min)
+    if widest is None:
+        widest = rows.filter(has_area).agg(F.max(F.greatest(wide, high))).first()[0]
+    cell = max(ZONE_CELL, (widest or 0) * 2 / ZONE_CELLS)
+    ends = {}
+    for axis, lo, hi, far in (("x", "x_min", "x_max", wide), ("y", "y_min", "y_max", high)):
+        middle = (F.col(lo) + F.col(hi)) / 2
+        ends |= {f"_{axis}0": F.floor((middle - far) / cell), f"_{axis}1": F.floor((middle + far) / cell)}
+    placed = rows.select("camera", "roi_index", *(F.when(has_area, e).alias(n) for n, e in ends.items()))
+    node = lambda x, y: F.xxhash64(F.coalesce("camera", F.lit("")), F.col("camera").isNull(), x, y)
+    first = node(F.col("_x0"), F.col("_y0"))
+    shapes = placed.filter("_x0 is not null").select("camera", *ends).distinct()
+    cells = shapes.withColumn("x", F.explode(F.sequence("_x0", "_x1"))).withColumn("y", F.explode(F.sequence("_y0", "_y1")))
+    links = cells.select(first.alias("a"), node(F.col("x"), F.col("y")).alias("b"))
+    parts = connected_components(links, "zones", few=FEW_LINKS)
+    known = placed.withColumn("_node", F.when(F.col("_x0").isNull(), F.xxhash64("roi_index", F.lit("alone"))).otherwise(first))
+    return known.join(parts.select(F.col("node").alias("_node"), "component"), "_node", "left").select("camera", "roi_index", F.coalesce("component", "_node").alias("zone"))
+
+
+def link(rows: DataFrame, iou_min: float = IOU, alpha: float = ALPHA, retire: int = RETIRE, by_zone: bool = True) -> DataFrame:
+    """camera, roi_index, track for rows (camera, frame, roi_index, corners).
+
+    Boxes of one camera are linked in as many tasks as they have zones. Where every pair may match
+    (``iou_min`` 0) or the caller says so, a camera is one.
+    """
     narrow = rows.select("camera", "frame", "roi_index", *(F.col(s).cast("double") for s in boxes.SIDES))
-    return narrow.groupBy("camera").applyInPandas(lambda pdf: _link_frames(pdf, iou_min, alpha, retire), "camera string, roi_index int, track bigint")
+    by = ["camera"]
+    if by_zone and iou_min > 0:
+        wide, high, has_area = _reach(iou_min)
+        seen = Observation()
+        narrow = cut(narrow.observe(seen, F.max(F.when(has_area, F.greatest(wide, high))).alias("widest")), "to-link")
+        of = zones(narrow, iou_min, seen.get["widest"] or 0.0).select(F.col("roi_index").alias("_roi"), F.col("camera").alias("_camera"), "zone")
+        narrow = narrow.join(of, (F.col("roi_index") == F.col("_roi")) & F.col("camera").eqNullSafe(F.col("_camera"))).drop("_roi", "_camera")
+        by = ["camera", "zone"]
+    return narrow.groupBy(*by).applyInPandas(lambda pdf: _link_frames(pdf, iou_min, alpha, retire), "camera string, roi_index int, track bigint")
 
 
 def typicality(tracks: DataFrame, units: DataFrame) -> DataFrame:
     """roi_index, typicality: cosine of each box's unit vector to its track's mean; boxes without a vector have none."""
     rows = tracks.filter("track is not null").join(units, "roi_index")
     means = mean_vector(rows, "u", "camera", "track")
-    zero = [0.0] * (len(means.select("mean").first()["mean"]) if means.limit(1).count() else 1)
-    means = means.select("camera", "track", unit("mean", zero).alias("c"))
+    means = means.select("camera", "track", unit("mean").alias("c"))
     return rows.join(means, ["camera", "track"]).select("roi_index", dot("u", "c").alias("typicality"))
 
 
@@ -134,16 +211,34 @@ def _number(track: str) -> tuple:
     return bool(rest), (int(head), "") if head.isdigit() else (0, head), rest
 
 
+Seen = dict[int, int]
+
+
+def _shared(a: Seen, b: Seen) -> int:
+    """Frames that two tracks both have, by bitmaps of blocks of frames."""
+    return sum((a[k] & b[k]).bit_count() for k in a.keys() & b.keys())
+
+
+def _size(a: Seen) -> int:
+    return sum(x.bit_count() for x in a.values())
+
+
 def _merge(pairs: pd.DataFrame, frames: pd.DataFrame, min_frames: int, together: float) -> pd.DataFrame:
-    """Groups of tracks, most alike first: big ones with each other, then each small one with the best big group."""
-    seen = {t: set(f) for t, f in zip(frames["track"], frames["frames"], strict=True)}
+    """Groups of tracks, most alike first: big ones with each other, then each small one with the best big group.
+
+    ``frames``: a bitmap for each track and block of frames.
+    """
+    seen: dict[str, Seen] = {}
+    for t, block, bits in zip(frames["track"], frames["block"], frames["bits"], strict=True):
+        seen.setdefault(t, {})[block] = int.from_bytes(bits, "little")
     home, crew = {t: t for t in seen}, {t: [t] for t in seen}
 
     def absorb(host: str, guest: str) -> None:
         for t in crew[guest]:
             home[t] = host
         crew[host] += crew.pop(guest)
-        seen[host] |= seen.pop(guest)
+        for k, bits in seen.pop(guest).items():
+            seen[host][k] = seen[host].get(k, 0) | bits
 
     rows = []
     for a, b, n_a, n_b, cosine in pairs[["a", "b", "n_a", "n_b", "cosine"]].itertuples(index=False):
@@ -154,36 +249,54 @@ def _merge(pairs: pd.DataFrame, frames: pd.DataFrame, min_frames: int, together:
         if a_big != b_big:
             choices.setdefault(b if a_big else a, []).append(a if a_big else b)
         elif a_big and home[a] != home[b]:
-            host, guest = sorted((home[a], home[b]), key=lambda t: -len(seen[t]))
-            if len(seen[host] & seen[guest]) <= together * len(seen[guest]):
+            host, guest = sorted((home[a], home[b]), key=lambda t: -_size(seen[t]))
+            if _shared(seen[host], seen[guest]) <= together * _size(seen[guest]):
                 absorb(host, guest)
     for piece in sorted(choices, key=_number):
-        fits = (home[t] for t in choices[piece] if len(seen[piece] & seen[home[t]]) <= together * len(seen[piece]))
+        fits = (home[t] for t in choices[piece] if _shared(seen[piece], seen[home[t]]) <= together * _size(seen[piece]))
         if host := next(fits, None):
             absorb(host, piece)
     cam = frames["camera"].iloc[0] if len(frames) else None
     return pd.DataFrame([(cam, t, host) for t, host in home.items() if t != host], columns=["camera", "track", "into"])
 
 
+def frame_bitmaps(rows: DataFrame) -> DataFrame:
+    """camera, track, block, bits: the frames of each track as bitmaps of 32,768 frames, put together before the shuffle."""
+    return rows.groupBy("camera", "track", F.bitmap_bucket_number("frame").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("frame")).alias("bits"))
+
+
 def merge_fragments(rows: DataFrame, units: DataFrame, similarity: float = MERGE, min_frames: int = MIN_FRAMES, together: float = TOGETHER) -> DataFrame:
-    """camera, track, into: tracks that are pieces of another. ``rows``: camera, frame, roi_index, track (string), corners."""
+    """camera, track, into: tracks that are pieces of another. ``rows``: camera, frame, roi_index, track (string), corners.
+
+    Tracks are merged within components of candidate pairs, each in a task of its own, so a
+    camera with many spots takes many.
+    """
     spots = same_spot_pairs(median_boxes(rows))
     means = mean_vector(rows.join(units, "roi_index"), "u", "camera", "track").drop("n")
     a, b = (means.select("camera", F.col("track").alias(t), F.col("mean").alias(f"m_{t}")) for t in "ab")
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     cosine = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.nullif(norm(F.col("m_a")) * norm(F.col("m_b")), F.lit(0.0))
     pairs = spots.join(a, ["camera", "a"]).join(b, ["camera", "b"]).withColumn("cosine", cosine).filter(F.col("cosine") >= similarity).select("camera", "a", "b", "n_a", "n_b", "cosine")
-    pairs = cut(pairs, "pairs")
-    used = pairs.select("camera", F.col("a").alias("track")).union(pairs.select("camera", F.col("b").alias("track"))).distinct()
-    frames = rows.join(used, ["camera", "track"], "left_semi").groupBy("camera", "track").agg(F.collect_set("frame").alias("frames"))
-    return pairs.groupBy("camera").cogroup(frames.groupBy("camera")).applyInPandas(lambda p, f: _merge(p, f, min_frames, together), "camera string, track string, into string")
+    node = lambda t: F.xxhash64("camera", t)
+    pairs = cut(pairs.withColumn("_a", node("a")), "pairs")
+    parts = cut(connected_components(pairs.select(F.col("_a").alias("a"), node("b").alias("b")), "pair-groups", few=FEW_LINKS), "pair-groups")
+    part = parts.select(F.col("node").alias("_a"), F.col("component").alias("part"))
+    grouped = pairs.join(part, "_a").drop("_a")
+    used = grouped.select("camera", F.explode(F.array("a", "b")).alias("track"), F.col("part").alias("of")).distinct()
+    used = cut(used, "used-tracks")
+    frames = frame_bitmaps(rows.join(used, ["camera", "track"], "left_semi")).join(used, ["camera", "track"])
+    return grouped.groupBy("part").cogroup(frames.groupBy("of")).applyInPandas(lambda p, f: _merge(p, f, min_frames, together), "camera string, track string, into string")
 
 
 def kept(rows: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
-    """roi_index, fixture, and the row: tracks of enough boxes, numbered from 0 by camera and first box."""
-    sized = rows.filter("track is not null").groupBy("camera", "track").agg(F.count("*").alias("_n"), F.min("roi_index").alias("_first")).filter(F.col("_n") >= min_frames)
-    numbered = dense_ids(sized, ["camera", "_first"], name="fixture").drop("_n", "_first")
-    return rows.join(numbered, ["camera", "track"])
+    """roi_index, fixture, and the row: tracks of enough boxes, numbered from 0 by camera and first box.
+
+    The rows are stored first: they are read for the sizes, for the numbers and for the result, and linked once.
+    """
+    rows = cut(rows.filter("track is not null"), "tracked")
+    sized = rows.groupBy(F.col("camera").alias("_camera"), F.col("track").alias("_track")).agg(F.count("*").alias("_n"), F.min("roi_index").alias("_first")).filter(F.col("_n") >= min_frames)
+    numbered = dense_ids(sized, ["_camera", "_first"], name="fixture").drop("_n", "_first")
+    return rows.join(numbered, F.col("camera").eqNullSafe(F.col("_camera")) & (F.col("track") == F.col("_track"))).drop("_camera", "_track")
 
 
 def fixture_info(rows: DataFrame) -> DataFrame:
@@ -193,20 +306,29 @@ def fixture_info(rows: DataFrame) -> DataFrame:
 
 
 def _in_frames(df: DataFrame, camera: str | None) -> DataFrame:
-    """Narrow rows of all boxes with camera and frame; a frame is a video, a number and an image, each null or not."""
+    """Narrow rows of all boxes with camera and frame; a frame is a video, a number and an image, each null or not.
+
+    Cameras become keys that are never null: '0' for none, else '1' and the name.
+    """
     key = ["video_path", "frame_number", "image_path"]
-    frames = frame_ranks(df, camera).select(F.col("camera").alias("_camera"), "frame", *(F.col(c).alias(f"_{c}") for c in key))
-    rows = df.select((F.col(camera) if camera else F.lit("camera")).alias("camera"), *key, "roi_index", "confidence", F.coalesce(labels.review_label(), F.lit("")).alias("lab"), *boxes.SIDES)
-    met = F.col("camera").eqNullSafe(F.col("_camera"))
+    name = F.when(F.col(camera).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(camera).cast("string"))) if camera else F.lit("1camera")
+    keyed = df.select(name.alias("camera"), *key, "roi_index", "confidence", F.coalesce(labels.review_label(), F.lit("")).alias("lab"), *boxes.SIDES)
+    frames = frame_ranks(keyed, "camera").select(F.col("camera").alias("_camera"), "frame", *(F.col(c).alias(f"_{c}") for c in key))
+    met = F.col("camera") == F.col("_camera")
     for c in key:
         met &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return rows.join(frames, met).select("camera", "frame", "roi_index", "image_path", "confidence", "lab", *boxes.SIDES)
+    return keyed.join(frames, met).select("camera", "frame", "roi_index", "image_path", "confidence", "lab", *boxes.SIDES)
 
 
 def fixtures(df: DataFrame, camera: str | None = None, column: str = "embedding", min_frames: int = MIN_FRAMES) -> dict[str, DataFrame]:
-    """The whole run: ``fixtures``, ``fixture_info``, the boxes that are kept (``rows``) and ``coverage``."""
+    """The whole run: ``fixtures``, ``fixture_info``, the boxes that are kept (``rows``) and ``coverage``.
+
+    Boxes without a camera are one camera's; boxes without a video, a frame number or an image are kept as any other.
+    """
     narrow = cut(_in_frames(df, camera), "frames")
     linked = cut(link(narrow).select("camera", "roi_index", F.col("track").cast("string").alias("track")), "linked")
+    if (n_linked := linked.count()) != (n_boxes := df.count()):
+        raise RuntimeError(f"{n_linked} boxes were linked of {n_boxes}")
     units = unit_vectors(df, column)
     none = F.lit(0).cast("bigint")
     counts = [narrow.agg(F.count("*").alias("boxes"))]
@@ -229,7 +351,7 @@ def fixtures(df: DataFrame, camera: str | None = None, column: str = "embedding"
     else:
         tracks = linked.withColumn("typicality", F.lit(None).cast("double"))
         counts += [narrow.agg(*(F.coalesce(F.max(none), none).alias(c) for c in ("intruders", "split", "split_left", "merged", "attached")))]
-    found = kept(narrow.join(tracks, ["camera", "roi_index"]), min_frames)
+    found = kept(narrow.join(tracks, ["camera", "roi_index"]), min_frames).withColumn("camera", F.when(F.col("camera") != "0", F.substring("camera", 2, 1 << 30)))
     counts.append(found.agg(F.count_distinct("fixture").alias("fixtures"), F.count("*").alias("kept")))
     out = {"fixtures": found.select("roi_index", "fixture", "typicality"), "fixture_info": fixture_info(found), "rows": found}
     return out | {"coverage": coverage(counts)}

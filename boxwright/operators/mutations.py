@@ -15,7 +15,7 @@ def bulk_update(df: DataFrame, changes: DataFrame, key: str = "roi_index") -> Da
     staged = changes.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_new_{c}") for c in cols), F.lit(True).alias("_hit"))
     joined = df.join(staged, df[key] == F.col("_key"), "left")
     for c in cols:
-        joined = joined.withColumn(c, F.when(F.col("_hit"), F.col(f"_new_{c}").cast(df.schema[c].dataType)).otherwise(F.col(c)))
+        joined = joined.withColumn(c, F.when(F.col("_hit"), F.col(f"_new_{c}").cast(df.schema[c].dataType.simpleString())).otherwise(F.col(c)))
     return joined.select(*df.columns)
 
 
@@ -23,6 +23,11 @@ def _flagged(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(F.col("roi_index").alias("_id")).distinct().withColumn("_hit", F.lit(True)), df["roi_index"] == F.col("_id"), "left")
 
 
+def label_changes(ids: DataFrame, label: str) -> DataFrame:
+    """What ``apply_label`` changes, as keyed values for a stored table: its rows are not written again."""
+    return ids.select("roi_index").distinct().select("roi_index", F.lit(label).alias("new_label"), F.lit(1).alias("verified"))
+
+
 def apply_label(df: DataFrame, ids: DataFrame, label: str) -> DataFrame:
     hit = F.col("_hit")
     rows = _flagged(df, ids)

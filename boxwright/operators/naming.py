@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.functions import boxes, labels
+from boxwright.sources import folder
 
 
 def stem_map(images: DataFrame) -> DataFrame:
@@ -208,13 +209,15 @@ def id_files(ids: DataFrame, sizes: DataFrame, names: DataFrame | None, user: st
     zero = F.lit("0.0")
     row = F.concat_ws(",", c("index"), csv_text(F.col("label")), F.col("confidence"), c("center_x"), c("center_y"), zero, zero, zero, c("tl_x"), c("tl_y"), c("br_x"), c("tl_y"), c("br_x"), c("br_y"), c("tl_x"), c("br_y"))
     per = ids.groupBy("image_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", row.alias("x")))), lambda s: s["x"]), "\n").alias("rows"), F.count("*").alias("n"))
+    if names is None:
+        check_unique(per.select(boxes.stem(F.col("image_path")).alias("dest")))
     per = per.join(sizes, "image_path", "left")
     size = lambda n: F.concat(F.lit(f"# image_{n}: "), F.coalesce(F.col(n).cast("string"), F.lit("unknown")))
     legend = "# corners are box edges in pixels from the top left; the centre is the midpoint of the corners\n# lon, lat, depth stand for the centre and are filled in later"
     text = F.concat_ws("\n", F.lit(f"# generated_by: {user}"), F.lit(f"# generated_at: {generated_at}"), F.lit(f"# model: {model}"), F.concat(F.lit("# source_image: "), "image_path"), size("width"), size("height"), F.concat(F.lit("# count: "), F.col("n").cast("string")), F.lit(legend), F.lit("# " + ID_COLUMNS), "rows", F.lit(""))
     if names is None:
         return per.select(F.concat(boxes.stem(F.col("image_path")), F.lit(".id")).alias("path"), text.alias("content"))
-    return per.join(names, "image_path").select(F.concat("dest", F.lit(".id")).alias("path"), text.alias("content"))
+    return per.join(check_unique(names), "image_path").select(F.concat("dest", F.lit(".id")).alias("path"), text.alias("content"))
 
 
 def gallery_rows(rows: DataFrame, per_page: int = 250) -> DataFrame:
@@ -244,27 +247,8 @@ def write_files(files: DataFrame, root: str) -> tuple[int, int]:
 
     ``root`` is a folder that they share, on any file system that Arrow knows (a
     local or mounted path, file:, hdfs:, s3:, gs:, abfs:); another is an error.
-    A file appears under its name when it is whole.
+    Files appear under their names when all are written; if the job fails, none is left.
+    ``folder.write`` also names those that failed.
     """
-
-    def put(batches):
-        import pandas as pd
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(root)
-        for pdf in batches:
-            done = 0
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                full = f"{base.rstrip('/')}/{path.lstrip('/')}"
-                try:
-                    system.create_dir(full.rpartition("/")[0], recursive=True)
-                    with system.open_output_stream(full + ".part") as f:
-                        f.write(content if isinstance(content, bytes) else content.encode())
-                    system.move(full + ".part", full)
-                    done += 1
-                except OSError:
-                    pass
-            yield pd.DataFrame({"written": [done], "failed": [len(pdf) - done]})
-
-    row = files.mapInPandas(put, "written bigint, failed bigint").agg(F.sum("written"), F.sum("failed")).first()
-    return row[0] or 0, row[1] or 0
+    written, failed = folder.write(files, root)
+    return written, len(failed)

@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from boxwright.operators import clustering, mutations, naming, vectors
+from boxwright.functions import labels
+from boxwright.operators import clustering, naming, vectors
 from boxwright.store import Store
 
 STEPS = ("ingest", "embed", "cluster", "export")
 
 
 def run(store: Store, detections: DataFrame | None, scorer: Callable[[pd.DataFrame], list], inputs: list[str], sizes: DataFrame, first: str = "ingest", last: str = "export", **how) -> dict[str, DataFrame]:
-    """Steps from ``first`` to ``last``; each starts from the stored table of the one before."""
+    """Steps from ``first`` to ``last``; each starts from the stored table of the one before.
+
+    Vectors and cluster names are changes to the table, not a new one. Only verified rows are exported;
+    noise is left out of the annotations, not of the gallery.
+    """
     a, b = STEPS.index(first), STEPS.index(last)
     if a > b:
         raise ValueError(f"{first} comes after {last}")
@@ -25,16 +31,19 @@ def run(store: Store, detections: DataFrame | None, scorer: Callable[[pd.DataFra
         if step == "ingest":
             store.write(predictions=detections)
         elif step == "embed":
-            table, _ = vectors.fill(store.read("predictions"), scorer, inputs)
-            store.write(predictions=table)
+            vectors.fill_store(store, scorer, inputs)
         elif step == "cluster":
-            table = store.read("predictions")
+            table = store.read("predictions", "vectors")
             found = clustering.clusters(table, **how)
             if found is not None:
-                store.write(predictions=mutations.write_clusters(table, clustering.named_clusters(table, found)))
+                store.add_column("predictions", "evoc_clust", "int")
+                ids = table.select("id", "roi_index")
+                named = clustering.named_clusters(table, found).join(ids, "roi_index")
+                store.change("predictions", named.select("id", F.col("cluster").alias("evoc_clust"), F.col("name").alias("new_label")))
         else:
             table = store.read("predictions")
-            names = naming.check_unique(naming.stem_map(table))
-            out["voc"] = naming.voc_files(naming.voc_objects(table, sizes), names)
-            out["html"] = naming.gallery_pages(naming.gallery_rows(table))
+            rows, shown = table.filter(labels.curated()), table.filter(labels.curated(exclude_noise=False))
+            names = naming.check_unique(naming.stem_map(rows))
+            out["voc"] = naming.voc_files(naming.voc_objects(rows, sizes), names)
+            out["html"] = naming.gallery_pages(naming.gallery_rows(shown))
     return out

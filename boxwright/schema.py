@@ -36,6 +36,11 @@ def ensure_columns(df: DataFrame) -> DataFrame:
     return df
 
 
+def has_fixtures(tables: object) -> bool:
+    """Whether a store has the results of linking, both of its tables."""
+    return all(tables.exists(t) for t in ("fixtures", "fixture_info"))
+
+
 def open_table(spark: SparkSession, path: str) -> DataFrame:
     """A stored detection table, migrated; a clear error where there is none."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwright.functions import boxes
+from boxwright.session import cut
 
 IMAGES = ("jpg", "jpeg", "png", "tif", "tiff")
 VIDEOS = ("mp4", "mov", "avi", "mkv", "m4v", "mpg", "mpeg", "wmv")
@@ -22,50 +23,71 @@ def inventory(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAG
     return found.orderBy("path")
 
 
+def local_path(path: Column) -> Column:
+    """A path as it is on disk, from what Spark says of a file: without scheme, its %-codes decoded ('+' is itself)."""
+    return F.url_decode(F.replace(F.regexp_replace(path, "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+
+
+def _below(path: Column, root: str, suffix: str) -> Column:
+    """A path relative to a folder, without its suffix."""
+    base = "/" + root.removeprefix("file:").strip("/")
+    return F.regexp_replace(F.substr(path, F.lit(len(base) + 2)), rf"(?i)\.{suffix}$", "")
+
+
+#: Where Python's ``splitlines`` ends a line, as far as text files go.
+NEW_LINE = "\r\n|[\n\r\x0b\x0c]"
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", NEW_LINE)).alias("line", "text"))
 
 
 def names_file(spark: SparkSession, path: str) -> DataFrame:
-    """idx, name from lines, or from the ``names`` list or map of a dataset YAML; duplicates are an error."""
-    text = [r["text"] for r in _lines(spark, path).orderBy("line").collect()]
-    if path.endswith((".yaml", ".yml")):
-        at = next(i for i, x in enumerate(text) if x.startswith("names:"))
-        inline = text[at][6:].strip()
-        if inline.startswith("["):
-            pairs = list(enumerate(x.strip() for x in inline.strip("[]").split(",")))
-        else:
-            block = []
-            for x in text[at + 1 :]:
-                if x.strip() and not x.startswith((" ", "-")):
-                    break
-                if x.strip():
-                    block.append(x.strip())
-            pairs = [(int(k), v.strip()) for k, v in (x.split(":", 1) for x in block)] if block and not block[0].startswith("-") else [(i, x[1:].strip()) for i, x in enumerate(block)]
-        pairs = [(i, x[1:-1].replace("''", "'") if len(x) > 1 and x[0] == x[-1] and x[0] in "'\"" else x) for i, x in sorted(pairs)]
+    """idx, name from lines, or from the ``names`` list or map of a dataset YAML; duplicates, or none, are an error."""
+    text = spark.read.text(path, wholetext=True).first()
+    text = text["value"] if text else ""
+    if path.lower().endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError(f"PyYAML is needed to read {path}") from e
+        names = (yaml.safe_load(text) or {}).get("names")
+        names = [names[i] for i in sorted(names)] if isinstance(names, dict) else names
+        if not isinstance(names, list):
+            raise ValueError(f"{path} has no list or map of names")
+        names = [str(x).strip() for x in names]
     else:
-        pairs = list(enumerate(x.strip() for x in text if x.strip()))
-    if len({x for _, x in pairs}) != len(pairs):
-        raise ValueError(f"names are not unique in {path}")
-    return spark.createDataFrame(pairs, "idx int, name string")
+        names = [x.strip() for x in text.splitlines() if x.strip()]
+    if twice := sorted({x for x in names if names.count(x) > 1}):
+        raise ValueError(f"names are not unique in {path}: {', '.join(twice)}")
+    if not names:
+        raise ValueError(f"{path} has no names")
+    return spark.createDataFrame(list(enumerate(names)), "idx int, name string")
+
+
+#: Text files beside labels that are none.
+NO_LABELS = ("names.txt", "classes.txt", "notes.txt")
 
 
 def yolo_boxes(spark: SparkSession, root: str, names: DataFrame, limit: int | None = None) -> DataFrame:
     """annotation_path, rel_stem, line, class_id, label, cx, cy, w, h, confidence of label files.
 
     Any line that can't be read, or a class without a name, is an error before
-    anything else is made. Files of blank lines have one row without a box; Spark
-    lists no files of zero bytes.
+    anything else is made. Files without a box, of zero bytes too, have one row without one.
     """
-    where = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True).select(where.alias("annotation_path"), "value")
-    rows = rows.filter(~boxes.path_name(F.col("annotation_path")).isin("names.txt", "classes.txt", "notes.txt"))
-    base = "/" + root.removeprefix("file:").strip("/")
+    from boxwright.sources.folder import listing
+
+    found = listing(spark, root).filter(F.lower("path").endswith(".txt") & ~F.lower(boxes.path_name(F.col("path"))).isin(*NO_LABELS)).select(F.col("path").alias("annotation_path"), "size")
     if limit is not None:
-        rows = rows.orderBy("annotation_path").limit(limit)
-    lines = rows.select("annotation_path", F.posexplode_outer(F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("line", "text"))
+        found = found.orderBy("annotation_path").limit(limit)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no label files under {root}")
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").text(root, wholetext=True).select(local_path(F.col("_metadata.file_path")).alias("annotation_path"), "value")
+    rows = found.join(texts, "annotation_path", "left").select("annotation_path", F.coalesce("value", F.lit("")).alias("value"))
+    blank = r"^\s+|\s+$"
+    lines = rows.select("annotation_path", F.posexplode_outer(F.filter(F.transform(F.split("value", NEW_LINE), lambda x: F.regexp_replace(x, blank, "")), lambda x: x != "")).alias("line", "text"))
     v = F.transform(F.expr(r"slice(split(text, '\\s+'), 2, greatest(size(split(text, '\\s+')) - 1, 0))"), lambda x: x.try_cast("double"))
-    parts = lines.select("annotation_path", "line", "text", F.get(F.split("text", r"\s+"), F.lit(0)).try_cast("int").alias("class_id"), v.alias("v"))
+    parts = lines.select("annotation_path", "line", "text", F.get(F.split("text", r"\s+"), F.lit(0)).try_cast("double").try_cast("int").alias("class_id"), v.alias("v"))
     n = F.size("v")
     polygon = (n >= 6) & (n % 2 == 0)
     xs, ys = F.filter("v", lambda x, i: i % 2 == 0), F.filter("v", lambda x, i: i % 2 == 1)
@@ -78,7 +100,7 @@ def yolo_boxes(spark: SparkSession, root: str, names: DataFrame, limit: int | No
     wrong = out.filter(F.coalesce(bad, F.lit(True)) & F.col("text").isNotNull()).limit(1).collect()
     if wrong:
         raise ValueError(f"{wrong[0]['annotation_path']}: can't read {wrong[0]['text']!r}")
-    stem = F.regexp_replace(F.substr("annotation_path", F.lit(len(base) + 2)), r"\.txt$", "")
+    stem = _below(F.col("annotation_path"), root, "txt")
     return out.select("annotation_path", stem.alias("rel_stem"), "line", "class_id", "label", pick(g(0), (x0 + x1) / 2).alias("cx"), pick(g(1), (y0 + y1) / 2).alias("cy"), pick(g(2), x1 - x0).alias("w"), pick(g(3), y1 - y0).alias("h"), F.when(n == 5, g(4)).alias("confidence"))
 
 
@@ -87,24 +109,31 @@ VOC = "folder string, filename string, size struct<width:string,height:string>,
 
 def voc_boxes(spark: SparkSession, root: str) -> DataFrame:
     """annotation_path, rel_stem, filename, folder, declared size and boxes; ``skipped`` marks objects without a name or a full box."""
-    base = "/" + root.removeprefix("file:").strip("/")
-    where = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    where = local_path(F.col("_metadata.file_path"))
     rows = spark.read.format("xml").option("rowTag", "annotation").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").schema(VOC).load(root).select("*", where.alias("annotation_path"))
     flat = rows.select("annotation_path", "folder", "filename", F.col("size.width").try_cast("int").alias("declared_width"), F.col("size.height").try_cast("int").alias("declared_height"), F.posexplode_outer("object").alias("line", "o"))
     num = lambda c: F.col(f"o.bndbox.{c}").try_cast("double")
     missing = F.col("o.name").isNull() | num("xmin").isNull() | num("ymin").isNull() | num("xmax").isNull() | num("ymax").isNull()
-    stem = F.regexp_replace(F.substr("annotation_path", F.lit(len(base) + 2)), r"\.xml$", "")
+    stem = _below(F.col("annotation_path"), root, "xml")
     return flat.select("annotation_path", stem.alias("rel_stem"), "filename", "folder", "declared_width", "declared_height", "line", F.col("o.name").alias("label"), num("xmin").alias("x_min"), num("ymin").alias("y_min"), num("xmax").alias("x_max"), num("ymax").alias("y_max"), F.col("o.confidence").try_cast("double").alias("confidence"), (F.col("line").isNotNull() & missing).alias("skipped"))
 
 
 def remap_csv(spark: SparkSession, path: str) -> DataFrame:
-    """old_label, new_label, line of a headerless two-column CSV; other widths are an error."""
-    rows = _lines(spark, path).select("line", F.regexp_replace("text", "^﻿", "").alias("text")).filter(F.trim("text") != "")
-    cells = rows.select("line", F.from_csv(F.regexp_replace("text", "﻿", ""), "a string, b string, c string").alias("x"))
-    bad = cells.filter(F.col("x.b").isNull() | F.col("x.c").isNotNull()).limit(1).collect()
-    if bad:
-        raise ValueError(f"{path}, line {bad[0]['line'] + 1}: two columns are needed")
-    return cells.select(F.trim("x.a").alias("old_label"), F.trim("x.b").alias("new_label"), "line")
+    """old_label, new_label, line of a headerless two-column CSV; a row of another number of fields is an error, an empty field is none.
+
+    The reader is Python's, quoted line breaks included, for a file of rules that a person wrote.
+    """
+    import csv
+    import io
+
+    text = spark.read.text(path, wholetext=True).first()
+    rows = []
+    for i, row in enumerate(csv.reader(io.StringIO((text["value"] if text else "").removeprefix("\ufeff"), newline=""))):
+        if row and len(row) != 2:
+            raise ValueError(f"{path}, row {i + 1}: two columns are needed, not {row!r}")
+        if row:
+            rows.append((row[0].strip(), row[1].strip(), i))
+    return spark.createDataFrame(rows, "old_label string, new_label string, line int")
 
 
 def box_list_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -121,8 +150,9 @@ def box_list_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pinned_list(spark: SparkSession, path: str) -> DataFrame:
-    """name: lines that are neither blank nor comments."""
-    return spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("name")).filter("name <> ''")
+    """name: lines that are neither blank nor begin with #."""
+    name = F.regexp_replace("text", r"^\s+|\s+$", "")
+    return _lines(spark, path).select(name.alias("name")).filter((F.col("name") != "") & ~F.col("name").startswith("#"))
 
 
 def paired(annotations: DataFrame, images: DataFrame, root: str) -> DataFrame:
@@ -196,3 +226,45 @@ def import_counts(rows: DataFrame) -> DataFrame:
     """reason, n: what became of each row, counted from the rows themselves."""
     return rows.groupBy(F.coalesce("reason", F.lit("imported")).alias("reason")).agg(F.count("*").alias("n"))
 
+
+#: Counters of an import, in the order in which they are reported.
+COUNTERS = ("images", "boxes", "no_image", "empty", "already_present", "unreadable", "size_mismatch", "degenerate", "ambiguous", "skipped", "unlabelled")
+
+
+def import_report(found: DataFrame, pairs: DataFrame, sizes: DataFrame, existing: DataFrame, images: DataFrame, normalized: bool, skip_existing: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The boxes to import as pixel rows, and (counter, n) of all that an import reports.
+
+    ``found``: rows of ``yolo_boxes`` or ``voc_boxes``; ``pairs``: of ``paired``; ``existing``: image_path of the
+    table; ``images``: the inventory (path). Files count once: without an image; else without a box; else with an
+    image that the table has, or that an earlier file of this run took; else with an unreadable one; else, if the
+    size differs from the declared one, as a warning. Boxes count if they have an area within the image.
+    """
+    skipped = F.coalesce(F.col("skipped"), F.lit(False)) if "skipped" in found.columns else F.lit(False)
+    declared = all(c in found.columns for c in ("declared_width", "declared_height"))
+    rows = cut(found.withColumn("_skip", skipped).join(pairs, "annotation_path").join(sizes, "image_path", "left"), "found")
+    has_box = F.col("line").isNotNull() & F.col("label").isNotNull() & ~F.col("_skip")
+    size = {c: F.max(c).alias(c) for c in ("declared_width", "declared_height") if declared}
+    per = rows.groupBy("annotation_path").agg(F.max("image_path").alias("image_path"), F.max("ambiguous").alias("ambiguous"), F.count_if(has_box).alias("n"), F.count_if("_skip").alias("n_skipped"), F.max("width").alias("width"), F.max("height").alias("height"), *size.values())
+    known = existing.select("image_path").distinct().withColumn("_known", F.lit(True))
+    usable = rows.filter(has_box).join(known, "image_path", "left_anti") if skip_existing else rows.filter(has_box)
+    fit = pixel_rows(usable.drop("width", "height"), sizes, normalized)
+    first = fit.filter("reason is null").groupBy("image_path").agg(F.min("annotation_path").alias("_first"))
+    per = per.join(known, "image_path", "left").join(first, "image_path", "left")
+    again = F.col("_known").isNotNull() | (F.col("annotation_path") > F.col("_first")) if skip_existing else F.lit(False)
+    mismatch = F.lit(False)
+    if declared:
+        mismatch = (F.col("declared_width") != 0) & (F.col("declared_height") != 0) & ((F.col("declared_width") != F.col("width")) | (F.col("declared_height") != F.col("height")))
+    fate = F.when(F.col("image_path").isNull(), "no_image").when(F.col("n") == 0, "empty").when(F.coalesce(again, F.lit(False)), "already_present").when(F.col("width").isNull(), "unreadable").otherwise("taken")
+    per = cut(per.withColumn("fate", fate).withColumn("mismatch", F.coalesce(mismatch, F.lit(False)) & (fate == "taken")), "per-file")
+    taken = fit.join(per.filter("fate = 'taken'").select("annotation_path"), "annotation_path", "left_semi")
+    good = taken.filter("reason is null")
+    one = lambda df, name, n: df.agg(n.cast("long").alias("n")).select(F.lit(name).alias("counter"), "n")
+    parts = [one(per, c, F.count_if(F.col("fate") == c)) for c in ("no_image", "empty", "already_present", "unreadable")]
+    parts += [one(per, "size_mismatch", F.count_if("mismatch")), one(per, "ambiguous", F.count_if("ambiguous")), one(per, "skipped", F.coalesce(F.sum("n_skipped"), F.lit(0)))]
+    parts += [one(good, "boxes", F.count("*")), one(good.select("image_path").distinct(), "images", F.count("*")), one(taken, "degenerate", F.count_if(F.col("reason") == "degenerate"))]
+    unlabelled = images.select(F.col("path").alias("image_path")).join(per.filter("image_path is not null").select("image_path"), "image_path", "left_anti")
+    parts.append(one(unlabelled, "unlabelled", F.count("*")))
+    counts = parts[0]
+    for p in parts[1:]:
+        counts = counts.union(p)
+    return good, counts
