@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxwright.llm.memory import give_back, small_batches
+from boxwright.llm.native import renamed
 from boxwright.session import cut
 
 WINDOW = 10
@@ -197,9 +198,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.5,
 
     All columns stay; where ``n_chars`` is one, it follows the text.
     """
+    columns, docs = docs.columns, renamed(docs, "doc_id", "text", "n_chars")
     f = find_hits(docs, benchmark, window, cut_text=True)
     hit = F.aggregate(F.arrays_zip("__found.begins", "__found.ends"), F.lit(0), lambda n, s: n + s["ends"] - s["begins"])
     kept = f.withColumn("__hit", hit).filter(F.col("__hit") <= F.col("__found.n_words") * most_hit)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("__hit") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.select(*docs.columns).toDF(*columns)

@@ -12,12 +12,14 @@ places of one parity are shifted by a keyed hash of those of the other.
 
 DataFrame functions only, row by row: no shuffle, any number of documents.
 Cards are searched in whole runs of digits, as an expiry, a CVV or another number
-may stand beside one: each stretch of 13 to 19 digits between separators, longest
-and leftmost first, is permuted if its check digit is right then. No step changes
-whether its own stretch passes, so the same steps in reverse order restore the
-run. Where stretches that pass overlap (about one in ten does by chance), a card
-is permuted more than once, and may then be no valid card or have another
-pseudonym than elsewhere.
+may stand beside one. Of the stretches of 13 to 19 digits, in groups of three or
+more, whose check digit is right, those are cards that stand first in this order
+and overlap none before: written as cards are (one group, or the usual groups),
+then with the first digits of an issuer, then from the left, then the longest. Each is
+permuted once, so it has one pseudonym whatever stands beside it; the issuer's
+digits stay. If a pseudonym would make another stretch of the run a card in its
+place, all cards of the run are permuted again until it doesn't, and so going back
+finds the same cards.
 
 Dates are permuted among those that are written alike: ISO; day first; month
 first where only that is a date; and, with slashes, fields of one digit stay so.
@@ -39,7 +41,7 @@ import calendar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.native import let
+from boxwright.llm.native import let, renamed
 
 ROUNDS = 10
 #: A cycle of the calendar from here on is the domain of dates.
@@ -51,7 +53,12 @@ ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9.-])(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+CARD = r"[0-9]{3,}(?:[ -][0-9]{3,})*"
+#: First digits of card issuers, and the groups in which cards are written.
+ISSUER = "4|5[1-5]|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720|3[47]|6011|64[4-9]|65|352[89]|35[3-8][0-9]|30[0-5]|3[689]|62|50|5[6-8]|63"
+USUAL = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
+#: Times that a run's cards are permuted at most until it has the same cards, or a card until it has no issuer; most need one or two.
+WALK = 40
 #: Digits and separators that cards are searched in, between the other values.
 RUN = r"(?<![0-9A-Za-z])[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z])"
 ANY = "|".join((EMAIL, DATE, ADDRESS, SOCIAL, IBAN, PHONE))
@@ -89,7 +96,7 @@ def _base(c: Column) -> Column:
     return F.when(c.rlike("[0-9]"), 48).when(c.rlike("[a-z]"), 97).otherwise(65).cast("bigint")
 
 
-def _permuted_text(text: Column, key: Column, tweak: str, back: bool = False) -> Column:
+def _permuted_text(text: Column, key: Column, tweak: str | Column, back: bool = False) -> Column:
     """Letters and digits of a text permuted, each within its class; the rest stays."""
 
     def of(cs: Column) -> Column:
@@ -194,32 +201,62 @@ def _address(m: Column, key: Column, back: bool) -> Column:
 
 
 def _card(m: Column, key: Column, back: bool) -> Column:
-    """All digits but the last are permuted; the last is the Luhn digit again."""
-    body = _permuted_text(F.regexp_extract(m, r"(?s)^(.*)[0-9]$", 1), key, "card", back)
+    """The issuer's digits stay, the others but the last are permuted; the last is the Luhn digit again.
+
+    A card of no issuer becomes another of none: it is permuted until it is one.
+    """
+    issuer = F.regexp_extract(m, f"^(?:{ISSUER})?", 0)
     check = lambda b: F.concat(b, ((10 - _luhn(F.concat(_digits(b), F.array(F.lit(0))))) % 10).cast("string"))
-    return F.when(_luhn(_digits(m)) == 0, let(body, check)).otherwise(m)
 
+    def once(t: Column) -> Column:
+        rest = F.regexp_extract(t.substr(F.length(issuer) + 1, F.length(t)), r"(?s)^(.*)[0-9]$", 1)
+        return F.concat(issuer, _permuted_text(rest, key, F.concat(F.lit("card "), issuer), back))
 
-def _cards(run: Column, key: Column, back: bool) -> Column:
-    """Struct (text, n) of a run of digits and separators: its cards permuted, and how many."""
+    def step(a: Column, _: Column) -> Column:
+        new = lambda b: F.struct(check(b).alias("t"), ((issuer != "") | ~b.rlike(f"^(?:{ISSUER})")).alias("done"))
+        return F.when(a["done"], a).otherwise(let(once(a["t"]), new))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(m.alias("t"), F.lit(False).alias("done")), step)["t"]
+
+
+def _picked(run: Column) -> Column:
+    """(i, n) of the cards in a run of digits and separators, from left to right."""
 
     def of(cs: Column) -> Column:
         digit = lambda i: F.coalesce(F.get(cs, i).rlike("[0-9]"), F.lit(False))
         starts = F.filter(F.sequence(F.lit(0), F.size(cs) - 1), lambda i: digit(i) & ((i == 0) | ~digit(i - 1)))
         lens = F.sequence(F.lit(CARD_CHARS[0]), F.lit(CARD_CHARS[1]))
-        fits = lambda i, n: (i + n <= F.size(cs)) & ~digit(i + n) & F.array_join(F.slice(cs, i + 1, n), "").rlike(f"^{CARD}$")
-        n_digits = lambda i, n: F.size(F.filter(F.slice(cs, i + 1, n), lambda c: c.rlike("[0-9]")))
-        at = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(lens, lambda n: fits(i, n)), lambda n: F.struct((-n_digits(i, n)).alias("less"), i.alias("i"), n.alias("n")))))
-        order = F.sort_array(at, asc=not back)
+        part = lambda i, n: F.array_join(F.slice(cs, i + 1, n), "")
+        fits = lambda i, n: (i + n <= F.size(cs)) & ~digit(i + n) & digit(i + n - 1) & let(part(i, n), lambda t: t.rlike(f"^{CARD}$") & F.length(F.regexp_replace(t, "[ -]", "")).between(13, 19) & (_luhn(_digits(t)) == 0))
+        unlike = lambda t: F.when(t.rlike(f"^(?:{USUAL})$"), 0).otherwise(2) + F.when(t.rlike(f"^(?:{ISSUER})"), 0).otherwise(1)
+        at = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(lens, lambda n: fits(i, n)), lambda n: F.struct(unlike(part(i, n)).alias("unlike"), i.alias("i"), (-n).alias("less")))))
+        none = F.array().cast("array<struct<i:int,n:int>>")
+        clear = lambda a, c: ~F.exists(a, lambda x: (x["i"] < c["i"] - c["less"]) & (c["i"] < x["i"] + x["n"]))
+        taken = F.aggregate(F.sort_array(at), none, lambda a, c: F.when(clear(a, c), F.concat(a, F.array(F.struct(c["i"].alias("i"), (-c["less"]).alias("n"))))).otherwise(a))
+        return F.sort_array(taken)
+
+    return let(_chars(run), of)
 
-        def step(a: Column, c: Column) -> Column:
-            t, old = a["text"], a["text"].substr(c["i"] + 1, c["n"])
-            put = lambda new: F.struct(F.concat(t.substr(F.lit(1), c["i"]), new, t.substr(c["i"] + c["n"] + 1, F.length(t))).alias("text"), (a["n"] + F.when(new != old, 1).otherwise(0)).alias("n"))
-            return F.when(_luhn(_digits(old)) == 0, let(_card(old, key, back), put)).otherwise(a)
 
-        return F.aggregate(order, F.struct(run.alias("text"), F.lit(0).alias("n")), step)
+def _cards(run: Column, key: Column, back: bool) -> Column:
+    """Struct (text, n) of a run of digits and separators: its cards permuted, and how many."""
 
-    return let(_chars(run), of)
+    def moved(text: Column, picked: Column) -> Column:
+        def one(t: Column, c: Column) -> Column:
+            new = _card(t.substr(c["i"] + 1, c["n"]), key, back)
+            return F.concat(t.substr(F.lit(1), c["i"]), new, t.substr(c["i"] + c["n"] + 1, F.length(t)))
+
+        return F.aggregate(picked, text, one)
+
+    def walk(picked: Column) -> Column:
+        def step(a: Column, _: Column) -> Column:
+            again = lambda t: F.struct(t.alias("text"), (_picked(t) == picked).alias("done"))
+            return F.when(a["done"], a).otherwise(let(moved(a["text"], picked), again))
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(run.alias("text"), F.lit(False).alias("done")), step)
+        return F.struct(F.when(F.size(picked) > 0, found["text"]).otherwise(run).alias("text"), F.size(picked).alias("n"))
+
+    return let(_picked(run), walk)
 
 
 def _with_cards(part: Column, key: Column, back: bool) -> Column:
@@ -285,8 +322,9 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, count: str | Non
     ``count`` names a column for the number of values.
     """
     secret = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    names, docs = docs.columns, renamed(docs, "text", "n_chars")
     rows = docs.withColumn("__key", secret).withColumn("__p", replaced(F.col("text"), F.col("__key"), back))
     changed = F.col("__p.n") > 0
-    n_chars = lambda c: F.when(changed, F.length("__p.text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
-    cols = [F.col("__p.text").alias(c) if c == "text" else n_chars(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*cols, *([F.col("__p.n").alias(count)] if count else []))
+    n_chars = lambda c: F.when(changed, F.length("__p.text").cast(docs.schema[c].dataType)).otherwise(F.col(c))
+    cols = [F.col("__p.text") if c == "text" else n_chars(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return rows.select(*(c.alias(n) for c, n in zip(cols, names, strict=True)), *([F.col("__p.n").alias(count)] if count else []))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.native import let
+from boxwright.llm.native import let, renamed
 from boxwright.llm.verdicts import few
 from boxwright.session import cut
 
@@ -158,13 +158,14 @@ def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_
 
     Where a text loses lines, ``n_chars`` (if there is one) is counted anew.
     """
+    names, docs = docs.columns, renamed(docs, "doc_id", "text", "source", "n_chars")
     rows = examined(docs)
     gone = lost(rows.filter("not base_failed"), frequent_lines(rows, min_docs, max_share, max_docs))
     failed = rows.filter("base_failed").select("key").distinct()
     verdicts = failed.select("key", F.lit(True).alias("out"), F.lit(None).cast("array<int>").alias("places")).union(gone.select("key", "depleted", "places"))
-    verdicts = few(cut(verdicts, "verdicts")).select(F.col("key").alias("__key"), F.col("out").alias("__out"), F.col("places").alias("__places"))
+    verdicts = few(cut(verdicts, "verdicts"), 4 * F.coalesce(F.size("places"), F.lit(0))).select(F.col("key").alias("__key"), F.col("out").alias("__out"), F.col("places").alias("__places"))
     kept = docs.withColumn("__of", key(docs)).join(verdicts, F.col("__of") == F.col("__key"), "left").filter(~F.coalesce("__out", F.lit(False)))
     changed = F.col("__places").isNotNull()
     text = F.when(changed, _without(F.col("text"), F.col("__places"))).otherwise(F.col("text"))
     count = lambda c: F.when(changed, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
-    return kept.select(*(text.alias(c) if c == "text" else count(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    return kept.select(*(text.alias(c) if c == "text" else count(c) if c == "n_chars" else F.col(c) for c in docs.columns)).toDF(*names)

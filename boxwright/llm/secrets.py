@@ -28,7 +28,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.native import let
+from boxwright.llm.native import let, renamed
 from boxwright.session import cut
 
 
@@ -151,7 +151,8 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
 
 def find(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """``docs`` with ``spans``: array of (start, rank of the rule, end), sorted. A column of that name gives way."""
-    rules = rules or RULES
+    rules, names = rules or RULES, docs.columns
+    docs = renamed(docs, "doc_id", "text", "spans")
     asked = {r.kind: trigram_query(r.pattern) for r in rules}
     trigrams = sorted({t for q in asked.values() for alt in q or [] for t in alt})
     may = cut(candidates(index(docs, trigrams), rules), "candidates").withColumnRenamed("text_key", "__key").withColumnRenamed("rules", "__rules")
@@ -164,7 +165,8 @@ def find(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         return spans if asked[r.kind] is None else F.when(F.array_contains("__rules", r.kind), spans)
 
     found = F.sort_array(F.concat(*(F.coalesce(gated(r, k), none) for k, r in enumerate(rules))))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c != "spans"), F.when(F.col("text").isNull(), none).otherwise(found).alias("spans"))
+    kept = [F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True) if c != "spans"]
+    return rows.select(*kept, F.when(F.col("text").isNull(), none).otherwise(found).alias("spans"))
 
 
 def _joined(spans: Column, rules: list[Rule]) -> Column:

@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 
 from boxwright.components import connected_components, local_stars
 from boxwright.llm.memory import give_back, small_batches
+from boxwright.llm.native import renamed
 from boxwright.llm.verdicts import few
 from boxwright.session import cut
 
@@ -186,6 +187,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     those that go or stand several times; only the latter are put side by side, in
     two steps, so that very many equal rows are no single task. An empty table stays empty.
     """
+    names, docs = docs.columns, renamed(docs, "doc_id", "text")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("__key"), "text")
     prints = cut(fingerprints(keyed, "__key"), "fingerprints")
     named = _named(prints).select("fp", "component")
@@ -195,11 +197,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     verdicts = rows_of.join(chosen, "__of", "left").select("__of", "__n", F.coalesce("__stays", F.lit(False)).alias("__stays")).filter("not __stays or __n > 1")
     verdicts = cut(verdicts, "verdicts")
     met = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.xxhash64("text"))).join(few(verdicts), F.col("__row") == F.col("__of"), "left").filter(F.coalesce("__stays", F.lit(True)))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = docs.columns
     if verdicts.filter("__stays and __n > 1").limit(1).count() == 0:
-        return met.select(*columns)
+        return met.select(*columns).toDF(*names)
     several = met.filter("__n > 1").withColumn("__salt", F.monotonically_increasing_id() % 64)
     for by in (("__row", "__salt"), ("__row",)):
         first = F.row_number().over(Window.partitionBy(*by).orderBy("__row"))
         several = several.withColumn("__nth", first).filter("__nth = 1").drop("__nth")
-    return met.filter("__n is null or __n = 1").select(*columns).unionAll(several.select(*columns))
+    return met.filter("__n is null or __n = 1").select(*columns).unionAll(several.select(*columns)).toDF(*names)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Verdicts up to which they are sent to the rows; above, Spark joins by its own choice and may shuffle both.
-BROADCAST_ROWS = 500_000
+#: Bytes of verdicts up to which they are sent to the rows; above, Spark joins by its own choice and may shuffle both.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of a verdict with its key, without what else it carries.
+ROW_BYTES = 64
 
 
-def few(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, marked for broadcast if a count shows that it has at most ``most`` rows."""
-    return F.broadcast(stored) if stored.count() <= most else stored
+def few(stored: DataFrame, more: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, marked for broadcast if its rows, and the further bytes that a column tells for each, show that it has at most ``most``."""
+    size = F.sum((F.lit(ROW_BYTES) if more is None else more + ROW_BYTES).cast("long"))
+    return F.broadcast(stored) if (stored.agg(size).first()[0] or 0) <= most else stored

@@ -270,3 +270,107 @@ def kmeans(rows, k=8, rounds=10, dims=64):
         for j, g in groups.items():
             centres[j] = [sum(x) // len(g) for x in zip(*g, strict=True)]
     return [(i, near(v)[1], near(v)[0]) for i, v in kept], centres
+
+
+def _luhn_ok(digits):
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def _feistel(values, radices, key, tweak, back=False):
+    """Ten rounds over places of either parity."""
+    values = list(values)
+    for r in reversed(range(10)) if back else range(10):
+        other = ",".join(str(v) for j, v in enumerate(values) if j % 2 != r % 2)
+        for i, v in enumerate(values):
+            if i % 2 == r % 2:
+                shift = int(hashlib.sha256(f"{key}|{tweak}|{r}|{i}|{other}".encode()).hexdigest()[:12], 16)
+                values[i] = (v - shift if back else v + shift) % radices[i]
+    return values
+
+
+def _feistel_text(text, key, tweak, back=False):
+    kind = lambda c: (10, 48) if "0" <= c <= "9" else (26, 97) if "a" <= c <= "z" else (26, 65) if "A" <= c <= "Z" else None
+    free = [c for c in text if kind(c)]
+    new = iter(_feistel([ord(c) - kind(c)[1] for c in free], [kind(c)[0] for c in free], key, tweak, back))
+    return "".join(chr(next(new) + kind(c)[1]) if kind(c) else c for c in text)
+
+
+def picked_cards(run):
+    """(start, length) of the cards in a run of digits, spaces and hyphens."""
+    from boxwright.llm import pii
+
+    found = []
+    for i in range(len(run)):
+        if run[i].isdigit() and (i == 0 or not run[i - 1].isdigit()):
+            for n in range(13, 38):
+                t = run[i : i + n]
+                digits = [int(c) for c in t if c.isdigit()]
+                if len(t) == n and (i + n == len(run) or not run[i + n].isdigit()) and re.fullmatch(pii.CARD, t) and 13 <= len(digits) <= 19 and _luhn_ok(digits):
+                    found.append((2 * (not re.fullmatch(pii.USUAL, t)) + (not re.match(pii.ISSUER, t)), i, -n))
+    taken = []
+    for _, i, less in sorted(found):
+        if all(i - less <= x or x + n <= i for x, n in taken):
+            taken.append((i, -less))
+    return sorted(taken)
+
+
+def moved_card(t, key, back=False):
+    from boxwright.llm import pii
+
+    issuer = (re.match(pii.ISSUER, t) or [""])[0]
+    while True:
+        body = issuer + _feistel_text(t[len(issuer) : -1], key, f"card {issuer}", back)
+        t = next(body + str(d) for d in range(10) if _luhn_ok([int(c) for c in f"{body}{d}" if c.isdigit()]))
+        if issuer or not re.match(pii.ISSUER, t):
+            return t
+
+
+def moved_run(run, key, back=False):
+    picked, new = picked_cards(run), run
+    while picked:
+        for i, n in picked:
+            new = new[:i] + moved_card(new[i : i + n], key, back) + new[i + n :]
+        if picked_cards(new) == picked:
+            break
+    return new
+
+
+def moved_value(m, key, back=False):
+    """The pseudonym of one value that is no card and no date."""
+    from boxwright.llm import pii
+
+    if "@" in m:
+        head, dot, top = m.rpartition(".")
+        return _feistel_text(head, key, "email", back) + dot + top
+    if re.fullmatch(pii.DATE, m):
+        return moved_date(m, key, back)
+    if re.fullmatch(pii.ADDRESS, m):
+        octets = m.split(".")
+        if any(int(o) > 255 or len(o) > 1 and o[0] == "0" for o in octets):
+            return m
+        return ".".join(map(str, _feistel([int(o) for o in octets], [256] * 4, key, "address", back)))
+    if re.fullmatch(pii.SOCIAL, m):
+        return _feistel_text(m, key, "social", back)
+    if re.match("[A-Z]{2}", m):
+        number = lambda t: int("".join(str(int(c, 36)) for c in t))
+        plain = m.replace(" ", "")
+        if number(plain[4:] + plain[:4]) % 97 != 1:
+            return m
+        tail = _feistel_text(m[4:], key, "iban", back)
+        return m[:2] + f"{98 - number(tail.replace(' ', '') + m[:2] + '00') % 97:02}" + tail
+    lead = re.match(r"\+[0-9]{1,3}(?=[ .-]|\()[ .-]?|\+[0-9]|1[ .-](?=[0-9]{3}[.-])|", m)[0]
+    return lead + _feistel_text(m[len(lead) :], key, "phone", back)
+
+
+def pseudonymised(text, key, back=False):
+    """The text with every value replaced."""
+    from boxwright.llm import pii
+
+    if text is None:
+        return None
+    cards = lambda part: re.sub(pii.RUN, lambda m: moved_run(m[0], key, back), part)
+    out, end = [], 0
+    for m in re.finditer(pii.ANY, text):
+        out += [cards(text[end : m.start()]), moved_value(m[0], key, back)]
+        end = m.end()
+    return "".join(out) + cards(text[end:])

@@ -375,6 +375,51 @@ def test_pii_finds_cards_beside_other_digits(spark):
     assert as_set(pii.pseudonymise(out.drop("n_values"), "k", back=True)) == as_set(df)
 
 
+def valid_card(r, first, n=16):
+    body = first + "".join(r.choice("0123456789") for _ in range(n - 1 - len(first)))
+    return next(body + str(d) for d in range(10) if brute._luhn_ok([int(c) for c in f"{body}{d}"]))
+
+
+def test_every_card_has_one_pseudonym_whatever_stands_beside_it(spark):
+    r = random.Random(3)
+    cards = [valid_card(r, r.choice(["4", "51", "2221", "6011", "65", "35" + str(r.randint(28, 89)), ""])) for _ in range(700)]
+    cards += [valid_card(r, r.choice(["34", "37"]), 15) for _ in range(100)]
+    grouped = lambda c: " ".join([c[:4], c[4:8], c[8:12], c[12:]]) if len(c) == 16 else f"{c[:4]} {c[4:10]} {c[10:]}"
+    beside = [lambda c: f"card {c}.", lambda c: f"{c} {r.randrange(1000):03}", lambda c: f"{grouped(c)} {r.randint(1, 12):02} {r.randint(24, 39)}", lambda c: f"{grouped(c)} {r.randrange(1000):03}", lambda c: f"no {r.randrange(100, 999)}-{grouped(c)}", lambda c: f"{c}-{r.randrange(10000):04}"]
+    texts = [f(c) for c in cards for f in beside]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    out = pii.pseudonymise(df, "k").cache()
+    got = [x["text"] for x in out.orderBy("doc_id").collect()]
+    plain = lambda t: "".join(c for c in t if c.isdigit())
+    for i, c in enumerate(cards):
+        new = {plain(got[6 * i])}
+        assert brute._luhn_ok([int(x) for x in new.copy().pop()]) and new != {c}
+        new |= {plain(got[6 * i + 1])[: len(c)], plain(got[6 * i + 2])[: len(c)], plain(got[6 * i + 3])[: len(c)], plain(got[6 * i + 4])[3:], plain(got[6 * i + 5])[: len(c)]}
+        assert len(new) == 1, (c, got[6 * i : 6 * i + 6])
+    assert as_set(pii.pseudonymise(out, "k", back=True)) == as_set(df)
+
+
+def test_pii_against_brute_force(spark, rows):
+    r = random.Random(8)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def iban():
+        tail = f"WEST{d(14)}"
+        number = int("".join(str(int(c, 36)) for c in tail + "GB00"))
+        t = f"GB{98 - number % 97:02}{tail}"
+        return r.choice([t, " ".join(t[i : i + 4] for i in range(0, len(t), 4)), t[:-1] + "0"])
+
+    forms = [lambda: valid_card(r, r.choice(["4", "55", "9"]), r.randint(13, 19)), iban, lambda: ".".join(str(r.randint(0, 300)) for _ in range(4)), lambda: f"{r.choice(['ann', 'B.c+1'])}{d(2)}@{r.choice(['x', 'Mail-2'])}.{r.choice(['org', 'co.uk'])}", lambda: f"+{d(2)} {d(3)} {d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{r.randint(1700, 2300)}-{r.randint(0, 13):02}-{r.randint(0, 32):02}", lambda: f"{r.randint(1, 31)}/{r.randint(1, 13)}/{r.randint(1900, 2030)}", lambda: d(r.randint(1, 6)), lambda: " ".join(d(4) for _ in range(r.randint(3, 6))), lambda: words(r, 2), lambda: "ü"]
+    texts = ["".join(r.choice(forms)() + r.choice([" ", " ", ", ", "\n", "-", ""]) for _ in range(r.randint(0, 8))) for _ in range(1500)] + [x[1] for x in rows] + ["123 " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    out = pii.pseudonymise(df, "k").cache()
+    got = {x["doc_id"]: x["text"] for x in out.collect()}
+    assert got == {i: brute.pseudonymised(t, "k") for i, t in enumerate(texts)}
+    assert sum(got[i] != t for i, t in enumerate(texts)) > 1000
+    same = {i for i, t in enumerate(texts) if t is None or brute.pseudonymised(got[i], "k", True) == t}
+    assert {x["doc_id"] for x in pii.pseudonymise(out, "k", back=True).collect() if x["text"] == texts[x["doc_id"]]} >= same
+
+
 def test_language_model(docs, rows, empty):
     expected = {e[0]: e for e in brute.language_model([(r[0], r[1]) for r in rows])}
     got = language_model.scores(docs, chunk_chars=3000, n_shards=5).collect()
@@ -411,12 +456,30 @@ def test_language_model_predicts_held_out_text(spark):
 
 
 def test_filters_leave_odd_and_clashing_columns_alone(spark):
-    extra = ["found", "host", "key", "a.b", "_hit", "fp", "component", "n", "line"]
+    extra = ["found", "host", "key", "a.b", "_hit", "fp", "component", "n", "line", "c0", "c1", "out", "places", "rules", "text_key", "rank"]
+    extra += [f"__{c}" for c in ("key", "places", "out", "of", "n", "stays", "row", "salt", "nth", "found", "hit", "p", "text_key", "rules")]
     df = spark.createDataFrame([(i, f"{words(random.Random(i), 30)}", "s", *extra) for i in range(4)], ", ".join(["doc_id bigint", "text string", "source string", *(f"`{c}` string" for c in extra)]))
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
-    for f in (quality.keep_good, simhash.keep_one, lambda d: decontaminate.decontaminate(d, bench), lambda d: pii.pseudonymise(d, "k")):
+    for f in (quality.keep_good, simhash.keep_one, lambda d: decontaminate.decontaminate(d, bench), lambda d: pii.pseudonymise(d, "k"), lambda d: secrets.find(d).drop("spans")):
         out = f(df)
         assert out.columns == df.columns and as_set(out) == as_set(df)
+    twice = df.union(df.limit(1))
+    assert as_set(simhash.keep_one(twice)) == as_set(df)
+
+
+def test_verdicts_are_broadcast_by_their_bytes(spark):
+    from boxwright.llm.verdicts import few
+
+    t = spark.range(100).select("id", F.array_repeat(F.lit(1), 1000).alias("places"))
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(few(t)) and hinted(few(t, 4 * F.size("places"), 500_000)) and not hinted(few(t, 4 * F.size("places"), 300_000))
+
+
+def test_texts_of_several_megabytes(spark):
+    texts = ["x" * 4_000_000, "word " * 400_000, "12 " * 200_000, "\n".join(f"line {i}" for i in range(100_000))]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").repartition(4)
+    assert simhash.digests(df).count() == 4 and secrets.digests(df).count() == 4 and quality.digests(df).count() == 4
+    assert as_set(pii.pseudonymise(df, "k")) == as_set(df)
 
 
 def test_elias_fano_finds_successors():
