@@ -1,7 +1,8 @@
 """Density clusters of embedding vectors, their names, and contact sheets.
 
-Deterministic and distributed: a k-nearest-neighbour graph, mutual
-reachability, a minimum spanning forest by Boruvka rounds, and a cut.
+Deterministic and distributed: a k-nearest-neighbour graph (exact up to a size, from
+an inverted file beyond), mutual reachability, a minimum spanning forest by
+Boruvka rounds, its merge tree, and a cut.
 """
 
 from __future__ import annotations
@@ -14,11 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxwright.components import connected_components
+from boxwright.components import FEW_LINKS, connected_components
 from boxwright.functions import labels
+from boxwright.functions.quantiles import quantiles
+from boxwright.operators.merge_tree import cluster_counts, nearest_height
+from boxwright.operators.mutations import dense_ids
+from boxwright.operators.neighbour_graph import near_graph
 from boxwright.operators.vectors import mean_vector, unit
 from boxwright.session import cut
 
+#: Rows up to which neighbours are exact; beyond, most of them are, by a share that is measured (``neighbour_graph``).
+EXACT_ROWS = 50_000
 #: Rows that are compared with others at a time, and rows of a side that one task holds.
 BLOCK, SIDE_ROWS = 1024, 50_000
 
@@ -46,8 +53,7 @@ def neighbours(units: DataFrame, k: int, side_rows: int = SIDE_ROWS) -> DataFram
 
     Exact at every size: rows fall into parts of about ``side_rows``, each pair of parts
     is a task of its own, and the best of all parts are put together. The work
-    grows with the square of the rows, as in any exact search; ``limit`` of
-    ``clusters`` bounds it.
+    grows with the square of the rows, as in any exact search.
     """
     parts = max(-(-units.count() // side_rows), int(np.ceil(np.sqrt(units.sparkSession.sparkContext.defaultParallelism))))
     rows = units.withColumn("part", F.pmod(F.xxhash64("roi_index"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -87,11 +93,15 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         if not new.limit(1).count():
             return forest
         forest = cut(forest.union(new), "forest")
-        part = cut(connected_components(forest.select("a", "b"), "forest-parts"), "parts")
+        part = cut(connected_components(forest.select("a", "b"), "forest-parts", few=FEW_LINKS), "parts")
 
 
 def clusters(df: DataFrame, column: str = "embedding", n_neighbors: int = 40, min_samples: int = 5, base_min_cluster_size: int = 2, noise_level: float = 0.2, approx_n_clusters: int = 18, limit: int | None = None) -> DataFrame | None:
-    """roi_index, cluster: ids from 0 by descending size (then least roi), -1 for noise; None if there are too few rows."""
+    """roi_index, cluster: ids from 0 by descending size (then least roi), -1 for noise; None if there are too few rows.
+
+    Without ``approx_n_clusters`` the forest is cut at the quantile of core distances that leaves ``noise_level`` out; with
+    it, at the height up to there whose number of clusters is nearest, of all heights.
+    """
     rows = df.filter(F.col(column).isNotNull()).select("roi_index", column)
     if limit is not None:
         rows = rows.orderBy("roi_index").limit(limit)
@@ -99,25 +109,22 @@ def clusters(df: DataFrame, column: str = "embedding", n_neighbors: int = 40, mi
     if n < max(10, n_neighbors + 1):
         return None
     units = cut(rows.select("roi_index", unit(column, mean_vector(rows, column).first()["mean"]).alias("u")), "units")
-    near = cut(neighbours(units, n_neighbors), "neighbours")
+    near = cut(neighbours(units, n_neighbors) if n <= EXACT_ROWS else near_graph(units, n_neighbors)[0], "neighbours")
     nth = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     core = near.withColumn("_r", nth).filter(F.col("_r") == min(min_samples, n_neighbors)).select(F.col("a").alias("node"), F.col("d").alias("core"))
-    top = core.agg(F.percentile("core", F.lit(1 - noise_level)).alias("q")).first()["q"]
     core = cut(core, "core")
+    top = quantiles(core, "core", [1 - noise_level])[0]
     ca, cb = core.select(F.col("node").alias("a"), F.col("core").alias("ca")), core.select(F.col("node").alias("b"), F.col("core").alias("cb"))
     forest = spanning_forest(near.join(ca, "a").join(cb, "b").select("a", "b", F.greatest("d", "ca", "cb").alias("w")))
-    levels = forest.agg(F.percentile("w", F.array(*(F.lit(q) for q in (0.5, 0.7, 0.85, 0.95)))).alias("q")).first()["q"] or []
-    cuts = [top] if not approx_n_clusters else sorted({x for x in [*levels, top] if x is not None and x <= max(top, levels[0] if levels else top)})
-    best = None
-    for c in cuts:
-        parts = cut(connected_components(forest.filter(F.col("w") <= c).select("a", "b"), "cut"), "cut-parts")
-        big = parts.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter(F.col("n") >= base_min_cluster_size)
-        found = big.count()
-        score = abs(found - approx_n_clusters) if approx_n_clusters else 0
-        if best is None or score < best[0]:
-            best = (score, parts, big)
-    _, parts, big = best
-    ids = big.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1)
+    height = top
+    if approx_n_clusters:
+        lowest = forest.agg(F.min("w")).first()[0]
+        found = nearest_height(cluster_counts(forest, max(2, base_min_cluster_size)), forest, approx_n_clusters, max(x for x in (top, lowest) if x is not None)) if lowest is not None else None
+        height = top if found is None else found
+    parts = cut(connected_components(forest.filter(F.col("w") <= height).select("a", "b"), "cut", few=FEW_LINKS), "cut-parts")
+    big = parts.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter(F.col("n") >= base_min_cluster_size)
+    big = big.select("component", F.col("n").alias("_n"), F.col("least").alias("_least"), (-F.col("n")).alias("_order"))
+    ids = dense_ids(big, ["_order", "_least"], name="cluster").select("component", "cluster")
     placed = parts.join(ids, "component").select(F.col("node").cast("int").alias("roi_index"), "cluster")
     return units.select("roi_index").join(placed, "roi_index", "left").select("roi_index", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
@@ -155,11 +162,13 @@ def refine(df: DataFrame, label: str, n_neighbors: int = 15, base_min_cluster_si
 def contact_sheet(rows: DataFrame, width: int = 2550, height: int = 3300, gap: int = 5, first_page_only: bool = False) -> DataFrame:
     """group, roi_index, page, x, y, tile: where each crop stands on its group's sheets.
 
-    The grid is near square; as many rows as fit a page stay on it.
+    The grid is near square; as many rows as fit a page stay on it. Places are dealt out by range, so a group of
+    any size is no single task.
     """
-    w = Window.partitionBy("group")
     n_rows = F.ceil(F.sqrt("_n")).cast("int")
-    laid = rows.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy("roi_index")) - 1).withColumn("_rows", n_rows).withColumn("_cols", F.ceil(F.col("_n") / F.col("_rows")).cast("int"))
+    placed = dense_ids(rows.select("group", "roi_index"), ["group", "roi_index"], name="_nth")
+    per = placed.groupBy(F.col("group").alias("_group")).agg(F.count("*").alias("_n"), F.min("_nth").alias("_first"))
+    laid = placed.join(per, F.col("group").eqNullSafe(F.col("_group"))).withColumn("_i", F.col("_nth") - F.col("_first")).withColumn("_rows", n_rows).withColumn("_cols", F.ceil(F.col("_n") / F.col("_rows")).cast("int"))
     fit = lambda size, k: (F.lit(size) - gap * (F.col(k) - 1)) / F.col(k)
     laid = laid.withColumn("tile", F.greatest(F.least(fit(width, "_cols"), fit(height, "_rows")).cast("int"), F.lit(1)))
     across = F.greatest(F.floor(F.lit(width + gap) / (F.col("tile") + gap)), F.lit(1)).cast("int")

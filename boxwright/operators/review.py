@@ -89,7 +89,7 @@ def page(df: DataFrame, sorts: list[tuple[str, bool | None]], offset: int, size:
     Only ids and sort keys are sorted. Pages near the front come from a bounded
     top-k; for later ones the keys are dealt out by range, and only the parts that
     the page lies in are put in order. The page's rows are then fetched by id; the
-    page goes to each task, being of the size asked for.
+    page goes to each task, if it has no more than FRONT rows.
     """
     kept = df.filter(labels.review_filter(**filters))
     order = labels.sort_columns(sorts)
@@ -109,7 +109,7 @@ def page(df: DataFrame, sorts: list[tuple[str, bool | None]], offset: int, size:
         top = dealt.filter(F.col("_part").isin([p for p, _ in parts])).drop("_part").orderBy(*order).limit(offset + size)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter(F.col("rank") > offset)
     ranked = ranked.select("id", (F.col("rank") + first).alias("rank"))
-    return df.join(F.broadcast(ranked), "id").orderBy("rank")
+    return df.join(F.broadcast(ranked) if size <= FRONT else ranked, "id").orderBy("rank")
 
 
 def rois_for_image(df: DataFrame, image_path: str) -> DataFrame:

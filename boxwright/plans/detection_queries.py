@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boxwright import schema
 from boxwright.functions import boxes, labels
+from boxwright.functions.quantiles import quantiles
 from boxwright.operators import clustering, linking, mutations, naming, ranking, review, vectors
 from boxwright.plans.fixture_views import oracle, view
 from boxwright.session import scratch_path
@@ -232,6 +233,12 @@ def next_id(spark, sf):
     return review.next_id(pred(spark, sf))
 
 
+@query("SELECT unnest(CAST([0.0, 0.1, 0.5, 0.777, 0.95, 1.0] AS DOUBLE[])) AS share, unnest(quantile_cont(sharpness, [0.0, 0.1, 0.5, 0.777, 0.95, 1.0])) AS value FROM predictions")
+def sharpness_quantiles(spark, sf):
+    shares = [0.0, 0.1, 0.5, 0.777, 0.95, 1.0]
+    return small(spark, list(zip(shares, quantiles(pred(spark, sf), "sharpness", shares), strict=True)), "share double, value double")
+
+
 # Pages and lists
 
 
@@ -447,15 +454,25 @@ def provenance(spark, sf):
     return mutations.replace_provenance(new.limit(0), new, only_if_empty=True)
 
 
-@query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN roi_index % 4 = 0 THEN 'nothing' WHEN roi_index % 4 = 1 THEN 'edited' WHEN roi_index % 4 = 2 THEN 'unchanged' ELSE 'disagrees' END AS outcome FROM predictions) GROUP BY 1")
+@query("SELECT outcome, count(*) AS n FROM (SELECT CASE roi_index % 5 WHEN 0 THEN 'nothing' WHEN 1 THEN 'edited' WHEN 2 THEN 'unchanged' WHEN 3 THEN 'disagrees' ELSE 'tighter' END AS outcome FROM predictions) GROUP BY 1")
 def apply_revisions(spark, sf):
-    i = F.col("roi_index") % 4
+    i = F.col("roi_index") % 5
     p = pred(spark, sf)
     old = [(F.col(s) + F.when(i == 1, 1).otherwise(0)).alias(f"old_{s}") for s in boxes.SIDES]
-    new = [F.when(i != 0, F.col(s) + F.when(i == 3, 500).otherwise(0)).alias(f"new_{s}") for s in boxes.SIDES]
+    smaller = {"x_max": (F.col("x_max") - F.col("x_min")) / 4}
+    new = [F.when(i != 0, F.col(s) + F.when(i == 3, 500).otherwise(0) - F.when(i == 4, smaller.get(s, F.lit(0))).otherwise(0)).alias(f"new_{s}") for s in boxes.SIDES]
     return mutations.apply_revisions(p, p.select("roi_index", *old, *new))[1]
 
 
+@query("SELECT id, CAST(x_max - CASE WHEN roi_index % 5 = 4 THEN (x_max - x_min) / 4 ELSE 0 END AS DOUBLE) AS x_max, embedding IS NOT NULL AND roi_index % 5 <> 4 AS has_vector FROM predictions")
+def tighter_boxes(spark, sf):
+    p = pred(spark, sf)
+    old = [F.col(s).alias(f"old_{s}") for s in boxes.SIDES]
+    new = [(F.col(s) - (F.when(F.col("roi_index") % 5 == 4, (F.col("x_max") - F.col("x_min")) / 4).otherwise(0) if s == "x_max" else 0)).alias(f"new_{s}") for s in boxes.SIDES]
+    out = mutations.apply_revisions(p, p.select("roi_index", *old, *new))[0]
+    return out.select("id", F.col("x_max").cast("double").alias("x_max"), F.col("embedding").isNotNull().alias("has_vector"))
+
+
 # Ingest and tracks
 
 
@@ -516,6 +533,27 @@ def import_counts(spark, sf):
     return files.import_counts(files.pixel_rows(_annotations(spark, sf), view(spark, sf, "image_sizes"), False))
 
 
+_REPORT = """WITH @TABLES@, img AS (SELECT image_path, CAST(regexp_extract(image_path, '(\\d+)\\.png', 1) AS INT) AS k, count(*) FILTER (roi_index % 10 <> 7) AS n, count(*) FILTER (roi_index % 10 = 7) AS gone, count(*) FILTER (roi_index % 10 NOT IN (3, 7)) AS good, count(*) FILTER (roi_index % 10 = 3) AS bad FROM predictions GROUP BY 1),
+f AS (SELECT img.*, CASE WHEN k % 13 = 5 THEN 'no_image' WHEN n = 0 THEN 'empty' WHEN k % 11 = 4 THEN 'already_present' WHEN s.width IS NULL THEN 'unreadable' ELSE 'taken' END AS fate FROM img LEFT JOIN image_sizes s USING (image_path))
+SELECT c.counter, CAST(CASE c.counter WHEN 'images' THEN count(*) FILTER (fate = 'taken' AND good > 0) WHEN 'boxes' THEN sum(good) FILTER (fate = 'taken') WHEN 'degenerate' THEN sum(bad) FILTER (fate = 'taken') WHEN 'size_mismatch' THEN count(*) FILTER (fate = 'taken' AND k % 3 = 0)
+ WHEN 'ambiguous' THEN count(*) FILTER (k % 26 = 5) WHEN 'skipped' THEN sum(gone) WHEN 'unlabelled' THEN (SELECT count(*) FROM image_sizes WHERE CAST(regexp_extract(image_path, '(\\d+)\\.png', 1) AS INT) % 13 = 5) ELSE count(*) FILTER (fate = c.counter) END AS BIGINT) AS n
+FROM f, (SELECT unnest(['images', 'boxes', 'no_image', 'empty', 'already_present', 'unreadable', 'size_mismatch', 'degenerate', 'ambiguous', 'skipped', 'unlabelled']) AS counter) c GROUP BY 1"""
+
+
+@query()
+def import_report(spark, sf):
+    """All that an import reports: annotation files of every image, some without one, in the table already, unreadable or of another size."""
+    i, k = F.col("roi_index"), F.regexp_extract("image_path", r"(\d+)\.png", 1).cast("int")
+    found = _annotations(spark, sf).withColumns({"skipped": i % 10 == 7, "declared_width": F.when(k % 3 == 0, 1919).otherwise(1920), "declared_height": F.lit(1080)})
+    pairs = found.select("annotation_path", F.when(k % 13 != 5, F.col("image_path")).alias("image_path"), (k % 26 == 5).alias("ambiguous")).distinct()
+    existing = found.filter(k % 11 == 4).select("image_path")
+    sizes = view(spark, sf, "image_sizes")
+    return files.import_report(found.drop("image_path"), pairs, sizes, existing, sizes.select(F.col("image_path").alias("path")), False)[1]
+
+
+ORACLES["import_report"] = _REPORT.replace("WITH @TABLES@", oracle("predictions image_sizes").removesuffix("predictions image_sizes").rstrip())
+
+
 @query(f"SELECT CAST(row_number() OVER (ORDER BY image_path || '.txt', p.id) - 1 AS INT) AS id, image_path, label, CAST(least(x_max, 1920) AS DOUBLE) AS x_max FROM predictions p LEFT JOIN image_sizes s USING (image_path) WHERE {_REASON} = 'imported'")
 def import_annotations(spark, sf):
     rows = files.pixel_rows(_annotations(spark, sf), view(spark, sf, "image_sizes"), False).drop("roi_index")
@@ -764,6 +802,15 @@ def fixture_link(spark, sf):
     return linking.kept(rows.join(tracks, ["camera", "roi_index"])).groupBy("fixture").agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last")).select("n", "first", "last")
 
 
+@query(f"SELECT n, first, last FROM ({_SLOTS})")
+def fixture_link_one_camera(spark, sf):
+    """Both cameras' boxes side by side in the pictures of one, linked in as many tasks as they have zones."""
+    rows = view(spark, sf, "linked_boxes").withColumn("aside", F.when(F.col("camera") == "cam_1", 4000).otherwise(0))
+    rows = rows.withColumns({"x_min": (F.col("x_min") + F.col("aside")).cast("float"), "x_max": (F.col("x_max") + F.col("aside")).cast("float"), "camera": F.lit("one")})
+    found = linking.kept(rows.join(linking.link(rows), ["camera", "roi_index"]))
+    return found.groupBy("fixture").agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last")).select("n", "first", "last")
+
+
 @query("SELECT CAST(slot AS INT) AS slot, camera, count(*) AS n, arg_max(roi_index, CAST(confidence AS DOUBLE) * 1e9 - roi_index) AS rep_roi_index, min(frame) AS first, max(frame) AS last FROM linked_boxes WHERE slot < 9 GROUP BY 1, 2 HAVING count(*) >= 20")
 def fixture_info(spark, sf):
     rows, tracks = _linked(spark, sf)
