@@ -2,7 +2,8 @@
 
 Every stage is written as Parquet and read again before the next, so a lost
 executor costs no more than one stage. All but the last return the columns of
-``documents``.
+``documents``. Documents without words go with the first stage; nulls in other columns
+stay as they are, equal rows are one document of a group, and an empty table stays empty.
 """
 
 from __future__ import annotations
