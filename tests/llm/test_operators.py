@@ -421,15 +421,12 @@ def test_pii_against_brute_force(spark, rows):
 
 
 def test_language_model(docs, rows, empty):
-    expected = {e[0]: e for e in brute.language_model([(r[0], r[1]) for r in rows])}
-    got = language_model.scores(docs, chunk_chars=3000, n_shards=5).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        e = expected[r["doc_id"]]
-        if r["doc_id"] is None:
-            continue
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == e[1:5]
-        assert abs(r["base_score"] - e[5]) < 1e-6 and abs(r["score"] - e[6]) <= 0.02 * r["n_tokens"]
+    """Counts up to 128 are kept exactly, so scores are; rows of one id, null ids among them, are told apart by what they have."""
+    expected = sorted(brute.language_model([(r[0], r[1]) for r in rows]), key=lambda e: (repr(e[0]), e[2], e[6]))
+    got = sorted((tuple(r) for r in language_model.scores(docs, chunk_chars=3000, n_shards=5).collect()), key=lambda e: (repr(e[0]), e[2], e[6]))
+    assert [g[:5] for g in got] == [e[:5] for e in expected]
+    for g, e in zip(got, expected, strict=True):
+        assert abs(g[5] - e[5]) < 1e-6 and abs(g[6] - e[6]) < 1e-6 * max(1, e[2])
     assert language_model.scores(empty).count() == 0
 
 

@@ -35,3 +35,21 @@ def test_stages_against_brute_force(spark):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Nulls in every column, empty texts, repeated rows: each stage keeps columns and types, and an empty table stays one."""
+    ddl = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    text = "A line of ten words and a few more, to be kept. Mail ann@example.org or 10.2.3.4 about it."
+    rows = [(1, text, "en", "s", len(text)), (1, text, "en", "s", len(text)), (2, None, None, None, None), (3, "", "en", "s", 0), (None, text + " Again and again, other words.", None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, ddl)
+    empty = spark.createDataFrame([], ddl)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
+        assert stage(spark, empty, SF).count() == 0
+        docs = spark.createDataFrame(out.collect(), ddl)
+    got = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(got) <= {1, None} and all("ann@example.org" not in t and "10.2.3.4" not in t for t in got.values()) and docs.count() >= 1
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, SF).count() == docs.count() and last(spark, empty, SF).count() == 0
