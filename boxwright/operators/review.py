@@ -169,8 +169,9 @@ def animal_members(predictions: DataFrame, fixtures: DataFrame, fixture: int, **
 
 
 def adhoc(spark, statement: str, limit: int = 50, **tables: DataFrame) -> tuple[DataFrame, int]:
-    """First rows of a statement over named tables, and how many more there are."""
+    """First rows of a statement over named tables, and how many more there are; it runs again only to count those."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     out = spark.sql(statement)
-    return out.limit(limit), max(0, out.count() - limit)
+    rows = out.limit(limit + 1).collect()
+    return spark.createDataFrame(rows[:limit], out.schema), 0 if len(rows) <= limit else out.count() - limit

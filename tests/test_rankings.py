@@ -56,3 +56,11 @@ def test_vectors_of_several_lengths_are_a_clear_error(spark):
 def test_shares_hidden_by_confidence(spark):
     hidden = spark.createDataFrame([("a", 8, 3), ("b", 1, 0)], "label string, total bigint, hidden bigint")
     assert [tuple(r) for r in review.hidden_shares(hidden).orderBy("label").collect()] == [("a", 5, 37.5), ("b", 1, 0.0)]
+
+
+def test_adhoc_statements(spark):
+    t = spark.range(7)
+    rows, more = review.adhoc(spark, "SELECT id, id AS id FROM t ORDER BY id", 5, t=t)
+    assert [tuple(r) for r in rows.collect()] == [(i, i) for i in range(5)] and more == 2
+    rows, more = review.adhoc(spark, "SELECT id FROM t WHERE id > 100", 5, t=t)
+    assert rows.count() == 0 and more == 0 and rows.columns == ["id"]
