@@ -163,7 +163,7 @@ def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_
     gone = lost(rows.filter("not base_failed"), frequent_lines(rows, min_docs, max_share, max_docs))
     failed = rows.filter("base_failed").select("key").distinct()
     verdicts = failed.select("key", F.lit(True).alias("out"), F.lit(None).cast("array<int>").alias("places")).union(gone.select("key", "depleted", "places"))
-    verdicts = few(cut(verdicts, "verdicts"), 4 * F.coalesce(F.size("places"), F.lit(0))).select(F.col("key").alias("__key"), F.col("out").alias("__out"), F.col("places").alias("__places"))
+    verdicts = few(cut(verdicts, "verdicts"), more=4 * F.coalesce(F.size("places"), F.lit(0))).select(F.col("key").alias("__key"), F.col("out").alias("__out"), F.col("places").alias("__places"))
     kept = docs.withColumn("__of", key(docs)).join(verdicts, F.col("__of") == F.col("__key"), "left").filter(~F.coalesce("__out", F.lit(False)))
     changed = F.col("__places").isNotNull()
     text = F.when(changed, _without(F.col("text"), F.col("__places"))).otherwise(F.col("text"))

@@ -11,7 +11,7 @@ BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 64
 
 
-def few(stored: DataFrame, more: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+def few(stored: DataFrame, most: int = BROADCAST_BYTES, *, more: Column | None = None) -> DataFrame:
     """A stored table, marked for broadcast if its rows, and the further bytes that a column tells for each, show that it has at most ``most``."""
     size = F.sum((F.lit(ROW_BYTES) if more is None else more + ROW_BYTES).cast("long"))
     return F.broadcast(stored) if (stored.agg(size).first()[0] or 0) <= most else stored

@@ -469,7 +469,7 @@ def test_verdicts_are_broadcast_by_their_bytes(spark):
 
     t = spark.range(100).select("id", F.array_repeat(F.lit(1), 1000).alias("places"))
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
-    assert hinted(few(t)) and hinted(few(t, 4 * F.size("places"), 500_000)) and not hinted(few(t, 4 * F.size("places"), 300_000))
+    assert hinted(few(t)) and hinted(few(t, 500_000, more=4 * F.size("places"))) and not hinted(few(t, 300_000, more=4 * F.size("places")))
 
 
 def test_texts_of_several_megabytes(spark):
