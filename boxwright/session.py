@@ -7,10 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE: ContextVar[list[str] | None] = ContextVar("scratch paths of the innermost `cleared`", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,7 +31,11 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 @contextmanager
@@ -83,6 +89,32 @@ def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
             drop_path(spark, path)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """At the end every scratch table that was made within goes, whichever operator made it.
+
+    What operators return reads such tables, so write or collect it inside. Of nested ones each
+    removes its own. Batches of a stream run in a thread of their own and are not covered.
+    """
+    made: list[str] = []
+    before = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(before)
+        for path in made:
+            drop_path(spark, path)
+
+
+def saved(spark: SparkSession, make: Callable[[], DataFrame], path: str, **options: str) -> DataFrame:
+    """Write what ``make`` returns to ``path``, and nothing else stays in the shared folder; the table as read back."""
+    with cleared(spark), shuffles_dropped(spark):
+        df = make()
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
+        schema = df.schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch table through the file system that holds it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
