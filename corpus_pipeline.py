@@ -8,11 +8,13 @@ stay as they are, equal rows are one document of a group, and an empty table sta
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwright.llm import bpe, decontaminate, pii, quality, queries, simhash
-from boxwright.session import cut
+from boxwright.session import drop_path, saved, scratch_path
 
 
 #: Executors also hold what the stages before have left, so chunks are smaller than the operator's own; words then travel more often.
@@ -55,9 +57,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    """Once a stage is written, its scratch tables and the table before it go."""
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        path = scratch_path(spark, name.lower().replace(" ", "-"))
+        docs = saved(spark, partial(stage, spark, docs, sf_dir), path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
