@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boxwright import schema
 from boxwright.functions import boxes, labels
 from boxwright.functions.quantiles import quantiles
-from boxwright.operators import clustering, linking, mutations, naming, ranking, review, vectors
+from boxwright.operators import clustering, linking, matrices, mutations, naming, ranking, review, vectors
 from boxwright.plans.fixture_views import oracle, view
 from boxwright.session import scratch_path
 from boxwright.sources import detections as det
@@ -297,6 +297,21 @@ def class_names(spark, sf):
     return naming.class_table(rows, small(spark, NAMES, "idx int, name string"))
 
 
+#: Every row against every column, as text.
+_LINES = """SELECT CAST(0 AS BIGINT) AS nth, '{corner},' || string_agg(c, ',' ORDER BY c) AS line FROM (SELECT DISTINCT c FROM cells)
+ UNION ALL SELECT row_number() OVER (ORDER BY r), r || ',' || string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY c) FROM (SELECT DISTINCT r FROM cells) CROSS JOIN (SELECT DISTINCT c FROM cells) LEFT JOIN cells USING (r, c) GROUP BY r"""
+
+
+@query()
+def image_label_lines(spark, sf):
+    return matrices.image_label_lines(pred(spark, sf))
+
+
+@query()
+def taxa_lines(spark, sf):
+    return matrices.taxa_lines(pred(spark, sf))
+
+
 def _assigned(spark, sf):
     images = naming.stem_map(pred(spark, sf).join(view(spark, sf, "image_sizes"), "image_path", "left_semi"))
     return naming.splits(images, 70, 20, 10, 7, small(spark, PINS, "name string"))
@@ -723,6 +738,11 @@ ORACLES["outliers_in_label"] = _with(
 )
 
 
+_EXPORTED = f"SELECT image_path, CASE WHEN count(*) OVER (PARTITION BY stem) > 1 THEN parent || '_' || stem ELSE stem END AS dest FROM (SELECT DISTINCT image_path, regexp_extract(image_path, '([^/]+)\\.[^./]+$', 1) AS stem, regexp_extract(image_path, '([^/]+)/[^/]+$', 1) AS parent FROM predictions WHERE {CURATED})"
+ORACLES["image_label_lines"] = _with("predictions", _LINES.format(corner="image"), f"cells AS (SELECT dest AS r, label AS c, n FROM ({_IMAGE_LABELS}) JOIN ({_EXPORTED}) USING (image_path))")
+ORACLES["taxa_lines"] = _with("predictions", _LINES.format(corner="taxa"), "cells AS (SELECT label AS r, image_name AS c, count(*) AS n FROM predictions GROUP BY 1, 2)")
+
+
 def _three_pages(stored: ranking.Ranking, size: int) -> DataFrame:
     """The first, a middle and the last page."""
     return stored.page(0, size).union(stored.page(stored.size // 2, size)).union(stored.last(size))
