@@ -1,6 +1,11 @@
+import os
+from functools import partial
+
+import pytest
+
 import corpus_pipeline
 from boxwright.llm import quality, queries
-from boxwright.session import cut
+from boxwright.session import cut, saved, scratch_dir
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +58,13 @@ def test_stages_on_odd_and_empty_tables(spark):
     assert set(got) <= {1, None} and all("ann@example.org" not in t and "10.2.3.4" not in t for t in got.values()) and docs.count() >= 1
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, docs, SF).count() == docs.count() and last(spark, empty, SF).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_simhash", "op4_decontaminate", "op8_secrets", "op10_suffix_dedup", "op12_url_filter", "pipeline"])
+def test_nothing_stays_in_the_shared_folder(spark, tmp_path, name):
+    """A result written by ``saved`` leaves no scratch table behind, and is the one that the query gives."""
+    make = partial(corpus_pipeline.run if name == "pipeline" else queries.queries()[name], spark, SF)
+    root = scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    out = saved(spark, make, str(tmp_path / "out"))
+    assert set(os.listdir(root)) == before and out.count() > 0
