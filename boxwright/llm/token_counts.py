@@ -64,13 +64,27 @@ def by_limit(hist: DataFrame) -> DataFrame:
     return rows.select("n_tokens", "n_docs", "docs_up_to", "docs_longer", "tokens_total", truncated.alias("tokens_truncated"), (F.col("docs_up_to") / F.col("all_docs")).alias("share_up_to"))
 
 
+#: Lengths that share a block; a text of 2^31 bytes has at most 524,288 blocks.
+BLOCK = 4096
+
+
 def answer(limits: DataFrame, table: DataFrame) -> DataFrame:
     """Truncated totals for any limits: rows of ``limit`` against a table of ``by_limit``.
 
     A limit is answered by the largest length not above it, plus what the longer
-    documents gain between the two.
+    documents gain between the two. Lengths and limits meet in blocks of lengths;
+    where a limit's own block has none below it, the nearest earlier block with
+    lengths serves, and only blocks, whose number the longest text bounds, are put in
+    order. Equal limits give one row, null ones none.
     """
-    near = limits.join(table, F.col("n_tokens") <= F.col("limit"), "left").groupBy("limit").agg(F.max_by(F.struct("n_tokens", "docs_longer", "tokens_truncated"), "n_tokens").alias("x"))
+    asked = limits.select("limit").filter("limit is not null").distinct().withColumn("block", F.floor(F.col("limit") / BLOCK))
+    known = table.select(F.floor(F.col("n_tokens") / BLOCK).alias("block"), F.struct("n_tokens", "docs_longer", "tokens_truncated").alias("x"))
+    inside = asked.join(known, "block", "left").groupBy("limit", "block").agg(F.max(F.when(F.col("x.n_tokens") <= F.col("limit"), F.col("x"))).alias("own"))
+    last = known.groupBy("block").agg(F.max("x").alias("last"))
+    blocks = inside.select("block").distinct()
+    ordered = blocks.select("block", F.lit(1).alias("kind"), F.lit(None).cast(last.schema["last"].dataType).alias("last")).union(last.select("block", F.lit(2), "last"))
+    before = ordered.withColumn("earlier", F.last("last", ignorenulls=True).over(Window.orderBy("block", "kind").rowsBetween(Window.unboundedPreceding, -1))).filter("kind = 1").select("block", "earlier")
+    near = inside.join(before, "block").select("limit", F.coalesce("own", "earlier").alias("x"))
     all_docs = table.agg(F.sum("n_docs").alias("all_docs"))
     gained = F.col("x.tokens_truncated") + F.col("x.docs_longer") * (F.col("limit") - F.col("x.n_tokens"))
     return near.crossJoin(F.broadcast(all_docs)).select("limit", F.coalesce("x.docs_longer", "all_docs").alias("docs_longer"), F.coalesce(gained, F.col("all_docs") * F.col("limit")).alias("tokens_truncated"))

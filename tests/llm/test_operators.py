@@ -581,3 +581,17 @@ def test_suffix_dedup_counts_different_surroundings():
     assert max(places) == 50 and min(expected[i] for i in np.flatnonzero(places == 50)) == 1
     none = np.zeros(0, np.int64)
     assert suffix_dedup._different(data[:0], none, none, h[:0], h[:0], none).tolist() == []
+
+
+def test_limits_of_any_size_against_a_plain_count(spark):
+    """Lengths far apart, limits between, at, below and above them, in blocks with and without lengths."""
+    lens = [0, 3, 3, 4095, 4096, 9000, 70_000, 70_001, 5_000_000]
+    hist = spark.createDataFrame([(n,) for n in lens], "n_tokens bigint").groupBy("n_tokens").count().withColumnRenamed("count", "n_docs")
+    asked = [0, 1, 3, 4, 4094, 4095, 4096, 4097, 8999, 9000, 40_000, 70_000, 70_002, 10**6, 5_000_000, 10**9, 10**9]
+    limits = spark.createDataFrame([(k,) for k in [*asked, None]], "limit bigint")
+    for some in (lens, lens[1:]):
+        table = token_counts.by_limit(hist.filter(F.col("n_tokens").isin(some)))
+        found = token_counts.answer(limits, table)
+        assert sorted(tuple(r) for r in found.collect()) == sorted((k, sum(x > k for x in some), sum(min(x, k) for x in some)) for k in set(asked))
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("<=" in x for x in joins)  # one-row totals are joined to each row, lengths to limits by block
