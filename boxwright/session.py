@@ -72,6 +72,15 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     return written(df, name, **options)[0]
 
 
+def never_sent(df: DataFrame) -> DataFrame:
+    """One side of a join of two tables of a row a box: joined by sorting, whatever size Spark takes it to have.
+
+    Spark goes by the bytes of the files, and a stored table of equal vectors or running numbers has far fewer
+    than its rows; it would be collected by the driver and sent to every executor.
+    """
+    return df.hint("merge")
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """Within, a ``cut`` whose tables go at the end."""

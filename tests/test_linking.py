@@ -163,3 +163,17 @@ def test_merging_by_components_is_merging_by_camera(spark):
     pairs = [("c", a, b, len(frames[a]), len(frames[b]), cosine(a, b)) for a in frames for b in frames if a < b and int(a) % 12 == int(b) % 12 and cosine(a, b) >= 0.9]
     expected = {x.track: x.into for x in linking._merge(_pairs(*pairs), bitmaps(frames), 20, 0.05).itertuples()}
     assert got == expected and len(got) > 10
+
+
+def test_tables_of_a_row_a_box_are_not_sent_to_every_task(spark):
+    """Equal vectors take next to no bytes in a file, so their size there says nothing of their rows."""
+    from boxwright.session import cut
+
+    ids = spark.range(2000).select(F.col("id").cast("int").alias("roi_index"))
+    units = cut(ids.withColumn("u", F.array(*(F.lit(0.125) for _ in range(64)))), "units")
+    tracks = cut(ids.select("roi_index", F.lit("c").alias("camera"), (F.col("roi_index") % 7).cast("string").alias("track")), "tracks")
+    names = cut(ids.withColumn("lab", F.lit("crab")), "names")
+    for out in (linking.typicality(tracks, units), linking.split_labels(tracks, names, units)):
+        joins = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin [roi_index" in x]
+        assert not joins
+    assert linking.typicality(tracks, units).filter("abs(typicality - 1) < 1e-9").count() == 2000
