@@ -6,10 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boxwright.functions import boxes
+from boxwright.llm.memory import give_back, small_batches
+
+#: Bytes of crops, and boxes, that a task holds before it hands them on.
+CROP_BYTES, BOXES = 8 << 20, 1000
 
 
 def images(spark: SparkSession, root: str) -> DataFrame:
@@ -21,23 +27,43 @@ def images(spark: SparkSession, root: str) -> DataFrame:
 def crops(pictures: DataFrame, rows: DataFrame) -> DataFrame:
     """roi_index, width, height, channels, data of each box cut from its image; boxes outside have no bytes.
 
-    The boxes of an image travel together, and the image once.
+    The boxes of an image travel together, and the image once. A task holds a few images at a time, and of
+    their crops CROP_BYTES, however many boxes there are.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for image, w, h, c, found in zip(pdf["data"], pdf["width"], pdf["height"], pdf["channels"], pdf["found"], strict=True):
-                px = np.frombuffer(image, np.uint8).reshape(h, w, c)
-                for box in found:
-                    a, b, e, f = max(0, int(box["x_min"])), max(0, int(box["y_min"])), min(int(w), int(box["x_max"])), min(int(h), int(box["y_max"]))
-                    part = px[b : max(b, f), a : max(a, e)]
-                    out.append((box["roi_index"], part.shape[1], part.shape[0], c, part.tobytes()))
-            yield pd.DataFrame(out, columns=["roi_index", "width", "height", "channels", "data"])
-
+    kind = rows.schema["roi_index"].dataType
+    ids = to_arrow_type(kind)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        types = (ids, pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["roi_index", "width", "height", "channels", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for batch in batches:
+            found = batch.column("found")
+            for i in range(batch.num_rows):
+                w, h, c = (batch.column(n)[i].as_py() for n in ("width", "height", "channels"))
+                px = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8).reshape(h, w, c)
+                here = found[i].values
+                for j in range(0, len(here), BOXES):
+                    some = here[j : j + BOXES].flatten()
+                    for roi, *sides in zip(*(x.to_pylist() for x in some), strict=True):
+                        x0, y0, x1, y1 = (int(x) for x in sides)
+                        a, b, e, f = max(0, x0), max(0, y0), min(w, x1), min(h, y1)
+                        part = px[b : max(b, f), a : max(a, e)]
+                        out.append((roi, part.shape[1], part.shape[0], c, part.tobytes()))
+                        size += part.size
+                        if size >= CROP_BYTES or len(out) >= BOXES:
+                            yield made(out)
+                            out, size = [], 0
+        if out:
+            yield made(out)
+        give_back()
+
+    small_batches(rows.sparkSession)
     found = rows.groupBy("image_path").agg(F.collect_list(F.struct("roi_index", *(F.col(s).cast("double").alias(s) for s in boxes.SIDES))).alias("found"))
-    kind = rows.schema["roi_index"].dataType.simpleString()
-    return found.join(pictures, "image_path").select("found", "width", "height", "channels", "data").mapInPandas(run, f"roi_index {kind}, width int, height int, channels int, data binary")
+    return found.join(pictures, "image_path").select("found", "width", "height", "channels", "data").mapInArrow(run, f"roi_index {kind.simpleString()}, width int, height int, channels int, data binary")
 
 
 def sharpness_of(data: bytes, width: int, height: int, channels: int) -> float:
@@ -51,6 +77,8 @@ def sharpness_of(data: bytes, width: int, height: int, channels: int) -> float:
 
 
 def sharpness(cut: DataFrame) -> DataFrame:
+    small_batches(cut.sparkSession)
+
     @F.pandas_udf("double")
     def run(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.Series:
         return pd.Series([sharpness_of(*x) for x in zip(data, width, height, channels, strict=True)])

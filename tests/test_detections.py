@@ -354,3 +354,21 @@ def test_cut_drops_shuffle_files(spark):
     table = cut(numbers, "shuffled")
     assert not shuffles() - before and spark.conf.get(SHUFFLE_CLEANUP) == setting
     assert table.agg(F.sum("n")).first()[0] == 5000 and numbers.count() == 100  # the frame itself can be run again
+
+
+def test_crops_of_an_image_with_many_boxes_are_handed_on_in_pieces(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(pixels, "BOXES", 7)
+    monkeypatch.setattr(pixels, "CROP_BYTES", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
+    px = (np.arange(48 * 64 * 3) % 251).astype(np.uint8).reshape(48, 64, 3)
+    pictures = spark.createDataFrame([("/p.png", 64, 48, 3, px.tobytes())], "image_path string, width int, height int, channels int, data binary")
+    i = F.col("roi_index")
+    rows = spark.range(500).select(F.col("id").alias("roi_index"), F.lit("/p.png").alias("image_path")).select("*", (i % 50).alias("x_min"), (i % 40).alias("y_min"), (i % 50 + 3 + i % 20).alias("x_max"), (i % 40 + 2 + i % 11).alias("y_max"))
+    got = {r["roi_index"]: (r["width"], r["height"], bytes(r["data"])) for r in pixels.crops(pictures, rows).collect()}
+    assert len(got) == 500
+    for k, (w, h, data) in got.items():
+        part = px[k % 40 : k % 40 + 2 + k % 11, k % 50 : k % 50 + 3 + k % 20]
+        assert (w, h, data) == (part.shape[1], part.shape[0], part.tobytes())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
