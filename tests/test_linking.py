@@ -177,3 +177,25 @@ def test_tables_of_a_row_a_box_are_not_sent_to_every_task(spark):
         joins = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin [roi_index" in x]
         assert not joins
     assert linking.typicality(tracks, units).filter("abs(typicality - 1) < 1e-9").count() == 2000
+
+
+def test_merging_reads_pairs_in_order_and_holds_frames_only():
+    """Equal to the merge of whole tables, batch by batch, part after part."""
+    import pyarrow as pa
+
+    seen = {"2": range(1, 51), "10": range(51, 91), "3": range(41, 61), "11": range(201, 206), "4": range(206, 209), "1/b": range(301, 401)}
+    rows = []
+    for part in (5, 6):
+        rows += [(part, 0, "c", r.track, None, r.block, r.bits) for r in bitmaps(seen).itertuples()]
+        rows += [(part, 1, "c", a, b, None, None) for a, b in (("2", "3"), ("3", "10"), ("2", "10"), ("10", "1/b"))]
+        rows += [(part, 2, "c", a, b, None, None) for a, b in (("4", "2"), ("11", "10"), ("11", "2"))]
+    schema = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("camera", pa.string()), ("a", pa.string()), ("b", pa.string()), ("block", pa.int64()), ("bits", pa.binary())])
+    table = pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    got = [x for b in linking._merge_rows(20, 0.05)(iter(table.to_batches(max_chunksize=3))) for x in b.to_pylist()]
+    assert len(got) == 8 and {x["track"]: x["into"] for x in got} == {"2": "1/b", "10": "1/b", "11": "1/b", "4": "1/b"}
+
+
+def test_order_of_tracks_as_a_column(spark):
+    tracks = ["10", "9", "x", "0/a", "2/b/c", "10/a", "/z", "y/", "2/b", "99999999999999999"]
+    got = [r["t"] for r in spark.createDataFrame([(t,) for t in tracks], "t string").orderBy(linking._order(F.col("t"))).collect()]
+    assert [linking._number(t) for t in got] == sorted(map(linking._number, tracks))
