@@ -25,6 +25,8 @@ CELL_ROWS, CELLS, FITTED = 1000, 4096, 16
 #: Rows whose true neighbours are looked for among all; rows of a side that one task holds.
 ASKED, SIDE = 400, 20_000
 FIT_ROUNDS = 6
+#: Cells are searched in groups of about so many rows, and in so many groups at least.
+GROUP_ROWS, GROUPS = 50_000, 8
 
 
 def _sample(rows: DataFrame, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +96,7 @@ def _cells_needed(rows: DataFrame, c: np.ndarray, k: int, recall: float) -> tupl
 def near_graph(units: DataFrame, k: int, recall: float = 0.95, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, float]:
     """(a, b, d) of each row's k nearest (roi_index, u), most of them true ones, and the share measured.
 
-    The work is rows x cells looked into x rows of a cell, so it grows with the rows, up to CELLS x ``cell_rows`` of them.
+    What is shuffled is rows x groups of cells, not cells. The work is rows x cells looked into x rows of a cell, so it grows with the rows, up to CELLS x ``cell_rows`` of them.
     """
     from boxwright.operators.clustering import _nearest
 
@@ -121,27 +123,43 @@ def near_graph(units: DataFrame, k: int, recall: float = 0.95, cell_rows: int =
 
     placed = cut(reps.withColumn("home", F.get(looked(1), F.lit(0))), "placed")
     p, share = _cells_needed(placed, c, k, recall)
-    sizes = placed.groupBy("home").agg(F.count("*").alias("n"))
-    asks = placed.select("rep", "u", F.explode(looked(p)).alias("cell"))
-    parts = lambda m: F.ceil(m / SIDE).cast("int")
-    asked = asks.groupBy("cell").agg(F.count("*").alias("m"))
-    plan = F.broadcast(cut(sizes.withColumnRenamed("home", "cell").join(asked, "cell").select("cell", parts(F.col("n")).alias("sides"), parts(F.col("m")).alias("asking")), "cells"))
+    per = max(1, -(-cells // min(cells, max(GROUPS, -(-n // GROUP_ROWS)))))  # cells of a group
+    group_of = lambda c: F.floor(c / per).cast("int")
+    homes = placed.withColumn("group", group_of(F.col("home")))
+    sizes = homes.groupBy("group").agg(F.count("*").alias("n"))
+    # A row goes once to each group of cells that it looks into, with the cells' numbers.
+    listed = placed.select("rep", "u", looked(p).alias("_cells"))
+    asks = listed.select("rep", "u", "_cells", F.explode(F.array_distinct(F.transform("_cells", group_of))).alias("group"))
+    asks = asks.select("rep", "u", "group", F.filter("_cells", lambda c: group_of(c) == F.col("group")).alias("cells"))
+    parts = lambda m, most: F.ceil(m / most).cast("int")
+    asked = asks.groupBy("group").agg(F.count("*").alias("m"))
+    plan = F.broadcast(cut(sizes.join(asked, "group").select("group", parts(F.col("n"), 2 * GROUP_ROWS).alias("sides"), parts(F.col("m"), SIDE).alias("asking")), "groups"))
     deal = lambda of: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(of)).cast("int")
     all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    a = asks.join(plan, "cell").withColumns({"pa": deal("asking"), "pb": all_of("sides")}).select("cell", "pa", "pb", "rep", "u")
-    b = placed.withColumnRenamed("home", "cell").join(plan, "cell").withColumns({"pb": deal("sides"), "pa": all_of("asking")}).select(*(F.col(c).alias(f"b_{c}") for c in ("cell", "pa", "pb", "rep", "u")))
+    a = asks.join(plan, "group").withColumns({"pa": deal("asking"), "pb": all_of("sides")}).select("group", "pa", "pb", "rep", "u", "cells")
+    b = homes.join(plan, "group").withColumns({"pb": deal("sides"), "pa": all_of("asking")}).select(*(F.col(c).alias(f"b_{c}") for c in ("group", "pa", "pb", "rep", "u", "home")))
 
     def search(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((3, 0))]
+        ids = x["rep"].to_numpy(np.int64)
+        best, who = np.full((len(x), k), np.inf), np.full((len(x), k), -1, np.int64)
         if len(x) and len(y):
-            data = [np.stack(f.to_numpy()).astype(np.float64) for f in (x["u"], y["b_u"])]
-            for of, who, d in _nearest(x["rep"].to_numpy(np.int64), data[0], y["b_rep"].to_numpy(np.int64), data[1], k):
-                fine = np.isfinite(d)
-                out.append(np.stack([np.repeat(of, fine.sum(1)), who[fine], d[fine]]))
-        found = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": found[0].astype(np.int64), "b": found[1].astype(np.int64), "d": found[2]})
-
-    near = a.groupBy("cell", "pa", "pb").cogroup(b.groupBy("b_cell", "b_pa", "b_pb")).applyInPandas(search, "a bigint, b bigint, d double")
+            mine, theirs = (np.stack(v.to_numpy()).astype(np.float64) for v in (x["u"], y["b_u"]))
+            home, others = y["b_home"].to_numpy(), y["b_rep"].to_numpy(np.int64)
+            row = np.repeat(np.arange(len(x)), [len(c) for c in x["cells"]])
+            cell = np.concatenate(x["cells"].to_numpy())
+            for c in np.unique(cell):
+                at, there = row[cell == c], np.flatnonzero(home == c)
+                begin = 0
+                for of, found, d in _nearest(ids[at], mine[at], others[there], theirs[there], k):
+                    some = at[begin : begin + len(of)]
+                    begin += len(of)
+                    both, names = np.concatenate([best[some], d], axis=1), np.concatenate([who[some], found], axis=1)
+                    order = np.lexsort((names, both), axis=1)[:, :k]
+                    best[some], who[some] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        fine = np.isfinite(best)
+        return pd.DataFrame({"a": np.repeat(ids, fine.sum(1)), "b": who[fine], "d": best[fine]})
+
+    near = a.groupBy("group", "pa", "pb").cogroup(b.groupBy("b_group", "b_pa", "b_pb")).applyInPandas(search, "a bigint, b bigint, d double")
     near = _best(near, k)
     if groups.filter("n > 1").isEmpty():
         return near, share

@@ -179,3 +179,20 @@ def test_clusters_by_the_graph(spark, monkeypatch):
     df = spark.createDataFrame([(i, (middles[i % 5] + r.normal(0, 0.03, 8)).tolist()) for i in range(300)], "roi_index int, embedding array<float>")
     got = {x["roi_index"]: x["cluster"] for x in clustering.clusters(df, n_neighbors=12, approx_n_clusters=5, base_min_cluster_size=5).collect()}
     assert sorted(set(got.values()) - {-1}) == list(range(5)) and all(len({got[i] for i in range(k, 300, 5)} - {-1}) == 1 for k in range(5))
+
+
+def test_groups_of_cells_find_what_single_cells_find(spark, monkeypatch):
+    """A row goes to a group once, however many of its cells it looks into."""
+    from boxwright.operators import neighbour_graph
+
+    x = np.random.default_rng(8).normal(size=(600, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "roi_index int, u array<double>").cache()
+    found = []
+    for groups, rows in ((1000, 1), (1, 10_000), (3, 100)):
+        monkeypatch.setattr(neighbour_graph, "GROUPS", groups)
+        monkeypatch.setattr(neighbour_graph, "GROUP_ROWS", rows)
+        near, share = neighbour_graph.near_graph(units, 5, cell_rows=50)
+        found.append({(r["a"], r["b"], round(r["d"], 9)) for r in near.collect()})
+        assert share >= 0.95
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3000
