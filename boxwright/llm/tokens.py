@@ -7,11 +7,9 @@ tokenizers library; the rest are dictionary look-ups.
 
 from __future__ import annotations
 
-import json
 import os
 import re
-from collections.abc import Iterable, Iterator
-from functools import cached_property
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +26,8 @@ _NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 _SPACE_RUN = re.compile(r"\s (?:\s|\Z)")
 # White space and separators that the quick tests for runs don't look at.
 _CONTROL = re.compile("[\t\x0b\x0c\r\x1c-\x1f]")
+# All four tests of `Encoder._odd` at once, for Arrow.
+_ODD = rf"[\t\x0b\x0c\r\x1c-\x1f]|[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]|[ \n\x85\xa0] (?:[ \n\x85\xa0]|\z)|{re.escape(END_OF_TEXT)}"
 
 
 def tokenizer_json(path: str) -> str:
@@ -56,23 +56,14 @@ class Encoder:
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.spec = spec
+        self.tok.model._resize_cache(0)  # words are kept here
+        self.end_of_text = np.array([self.tok.token_to_id(END_OF_TEXT)], "<u4").tobytes()
+        # Bytes as the model's characters; 0xff, which UTF-8 never has, as a border.
+        self.chars = {b: c for c, b in byte_of_char().items()} | {0xFF: "\n"}
         self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    @cached_property
-    def one(self):
-        """For pre-tokens given one by one: no second regular expression, no
-        offsets to trim, and no cache, since each is encoded only once."""
-        from tokenizers import Tokenizer
-
-        own = json.loads(self.spec) | {"post_processor": None, "truncation": None, "padding": None}
-        own["pre_tokenizer"] = own["pre_tokenizer"] | {"use_regex": False}
-        tok = Tokenizer.from_str(json.dumps(own))
-        tok.model._resize_cache(0)
-        return tok
-
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text, in order; joined they are the text."""
         if not _NOT_PLAIN.search(text) and END_OF_TEXT not in text:
@@ -85,62 +76,32 @@ class Encoder:
                 out += [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
-    @cached_property
-    def sizes(self) -> np.ndarray:
-        """Bytes of each id."""
-        pieces = pieces_by_id(self.spec)
-        out = np.zeros(pieces[-1][0] + 1, np.int64)
-        out[[i for i, _ in pieces]] = [len(p) for _, p in pieces]
-        return out
-
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of pre-tokens, each as little-endian unsigned 32-bit integers.
 
-        The library gets them as pre-split texts; as the bytes of the ids are
-        those of the words, their sizes tell which ids are whose.
+        They go to the library's model, past its own splitting and offsets.
         """
         if not words:
             return []
-        groups = self.one.encode_batch_fast([words[i : i + 1000] for i in range(0, len(words), 1000)], is_pretokenized=True, add_special_tokens=False)
-        flat = np.concatenate([np.array(g.ids, "<u4") for g in groups])
-        ends = np.searchsorted(np.cumsum(self.sizes[flat]), np.cumsum([len(w.encode()) for w in words])) + 1
-        raw, cuts = flat.tobytes(), (ends << 2).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def _recalled(self, words: Iterable[str]) -> set[str]:
-        """Words that neither generation knows; those of the older one are made young."""
-        new = set(words).difference(self.young)
-        again = {w for w in new if w in self.old}
-        self.young.update((w, self.old[w]) for w in again)
-        return new - again
-
-    def _learn(self, words: Iterable[str]) -> None:
-        new = list(self._recalled(words))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.young.update(zip(some, self.encode_words(some), strict=True))
-
-    def of_stretches(self, stretches: list[str]) -> list[bytes]:
-        """Ids of distinct stretches; those not known are split, and their pre-tokens encoded."""
+        tokenize = self.tok.model.tokenize
+        spelled = b"\xff".join(map(str.encode, words)).decode("latin-1").translate(self.chars).split("\n")
+        ids, cuts = [], []
+        for w in spelled:
+            ids += [t.id for t in tokenize(w)]
+            cuts.append(len(ids) << 2)
+        raw = np.array(ids, "<u4").tobytes()
+        return [self.end_of_text if w == END_OF_TEXT else raw[a:b] for w, a, b in zip(words, [0, *cuts], cuts, strict=False)]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens; those not known are encoded, and those of the older generation made young."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        got = list(map(self.young.get, stretches))
+        got = list(map(self.young.get, words))
         missing = [i for i, ids in enumerate(got) if ids is None]
-        if not missing:
-            return got
-        new = []
-        for i, ids in zip(missing, map(self.old.get, [stretches[i] for i in missing]), strict=True):
-            if ids is None:
-                new.append(stretches[i])
-            else:
-                self.young[stretches[i]] = ids
-        # A space and letters are one pre-token.
-        several = {x: _PLAIN_SPLIT.findall(x) for x in new if not x[1:].isalpha()}
-        self._learn({w for words in several.values() for w in words}.union(x for x in new if x not in several))
-        find = self.young.__getitem__
-        self.young.update((x, b"".join(map(find, words))) for x, words in several.items() if len(words) > 1)
-        for i in missing:
-            got[i] = find(stretches[i])
+        found = list(map(self.old.get, [words[i] for i in missing]))
+        new = iter(self.encode_words([words[i] for i, ids in zip(missing, found, strict=True) if ids is None]))
+        for i, ids in zip(missing, found, strict=True):
+            got[i] = self.young[words[i]] = next(new) if ids is None else ids
         return got
 
     @staticmethod
@@ -164,29 +125,48 @@ class Encoder:
 
         Most texts are cut at their spaces, each going to what follows it. Where no
         white space stands on both sides of a space, such a cut is always a border
-        of pre-tokens. Arrow cuts and numbers the stretches; Python sees each
-        different one once.
+        of pre-tokens. Arrow cuts and numbers the stretches, then the pre-tokens of
+        the different ones, and joins ids in the same two steps; Python sees each
+        different stretch of several pre-tokens and each different pre-token once.
         """
-        odd = np.array([bool(t) and self._odd(t) for t in texts.to_pylist()], bool)
+        odd = pc.fill_null(pc.match_substring_regex(texts, _ODD), False).to_numpy(zero_copy_only=False)
         plain = pc.fill_null(texts.filter(pa.array(~odd)) if odd.any() else texts, "")
         parts = pc.split_pattern(plain, " ")
         values, ends = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
         begins = ends[:-1]
         coded, heads = values.dictionary_encode(), values.take(pa.array(begins)).dictionary_encode()
         # What comes first in a text has no space before it; if it is empty, the text begins with a space.
-        keys = [f" {x}" for x in coded.dictionary.to_pylist()]
         which = coded.indices.to_numpy().copy()
-        which[begins] = heads.indices.to_numpy() + len(keys)
-        firsts = [_PLAIN_SPLIT.findall(x) for x in heads.dictionary.to_pylist()]
-        of = self.of_stretches(keys)
-        self._learn({w for words in firsts for w in words})
-        of += [b"".join(map(self.young.__getitem__, words)) for words in firsts]
-        sizes = np.fromiter(map(len, of), np.int64, len(of)) >> 2
-        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(of), "<i4")))
-        flat = table.take(pa.array(which)).flatten().to_numpy()
-        lens = np.add.reduceat(sizes[which], begins) if len(begins) else np.zeros(0, np.int64)
+        which[begins] = heads.indices.to_numpy() + len(coded.dictionary)
+        ids = self._of_stretches(coded.dictionary, heads.dictionary)
+        sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+        flat = ids.take(pa.array(which)).flatten().to_numpy()
+        lens = np.diff(_running(sizes[which])[ends])
         return (flat, lens) if not odd.any() else self._with_odd(texts, odd, flat, lens)
 
+    def _of_stretches(self, after_space: pa.StringArray, heads: pa.StringArray) -> pa.ListArray:
+        """Ids of different stretches: those behind a space, without it, and those at the head of a text."""
+        space, nothing = (pa.scalar(x, after_space.type) for x in (" ", ""))
+        stretches = pa.concat_arrays([pc.binary_join_element_wise(space, after_space, nothing), heads])
+        # A space and letters are one pre-token.
+        alone = np.concatenate([pc.utf8_is_alpha(after_space).to_numpy(zero_copy_only=False), np.zeros(len(heads), bool)])
+        several, n_several = [], []
+        for x in _strings(stretches.filter(pa.array(~alone))):
+            words = _PLAIN_SPLIT.findall(x)
+            several += words
+            n_several.append(len(words))
+        counts = np.ones(len(alone), np.int64)
+        counts[~alone] = n_several
+        words = pa.concat_arrays([stretches.filter(pa.array(alone)), pa.array(several, stretches.type)]).dictionary_encode()
+        # Numbers of the pre-tokens in the order of the stretches.
+        places, single = words.indices.to_numpy(), np.repeat(alone, counts)
+        which = np.empty(len(places), places.dtype)
+        which[single], which[~single] = places[: alone.sum()], places[alone.sum() :]
+        of = self.of_words(_strings(words.dictionary))
+        sizes = np.fromiter(map(len, of), np.int64, len(of)) >> 2
+        flat = _lists(_running(sizes), np.frombuffer(b"".join(of), "<i4")).take(pa.array(which)).flatten()
+        return _lists(_running(sizes[which])[_running(counts)], flat)
+
     def _with_odd(self, texts: pa.StringArray, odd: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of plain texts with those of odd ones between them."""
         plain = iter(np.split(flat, np.cumsum(lens)[:-1]) if len(lens) else [])
@@ -196,11 +176,26 @@ class Encoder:
                 out.append(next(plain))
                 continue
             words = self.split(text)
-            self._learn(words)
-            out.append(np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<i4"))
+            different = list(dict.fromkeys(words))
+            of = dict(zip(different, self.of_words(different), strict=True)).__getitem__
+            out.append(np.frombuffer(b"".join(map(of, words)), "<i4"))
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
+def _running(counts: np.ndarray) -> np.ndarray:
+    """Where each of some pieces begins, and where the last one ends."""
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+def _strings(values: pa.StringArray) -> list[str]:
+    """``to_pylist`` without a scalar for each string."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in pieces whose texts have about ``most`` bytes; a longer text is a piece of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))

@@ -281,6 +281,40 @@ def test_encoder_forgets_and_learns_again(spec, rows):
     assert [t for b in tokens.slices(batch, "text", 100) for t in b.column("text").to_pylist()] == texts
 
 
+def test_encoder_takes_each_different_pre_token_once(spec):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from boxwright.llm import tokens
+
+    enc, tok, asked = tokens.Encoder(spec), Tokenizer.from_str(spec), []
+    library = enc.encode_words
+    enc.encode_words = lambda new: asked.extend(new) or library(new)
+    ends = ["", ".", ",", ";", "?", "!", ".\n", ",\n\n", "'s", " 12"]
+    texts = [f"{w}{a} {w}{b}" for w in ("the", "Haus", "été") for a in ends for b in ends]
+    flat, lens = enc.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) and set(asked) == set(enc.young)
+    assert set(asked) <= {p for t in texts for p in enc.split(t)} | {p for t in texts for s in t.split(" ") for p in enc.split(f" {s}")}  # and no stretch of several
+
+
+def test_encoder_on_every_plain_character_and_odd_white_space(spec):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from tokenizers import Tokenizer
+
+    from boxwright.llm import tokens
+
+    r, enc, tok = random.Random(12), tokens.Encoder(spec, most=300), Tokenizer.from_str(spec)
+    kinds = [" ", " ", "\n", "\x85", "\xa0", "a", "É", "ª", "²", "_", "'ll", "'", ",", "7", "<|endoftext|>", "\t", "\x1f", "\x00", "漢", "\u3000", "\u0301"]
+    texts = [f"x {c} {c}y {c}{c} z{c}" for c in map(chr, range(0x250))] + ["".join(r.choice(kinds) for _ in range(r.randrange(12))) for _ in range(3000)]
+    assert pc.match_substring_regex(pa.array(texts), tokens._ODD).to_pylist() == [enc._odd(t) for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for i in range(0, len(texts), 50):
+            flat, lens = enc.encode(pa.array(texts[i : i + 50], kind))
+            assert [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts[i : i + 50]]
+
+
 def test_token_counts(docs, rows, spec, empty):
     from tokenizers import Tokenizer
 
