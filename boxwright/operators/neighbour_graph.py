@@ -52,7 +52,7 @@ def _order(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argsort((c**2).sum(1) / 2 - x @ c.T, axis=1, kind="stable")
 
 
-def _rows(v: pa.Array) -> np.ndarray:
+def vector_rows(v: pa.Array) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
 
 
@@ -66,7 +66,7 @@ def true_neighbours(rows: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) ->
         mine, asked = shared.value
         for batch in batches:
             b = batch.column("rep").to_numpy().astype(np.int64)
-            for of, who, d in _nearest(mine, asked, b, _rows(batch.column("u")), k):
+            for of, who, d in _nearest(mine, asked, b, vector_rows(batch.column("u")), k):
                 some = np.isfinite(d)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of, some.sum(1))), pa.array(who[some]), pa.array(d[some])], names=["a", "b", "d"])
 
@@ -93,6 +93,31 @@ def _cells_needed(rows: DataFrame, c: np.ndarray, k: int, recall: float) -> tupl
     return p, float(share[p - 1])
 
 
+def different(units: DataFrame, k: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """One row (rep, u) of each set of equal vectors (roi_index, u), the least; and what ``with_copies`` needs, None if no two are equal."""
+    key = F.array(F.xxhash64("u"), F.xxhash64(F.lit(1), "u"))
+    keyed = units.select("roi_index", key.alias("h"))
+    low = lambda c: F.slice(F.sort_array(c), 1, k + 1)
+    some = keyed.groupBy("h", F.pmod(F.xxhash64("roi_index"), F.lit(1024)).alias("_salt")).agg(low(F.collect_list("roi_index")).alias("low"), F.count("*").alias("n"))
+    groups = cut(some.groupBy("h").agg(low(F.flatten(F.collect_list("low"))).alias("low"), F.sum("n").alias("n")), "equal")
+    if groups.filter("n > 1").isEmpty():
+        return units.select(F.col("roi_index").cast("long").alias("rep"), "u"), None
+    reps = units.join(groups.select(F.get("low", F.lit(0)).alias("roi_index")), "roi_index").select(F.col("roi_index").cast("long").alias("rep"), "u")
+    return reps, (keyed, groups)
+
+
+def with_copies(near: DataFrame, copies: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+    """The k nearest of every row, from those (a, b, d) of one row of each set of equal vectors."""
+    keyed, groups = copies
+    sets = groups.select(F.get("low", F.lit(0)).cast("long").alias("b"), F.col("low").cast("array<bigint>").alias("low"))
+    wide = near.join(sets, "b").select("a", F.explode("low").alias("b"), "d")
+    own = sets.select(F.col("b").alias("a"), F.explode("low").alias("b"), F.lit(0.0).alias("d"))
+    lists = _best(wide.union(own), k + 1)
+    members = keyed.join(groups.select("h", F.get("low", F.lit(0)).cast("long").alias("a")), "h").select("a", F.col("roi_index").cast("long").alias("_of"))
+    every = members.join(lists, "a").filter("_of <> b").select(F.col("_of").alias("a"), "b", "d")
+    return _best(every, k)
+
+
 def near_graph(units: DataFrame, k: int, recall: float = 0.95, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, float]:
     """(a, b, d) of each row's k nearest (roi_index, u), most of them true ones, and the share measured.
 
@@ -101,11 +126,7 @@ def near_graph(units: DataFrame, k: int, recall: float = 0.95, cell_rows: int =
     from boxwright.operators.clustering import _nearest
 
     spark = units.sparkSession
-    keyed = units.select("roi_index", F.xxhash64("u").alias("h"))
-    low = lambda c: F.slice(F.sort_array(c), 1, k + 1)
-    some = keyed.groupBy("h", F.pmod(F.xxhash64("roi_index"), F.lit(1024)).alias("_salt")).agg(low(F.collect_list("roi_index")).alias("low"), F.count("*").alias("n"))
-    groups = cut(some.groupBy("h").agg(low(F.flatten(F.collect_list("low"))).alias("low"), F.sum("n").alias("n")), "equal")
-    reps = units.join(groups.select(F.get("low", F.lit(0)).alias("roi_index")), "roi_index").select(F.col("roi_index").cast("long").alias("rep"), "u")
+    reps, copies = different(units, k)
     reps = cut(reps, "different")
     n = reps.count()
     cells = max(1, min(CELLS, n // cell_rows))
@@ -116,7 +137,7 @@ def near_graph(units: DataFrame, k: int, recall: float = 0.95, cell_rows: int =
     def looked(p: int):
         @F.arrow_udf("array<int>")
         def run(v: pa.Array) -> pa.Array:
-            order = _order(_rows(v), shared.value)[:, :p].astype(np.int32)
+            order = _order(vector_rows(v), shared.value)[:, :p].astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, order.shape[1]), pa.int32()), pa.array(order.ravel()))
 
         return run("u")
@@ -161,12 +182,4 @@ def near_graph(units: DataFrame, k: int, recall: float = 0.95, cell_rows: int =
 
     near = a.groupBy("group", "pa", "pb").cogroup(b.groupBy("b_group", "b_pa", "b_pb")).applyInPandas(search, "a bigint, b bigint, d double")
     near = _best(near, k)
-    if groups.filter("n > 1").isEmpty():
-        return near, share
-    copies = groups.select(F.get("low", F.lit(0)).cast("long").alias("b"), F.col("low").cast("array<bigint>").alias("low"))
-    wide = near.join(copies, "b").select("a", F.explode("low").alias("b"), "d")
-    own = copies.select(F.col("b").alias("a"), F.explode("low").alias("b"), F.lit(0.0).alias("d"))
-    lists = _best(wide.union(own), k + 1)
-    members = keyed.join(groups.select("h", F.get("low", F.lit(0)).cast("long").alias("a")), "h").select("a", F.col("roi_index").cast("long").alias("_of"))
-    every = members.join(lists, "a").filter("_of <> b").select(F.col("_of").alias("a"), "b", "d")
-    return _best(every, k), share
+    return near if copies is None else with_copies(near, copies, k), share

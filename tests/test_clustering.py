@@ -196,3 +196,43 @@ def test_groups_of_cells_find_what_single_cells_find(spark, monkeypatch):
         found.append({(r["a"], r["b"], round(r["d"], 9)) for r in near.collect()})
         assert share >= 0.95
     assert found[0] == found[1] == found[2] and len(found[0]) == 3000
+
+
+def test_clusters_beyond_a_side_are_those_of_whole_matrices(spark, monkeypatch):
+    """Neighbours are exact whatever the number of rows: here a part holds 60 of 400, many of them copies."""
+    monkeypatch.setattr(clustering, "EXACT_ROWS", 60)
+    r = np.random.default_rng(9)
+    x = r.normal(size=(400, 24)).astype(np.float32).astype(np.float64)
+    x[:120], x[200:210] = x[0], x[200]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "roi_index int, embedding array<float>").repartition(5)
+    u = x - x.mean(0)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    d = np.sqrt(np.clip(2 - 2 * u @ u.T, 0, None))
+    d[d < 1e-7] = 0
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :12]
+    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "roi_index int, u array<double>")
+    got = {}
+    for row in clustering.neighbours(units, 12).orderBy("a", "d", "b").collect():
+        got.setdefault(row["a"], []).append(row["b"])
+    assert got == {i: order[i].tolist() for i in range(400)}
+    found = {}
+    for row in clustering.clusters(df.filter("roi_index >= 119"), n_neighbors=12, approx_n_clusters=9, base_min_cluster_size=4).collect():
+        found.setdefault(row["cluster"], set()).add(row["roi_index"])
+    ids = list(range(119, 400))
+    assert {frozenset(g) for c, g in found.items() if c >= 0} == plain_clusters(ids, x[119:], 12, 5, 4, 0.2, 9)
+
+
+def test_vectors_nearer_than_single_floats_can_tell():
+    """A cluster narrower than the error of single floats, passing by in pieces: still the nearest by distance and id."""
+    r = np.random.default_rng(10)
+    x = np.concatenate([np.ones((300, 32)) + r.normal(0, 1e-5, (300, 32)), r.normal(size=(100, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = r.permutation(400).astype(np.int64)
+    d = np.array([[np.sqrt(max(2 - 2 * (a * b).sum(), 0)) for b in x] for a in x])
+    np.fill_diagonal(d, np.inf)
+    best, who = clustering._none_yet(400, 7)
+    for j in range(0, 400, 90):
+        clustering._closer(best, who, ids, x, ids[j : j + 90], x[j : j + 90])
+    assert np.allclose(best, np.sort(d, axis=1)[:, :7], atol=1e-7)
+    assert all(len(set(w)) == 7 and ids[i] not in w for i, w in enumerate(who.tolist()))
