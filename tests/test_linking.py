@@ -199,3 +199,43 @@ def test_order_of_tracks_as_a_column(spark):
     tracks = ["10", "9", "x", "0/a", "2/b/c", "10/a", "/z", "y/", "2/b", "99999999999999999"]
     got = [r["t"] for r in spark.createDataFrame([(t,) for t in tracks], "t string").orderBy(linking._order(F.col("t"))).collect()]
     assert [linking._number(t) for t in got] == sorted(map(linking._number, tracks))
+
+
+@pytest.mark.parametrize("shared", [0, 3])
+def test_merging_by_blocks_leaves_forests_and_merges_as_all_pairs_do(spark, monkeypatch, shared):
+    """Small blocks of tracks in spots on the borders of cells; ``shared``: spots up to there have tracks in the same frames."""
+    monkeypatch.setattr(linking, "PART_TRACKS", 40)
+    r = np.random.default_rng(11)
+    rows, units, frames = [], [], {}
+    for spot in range(6):
+        free = r.permutation(4000)[:2600]
+        for k in range(40):
+            n = int(r.integers(3, 60))
+            mine, free = (free[:n], free[n:]) if spot >= shared else (r.choice(np.arange(1, 400), n, replace=False), free)
+            t = str(spot * 40 + k)
+            frames[t] = set((mine + 1).tolist())
+            look = np.eye(6)[spot] + r.normal(0, 0.12, 6)
+            for f in frames[t]:
+                i, x = len(rows), 80.0 * spot + 230 + k % 3
+                rows.append(("c", int(f), i, t, x, 240.0, x + 60, 290.0))
+                units.append((i, look.tolist()))
+    df = spark.createDataFrame(rows, "camera string, frame int, roi_index int, track string, x_min float, y_min float, x_max float, y_max float")
+    u = spark.createDataFrame(units, "roi_index int, u array<double>")
+    made = []
+    plain = linking._like_pairs
+
+    def seen(*args, every):
+        out = plain(*args, every=every).cache()
+        made.append((every, out.count()))
+        return out
+
+    monkeypatch.setattr(linking, "_like_pairs", seen)
+    got = {x["track"]: x["into"] for x in linking.merge_fragments(df, u).collect()}
+    look = {t: np.array(units[i][1]) for i, (_, _, _, t, *_) in enumerate(rows)}
+    cosine = lambda a, b: round(float(look[a] @ look[b] / np.linalg.norm(look[a]) / np.linalg.norm(look[b])), 12)
+    pairs = [("c", a, b, len(frames[a]), len(frames[b]), cosine(a, b)) for a in frames for b in frames if a < b and int(a) // 40 == int(b) // 40 and cosine(a, b) >= 0.9]
+    expected = {x.track: x.into for x in linking._merge(_pairs(*pairs), bitmaps(frames), 20, 0.05).itertuples()}
+    assert got == expected and len(got) > 60
+    big = [p for p in pairs if max(p[3:5]) >= 20]
+    assert [e for e, _ in made] == [False, True][: 1 + bool(shared)] and made[0][1] < 0.6 * len(big)
+    assert not shared or made[1][1] == sum(int(p[1]) // 40 < shared for p in big)
