@@ -239,3 +239,22 @@ def test_merging_by_blocks_leaves_forests_and_merges_as_all_pairs_do(spark, monk
     big = [p for p in pairs if max(p[3:5]) >= 20]
     assert [e for e, _ in made] == [False, True][: 1 + bool(shared)] and made[0][1] < 0.6 * len(big)
     assert not shared or made[1][1] == sum(int(p[1]) // 40 < shared for p in big)
+
+
+def test_vectors_stay_where_they_are_and_passers_by_are_no_pairs(spark):
+    """Typicality without another shuffle of vectors; small tracks of one spot are not paired with each other."""
+    r = np.random.default_rng(4)
+    u = r.normal(size=(600, 3))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    rows = [(i, "c", str(i % 40 if i < 400 else i), None if i % 9 == 0 else [0.0, 0.0, 0.0] if i == 401 else u[i].tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "roi_index int, camera string, track string, u array<double>")
+    out = linking._with_typicality(df)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    got = {x["roi_index"]: x["typicality"] for x in out.collect()}
+    want = {x["roi_index"]: x["typicality"] for x in linking.typicality(df.drop("u"), df.filter("u is not null").select("roi_index", "u")).collect()}
+    assert len(got) == 600 and {i for i, t in got.items() if t is None} == {i for i in range(600) if i % 9 == 0}
+    assert all(abs(got[i] - t) < 1e-9 for i, t in want.items()) and got[401] == 0
+    tracks = spark.range(3000).selectExpr("id nth", "'c' camera", "cast(id as string) track", "if(id < 2, 30L, 1L) n", "10.0D + 400 * int(id > 1) x_min", "10.0D y_min", "60.0D + 400 * int(id > 1) x_max", "50.0D y_max")
+    means = tracks.selectExpr("camera", "track", "array(1.0D, 2.0D) mean")
+    assert [tuple(x) for x in linking._like_pairs(tracks, means, 0.9, 20, every=True).select("a", "b", "kind").collect()] == [(0, 1, 0)]
